@@ -6,12 +6,17 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tessera.llm import decontaminate
+from tessera.llm import decontaminate, quality_rules
+
+_OPERATORS = {
+    "op4_decontaminate": decontaminate,
+    "op10_quality_rules": quality_rules,
+}
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"op4_decontaminate": decontaminate.query}
+    return {name: module.query for name, module in _OPERATORS.items()}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op4_decontaminate": decontaminate.SQL}
+    return {name: module.SQL for name, module in _OPERATORS.items() if getattr(module, "SQL", None)}
