@@ -6,10 +6,12 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tessera.llm import decontaminate, quality_rules
+from tessera.llm import decontaminate, quality_rules, sharding, warc
 
 _OPERATORS = {
     "op4_decontaminate": decontaminate,
+    "op6_warc": warc,
+    "op7_sharding": sharding,
     "op10_quality_rules": quality_rules,
 }
 
