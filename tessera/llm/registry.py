@@ -6,10 +6,12 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tessera.llm import decontaminate, quality_rules, sharding, warc
+from tessera.llm import decontaminate, quality_rules, sentencepiece_scan, sharding, token_counts, warc
 
 _OPERATORS = {
+    "op2_sentencepiece": sentencepiece_scan,
     "op4_decontaminate": decontaminate,
+    "op5_token_counts": token_counts,
     "op6_warc": warc,
     "op7_sharding": sharding,
     "op10_quality_rules": quality_rules,
