@@ -6,10 +6,12 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tessera.llm import decontaminate, quality_rules, sentencepiece_scan, sharding, token_counts, warc
+from tessera.llm import decontaminate, language_id, quality_classifier, quality_rules, sentencepiece_scan, sharding, token_counts, warc
 
 _OPERATORS = {
+    "op1_quality_classifier": quality_classifier,
     "op2_sentencepiece": sentencepiece_scan,
+    "op3_language_id": language_id,
     "op4_decontaminate": decontaminate,
     "op5_token_counts": token_counts,
     "op6_warc": warc,
@@ -19,7 +21,7 @@ _OPERATORS = {
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {name: module.query for name, module in _OPERATORS.items()}
+    return {name: module.query for name, module in _OPERATORS.items()} | {"language_id_pages": language_id.pages_query}
 
 
 def oracle_sql() -> dict[str, str]:
