@@ -301,8 +301,8 @@ def _states(chunks: DataFrame, model_path: str) -> DataFrame:
     return matrices.groupBy("rid").applyInPandas(combine, "rid long, chunk int, entry int, exit int")
 
 
-def _encoded(docs: DataFrame, model_path: str, chunk: int, finish, ddl: str) -> DataFrame:
-    """Rows of finish(model, rid, doc_id, chunk, n_chunks, ids, text) for each text, or chunk of a giant text."""
+def _encoded(docs: DataFrame, model_path: str, chunk: int, finish, ddl: str) -> tuple[DataFrame, DataFrame]:
+    """Rows of finish(model, rid, doc_id, chunk, n_chunks, ids, text): of each whole text, and of each chunk of the giant ones."""
     d = docs.select(F.monotonically_increasing_id().alias("rid"), F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     giant = F.coalesce(F.octet_length("text") > 2 * chunk, F.lit(False))
 
@@ -324,12 +324,13 @@ def _encoded(docs: DataFrame, model_path: str, chunk: int, finish, ddl: str) ->
             yield _batch(rows, ddl)
 
     chunks = stash(_split(d.where(giant), model_path, chunk), "chunks")
-    return d.where(~giant).mapInArrow(whole, ddl).unionByName(chunks.join(_states(chunks, model_path), ["rid", "chunk"]).mapInArrow(backtrace, ddl))
+    return d.where(~giant).mapInArrow(whole, ddl), chunks.join(_states(chunks, model_path), ["rid", "chunk"]).mapInArrow(backtrace, ddl)
 
 
 def encode(docs: DataFrame, model_path: str, chunk: int = CHUNK) -> DataFrame:
     """(rid, doc_id, chunk, n_chunks, ids, text): the ids of each text of docs (doc_id, text), a giant one in chunks, and the normalised text they stand for."""
-    return _encoded(docs, model_path, chunk, lambda model, rid, doc, k, n, ids, text: (rid, doc, k, n, ids, text), _ENCODED)
+    whole, chunks = _encoded(docs, model_path, chunk, lambda model, rid, doc, k, n, ids, text: (rid, doc, k, n, ids, text), _ENCODED)
+    return whole.unionByName(chunks)
 
 
 def decode(encoded: DataFrame, model_path: str) -> DataFrame:
@@ -353,10 +354,10 @@ def round_trip(docs: DataFrame, model_path: str, chunk: int = CHUNK) -> DataFram
         x = np.asarray(ids, dtype=np.int64) + 1
         return rid, doc, k, n, len(ids), int(x.sum()), int((x * np.arange(1, len(x) + 1)).sum()), model.decode(ids, k == 0) == plain
 
-    rows = _encoded(docs.select("doc_id", "text"), model_path, chunk, check, _CHECKED)
-    one = rows.where("n_chunks = 1").select("doc_id", "n_tokens", F.lit(1).cast("long").alias("n_chunks"), F.col("id_place_sum").alias("id_digest"), F.col("same").alias("round_trip"))
+    whole, chunks = _encoded(docs.select("doc_id", "text"), model_path, chunk, check, _CHECKED)
+    one = whole.select("doc_id", "n_tokens", F.lit(1).cast("long").alias("n_chunks"), F.col("id_place_sum").alias("id_digest"), F.col("same").alias("round_trip"))
     # a giant text's chunks: places go on from one to the next
-    many = rows.where("n_chunks > 1").groupBy("rid", "doc_id").agg(F.sort_array(F.collect_list(F.struct("chunk", "n_tokens", "id_sum", "id_place_sum"))).alias("c"), F.sum("n_tokens").alias("n_tokens"), F.count("*").alias("n_chunks"), F.min("same").alias("round_trip"))
+    many = chunks.groupBy("rid", "doc_id").agg(F.sort_array(F.collect_list(F.struct("chunk", "n_tokens", "id_sum", "id_place_sum"))).alias("c"), F.sum("n_tokens").alias("n_tokens"), F.count("*").alias("n_chunks"), F.min("same").alias("round_trip"))
     digest = F.expr("aggregate(c, struct(0L AS n, 0L AS d), (a, x) -> struct(a.n + x.n_tokens AS n, a.d + x.id_place_sum + a.n * x.id_sum AS d), a -> a.d)")
     return one.unionByName(many.select("doc_id", "n_tokens", "n_chunks", digest.alias("id_digest"), "round_trip"))
 
