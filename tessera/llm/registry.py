@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tessera.llm import decontaminate, language_id, near_dedup, quality_classifier, quality_rules, sentencepiece_scan, sharding, token_counts, warc
+from tessera.llm import decontaminate, language_id, lm_scoring, near_dedup, quality_classifier, quality_rules, sentencepiece_scan, sharding, token_counts, warc
 
 _OPERATORS = {
     "op1_quality_classifier": quality_classifier,
@@ -16,6 +16,7 @@ _OPERATORS = {
     "op5_token_counts": token_counts,
     "op6_warc": warc,
     "op7_sharding": sharding,
+    "op8_lm_scoring": lm_scoring,
     "op9_near_dedup": near_dedup,
     "op10_quality_rules": quality_rules,
 }
