@@ -38,7 +38,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tessera.llm.common import NONSPACE, Block, blocks, cut, gram_hashes, mix, stash, table
@@ -283,18 +283,32 @@ def find_links(rows: DataFrame, docs: DataFrame) -> tuple[DataFrame, DataFrame]:
     return classes, first.unionByName(_links(tasks, payload))
 
 
+def row_key() -> Column:
+    """A key of a row's id and text."""
+    return F.xxhash64(F.col("doc_id").cast("long"), F.col("text").cast("string"))
+
+
 def near_dedup(docs: DataFrame) -> DataFrame:
-    """Per row of docs (doc_id, text): doc_id, n_shingles, component_id, kept, and row_key, a hash of id and text."""
-    docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("doc_id", "text").alias("row_key"), F.col("text").cast("string").alias("text"))
+    """Per row of docs (doc_id, text): doc_id, n_shingles, component_id, kept, row_key (a hash of id and text) and group (null for an empty set)."""
+    docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), row_key().alias("row_key"), F.col("text").cast("string").alias("text"))
     rows = cut(_sketched(docs))
     classes, links = find_links(rows, docs)
     of = cut(classes.select("k1", "k2", "node", "least_id").join(components(links), "node", "left").withColumn("root", F.coalesce("root", "node")))
     least = cut(of.groupBy("root").agg(F.min("least_id").alias("component_id")))
-    found = cut(of.join(least, "root").select("k1", "k2", "component_id"))
-    own = rows.where("n = 0").select("doc_id", F.col("n").alias("n_shingles"), F.col("doc_id").alias("component_id"), "row_key")
-    all_rows = rows.where("n > 0").join(found, ["k1", "k2"]).select("doc_id", F.col("n").alias("n_shingles"), "component_id", "row_key").unionByName(own)
-    return all_rows.select("doc_id", "n_shingles", "component_id", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(False)).alias("kept"), "row_key")
+    found = cut(of.join(least, "root").select("k1", "k2", "component_id", F.col("root").alias("group")))
+    own = rows.where("n = 0").select("doc_id", F.col("n").alias("n_shingles"), F.col("doc_id").alias("component_id"), "row_key", F.lit(None).cast("long").alias("group"))
+    all_rows = rows.where("n > 0").join(found, ["k1", "k2"]).select("doc_id", F.col("n").alias("n_shingles"), "component_id", "row_key", "group").unionByName(own)
+    return all_rows.select("doc_id", "n_shingles", "component_id", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(False)).alias("kept"), "row_key", "group")
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return near_dedup(table(spark, sf_dir, "documents")).drop("row_key")
+    return near_dedup(table(spark, sf_dir, "documents")).drop("row_key", "group")
+
+
+def survivors(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Row keys of docs that go (distinct), and row keys that stay but stand for several equal rows: one document of each group stays, that of the least id."""
+    found = cut(near_dedup(docs).select("doc_id", "row_key", "group"))
+    first = found.where(F.col("group").isNotNull()).groupBy("group").agg(F.min(F.struct(F.col("doc_id").isNull().alias("x"), "doc_id", "row_key")).alias("first"))
+    first = cut(first.select("group", F.col("first.row_key").alias("first")))
+    rows = found.join(first, "group")
+    return rows.where("row_key <> first").select("row_key").distinct(), rows.where("row_key = first").groupBy("row_key").count().where("count > 1").select("row_key")
