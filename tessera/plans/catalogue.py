@@ -2,12 +2,16 @@
 
 from __future__ import annotations
 
+from tessera.plans import tracks
+from tessera.plans.registry import ORACLES, QUERIES
+
+MODULES = (tracks,)
 FLAGSHIP = "preset_contest_windows"
 
 
 def queries() -> dict:
-    return {}
+    return dict(QUERIES)
 
 
 def oracle_sql() -> dict:
-    return {}
+    return dict(ORACLES)
