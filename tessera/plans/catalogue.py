@@ -2,10 +2,10 @@
 
 from __future__ import annotations
 
-from tessera.plans import tracks
+from tessera.plans import agreement, events, sql_surface, streams, tracks
 from tessera.plans.registry import ORACLES, QUERIES
 
-MODULES = (tracks,)
+MODULES = (tracks, events, agreement, sql_surface, streams)
 FLAGSHIP = "preset_contest_windows"
 
 
