@@ -65,10 +65,11 @@ def icc_terms(df: DataFrame, raters: list[str]) -> DataFrame:
 
 
 def icc(df: DataFrame, raters: list[str]) -> DataFrame:
-    """ICC(2,1): agreement of single raters; 1 where no error is left, null with fewer than two rows."""
-    r, c, e, n, k = (F.col(x) for x in ("ms_rows", "ms_cols", "ms_error", "n", "k"))
+    """ICC(2,1): agreement of single raters; 1 where raters agree throughout (a constant bias isn't that), null with fewer than two rows."""
+    r, c, n, k = (F.col(x) for x in ("ms_rows", "ms_cols", "n", "k"))
+    e, tiny = F.greatest(F.col("ms_error"), F.lit(0.0)), 1e-12 * F.greatest(F.col("ms_rows"), F.lit(1e-300))
     value = (r - e) / (r + (k - 1) * e + k * (c - e) / n)
-    return icc_terms(df, raters).withColumn("icc", F.when(n < 2, None).when(e <= 1e-12 * F.greatest(r, F.lit(1e-300)), 1.0).otherwise(value))
+    return icc_terms(df, raters).withColumn("icc", F.when(n < 2, None).when((e <= tiny) & (c <= tiny), 1.0).otherwise(value))
 
 
 def icc_interval(row: dict, level: float = 0.95) -> tuple[float, float]:
@@ -76,8 +77,10 @@ def icc_interval(row: dict, level: float = 0.95) -> tuple[float, float]:
     n, k, r, c, e, icc_ = (row[x] for x in ("n", "k", "ms_rows", "ms_cols", "ms_error", "icc"))
     if icc_ is None or n < 2:
         return math.nan, math.nan
-    if e <= 1e-12 * max(r, 1e-300):
+    tiny = 1e-12 * max(r, 1e-300)
+    if e <= tiny and c <= tiny:
         return 1.0, 1.0
+    e = max(e, tiny)
     f, a = c / e, (1 - level) / 2
     top = n * (1 + (k - 1) * icc_) - k * icc_
     v = (k - 1) * (n - 1) * (k * icc_ * f + top) ** 2 / ((n - 1) * k * k * icc_ * icc_ * f * f + top * top)

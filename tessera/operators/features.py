@@ -30,7 +30,7 @@ def frame_stats(tracks: DataFrame, by: list[str]) -> DataFrame:
 def image_features(tracks: DataFrame, lengths: DataFrame, by: list[str], fps: float = 25.0, window: int = 8, smooth: int = 5, k: int = 6, cut: float = 0.85, min_tracks: int = 4, repeats: DataFrame | None = None, compat: bool = True) -> DataFrame:
     """The dense image features of each series. lengths: (by, n_frames); repeats: (by, frame_idx) of frames that repeat the one before, which take no part in velocities."""
     moving = tracks if repeats is None else tracks.join(repeats, [*by, "frame_idx"], "left_anti")
-    v = moving.withColumn("v", velocity("cy", window, fps, [*by, "track_id"])).groupBy(*by, "frame_idx").agg(F.avg("v").alias("mean_vertical_velocity"), F.max("v").alias("max_vertical_velocity"))
+    v = moving.withColumn("__v", velocity("cy", window, fps, [*by, "track_id"])).groupBy(*by, "frame_idx").agg(F.avg("__v").alias("mean_vertical_velocity"), F.max("__v").alias("max_vertical_velocity"))
     ids = tracks.groupBy(*by, "frame_idx").agg(F.collect_set("track_id").alias("__ids"))
     d = dense(frame_stats(tracks, by), lengths, by)
     d = d.join(knn_mean(tracks, "cx", "cy", k, [*by, "frame_idx"], "track_id").withColumnRenamed("knn_distance", "cluster_density_px"), [*by, "frame_idx"], "left").join(v, [*by, "frame_idx"], "left").join(ids, [*by, "frame_idx"], "left")
@@ -57,8 +57,8 @@ def pitch_features(positions: DataFrame, lengths: DataFrame, by: list[str], fps:
     g = p.groupBy(*by, "frame_idx").agg(
         F.count("*").alias("n_players_registered"), inside(65.0).alias("n_inside_65"), inside(45.0).alias("n_inside_45"), F.avg("pitch_x").alias("mean_x_m"), F.stddev_pop("pitch_x").alias("spread_x_m"),
         F.stddev_pop("pitch_y").alias("spread_y_m"), (F.max("pitch_y") - F.min("pitch_y")).alias("width_used_m"), (F.max("pitch_x") - F.min("pitch_x")).alias("depth_used_m"))
-    fast = F.col("v") > sprint
-    v = p.withColumn("v", speed("pitch_x", "pitch_y", window, fps, [*by, "track_id"])).groupBy(*by, "frame_idx").agg(F.avg("v").alias("mean_speed_ms"), F.max("v").alias("max_speed_ms"), F.avg((F.coalesce(fast, F.lit(False)) if compat else fast).cast("double")).alias("frac_above_sprint"))
+    fast = F.col("__v") > sprint
+    v = p.withColumn("__v", speed("pitch_x", "pitch_y", window, fps, [*by, "track_id"])).groupBy(*by, "frame_idx").agg(F.avg("__v").alias("mean_speed_ms"), F.max("__v").alias("max_speed_ms"), F.avg((F.coalesce(fast, F.lit(False)) if compat else fast).cast("double")).alias("frac_above_sprint"))
     near = knn_mean(p, "pitch_x", "pitch_y", 1, [*by, "frame_idx"], "track_id").withColumnRenamed("knn_distance", "nn_distance_m")
     crowd = knn_mean(p, "pitch_x", "pitch_y", k, [*by, "frame_idx"], "track_id").withColumnRenamed("knn_distance", "cluster_density_m")
     d = dense(g, lengths, by)
