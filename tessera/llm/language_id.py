@@ -38,7 +38,7 @@ from tessera.llm.common import LOWER, cut, table, text_buffers
 
 BUCKETS = 1 << 14
 MAX_LANGUAGES = 64
-MIN_DECLARED = 20
+MIN_DECLARED = 5
 EFFECTIVE = 60
 HOST_ROWS = 20.0
 SUFFIX_ROWS = 50.0
