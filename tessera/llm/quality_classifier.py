@@ -139,7 +139,9 @@ def classify(docs: DataFrame, labels: DataFrame, host: str | Column = "source",
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.concat(F.lit("+"), as_text(host)), F.lit("-")).alias("host"), F.coalesce(F.concat(F.lit("+"), as_text(path)), F.lit("-")).alias("path"), F.col("text").cast("string").alias("text"))
     known = labels.where(F.col("quality").isin(0, 1) & F.col("doc_id").isNotNull()).groupBy(F.col("doc_id").cast("long").alias("doc_id")).agg(F.min("quality").cast("double").alias("y"))
     rows = cut(rows.mapInArrow(measure, "doc_id long, host string, path string, x array<double>").join(known, "doc_id", "left"))
-    sample = rows.where(F.col("y").isNotNull()).orderBy(F.xxhash64("doc_id"), "doc_id", "host", "path").select("x", "y").limit(train_rows).collect()
+    labelled = rows.where(F.col("y").isNotNull())
+    few = F.pmod(F.xxhash64("doc_id"), F.lit(1 << 32)) < int(min(1.0, 2 * train_rows / max(labelled.count(), 1)) * (1 << 32))  # so that tasks send few rows
+    sample = labelled.where(few).orderBy(F.xxhash64("doc_id"), "doc_id", "host", "path").select("x", "y").limit(train_rows).collect()
     fit = Logistic(np.array([r.x for r in sample]).reshape(-1, len(FEATURES)), np.array([r.y for r in sample]))
 
     # the fitted model as an expression, so that the rows stay in the JVM
