@@ -325,3 +325,64 @@ def predicted_events(spark, sf_dir):
     """Windows, scores and suppression, as a table of events with ids."""
     d = greedy.nms_time(_scores(spark, sf_dir), V, 2.0)
     return rounded(d.select("video_id", series.numbered("pred", ["t_peak_s", "w_frame"], V).alias("event_id"), F.col("w_start_s").alias("t_start_s"), F.col("w_end_s").alias("t_end_s"), "t_peak_s", (F.col("w_end_s") - F.col("w_start_s")).alias("duration_s"), F.col("score").alias("confidence"), "n_players_in_contest", F.lit("rule").alias("detector_mode")))
+
+
+@query("block_choice", X(G.PE) + """, c AS (SELECT grp, b * 14400.0::DOUBLE AS t_start_s, b * 14400.0::DOUBLE + 21600 AS t_end_s, n FROM (SELECT grp, floor(p_start / 14400) AS b, count(*) AS n FROM pe GROUP BY 1, 2)),
+o AS (SELECT *, row_number() OVER (PARTITION BY grp ORDER BY -n, t_start_s) AS i FROM c),
+f(grp, i, taken, s, keep) AS (SELECT DISTINCT grp, 0::BIGINT, []::DOUBLE[], NULL::DOUBLE, false FROM o
+  UNION ALL SELECT f.grp, f.oi, CASE WHEN ok THEN list_append(taken, t) ELSE taken END, t, ok FROM (SELECT f.*, o.i AS oi, o.t_start_s AS t, len(f.taken) < 3 AND len(list_filter(f.taken, lambda u: abs(u - o.t_start_s) < 21600)) = 0 AS ok FROM f JOIN o ON o.grp = f.grp AND o.i = f.i + 1) f)
+SELECT f.grp, f.s AS t_start_s, f.s + 21600 AS t_end_s, n AS n_events FROM f JOIN o ON f.grp = o.grp AND f.i = o.i WHERE keep""")
+def block_choice(spark, sf_dir):
+    """Three blocks of six hours for each group, those with the most events first, none overlapping another."""
+    d = G.pe(spark, sf_dir).groupBy("grp", (F.floor(F.col("p_start") / 14400) * 14400.0).alias("t_start_s")).agg(F.count("*").alias("n_events"))
+    d = d.withColumns({"t_end_s": F.col("t_start_s") + 21600, "rank": -F.col("n_events")})
+    return greedy.choose_blocks(d, ["grp"], 3).select("grp", "t_start_s", "t_end_s", "n_events")
+
+
+@query("time_blocks", X(G.PE) + " SELECT grp, pred_id, ntile(5) OVER (PARTITION BY grp ORDER BY p_start, pred_id) AS block FROM pe")
+def time_blocks(spark, sf_dir):
+    """Contiguous blocks of equal counts, the first ones one larger."""
+    from pyspark.sql import Window as W
+
+    return G.pe(spark, sf_dir).select("grp", "pred_id", F.ntile(5).over(W.partitionBy("grp").orderBy("p_start", "pred_id")).cast("long").alias("block"))
+
+
+@query("best_and_worst", X(MATCHES) + """ SELECT grp, kind, pred_id, gt_id, n FROM (SELECT grp, kind, pred_id, gt_id, row_number() OVER (PARTITION BY grp, kind ORDER BY confidence DESC, pred_id, gt_id) AS n FROM matches) WHERE n <= CASE kind WHEN 'TP' THEN 2 ELSE 1 END""")
+def best_and_worst(spark, sf_dir):
+    """Of each group the two surest hits, the surest false alarm and the first miss: a top-k report."""
+    from pyspark.sql import Window as W
+
+    n = F.row_number().over(W.partitionBy("grp", "kind").orderBy(F.desc("confidence"), "pred_id", "gt_id"))
+    d = matches(spark, sf_dir).withColumn("n", n.cast("long"))
+    return d.where(F.col("n") <= F.when(F.col("kind") == "TP", 2).otherwise(1)).select("grp", "kind", "pred_id", "gt_id", "n")
+
+
+@query("label_windows", X(G.PE, G.GE, _PAIRS) + " SELECT pe.grp, pe.pred_id, coalesce(max(tiou) >= 0.5, false)::INT AS label FROM pe LEFT JOIN cand ON pe.pred_id = cand.pred_id GROUP BY 1, 2")
+def label_windows(spark, sf_dir):
+    from tessera.operators.learned import label_windows as label
+
+    return label(G.pe(spark, sf_dir), G.ge(spark, sf_dir), ["grp"], "pred_id", ("p_start", "p_end"), ("g_start", "g_end"), DAY).select("grp", "pred_id", "label")
+
+
+@query("learned_scores")
+def learned_scores(spark, sf_dir):
+    """Predicted intervals scored across purged time blocks by their length and confidence."""
+    from tessera.operators.learned import blocked_scores
+    from tessera.operators.learned import label_windows as label
+
+    d = label(G.pe(spark, sf_dir), G.ge(spark, sf_dir), ["grp"], "pred_id", ("p_start", "p_end"), ("g_start", "g_end"), DAY).withColumn("length", F.col("p_end") - F.col("p_start"))
+    return rounded(blocked_scores(d, ["grp"], "pred_id", "p_start", ["length", "confidence"], 3, 3600.0))
+
+
+@query("shot_registration")
+def shot_registration(spark, sf_dir):
+    """Each shot's homography again from its landmarks in the image, two held out."""
+    from tessera.functions import pitch
+    from tessera.operators import registration
+
+    marks = spark.createDataFrame(pitch.landmarks(), "landmark string, pitch_x double, pitch_y double")
+    s = G.shots_dim(spark, sf_dir).select("video_id", "shot_id").crossJoin(F.broadcast(marks))  # 31 rows
+    y = (F.col("pitch_y") + 52.0 - F.col("shot_id") % 3) / 0.1640625
+    k = s.withColumn("img_y", y).withColumn("img_x", (F.col("pitch_x") - 0.0078125 * F.col("img_y") + 77.0 - F.col("shot_id") % 5) / 0.125)
+    d = registration.fit_shots(registration.hold_out(k, ["video_id", "shot_id"]), ["video_id", "shot_id"])
+    return d.select("video_id", "shot_id", "n_landmarks", "n_inliers", "n_holdout", "validated")
