@@ -12,11 +12,11 @@ Search: BANDS bands of ROWS registers; classes that agree in a band share its
 bucket (a pair of similarity 0.75 misses all 32 with a chance of 5e-6). Buckets are never expanded
 into all pairs:
 
-1. every member is compared with its bucket's leader, once for all buckets of
+1. every member is compared with its bucket's leader (the least), once for all buckets of
    that leader;
-2. members that aren't linked with a leader (strays) are compared with the other
-   members of that bucket, in blocks of BLOCK x BLOCK rows, so that no link
-   is lost and no task gets a whole bucket. A pair that met in an earlier band is passed over.
+2. members that these links don't connect with the leader (strays) are compared with the
+   other members of all its buckets, in blocks of BLOCK x BLOCK rows, so that no group is
+   torn and no task gets a whole bucket; pairs that are connected already are passed over.
 
 Comparison: similarity is first estimated by maximum likelihood from both
 register vectors and the exact set sizes; pairs within SIGMAS standard errors of
@@ -47,7 +47,7 @@ SHINGLE = 5
 BANDS, ROWS = 32, 4
 REGISTERS = BANDS * ROWS
 BASE, RATE, LARGEST = 1.001, 20.0, 65_535
-BLOCK = 128
+BLOCK = 192
 SIGMAS = 5.0
 #: Up to so many classes' row keys travel to the tasks that read texts (8 bytes each).
 MAP_SIDE_KEYS = 1_000_000
@@ -137,7 +137,9 @@ def unpack(data: bytes) -> np.ndarray:
 
 
 def similar(a: np.ndarray, b: np.ndarray) -> bool:
-    both = len(np.intersect1d(a, b))
+    """Whether two sorted sets reach the threshold."""
+    at = np.searchsorted(b, a)
+    both = int((b[np.minimum(at, len(b) - 1)] == a).sum())
     return 100 * both >= 75 * (len(a) + len(b) - both)
 
 
@@ -186,14 +188,14 @@ def _payload(docs: DataFrame) -> DataFrame:
 def _compare(table_: pa.Table) -> pa.Table:
     """Links of one block: its left rows against its right rows.
 
-    A pair of which both are left somewhere (strays) counts where the smaller id is left; with a band given, a pair that shares an earlier band is passed over.
+    A pair of strays is left and right in two blocks; it counts where the smaller id is left.
     """
     left, right = (table_.filter(pa.compute.equal(table_["side"], s)) for s in (0, 1))
     out: list[tuple[int, int]] = []
     if left.num_rows and right.num_rows:
         (li, lr, ls), (ri, rr, rs) = ((t["node"].to_numpy(), np.frombuffer(b"".join(t["registers"].to_pylist()), dtype=np.uint16).reshape(-1, REGISTERS), t["elements"].to_pylist()) for t in (left, right))
         ln, rn = (np.array([len(x) // 5 for x in s]) for s in (ls, rs))
-        band, stray = int(table_["band"][0].as_py()), right["stray"].to_numpy()
+        stray, lroot, rroot = right["stray"].to_numpy(), left["root"].to_numpy(), right["root"].to_numpy()
         parent: dict[int, int] = {}
 
         def root(x: int) -> int:
@@ -201,31 +203,34 @@ def _compare(table_: pa.Table) -> pa.Table:
                 parent[x] = x = parent.get(y, y)
             return x
 
+        # all pairs of the block at once: those that may reach the threshold
+        equal = np.zeros((len(li), len(ri)), dtype=np.uint8)
+        for k in range(REGISTERS):
+            equal += lr[:, k, None] == rr[None, :, k]
+        close = (equal >= REGISTERS * (_FLOOR - 0.1)) & (4 * np.minimum(ln[:, None], rn) >= 3 * np.maximum(ln[:, None], rn)) & (lroot[:, None] != rroot) & ~(stray & (ri < li[:, None]))
+        i, j = np.nonzero(close)
+        if len(i):
+            more, less = (rr[j] < lr[i]).sum(axis=1), (rr[j] > lr[i]).sum(axis=1)
+            likely = estimate(more, less, ln[i].astype(float), rn[j].astype(float))
+            order = np.argsort(-likely, kind="stable")  # the surest first: what they connect needs no comparison any more
+            order = order[likely[order] >= _FLOOR]
+            i, j = i[order], j[order]
         whole: dict[int, np.ndarray] = {}
-        for i in range(len(li)):
-            eq = rr == lr[i]
-            close = np.flatnonzero((eq.sum(axis=1) >= REGISTERS * (_FLOOR - 0.1)) & (4 * np.minimum(ln[i], rn) >= 3 * np.maximum(ln[i], rn)) & (ri != li[i]) & ~(stray & (ri < li[i])))
-            if band > 0 and len(close):
-                close = close[~eq[close].reshape(-1, BANDS, ROWS).all(axis=2)[:, :band].any(axis=1)]
-            if not len(close):
+        for x, y in zip(i.tolist(), j.tolist(), strict=True):
+            a, b = int(li[x]), int(ri[y])
+            if root(int(lroot[x])) == root(int(rroot[y])):
                 continue
-            more, less = (rr[close] < lr[i]).sum(axis=1), (rr[close] > lr[i]).sum(axis=1)
-            likely = estimate(more, less, np.full(len(close), float(ln[i])), rn[close].astype(float))
-            for j in close[likely >= _FLOOR].tolist():
-                a, b = int(li[i]), int(ri[j])
-                if root(a) == root(b):
-                    continue
-                for k, s in ((a, ls[i]), (b, rs[j])):
-                    if k not in whole:
-                        whole[k] = unpack(s)
-                if similar(whole[a], whole[b]):
-                    parent[root(a)] = root(b)
-                    out.append((a, b))
+            for k, s in ((a, ls[x]), (b, rs[y])):
+                if k not in whole:
+                    whole[k] = unpack(s)
+            if similar(whole[a], whole[b]):
+                parent[root(int(lroot[x]))] = root(int(rroot[y]))
+                out.append((a, b))
     return pa.table({"u": pa.array([a for a, _ in out], pa.int64()), "v": pa.array([b for _, b in out], pa.int64())})
 
 
 def _links(tasks: DataFrame, payload: DataFrame) -> DataFrame:
-    """tasks (task, band, side, stray, node): the links (u, v) of each task's block."""
+    """tasks (task, side, stray, node, root): the links (u, v) of each task's block; nodes of one root are connected already."""
     return cut(tasks.join(payload, "node").groupBy("task").applyInArrow(_compare, "u long, v long"))
 
 
@@ -251,12 +256,10 @@ def find_links(rows: DataFrame, docs: DataFrame) -> tuple[DataFrame, DataFrame]:
     classes = cut(rows.where("n > 0").groupBy("k1", "k2", "n").agg(F.min("doc_id").alias("least_id"), F.min("row_key").alias("row_key"), F.first("bands").alias("bands")))
     classes = classes.withColumn("node", F.monotonically_increasing_id())  # fixed, as what it numbers is checkpointed
     banded = classes.select("node", F.posexplode("bands").alias("band", "b"))
-    buckets = banded.groupBy("b").agg(F.count("*").alias("size"), F.min("node").alias("leader"), F.min("band").alias("band"), F.sum(F.hash("node").cast("long")).alias("sum"), F.bit_xor(F.xxhash64("node")).alias("xor")).where("size > 1")
-    # of buckets with the same members the one of the first band
-    buckets = cut(buckets.groupBy("size", "leader", "sum", "xor").agg(F.min(F.struct("band", "b")).alias("x")).select("size", "leader", "x.band", "x.b"))
-    members = cut(banded.select("node", "b").join(buckets, "b").where(F.col("node") != F.col("leader")))
+    buckets = cut(banded.groupBy("b").agg(F.count("*").alias("size"), F.min("node").alias("leader")).where("size > 1").select("b", "leader"))
+    pairs = cut(banded.join(buckets, "b").where(F.col("node") != F.col("leader")).select("leader", "node").distinct())
 
-    nodes = members.select("node").unionByName(members.select(F.col("leader").alias("node"))).distinct()
+    nodes = pairs.select("node").unionByName(pairs.select(F.col("leader").alias("node"))).distinct()
     wanted = cut(classes.select("node", "k1", "k2", "row_key").join(nodes, "node"))
     keys = wanted.select("row_key").distinct()
     few = wanted.count() <= MAP_SIDE_KEYS
@@ -264,22 +267,23 @@ def find_links(rows: DataFrame, docs: DataFrame) -> tuple[DataFrame, DataFrame]:
     payload = stash(_payload(texts).dropDuplicates(["k1", "k2"]).join(wanted.drop("row_key"), ["k1", "k2"]).select("node", "registers", "elements"), "sets")
 
     # first: members against leaders
-    pairs = cut(members.select("leader", "node").distinct())
-    many = cut(pairs.groupBy("leader").count())
-    tasks = pairs.join(many, "leader").select(F.xxhash64("leader", F.pmod(F.xxhash64("node"), F.ceil(F.col("count") / BLOCK))).alias("task"), "leader", "node")
-    right = tasks.select("task", F.lit(-1).alias("band"), F.lit(1).alias("side"), F.lit(False).alias("stray"), "node")
-    left = tasks.select("task", F.lit(-1).alias("band"), F.lit(0).alias("side"), F.lit(False).alias("stray"), F.col("leader").alias("node")).distinct()
-    first = _links(right.unionByName(left), payload)
-
-    # second: strays against the other members of their buckets
-    linked = first.select(F.col("u").alias("leader"), F.col("v").alias("node"), F.lit(False).alias("stray"))
-    rest = cut(members.where("size > 2").join(linked, ["leader", "node"], "left").withColumn("stray", F.coalesce("stray", F.lit(True))))
-    strays = cut(rest.where("stray").groupBy("b").agg(F.count("*").alias("strays")))
-    rest = rest.join(strays, "b").select("b", "band", "node", "stray", F.ceil(F.col("strays") / BLOCK).alias("lefts"), F.ceil((F.col("size") - 1) / BLOCK).alias("rights"))
+    many = cut(pairs.groupBy("leader").agg(F.count("*").alias("members")))
+    tasks = pairs.join(many, "leader").select(F.xxhash64("leader", F.pmod(F.xxhash64("node"), F.ceil(F.col("members") / BLOCK))).alias("task"), "leader", "node")
+    side = lambda n, stray: [F.lit(n).alias("side"), (F.lit(stray) if isinstance(stray, bool) else F.col(stray)).alias("stray")]
+    left = tasks.select("task", *side(0, False), F.col("leader").alias("node"), F.col("leader").alias("root")).distinct()
+    first = _links(left.unionByName(tasks.select("task", *side(1, False), "node", F.col("node").alias("root"))), payload)
+
+    # second: strays against the other members of their leader; what links so far connect needs no comparison
+    roots = cut(components(first))
+    of_leader = roots.select(F.col("node").alias("leader"), F.col("root").alias("leader_root"))
+    rest = pairs.join(roots, "node", "left").join(of_leader, "leader", "left").withColumn("root", F.coalesce("root", "node"))
+    rest = cut(rest.withColumn("stray", F.col("root") != F.coalesce("leader_root", "leader")).drop("leader_root"))
+    strays = cut(rest.groupBy("leader").agg(F.count("*").alias("members"), F.count_if("stray").alias("strays")).where("strays > 0 AND members > 1"))
+    rest = rest.join(strays, "leader").withColumns({"lefts": F.ceil(F.col("strays") / BLOCK), "rights": F.ceil(F.col("members") / BLOCK)})
     each = lambda n: F.explode(F.sequence(F.lit(0).cast("long"), F.col(n) - 1))
-    left = rest.where("stray").select("*", F.pmod(F.xxhash64("node"), F.col("lefts")).alias("l"), each("rights").alias("r")).withColumn("side", F.lit(0))
-    right = rest.select("*", each("lefts").alias("l"), F.pmod(F.xxhash64("node"), F.col("rights")).alias("r")).withColumn("side", F.lit(1))
-    tasks = left.unionByName(right).select(F.xxhash64("b", "l", "r").alias("task"), "band", "side", "stray", "node")
+    left = rest.where("stray").select("*", F.pmod(F.xxhash64("node"), F.col("lefts")).alias("l"), each("rights").alias("r")).select("leader", "l", "r", *side(0, "stray"), "node", "root")
+    right = rest.select("*", each("lefts").alias("l"), F.pmod(F.xxhash64("node"), F.col("rights")).alias("r")).select("leader", "l", "r", *side(1, "stray"), "node", "root")
+    tasks = left.unionByName(right).select(F.xxhash64("leader", "l", "r").alias("task"), "side", "stray", "node", "root")
     return classes, first.unionByName(_links(tasks, payload))
 
 
@@ -312,3 +316,21 @@ def survivors(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
     first = cut(first.select("group", F.col("first.row_key").alias("first")))
     rows = found.join(first, "group")
     return rows.where("row_key <> first").select("row_key").distinct(), rows.where("row_key = first").groupBy("row_key").count().where("count > 1").select("row_key")
+
+
+SQL = r"""
+WITH RECURSIVE w AS (
+  SELECT row_number() OVER () AS rid, doc_id,
+         regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS w
+  FROM documents),
+s AS (SELECT DISTINCT rid, sh FROM (
+  SELECT rid, unnest(CASE WHEN len(w) >= 5 THEN list_transform(range(1, len(w) - 3), lambda i: array_to_string(w[i:i + 4], ' ')) WHEN len(w) > 0 THEN [array_to_string(w, ' ')] ELSE [] END) AS sh FROM w)),
+n AS (SELECT rid, count(*) AS n FROM s GROUP BY rid),
+p AS (SELECT a.rid AS x, b.rid AS y, count(*) AS i FROM s a JOIN s b ON a.sh = b.sh AND a.rid < b.rid GROUP BY 1, 2),
+e AS (SELECT x, y FROM p JOIN n a ON a.rid = x JOIN n b ON b.rid = y WHERE 100 * i >= 75 * (a.n + b.n - i)),
+links AS (SELECT x, y FROM e UNION ALL SELECT y, x FROM e),
+reach(rid, other) AS (SELECT rid, rid FROM w UNION SELECT r.rid, l.y FROM reach r JOIN links l ON r.other = l.x),
+c AS (SELECT r.rid, min(o.doc_id) AS component_id FROM reach r JOIN w o ON o.rid = r.other GROUP BY r.rid)
+SELECT w.doc_id, CAST(coalesce(n, 0) AS BIGINT) AS n_shingles, component_id, coalesce(w.doc_id = component_id, false) AS kept
+FROM w LEFT JOIN n ON w.rid = n.rid JOIN c ON w.rid = c.rid
+"""
