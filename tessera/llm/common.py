@@ -19,7 +19,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 #: Bytes of text that one numpy block holds at most (a longer text is a block of its own).
-BLOCK_BYTES = 1 << 21
+BLOCK_BYTES = 1 << 20
 
 #: White space of the contracts: space and the controls 0x09 to 0x0D.
 SPACE_CLASS = r"[\x20\x09-\x0D]"
@@ -44,12 +44,22 @@ _BASE = 0x5851F42D4C957F2D
 _INVERSE = pow(_BASE, -1, 1 << 64)
 
 
+_BATCH_BYTES = "spark.sql.execution.arrow.maxBytesPerBatch"
+#: Bytes of one Arrow batch, where the session doesn't say.
+ARROW_BYTES = 8 << 20
+
+
 def ship(spark: SparkSession) -> None:
     """Let Python workers on this machine import the package, wherever the driver's Python was started."""
     root = str(Path(__file__).resolve().parents[2])
     env = spark.sparkContext.environment
     if root not in env.get("PYTHONPATH", "").split(":"):
         env["PYTHONPATH"] = ":".join(x for x in (root, env.get("PYTHONPATH")) if x)
+    # bounded memory whatever the texts' lengths: Arrow batches of so many bytes, and freed memory goes back to the system
+    env.setdefault("ARROW_DEFAULT_MEMORY_POOL", "system")
+    env.setdefault("MALLOC_MMAP_THRESHOLD_", str(1 << 20))
+    if spark.conf.get(_BATCH_BYTES, None) is None:
+        spark.conf.set(_BATCH_BYTES, str(ARROW_BYTES))
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:

@@ -33,7 +33,6 @@ from collections.abc import Iterator, Sequence
 from itertools import chain
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -45,7 +44,7 @@ CHUNK = 16384
 #: How far back from a chunk's end a unit's start is looked for; more than any piece is long.
 REACH = 256
 #: Units that a worker remembers.
-MEMO = 200_000
+MEMO = 100_000
 
 MARK = "▁"
 _UNIT = re.compile(f"{MARK}*[^{MARK}]+|{MARK}+")
@@ -292,13 +291,13 @@ def _states(chunks: DataFrame, model_path: str) -> DataFrame:
                 rows.append((r["rid"], r["chunk"], m.shape[0], m.ravel().tolist()))
             yield _batch(rows, "rid long, chunk int, height int, weights array<double>")
 
-    def combine(rows: pd.DataFrame) -> pd.DataFrame:
-        rows = rows.sort_values("chunk")
-        found = scan([np.asarray(w, dtype=float).reshape(h, -1) for h, w in zip(rows["height"], rows["weights"], strict=True)])
-        return pd.DataFrame({"rid": rows["rid"], "chunk": rows["chunk"], "entry": [x for x, _ in found], "exit": [y for _, y in found]})
+    def combine(rows: pa.Table) -> pa.Table:
+        rows = rows.sort_by("chunk")
+        found = scan([np.asarray(w, dtype=float).reshape(h, -1) for h, w in zip(rows["height"].to_pylist(), rows["weights"].to_pylist(), strict=True)])
+        return pa.table({"rid": rows["rid"], "chunk": rows["chunk"], "entry": pa.array([x for x, _ in found], pa.int32()), "exit": pa.array([y for _, y in found], pa.int32())})
 
     matrices = chunks.mapInArrow(transfer, "rid long, chunk int, height int, weights array<double>")
-    return matrices.groupBy("rid").applyInPandas(combine, "rid long, chunk int, entry int, exit int")
+    return matrices.groupBy("rid").applyInArrow(combine, "rid long, chunk int, entry int, exit int")
 
 
 def _encoded(docs: DataFrame, model_path: str, chunk: int, finish, ddl: str) -> tuple[DataFrame, DataFrame]:
