@@ -9,8 +9,8 @@ over all state paths, exactly, by the scaled forward recursion.
 
 Training, on the documents that aren't held out (crc32 of the id mod 7 is not 2):
 
-- counts of all words: summed in each task, then by word in a shuffle. The HEAD most frequent, a bounded
-  table, travel to the tasks; other words of a text meet their counts in a join.
+- counts of all words: summed in each task, then by word in a shuffle. The most frequent, HEAD at most,
+  travel to the tasks; other words of a text meet their counts in a join.
 - Baum-Welch: in each of ITERATIONS rounds every task runs forward and backward over its
   texts and gives expected counts; they are summed across partitions (32 KB a row, summed in two
   steps), and the driver takes the new parameters from them. They are SYMBOLS x STATES numbers, whatever the input's size.
@@ -183,13 +183,13 @@ def starting_model(sample: list[np.ndarray], unigram: np.ndarray, states: int) -
     for _ in range(12):
         emit = np.stack([np.bincount(symbols, weights=share[owner, j], minlength=len(unigram)) for j in range(states)]) + PRIOR * unigram
         emit /= emit.sum(axis=1, keepdims=True)
-        logs = np.stack([np.bincount(owner, weights=np.log(emit[j])[symbols], minlength=len(sample)) for j in range(states)], axis=1) + np.log(share.mean(axis=0) + 1e-9)
+        logs = np.stack([np.bincount(owner, weights=np.log(np.maximum(emit[j], 1e-300))[symbols], minlength=len(sample)) for j in range(states)], axis=1) + np.log(share.mean(axis=0) + 1e-9)
         # early rounds are kept soft, so that no state takes all
         logs = np.exp((logs - logs.max(axis=1, keepdims=True)) / np.maximum(1, np.bincount(owner)[:, None] / 50))
         share = logs / logs.sum(axis=1, keepdims=True)
     m = Model(share.mean(axis=0), m.move, emit)
     for _ in range(SAMPLE_ROUNDS):
-        total = [sum(x) for x in zip(*(b.expect(m)[:3] for b in batches_of(iter(sample))), strict=True)]
+        total = [sum(x) for x in zip(*(b.expect(m)[:3] for b in batches_of(iter(sample), 100_000)), strict=True)]
         m = m.update(*total, unigram)
     return m
 
@@ -245,7 +245,7 @@ def _encode(docs: DataFrame, head: np.ndarray, counts: np.ndarray, rank: np.ndar
                 symbol = np.where(own, rank[at] if len(head) else 0, symbols + cls)
                 c = np.where(known, logs[at] if len(head) else 0.0, 0.0)
                 owner = np.repeat(np.arange(n), block.counts())
-                sums = [np.bincount(owner, weights=x, minlength=n) for x in (known, c, np.where(own, 0.0, c - log_t[cls]))]
+                sums = [np.bincount(owner, weights=x, minlength=n).astype(float) for x in (known, c, np.where(own, 0.0, c - log_t[cls]))]
                 tokens = np.insert(symbol, block.first[1:], symbols + CLASSES).astype(np.uint16)
                 cuts = block.first + np.arange(n + 1)
                 rare, per = h[~known].copy(), np.concatenate([[0], np.cumsum(np.bincount(owner[~known], minlength=n))])
@@ -280,8 +280,16 @@ def lm_score(docs: DataFrame, states: int = STATES, iterations: int = ITERATIONS
     n_train = train.count()
     total = counts.agg(F.coalesce(F.sum("c"), F.lit(0)).alias("n"), F.count("*").alias("v")).first()
     n, v = total.n + n_train, total.v + (n_train > 0)
-    top = counts.orderBy(F.desc("c"), "h").limit(HEAD).select("h", "cls", "c").collect()  # HEAD rows at most
-    head, cls, c = (np.array([r[i] for r in top], dtype=np.int64) for i in range(3))
+    # the head: all words above a frequency bin, as many bins as keep it within HEAD words; nothing is sorted
+    level = F.floor(F.log2("c") * 16).cast("int")
+    sizes, least, held = {r.level: r.n for r in counts.groupBy(level.alias("level")).agg(F.count("*").alias("n")).collect()}, 1 << 30, 0  # about 1000 bins at most
+    for k in sorted(sizes, reverse=True):
+        if (held := held + sizes[k]) > HEAD:
+            break
+        least = k
+    top = counts.where(level >= least).select("h", "cls", "c").toArrow()
+    top = top.take(np.lexsort((top["h"].to_numpy(), -top["c"].to_numpy())))
+    head, cls, c = (top[x].to_numpy().astype(np.int64) for x in ("h", "cls", "c"))
     # T of each class: over all words that have no symbol of their own
     sums = {r.cls: r.t for r in counts.groupBy("cls").agg(F.sum(F.col("c") + 1).alias("t")).collect()}
     t = np.array([sums.get(i, 0) for i in range(CLASSES)], dtype=float) - np.bincount(cls[:SYMBOLS], weights=c[:SYMBOLS] + 1.0, minlength=CLASSES) + 1.0
@@ -292,7 +300,8 @@ def lm_score(docs: DataFrame, states: int = STATES, iterations: int = ITERATIONS
     unigram = np.concatenate([c[:SYMBOLS] + 1.0, np.zeros(max(0, SYMBOLS - len(c))), t, [n_train + 1.0]])
     unigram /= unigram.sum()
     training = encoded.where(~F.col("held_out"))
-    sample = training.where(F.col("n_tokens") <= SAMPLE_TOKENS).orderBy(F.xxhash64("doc_id"), "rid").limit(SAMPLE).select("symbols").collect()
+    few = F.pmod(F.xxhash64("doc_id"), F.lit(1 << 32)) < int(min(1.0, 4 * SAMPLE / max(n_train, 1)) * (1 << 32))  # so that tasks send few rows
+    sample = training.where((F.col("n_tokens") <= SAMPLE_TOKENS) & few).orderBy(F.xxhash64("doc_id"), "rid").limit(SAMPLE).select("symbols").collect()
     m = starting_model([np.frombuffer(r.symbols, dtype=np.uint16).astype(np.int64) for r in sample], unigram, states)
     for _ in range(iterations):
         m = m.update(*_expected(training, m)[:3], unigram)
