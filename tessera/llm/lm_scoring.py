@@ -3,17 +3,20 @@
 A text is its words (white-space bounded, A-Z lower-cased) and one end token. A
 latent state goes from token to token; each state emits symbols: the SYMBOLS
 most frequent training words, the end, and for all other words one of CLASSES classes by their
-last two bytes. A class's word then has the probability (c + 1) / T, c its training count and T the
-sum of (c + 1) over the class, plus 1. So every token has a probability, and a text's is the sum
-over all state paths, exactly, by the scaled forward recursion.
+last two bytes. Within its class a word has in state j the probability (N_j(w) + p_j) / (N_j + p_j (V + 1)):
+N_j(w) its expected count in the state, N_j that of the class, p_j the state's share of the class, V the class's
+words. Unknown words have N_j(w) = 0; all that is add-one smoothing, told apart by state. So every token has a probability, and a
+text's is the sum over all state paths, exactly, by the scaled forward recursion.
 
 Training, on the documents that aren't held out (crc32 of the id mod 7 is not 2):
 
-- counts of all words: summed in each task, then by word in a shuffle. The most frequent, HEAD at most,
-  travel to the tasks; other words of a text meet their counts in a join.
+- counts of all words: summed in each task, then by word in a shuffle. The most frequent, SYMBOLS (and HEAD) at most,
+  travel to the tasks.
 - Baum-Welch: in each of ITERATIONS rounds every task runs forward and backward over its
-  texts and gives expected counts; they are summed across partitions (32 KB a row, summed in two
-  steps), and the driver takes the new parameters from them. They are SYMBOLS x STATES numbers, whatever the input's size.
+  texts and gives expected counts. Those of symbols (SYMBOLS x STATES numbers, 32 KB a row, summed in two
+  steps) go to the driver, which takes the new parameters from them. Those of all other words are a table of a row
+  a word, summed by word; it grows with the corpus. From the second round on, and for the scores, it is joined with
+  the words of each block of texts (of BLOCK_TOKENS or one longer text).
 - starting values: a mixture of unigrams, then Baum-Welch, on at most SAMPLE training texts of up to
   SAMPLE_TOKENS tokens (those of the smallest hashes), on the driver. All training texts then decide the parameters.
 
@@ -36,7 +39,7 @@ from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tessera.llm.common import NONSPACE, Block, blocks, stash, table
+from tessera.llm.common import NONSPACE, Block, blocks, remove_path, stash, table
 
 STATES = 8
 SYMBOLS = 40_000
@@ -49,6 +52,8 @@ PRIOR = 200.0
 BATCH_TOKENS = 600_000
 #: Tokens that a task sums before it gives their counts.
 COUNT_TOKENS = 3_000_000
+#: Tokens of the texts that meet the table of words together.
+BLOCK_TOKENS = 2_000_000
 _PART = 1024
 
 
@@ -104,7 +109,8 @@ class Model:
 class Batch:
     """Sequences laid out by time: place t of all texts that are that long, the longest texts first."""
 
-    def __init__(self, texts: list[np.ndarray]):
+    def __init__(self, texts: list[np.ndarray], refs: list[np.ndarray] | None = None, factors: np.ndarray | None = None):
+        """refs: for each token the row of its word (0: a symbol of its own); factors: what each row's word multiplies the symbol's emissions with."""
         n = np.array([len(x) for x in texts])
         self.order = np.argsort(-n, kind="stable")
         n = n[self.order]
@@ -116,11 +122,23 @@ class Batch:
         self.symbols = np.empty(n.sum(), dtype=np.int64)
         if len(n):
             self.symbols[self.at[t] + rank] = np.concatenate([texts[i] for i in self.order])
+        self.refs, self.factors = None, factors
+        if refs is not None:
+            self.refs = np.zeros(n.sum(), dtype=np.int64)
+            if len(n):
+                self.refs[self.at[t] + rank] = np.concatenate([refs[i] for i in self.order])
+
+    def emissions(self, m: Model) -> np.ndarray:
+        e = m.emit.T[self.symbols]
+        if self.factors is not None:
+            some = np.flatnonzero(self.refs)
+            e[some] *= self.factors[self.refs[some]]
+        return e
 
     def forward(self, m: Model, keep: bool) -> tuple[np.ndarray, np.ndarray | None, np.ndarray | None]:
         """(log probability of each text, scaled forward vectors, scales)."""
         logs = np.zeros(len(self.order))
-        e = m.emit.T[self.symbols]
+        e = self.emissions(m)
         alpha = np.empty_like(e) if keep else None
         scale = np.empty(len(e)) if keep else None
         a = None
@@ -136,11 +154,11 @@ class Batch:
         out[self.order] = logs
         return out, alpha, scale
 
-    def expect(self, m: Model) -> tuple[np.ndarray, np.ndarray, np.ndarray, float]:
-        """Expected counts: start, moves, emissions; and the log probability of all texts."""
+    def expect(self, m: Model, words: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray, np.ndarray, float]:
+        """Expected counts: start, moves, emissions; and the log probability of all texts. The counts of each row's word are added to words."""
         states = len(m.start)
         logs, alpha, scale = self.forward(m, True)
-        e = m.emit.T[self.symbols] / scale[:, None]
+        e = self.emissions(m) / scale[:, None]
         moves, start = np.zeros((states, states)), np.zeros(states)
         beta = np.empty((0, states))
         for t in range(len(self.active) - 1, -1, -1):
@@ -156,6 +174,11 @@ class Batch:
             beta = now
         start = alpha[: self.active[0]].sum(axis=0) if len(self.active) else start
         emit = np.stack([np.bincount(self.symbols, weights=alpha[:, j], minlength=m.emit.shape[1]) for j in range(states)])
+        if words is not None:
+            some = np.flatnonzero(self.refs)
+            at = self.refs[some]
+            for j in range(states):
+                words[:, j] += np.bincount(at, weights=alpha[some, j], minlength=len(words))
         return start, moves * m.move, emit, float(logs.sum())
 
 
@@ -194,21 +217,135 @@ def starting_model(sample: list[np.ndarray], unigram: np.ndarray, states: int) -
     return m
 
 
-def _expected(encoded: DataFrame, m: Model) -> tuple[np.ndarray, np.ndarray, np.ndarray, float]:
-    """Baum-Welch counts over all rows of (symbols), summed across partitions."""
-    sent = encoded.sparkSession.sparkContext.broadcast(m)
+class Within:
+    """Probabilities of words within their classes, by state: from the classes' expected counts (CLASSES, states) and T, the sum of (c + 1) over a class, plus 1."""
+
+    def __init__(self, counts: np.ndarray, t: np.ndarray):
+        states, total = counts.shape[1], counts.sum(axis=1, keepdims=True)
+        self.share = (counts + 1.0 / states) / (total + 1.0)
+        self.total = counts + self.share * np.maximum(t[:, None] - total, 1.0)
+
+    def factors(self, cls: np.ndarray, n: np.ndarray) -> np.ndarray:
+        """Of words of these classes with these expected counts (0 for unknown ones)."""
+        return (n + self.share[cls]) / self.total[cls]
+
+
+class Texts:
+    """Encoded texts and the words in them that have no symbol of their own (as `own` words have): h and cls are sorted by hash."""
+
+    def __init__(self, symbols: list[bytes], rare: list[np.ndarray], own: int):
+        self.texts = [np.frombuffer(x, dtype=np.uint16) for x in symbols]
+        self.h, at = np.unique(np.concatenate([np.empty(0, dtype=np.int64), *rare]), return_inverse=True)
+        flat = np.concatenate([np.empty(0, dtype=np.uint16), *self.texts])
+        some = (flat >= own) & (flat < own + CLASSES)
+        self.cls = np.zeros(len(self.h), dtype=np.int64)
+        self.cls[at] = flat[some].astype(np.int64) - own
+        refs = np.zeros(len(flat), dtype=np.int64)
+        refs[some] = at + 1
+        self.lengths = np.array([len(x) for x in self.texts], dtype=np.int64)
+        self.refs = np.split(refs, np.cumsum(self.lengths)[:-1])
+        self.c = np.bincount(at, minlength=len(self.h))
+
+    def find(self, table: pa.Table, states: int) -> tuple[np.ndarray, np.ndarray]:
+        """(training count, expected counts by state) of each word, from rows (h, c, n0, n1, ...)."""
+        c, n = np.zeros(len(self.h), dtype=np.int64), np.zeros((len(self.h), states))
+        at = np.searchsorted(self.h, table["h"].to_numpy())
+        c[at] = table["c"].to_numpy()
+        for j in range(states):
+            n[at, j] = table[f"n{j}"].to_numpy()
+        return c, n
+
+    def batches(self, factors: np.ndarray | None) -> Iterator[Batch]:
+        factors = None if factors is None else np.concatenate([np.ones((1, factors.shape[1])), factors])
+        a, n = 0, 0
+        for b, k in enumerate(self.lengths.tolist(), 1):
+            n += k
+            if n >= BATCH_TOKENS or b == len(self.texts):
+                yield Batch(self.texts[a:b], self.refs[a:b], factors)
+                a, n = b, 0
+
+
+def _lists(column: pa.ChunkedArray | pa.Array) -> list[np.ndarray]:
+    """Rows of a list column as arrays."""
+    out = []
+    for x in column.chunks if isinstance(column, pa.ChunkedArray) else [column]:
+        o = x.offsets.to_numpy()
+        out += np.split(x.values.to_numpy(), o[1:-1]) if len(x) and o[0] == 0 and o[-1] == len(x.values) else [x.values.to_numpy()[a:b] for a, b in zip(o[:-1], o[1:], strict=True)]
+    return out
+
+
+def _runs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.Table]:
+    """Rows of one block that lie behind each other."""
+    held, last = [], None
+    for batch in batches:
+        bid = batch.column("bid").to_numpy()
+        cuts = [0, *(np.flatnonzero(np.diff(bid)) + 1).tolist(), len(bid)]
+        for a, b in zip(cuts[:-1], cuts[1:], strict=True):
+            if b > a:
+                if held and bid[a] != last:
+                    yield pa.Table.from_batches(held)
+                    held = []
+                held.append(batch.slice(a, b - a))
+                last = bid[a]
+    if held:
+        yield pa.Table.from_batches(held)
+
+
+def _with_words(encoded: DataFrame, words: DataFrame, names: list[str]):
+    """Encoded texts, cogrouped by block with the rows of the table of words that they need."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for t in _runs(batches):
+            h = np.unique(np.concatenate(_lists(t["rare"])))
+            yield pa.RecordBatch.from_arrays([pa.array(np.full(len(h), t["bid"][0].as_py(), dtype=np.int64)), pa.array(h)], ["bid", "h"])
+
+    need = encoded.select("bid", "rare").mapInArrow(run, "bid long, h long").join(words, "h")
+    return encoded.select("bid", *names).groupBy("bid").cogroup(need.groupBy("bid"))
+
+
+def _expected(encoded: DataFrame, m: Model, words: DataFrame | None = None, within: Within | None = None) -> tuple[np.ndarray, np.ndarray, np.ndarray, float, DataFrame]:
+    """Baum-Welch counts over all rows of (bid, symbols, rare), summed across partitions; and the table of words without a symbol: h, c, n0, n1, ...
+
+    Without words, all words of a class are emitted alike in each state."""
+    spark = encoded.sparkSession
+    sent = spark.sparkContext.broadcast((m, within))
     states, size = m.emit.shape
     parts = -(-size // _PART)
+    of_word = [f"n{j}" for j in range(states)]
+    ddl = ", ".join(["part int, sub int, v binary, h long, c long", *(f"{x} float" for x in of_word)])
+
+    def dense(total: tuple, sub: int) -> pa.Table:
+        small = np.concatenate([total[0], total[1].ravel(), [total[3]]])
+        values = [small.tobytes(), *(total[2][:, i * _PART : (i + 1) * _PART].astype(np.float32).tobytes() for i in range(parts))]
+        return pa.table({"part": pa.array(np.arange(-1, parts, dtype=np.int32)), "sub": pa.array(np.full(parts + 1, sub % 32, dtype=np.int32)), "v": pa.array(values, pa.binary()), "h": pa.nulls(parts + 1, pa.int64()), "c": pa.nulls(parts + 1, pa.int64()), **{x: pa.nulls(parts + 1, pa.float32()) for x in of_word}})
+
+    def sparse(x: Texts, n: np.ndarray) -> pa.Table:
+        k = len(x.h)
+        return pa.table({"part": pa.nulls(k, pa.int32()), "sub": pa.nulls(k, pa.int32()), "v": pa.nulls(k, pa.binary()), "h": pa.array(x.h), "c": pa.array(x.c.astype(np.int64)), **{c: pa.array(n[1:, j].astype(np.float32)) for j, c in enumerate(of_word)}})
+
+    def expect(t: pa.Table, table: pa.Table | None) -> tuple[tuple, pa.Table]:
+        m, within = sent.value
+        x, total = Texts(t["symbols"].to_pylist(), _lists(t["rare"]), m.emit.shape[1] - CLASSES - 1), None
+        n = np.zeros((len(x.h) + 1, states))
+        for b in x.batches(None if table is None else within.factors(x.cls, x.find(table, states)[1])):
+            got = b.expect(m, n)
+            total = got if total is None else tuple(p + q for p, q in zip(total, got, strict=True))
+        return total, sparse(x, n)
 
-    def run(rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        m, total = sent.value, None
-        for b in batches_of(np.frombuffer(x.as_py(), dtype=np.uint16) for r in rows for x in r.column(0)):
-            got = b.expect(m)
-            total = got if total is None else tuple(x + y for x, y in zip(total, got, strict=True))
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total = None
+        for t in _runs(batches):
+            got, rows = expect(t, None)
+            yield from rows.to_batches()
+            total = got if total is None else tuple(p + q for p, q in zip(total, got, strict=True))
         if total is not None:
-            small = np.concatenate([total[0], total[1].ravel(), [total[3]]])
-            values = [small.tobytes(), *(total[2][:, i * _PART : (i + 1) * _PART].astype(np.float32).tobytes() for i in range(parts))]
-            yield pa.RecordBatch.from_arrays([pa.array(np.arange(-1, parts, dtype=np.int32)), pa.array(np.full(parts + 1, TaskContext.get().partitionId() % 32, dtype=np.int32)), pa.array(values, pa.binary())], ["part", "sub", "v"])
+            yield from dense(total, TaskContext.get().partitionId()).to_batches()
+
+    def meet(t: pa.Table, table: pa.Table) -> pa.Table:
+        if not t.num_rows:
+            return dense((np.zeros(states), np.zeros((states, states)), np.zeros((states, size)), 0.0), 0).slice(0, 0)
+        total, rows = expect(t, table)
+        return pa.concat_tables([dense(total, t["bid"][0].as_py()), rows])
 
     def add(t: pa.Table) -> pa.Table:
         part = t["part"][0].as_py()
@@ -216,60 +353,74 @@ def _expected(encoded: DataFrame, m: Model) -> tuple[np.ndarray, np.ndarray, np.
         total = sum(np.frombuffer(x, dtype=kind).astype(np.float64) for x in t["v"].to_pylist())
         return pa.table({"part": pa.array([part], pa.int32()), "v": pa.array([total.astype(kind).tobytes()], pa.binary())})
 
-    sums = encoded.select("symbols").mapInArrow(run, "part int, sub int, v binary").groupBy("part", "sub").applyInArrow(add, "part int, v binary").groupBy("part").applyInArrow(add, "part int, v binary")
-    got = {r.part: r.v for r in sums.collect()}  # the model's size
+    raw = encoded.select("bid", "symbols", "rare").mapInArrow(run, ddl) if words is None else _with_words(encoded, words, ["symbols", "rare"]).applyInArrow(meet, ddl)
+    raw = stash(raw, "expected")
+    sums = raw.where("part IS NOT NULL").select("part", "sub", "v").groupBy("part", "sub").applyInArrow(add, "part int, v binary").groupBy("part").applyInArrow(add, "part int, v binary")
+    got = {r.part: r.v for r in sums.collect()}  # the size of the dense part
+    table = stash(raw.where("h IS NOT NULL").groupBy("h").agg(F.sum("c").alias("c"), *(F.sum(x).cast("float").alias(x) for x in of_word)), "words")
+    for path in {x.rsplit("/", 1)[0] for x in raw.inputFiles()}:
+        remove_path(spark, path)
     if not got:
-        return np.zeros(states), np.zeros((states, states)), np.zeros((states, size)), 0.0
+        return np.zeros(states), np.zeros((states, states)), np.zeros((states, size)), 0.0, table
     small = np.frombuffer(got[-1])
     emit = np.concatenate([np.frombuffer(got[i], dtype=np.float32).reshape(states, -1) for i in range(parts)], axis=1).astype(float)
-    return small[:states], small[states:-1].reshape(states, states), emit, float(small[-1])
+    return small[:states], small[states:-1].reshape(states, states), emit, float(small[-1]), table
 
 
-_ENCODED = "rid long, doc_id long, held_out boolean, n_tokens long, known long, base double, words double, symbols binary, rare array<long>"
+_ENCODED = "rid long, doc_id long, held_out boolean, n_tokens long, known long, base double, bid long, symbols binary, rare array<long>"
 
 
-def _encode(docs: DataFrame, head: np.ndarray, counts: np.ndarray, rank: np.ndarray, log_t: np.ndarray, end_count: int) -> DataFrame:
+def _encode(docs: DataFrame, head: np.ndarray, counts: np.ndarray, rank: np.ndarray, end_count: int) -> DataFrame:
     """Texts as symbols, with what the head table tells of their words' counts; words that aren't in it are listed by hash."""
-    sent = docs.sparkSession.sparkContext.broadcast((head, np.log10(counts + 1.0), rank, log_t))
+    sent = docs.sparkSession.sparkContext.broadcast((head, np.log10(counts + 1.0), rank))
     symbols = SYMBOLS
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        head, logs, rank, log_t = sent.value
+        head, logs, rank = sent.value
+        bid, size = TaskContext.get().partitionId() << 32, 0
         for batch in batches:
             for a, b, block in blocks(batch.column(3), NONSPACE):
                 n = b - a
                 h, cls = block.word_hashes().view(np.int64), classes_of(block)
                 at = np.minimum(np.searchsorted(head, h), max(len(head) - 1, 0))
-                known = head[at] == h if len(head) else np.zeros(len(h), dtype=bool)
-                own = known & (rank[at] < symbols) if len(head) else known
+                own = head[at] == h if len(head) else np.zeros(len(h), dtype=bool)
                 symbol = np.where(own, rank[at] if len(head) else 0, symbols + cls)
-                c = np.where(known, logs[at] if len(head) else 0.0, 0.0)
+                c = np.where(own, logs[at] if len(head) else 0.0, 0.0)
                 owner = np.repeat(np.arange(n), block.counts())
-                sums = [np.bincount(owner, weights=x, minlength=n).astype(float) for x in (known, c, np.where(own, 0.0, c - log_t[cls]))]
+                sums = [np.bincount(owner, weights=x, minlength=n).astype(float) for x in (own, c)]
                 tokens = np.insert(symbol, block.first[1:], symbols + CLASSES).astype(np.uint16)
                 cuts = block.first + np.arange(n + 1)
-                rare, per = h[~known].copy(), np.concatenate([[0], np.cumsum(np.bincount(owner[~known], minlength=n))])
+                rare, per = h[~own].copy(), np.concatenate([[0], np.cumsum(np.bincount(owner[~own], minlength=n))])
                 lists = pa.ListArray.from_arrays(pa.array(per.astype(np.int32)), pa.array(rare))
                 texts = pa.array([tokens[x:y].tobytes() for x, y in zip(cuts[:-1].tolist(), cuts[1:].tolist(), strict=True)], pa.binary())
-                yield pa.RecordBatch.from_arrays([*(batch.column(i).slice(a, n) for i in range(3)), pa.array(block.counts().astype(np.int64) + 1), pa.array(sums[0].astype(np.int64) + (end_count > 0)), pa.array(sums[1] + math.log10(end_count + 1)), pa.array(sums[2]), texts, lists], [x.split()[0] for x in _ENCODED.split(", ")])
+                if size and size + len(tokens) > BLOCK_TOKENS:
+                    bid, size = bid + 1, 0
+                size += len(tokens)
+                yield pa.RecordBatch.from_arrays([*(batch.column(i).slice(a, n) for i in range(3)), pa.array(block.counts().astype(np.int64) + 1), pa.array(sums[0].astype(np.int64) + (end_count > 0)), pa.array(sums[1] + math.log10(end_count + 1)), pa.array(np.full(n, bid, dtype=np.int64)), texts, lists], [x.split()[0] for x in _ENCODED.split(", ")])
 
     return docs.mapInArrow(run, _ENCODED)
 
 
-def _forward(encoded: DataFrame, m: Model) -> DataFrame:
-    """(rid, doc_id, held_out, n_tokens, known, base, score): score is the log10 probability but for the words the head table lacks."""
-    sent = encoded.sparkSession.sparkContext.broadcast(m)
+def _forward(encoded: DataFrame, m: Model, words: DataFrame, within: Within) -> DataFrame:
+    """(rid, doc_id, held_out, n_tokens, known, base, score): score is the log10 probability."""
+    sent = encoded.sparkSession.sparkContext.broadcast((m, within))
     names = ["rid", "doc_id", "held_out", "n_tokens", "known", "base"]
+    states = len(m.start)
 
-    def run(rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        m = sent.value
-        for r in rows:
-            texts = [np.frombuffer(x.as_py(), dtype=np.uint16) for x in r.column("symbols")]
-            logs = [b.forward(m, False)[0] for b in batches_of(iter(texts))]
-            score = (np.concatenate(logs) if logs else np.empty(0)) / math.log(10) + r.column("words").to_numpy()
-            yield pa.RecordBatch.from_arrays([*(r.column(c) for c in names), pa.array(score)], [*names, "score"])
+    def run(t: pa.Table, table: pa.Table) -> pa.Table:
+        if not t.num_rows:
+            return t.select(names).append_column("score", pa.array([], pa.float64()))
+        m, within = sent.value
+        x = Texts(t["symbols"].to_pylist(), _lists(t["rare"]), m.emit.shape[1] - CLASSES - 1)
+        c, n = x.find(table, states)
+        score = np.concatenate([b.forward(m, False)[0] for b in x.batches(within.factors(x.cls, n))]) / math.log(10)
+        owner, refs = np.repeat(np.arange(len(x.texts)), x.lengths), np.concatenate(x.refs)
+        c = np.concatenate([[0], c])[refs]
+        more, logs = (np.bincount(owner, weights=v, minlength=len(x.texts)) for v in (c > 0, np.log10(c + 1.0)))
+        t = t.select(names).set_column(4, "known", pa.array(t["known"].to_numpy() + more.astype(np.int64))).set_column(5, "base", pa.array(t["base"].to_numpy() + logs))
+        return t.append_column("score", pa.array(score))
 
-    return encoded.select(*names, "words", "symbols").mapInArrow(run, "rid long, doc_id long, held_out boolean, n_tokens long, known long, base double, score double")
+    return _with_words(encoded, words, [*names, "symbols", "rare"]).applyInArrow(run, "rid long, doc_id long, held_out boolean, n_tokens long, known long, base double, score double")
 
 
 def lm_score(docs: DataFrame, states: int = STATES, iterations: int = ITERATIONS) -> DataFrame:
@@ -293,9 +444,10 @@ def lm_score(docs: DataFrame, states: int = STATES, iterations: int = ITERATIONS
     # T of each class: over all words that have no symbol of their own
     sums = {r.cls: r.t for r in counts.groupBy("cls").agg(F.sum(F.col("c") + 1).alias("t")).collect()}
     t = np.array([sums.get(i, 0) for i in range(CLASSES)], dtype=float) - np.bincount(cls[:SYMBOLS], weights=c[:SYMBOLS] + 1.0, minlength=CLASSES) + 1.0
+    head, c = head[:SYMBOLS], c[:SYMBOLS]
     order = np.argsort(head, kind="stable")
     with_id = docs.select(F.monotonically_increasing_id().alias("rid"), "doc_id", "held_out", "text")
-    encoded = stash(_encode(with_id, head[order], c[order], order, np.log10(t), n_train), "symbols")
+    encoded = stash(_encode(with_id, head[order], c[order], order, n_train), "symbols")
 
     unigram = np.concatenate([c[:SYMBOLS] + 1.0, np.zeros(max(0, SYMBOLS - len(c))), t, [n_train + 1.0]])
     unigram /= unigram.sum()
@@ -303,14 +455,13 @@ def lm_score(docs: DataFrame, states: int = STATES, iterations: int = ITERATIONS
     few = F.pmod(F.xxhash64("doc_id"), F.lit(1 << 32)) < int(min(1.0, 4 * SAMPLE / max(n_train, 1)) * (1 << 32))  # so that tasks send few rows
     sample = training.where((F.col("n_tokens") <= SAMPLE_TOKENS) & few).orderBy(F.xxhash64("doc_id"), "rid").limit(SAMPLE).select("symbols").collect()
     m = starting_model([np.frombuffer(r.symbols, dtype=np.uint16).astype(np.int64) for r in sample], unigram, states)
-    for _ in range(iterations):
-        m = m.update(*_expected(training, m)[:3], unigram)
-
-    rare = encoded.select("rid", F.explode("rare").alias("h")).join(counts.select("h", "c"), "h")  # words without a count add nothing
-    rare = rare.groupBy("rid").agg(F.count("*").alias("more"), F.sum(F.log10(F.col("c") + 1)).alias("logs"))
-    out = _forward(encoded, m).join(rare, "rid", "left")
-    logs = F.coalesce("logs", F.lit(0.0))
-    return out.select("doc_id", "held_out", "n_tokens", (F.col("known") + F.coalesce("more", F.lit(0))).alias("n_known"), F.lit(n).cast("long").alias("train_tokens"), (F.col("base") + logs - F.col("n_tokens") * math.log10(n + v + 1)).alias("base_score"), (F.col("score") + logs).alias("score"))
+    words = within = None
+    for _ in range(max(iterations, 1)):
+        *got, _, words = _expected(training, m, words, within)
+        m, within = m.update(*got, unigram), Within(got[2][:, SYMBOLS:-1].T, t)
+
+    out = _forward(encoded, m, words, within)
+    return out.select("doc_id", "held_out", "n_tokens", F.col("known").alias("n_known"), F.lit(n).cast("long").alias("train_tokens"), (F.col("base") - F.col("n_tokens") * math.log10(n + v + 1)).alias("base_score"), "score")
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:

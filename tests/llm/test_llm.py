@@ -368,6 +368,37 @@ def test_lm_score(spark, odd, empty, monkeypatch, head):
     assert lm_scoring.lm_score(empty, states=2, iterations=1).count() == 0
 
 
+def test_lm_states_tell_rare_words_apart(spark, monkeypatch):
+    """Words without a symbol of their own, alike in count and last bytes, belong to the states of the texts they were seen in."""
+    monkeypatch.setattr(lm_scoring, "SYMBOLS", 20)
+    rng = np.random.default_rng(3)
+    common = [[f"{side}{i}" for i in range(10)] for side in ("left", "right")]
+    rare = [[f"{side}{i:03}zz" for i in range(100)] for side in ("l", "r")]
+    text = lambda a, b: " ".join(itertools.chain.from_iterable(zip(rng.choice(common[a], 30), rng.permutation(rare[b])[:30], strict=True)))
+    held = lambda i: zlib.crc32(str(i).encode()) % 7 == 2
+    ids = [i for i in range(300) if not held(i)]
+    rows = [(i, text(i % 2, i % 2)) for i in ids]
+    at, crossed = [i for i in range(1000, 2000) if held(i)][:40], {}
+    for k, i in enumerate(at):
+        own = text(k % 2, k % 2)
+        mixed = own.split()
+        mixed[1::2] = rng.permutation(rare[1 - k % 2])[:30]
+        rows += [(i, own), (i + 5000, " ".join(mixed))] if held(i + 5000) else []
+        crossed |= {i: i + 5000} if held(i + 5000) else {}
+    assert crossed
+    got = {r.doc_id: r.score for r in lm_scoring.lm_score(spark.createDataFrame(rows, "doc_id long, text string"), states=2).collect()}
+    assert all(got[a] > got[b] + 1 for a, b in crossed.items())
+
+
+def test_lm_words_of_a_class_sum_to_one():
+    rng = np.random.default_rng(4)
+    c = rng.integers(1, 9, 30)
+    n = rng.dirichlet(np.ones(3), 30) * c[:, None]
+    within = lm_scoring.Within(n.sum(axis=0, keepdims=True), np.array([(c + 1.0).sum() + 1]))
+    f = within.factors(np.zeros(31, dtype=int), np.concatenate([n, np.zeros((1, 3))]))
+    assert np.allclose(f.sum(axis=0), 1)
+
+
 def test_lm_beats_unigrams(spark):
     r = lm_scoring.query(spark, SF).where("held_out").agg(F.sum("score").alias("s"), F.sum("base_score").alias("b")).first()
     assert r.s > r.b
