@@ -17,8 +17,9 @@ Training, on the documents that aren't held out (crc32 of the id mod 7 is not 2)
   steps) go to the driver, which takes the new parameters from them. Those of all other words are a table of a row
   a word, summed by word; it grows with the corpus. From the second round on, and for the scores, it is joined with
   the words of each block of texts (of BLOCK_TOKENS or one longer text).
-- starting values: a mixture of unigrams, then Baum-Welch, on at most SAMPLE training texts of up to
-  SAMPLE_TOKENS tokens (those of the smallest hashes), on the driver. All training texts then decide the parameters.
+- starting values: the unigram, told apart by state by random factors of symbols that no text decides; then MIXTURE_ROUNDS of a
+  mixture of unigrams (each text in one state) and CLASS_ROUNDS of Baum-Welch in which all words of a class are alike, summed
+  over all training texts like the rounds above.
 
 Base score: add-one unigrams over training tokens, as the contract has it.
 
@@ -46,7 +47,7 @@ SYMBOLS = 40_000
 CLASSES = 512
 HEAD = 262_144
 ITERATIONS = 2
-SAMPLE, SAMPLE_TOKENS, SAMPLE_ROUNDS = 1200, 4096, 8
+MIXTURE_ROUNDS, CLASS_ROUNDS = 6, 3
 PRIOR = 200.0
 #: Tokens that one forward-backward batch holds.
 BATCH_TOKENS = 600_000
@@ -194,29 +195,84 @@ def batches_of(texts: Iterator[np.ndarray], most: int = BATCH_TOKENS) -> Iterato
         yield Batch(held)
 
 
-def starting_model(sample: list[np.ndarray], unigram: np.ndarray, states: int) -> Model:
-    """A mixture of unigrams (each text in one state), then Baum-Welch."""
-    m = Model(np.full(states, 1 / states), np.full((states, states), 0.02 / max(states - 1, 1)) + np.eye(states) * (0.98 - 0.02 / max(states - 1, 1)), np.tile(unigram, (states, 1)))
-    m.move /= m.move.sum(axis=1, keepdims=True)
-    if not sample:
-        return m
-    rng = np.random.default_rng(11)
-    share = rng.dirichlet(np.full(states, 0.5), size=len(sample))
-    owner, symbols = np.repeat(np.arange(len(sample)), [len(x) for x in sample]), np.concatenate(sample)
-    for _ in range(12):
-        emit = np.stack([np.bincount(symbols, weights=share[owner, j], minlength=len(unigram)) for j in range(states)]) + PRIOR * unigram
-        emit /= emit.sum(axis=1, keepdims=True)
-        logs = np.stack([np.bincount(owner, weights=np.log(np.maximum(emit[j], 1e-300))[symbols], minlength=len(sample)) for j in range(states)], axis=1) + np.log(share.mean(axis=0) + 1e-9)
-        # early rounds are kept soft, so that no state takes all
-        logs = np.exp((logs - logs.max(axis=1, keepdims=True)) / np.maximum(1, np.bincount(owner)[:, None] / 50))
-        share = logs / logs.sum(axis=1, keepdims=True)
-    m = Model(share.mean(axis=0), m.move, emit)
-    for _ in range(SAMPLE_ROUNDS):
-        total = [sum(x) for x in zip(*(b.expect(m)[:3] for b in batches_of(iter(sample), 100_000)), strict=True)]
-        m = m.update(*total, unigram)
+def starting_model(shares: np.ndarray | list, unigram: np.ndarray, states: int) -> Model:
+    """States that stay; their shares may be given; each emits the unigram, told apart by random factors if there are shares."""
+    move = np.full((states, states), 0.02 / max(states - 1, 1)) + np.eye(states) * (0.98 - 0.02 / max(states - 1, 1))
+    m = Model(np.full(states, 1 / states), move / move.sum(axis=1, keepdims=True), np.tile(unigram, (states, 1)))
+    if len(shares):
+        m.start, m.emit = np.asarray(shares, dtype=float), m.emit * np.exp(np.random.default_rng(11).normal(size=m.emit.shape))
+        m.emit /= m.emit.sum(axis=1, keepdims=True)
     return m
 
 
+def mixture(texts: list[np.ndarray], m: Model) -> tuple[np.ndarray, np.ndarray, np.ndarray, float]:
+    """Expected counts where each text is in one state: texts by state, none, emissions; and 0."""
+    states, n = len(m.start), np.array([len(x) for x in texts])
+    symbols = np.concatenate(texts).astype(np.int64)
+    logs = np.add.reduceat(np.log(np.maximum(m.emit.T, 1e-300)).astype(np.float32)[symbols], np.concatenate([[0], np.cumsum(n)[:-1]]), axis=0, dtype=float) + np.log(m.start + 1e-9)
+    # kept soft, so that no state takes all
+    share = np.exp((logs - logs.max(axis=1, keepdims=True)) / np.maximum(1, n[:, None] / 50))
+    share /= share.sum(axis=1, keepdims=True)
+    emit = np.stack([np.bincount(symbols, weights=np.repeat(share[:, j], n), minlength=m.emit.shape[1]) for j in range(states)])
+    return share.sum(axis=0), np.zeros((states, states)), emit, 0.0
+
+
+_DENSE = "part int, sub int, v binary"
+
+
+def _dense(total: tuple, sub: int) -> pa.Table:
+    """Expected counts as rows of 32 KB."""
+    parts = -(-total[2].shape[1] // _PART)
+    small = np.concatenate([total[0], total[1].ravel(), [total[3]]])
+    values = [small.tobytes(), *(total[2][:, i * _PART : (i + 1) * _PART].astype(np.float32).tobytes() for i in range(parts))]
+    return pa.table({"part": pa.array(np.arange(-1, parts, dtype=np.int32)), "sub": pa.array(np.full(parts + 1, sub % 32, dtype=np.int32)), "v": pa.array(values, pa.binary())})
+
+
+def _sum_dense(rows: DataFrame, states: int, size: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, float]:
+    """Expected counts from such rows."""
+    parts = -(-size // _PART)
+
+    def add(t: pa.Table) -> pa.Table:
+        part = t["part"][0].as_py()
+        kind = np.float64 if part < 0 else np.float32
+        total = sum(np.frombuffer(x, dtype=kind).astype(np.float64) for x in t["v"].to_pylist())
+        return pa.table({"part": pa.array([part], pa.int32()), "v": pa.array([total.astype(kind).tobytes()], pa.binary())})
+
+    sums = rows.groupBy("part", "sub").applyInArrow(add, "part int, v binary").groupBy("part").applyInArrow(add, "part int, v binary")
+    got = {r.part: r.v for r in sums.collect()}  # the size of the dense part
+    if not got:
+        return np.zeros(states), np.zeros((states, states)), np.zeros((states, size)), 0.0
+    small = np.frombuffer(got[-1])
+    emit = np.concatenate([np.frombuffer(got[i], dtype=np.float32).reshape(states, -1) for i in range(parts)], axis=1).astype(float)
+    return small[:states], small[states:-1].reshape(states, states), emit, float(small[-1])
+
+
+def _alike(encoded: DataFrame, m: Model, mixed: bool) -> tuple[np.ndarray, np.ndarray, np.ndarray, float]:
+    """Expected counts over all rows of (symbols), where words of a class are alike: of the mixture, or of Baum-Welch."""
+    sent = encoded.sparkSession.sparkContext.broadcast(m)
+
+    def held(rows: Iterator[pa.RecordBatch]) -> Iterator[list[np.ndarray]]:
+        texts, n = [], 0
+        for x in (np.frombuffer(x.as_py(), dtype=np.uint16) for r in rows for x in r.column(0)):
+            texts.append(x)
+            n += len(x)
+            if n >= BATCH_TOKENS:
+                yield texts
+                texts, n = [], 0
+        if texts:
+            yield texts
+
+    def run(rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        m, total = sent.value, None
+        for texts in held(rows):
+            got = mixture(texts, m) if mixed else Batch(texts).expect(m)
+            total = got if total is None else tuple(x + y for x, y in zip(total, got, strict=True))
+        if total is not None:
+            yield from _dense(total, TaskContext.get().partitionId()).to_batches()
+
+    return _sum_dense(encoded.select("symbols").mapInArrow(run, _DENSE), *m.emit.shape)
+
+
 class Within:
     """Probabilities of words within their classes, by state: from the classes' expected counts (CLASSES, states) and T, the sum of (c + 1) over a class, plus 1."""
 
@@ -310,14 +366,12 @@ def _expected(encoded: DataFrame, m: Model, words: DataFrame | None = None, with
     spark = encoded.sparkSession
     sent = spark.sparkContext.broadcast((m, within))
     states, size = m.emit.shape
-    parts = -(-size // _PART)
     of_word = [f"n{j}" for j in range(states)]
-    ddl = ", ".join(["part int, sub int, v binary, h long, c long", *(f"{x} float" for x in of_word)])
+    ddl = ", ".join([_DENSE, "h long, c long", *(f"{x} float" for x in of_word)])
 
     def dense(total: tuple, sub: int) -> pa.Table:
-        small = np.concatenate([total[0], total[1].ravel(), [total[3]]])
-        values = [small.tobytes(), *(total[2][:, i * _PART : (i + 1) * _PART].astype(np.float32).tobytes() for i in range(parts))]
-        return pa.table({"part": pa.array(np.arange(-1, parts, dtype=np.int32)), "sub": pa.array(np.full(parts + 1, sub % 32, dtype=np.int32)), "v": pa.array(values, pa.binary()), "h": pa.nulls(parts + 1, pa.int64()), "c": pa.nulls(parts + 1, pa.int64()), **{x: pa.nulls(parts + 1, pa.float32()) for x in of_word}})
+        t = _dense(total, sub)
+        return pa.table({**{c: t[c] for c in t.column_names}, "h": pa.nulls(len(t), pa.int64()), "c": pa.nulls(len(t), pa.int64()), **{x: pa.nulls(len(t), pa.float32()) for x in of_word}})
 
     def sparse(x: Texts, n: np.ndarray) -> pa.Table:
         k = len(x.h)
@@ -347,24 +401,13 @@ def _expected(encoded: DataFrame, m: Model, words: DataFrame | None = None, with
         total, rows = expect(t, table)
         return pa.concat_tables([dense(total, t["bid"][0].as_py()), rows])
 
-    def add(t: pa.Table) -> pa.Table:
-        part = t["part"][0].as_py()
-        kind = np.float64 if part < 0 else np.float32
-        total = sum(np.frombuffer(x, dtype=kind).astype(np.float64) for x in t["v"].to_pylist())
-        return pa.table({"part": pa.array([part], pa.int32()), "v": pa.array([total.astype(kind).tobytes()], pa.binary())})
-
     raw = encoded.select("bid", "symbols", "rare").mapInArrow(run, ddl) if words is None else _with_words(encoded, words, ["symbols", "rare"]).applyInArrow(meet, ddl)
     raw = stash(raw, "expected")
-    sums = raw.where("part IS NOT NULL").select("part", "sub", "v").groupBy("part", "sub").applyInArrow(add, "part int, v binary").groupBy("part").applyInArrow(add, "part int, v binary")
-    got = {r.part: r.v for r in sums.collect()}  # the size of the dense part
+    got = _sum_dense(raw.where("part IS NOT NULL").select("part", "sub", "v"), states, size)
     table = stash(raw.where("h IS NOT NULL").groupBy("h").agg(F.sum("c").alias("c"), *(F.sum(x).cast("float").alias(x) for x in of_word)), "words")
     for path in {x.rsplit("/", 1)[0] for x in raw.inputFiles()}:
         remove_path(spark, path)
-    if not got:
-        return np.zeros(states), np.zeros((states, states)), np.zeros((states, size)), 0.0, table
-    small = np.frombuffer(got[-1])
-    emit = np.concatenate([np.frombuffer(got[i], dtype=np.float32).reshape(states, -1) for i in range(parts)], axis=1).astype(float)
-    return small[:states], small[states:-1].reshape(states, states), emit, float(small[-1]), table
+    return *got, table
 
 
 _ENCODED = "rid long, doc_id long, held_out boolean, n_tokens long, known long, base double, bid long, symbols binary, rare array<long>"
@@ -452,9 +495,13 @@ def lm_score(docs: DataFrame, states: int = STATES, iterations: int = ITERATIONS
     unigram = np.concatenate([c[:SYMBOLS] + 1.0, np.zeros(max(0, SYMBOLS - len(c))), t, [n_train + 1.0]])
     unigram /= unigram.sum()
     training = encoded.where(~F.col("held_out"))
-    few = F.pmod(F.xxhash64("doc_id"), F.lit(1 << 32)) < int(min(1.0, 4 * SAMPLE / max(n_train, 1)) * (1 << 32))  # so that tasks send few rows
-    sample = training.where((F.col("n_tokens") <= SAMPLE_TOKENS) & few).orderBy(F.xxhash64("doc_id"), "rid").limit(SAMPLE).select("symbols").collect()
-    m = starting_model([np.frombuffer(r.symbols, dtype=np.uint16).astype(np.int64) for r in sample], unigram, states)
+    m = starting_model(np.full(states, 1 / states), unigram, states)
+    for _ in range(MIXTURE_ROUNDS):
+        start, _, emit, _ = _alike(training, m, True)
+        new = m.update(start, np.zeros_like(m.move), emit, unigram)
+        m = Model(new.start, m.move, new.emit)
+    for _ in range(CLASS_ROUNDS):
+        m = m.update(*_alike(training, m, False)[:3], unigram)
     words = within = None
     for _ in range(max(iterations, 1)):
         *got, _, words = _expected(training, m, words, within)

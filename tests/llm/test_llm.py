@@ -399,6 +399,17 @@ def test_lm_words_of_a_class_sum_to_one():
     assert np.allclose(f.sum(axis=0), 1)
 
 
+def test_lm_start_sees_texts_that_a_sample_misses(spark, monkeypatch):
+    """Rare kinds of text, all of them longer than 4096 tokens, have a part in the start."""
+    seen = []
+    update = lm_scoring.Model.update
+    monkeypatch.setattr(lm_scoring.Model, "update", lambda self, *a: seen.append(a[2].sum()) or update(self, *a))
+    rows = [(i, "one two three") for i in range(20)] + [(i, "seldom " * 5000) for i in range(100, 110)]
+    train = [r for r in rows if zlib.crc32(str(r[0]).encode()) % 7 != 2]
+    lm_scoring.lm_score(spark.createDataFrame(rows, "doc_id long, text string"), states=2)
+    assert len(seen) > 2 and all(x == pytest.approx(sum(len(words(t)) + 1 for _, t in train)) for x in seen)
+
+
 def test_lm_beats_unigrams(spark):
     r = lm_scoring.query(spark, SF).where("held_out").agg(F.sum("score").alias("s"), F.sum("base_score").alias("b")).first()
     assert r.s > r.b
