@@ -95,6 +95,31 @@ def count_words(texts: DataFrame) -> DataFrame:
     return texts.select("text").mapInArrow(run, "h long, cls int, c long").groupBy("h", "cls").agg(F.sum("c").alias("c"))
 
 
+def head_of(counts: DataFrame, most: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(h, cls, c) of the most frequent words, by count and hash; no table is sorted: bins of the count, of the bin that crosses the limit
+    the counts, and of the count that crosses it ranges of the hash tell where the limit lies."""
+
+    def crossing(rows: DataFrame, by: Column, room: int, down: bool) -> tuple[int | None, int]:
+        """The value at which the words pass the limit (None if they don't), and how many it leaves room for."""
+        for k, n in sorted(((r.k, r.n) for r in rows.groupBy(by.alias("k")).agg(F.count("*").alias("n")).collect()), reverse=down):
+            if n > room:
+                return k, room
+            room -= n
+        return None, room
+
+    level, part = F.floor(F.log2("c") * 16).cast("int"), F.shiftright("h", 52)
+    taken = F.lit(True)
+    k, room = crossing(counts, level, most, True)  # about 1000 bins at most
+    if k is not None:
+        at = counts.where(level == k)
+        least, room = crossing(at, F.col("c"), room, True)
+        last, _ = crossing(at.where(F.col("c") == least), part, room, False)  # 4096 ranges; the last one is cut below
+        taken = (level > k) | ((level == k) & ((F.col("c") > least) | ((F.col("c") == least) & (part <= last))))
+    top = counts.where(taken).select("h", "cls", "c").toArrow()
+    top = top.take(np.lexsort((top["h"].to_numpy(), -top["c"].to_numpy()))[:most])
+    return tuple(top[x].to_numpy().astype(np.int64) for x in ("h", "cls", "c"))
+
+
 class Model:
     """Start, transition and emission probabilities."""
 
@@ -474,16 +499,7 @@ def lm_score(docs: DataFrame, states: int = STATES, iterations: int = ITERATIONS
     n_train = train.count()
     total = counts.agg(F.coalesce(F.sum("c"), F.lit(0)).alias("n"), F.count("*").alias("v")).first()
     n, v = total.n + n_train, total.v + (n_train > 0)
-    # the head: all words above a frequency bin, as many bins as keep it within HEAD words; nothing is sorted
-    level = F.floor(F.log2("c") * 16).cast("int")
-    sizes, least, held = {r.level: r.n for r in counts.groupBy(level.alias("level")).agg(F.count("*").alias("n")).collect()}, 1 << 30, 0  # about 1000 bins at most
-    for k in sorted(sizes, reverse=True):
-        if (held := held + sizes[k]) > HEAD:
-            break
-        least = k
-    top = counts.where(level >= least).select("h", "cls", "c").toArrow()
-    top = top.take(np.lexsort((top["h"].to_numpy(), -top["c"].to_numpy())))
-    head, cls, c = (top[x].to_numpy().astype(np.int64) for x in ("h", "cls", "c"))
+    head, cls, c = head_of(counts, HEAD)
     # T of each class: over all words that have no symbol of their own
     sums = {r.cls: r.t for r in counts.groupBy("cls").agg(F.sum(F.col("c") + 1).alias("t")).collect()}
     t = np.array([sums.get(i, 0) for i in range(CLASSES)], dtype=float) - np.bincount(cls[:SYMBOLS], weights=c[:SYMBOLS] + 1.0, minlength=CLASSES) + 1.0

@@ -390,6 +390,17 @@ def test_lm_states_tell_rare_words_apart(spark, monkeypatch):
     assert all(got[a] > got[b] + 1 for a, b in crossed.items())
 
 
+@pytest.mark.parametrize("most", [0, 10, 120, 500])
+def test_lm_head_is_filled(spark, most):
+    """Also where very many words have equal counts."""
+    rng = np.random.default_rng(5)
+    h = [int(x) for x in rng.integers(-(1 << 63), (1 << 63) - 1, 400)]
+    rows = [(x, 0, 9 if i < 50 else 100 if i < 52 else 1) for i, x in enumerate(h)]
+    got = lm_scoring.head_of(spark.createDataFrame(rows, "h long, cls int, c long"), most)
+    expect = sorted(rows, key=lambda r: (-r[2], r[0]))[:most]
+    assert list(zip(got[0].tolist(), got[2].tolist(), strict=True)) == [(a, c) for a, _, c in expect]
+
+
 def test_lm_words_of_a_class_sum_to_one():
     rng = np.random.default_rng(4)
     c = rng.integers(1, 9, 30)
