@@ -16,8 +16,8 @@ the languages z and one more class, "und", for text that fits none:
 One pass over the texts counts the models, a second scores them; all that
 follows works on a checkpointed row of a few numbers each. A table of one row a
 host is joined with them; it is checkpointed too, so that a host with a third of
-all rows makes a skewed join that AQE splits. Models are bounded by
-BUCKETS x MAX_LANGUAGES, whatever the input's size.
+all rows makes a skewed join that AQE splits. Models are BUCKETS numbers for each language
+that MIN_DECLARED rows declare, however many these are; texts are scored in blocks of MAX_LANGUAGES of them.
 
 Verdict (`kept`): the language is not "und" and its posterior is at least
 MIN_CONFIDENCE. Defined results: a row without text (null, or under 3 bytes) has
@@ -76,19 +76,22 @@ def train(rows: DataFrame, languages: list[str]) -> np.ndarray:
     """Log probabilities of the buckets under each language and, last, under none: counted over all rows that declare one of them."""
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        sums = np.zeros((len(languages), BUCKETS), dtype=np.int64)
+        place = {x: i for i, x in enumerate(languages)}
+        sums: dict[int, np.ndarray] = {}  # of the languages that occur here
         for batch in batches:
-            z = np.array([languages.index(x) if x in languages else -1 for x in batch.column(1).to_pylist()], dtype=np.int64)
+            z = np.array([place.get(x, -1) for x in batch.column(1).to_pylist()], dtype=np.int64)
             for a, b, buckets, starts in _trigrams(batch.column(0)):
                 owner = np.repeat(z[a:b], np.diff(starts))
-                sums += np.bincount((owner * BUCKETS + buckets)[owner >= 0], minlength=len(languages) * BUCKETS).reshape(sums.shape)
-        lang, bucket = np.nonzero(sums)
-        yield pa.RecordBatch.from_arrays([pa.array(lang.astype(np.int32)), pa.array(bucket.astype(np.int32)), pa.array(sums[lang, bucket])], ["z", "bucket", "n"])
-
-    found = rows.where(F.col("declared").isin(languages)).select("text", "declared").mapInArrow(count, "z int, bucket int, n long").groupBy("z", "bucket").agg(F.sum("n").alias("n")).collect()  # BUCKETS x MAX_LANGUAGES rows at most
+                for i in np.unique(z[a:b]).tolist():
+                    if i >= 0:
+                        sums[i] = sums.get(i, 0) + np.bincount(buckets[owner == i], minlength=BUCKETS)
+        for i, n in sums.items():
+            bucket = np.flatnonzero(n)
+            yield pa.RecordBatch.from_arrays([pa.array(np.full(len(bucket), i, dtype=np.int32)), pa.array(bucket.astype(np.int32)), pa.array(n[bucket].astype(np.int64))], ["z", "bucket", "n"])
+
+    found = rows.where(F.col("declared").isin(languages)).select("text", "declared").mapInArrow(count, "z int, bucket int, n long").groupBy("z", "bucket").agg(F.sum("n").alias("n")).toArrow()  # BUCKETS rows a language at most
     sums = np.zeros((len(languages) + 1, BUCKETS))
-    for r in found:
-        sums[r.z, r.bucket] = r.n
+    sums[found["z"].to_numpy(), found["bucket"].to_numpy()] = found["n"].to_numpy()
     sums[:-1] += 0.5
     sums[-1] = 1.0
     return np.log(sums / sums.sum(axis=1, keepdims=True))
@@ -106,8 +109,9 @@ def _score(rows: DataFrame, model: np.ndarray) -> DataFrame:
                 n = np.diff(starts)
                 some = np.flatnonzero(n)
                 if len(some):
-                    sums = np.add.reduceat(tab[buckets], starts[:-1][some], axis=0)
-                    out[a + some] = sums * (np.minimum(n[some], EFFECTIVE) / n[some])[:, None]
+                    for z in range(0, tab.shape[1], MAX_LANGUAGES + 1):
+                        sums = np.add.reduceat(tab[buckets, z : z + MAX_LANGUAGES + 1], starts[:-1][some], axis=0)
+                        out[a + some, z : z + MAX_LANGUAGES + 1] = sums * (np.minimum(n[some], EFFECTIVE) / n[some])[:, None]
                 counts[a:b] = n
             lists = pa.ListArray.from_arrays(pa.array(np.arange(0, out.size + 1, tab.shape[1], dtype=np.int32)), pa.array(out.ravel()))
             yield pa.RecordBatch.from_arrays([*batch.select(["id", "declared", "host", "suffix"]).columns, pa.array(counts), lists], ["id", "declared", "host", "suffix", "n", "text"])
@@ -121,34 +125,41 @@ def _softmax(x: str) -> Column:
     return F.expr(f"transform({e}, v -> v / aggregate({e}, 0D, (a, b) -> a + b))")
 
 
-def _sums(k: int) -> Column:
-    return F.array(*[F.sum(F.col("p")[i]) for i in range(k)])
+def _sums(rows: DataFrame, by: list[Column | str], k: int, name: str) -> DataFrame:
+    """Sums of the posteriors p, by class, as an array of k; beyond one block of languages a class is a row meanwhile."""
+    if k <= MAX_LANGUAGES + 1:
+        return rows.groupBy(*by).agg(F.array(*[F.sum(F.col("p")[i]) for i in range(k)]).alias(name))
+    each = rows.select(*by, F.posexplode("p").alias("z", "v"))
+    names = each.columns[:-2]
+    each = each.groupBy(*names, "z").agg(F.sum("v").alias("v"))
+    return each.groupBy(*names).agg(F.sort_array(F.collect_list(F.struct("z", "v"))).alias("zv")).select(*names, F.col("zv.v").alias(name))
 
 
 def identify(rows: DataFrame, min_confidence: float = MIN_CONFIDENCE) -> DataFrame:
     """(id, text, declared, host, suffix) -> (id, language, confidence, kept)."""
     rows = rows.select("id", *[F.col(c).cast("string").alias(c) for c in _INPUT[1:]])
     counted = rows.where(F.col("declared").isNotNull()).groupBy("declared").count().where(F.col("count") >= MIN_DECLARED)
-    languages = sorted(r.declared for r in counted.orderBy(F.desc("count"), "declared").limit(MAX_LANGUAGES).collect())
+    languages = sorted(r.declared for r in counted.collect())
     k = len(languages) + 1
     classes = [*languages, UNKNOWN]
     scored = cut(_score(rows, train(rows, languages) if languages else np.zeros((1, BUCKETS))))
     # posteriors by the text alone; a row without text says nothing
-    scored = scored.withColumn("p", F.when(F.col("n") > 0, _softmax("text")).otherwise(F.array(*[F.lit(0.0)] * k)))
-    every = [x or 0.0 for x in scored.agg(_sums(k).alias("s")).first().s]
+    scored = scored.withColumn("p", F.when(F.col("n") > 0, _softmax("text")).otherwise(F.expr(f"array_repeat(0D, {k})")))
+    total = _sums(scored, [], k, "s").first()
+    every = [x or 0.0 for x in total.s] if total else [0.0] * k
     prior = F.array(*[F.lit((x + 1.0) / (sum(every) + k)) for x in every])
 
     def evidence(name: str, prefix: str) -> DataFrame:
         """log P(value | z) for each value of a column."""
-        by = scored.where(F.col(name).isNotNull()).groupBy(name).agg(_sums(k).alias("s"))
-        parts = [F.log((F.col("s")[i] + 0.5) / F.lit(every[i] + 1.0)) for i in range(k)]
-        return by.select(name, F.array(*parts).alias(prefix))
+        by = _sums(scored.where(F.col(name).isNotNull()), [name], k, "s")
+        totals = F.array(*[F.lit(x + 1.0) for x in every])
+        return by.select(name, F.zip_with("s", totals, lambda a, b: F.log((a + 0.5) / b)).alias(prefix))
 
     declared, suffix = evidence("declared", "by_declared"), evidence("suffix", "by_suffix")
     # hierarchy: all rows, suffix, host
-    of_suffix = scored.where(F.col("suffix").isNotNull()).groupBy("suffix").agg(_sums(k).alias("ss"))
+    of_suffix = _sums(scored.where(F.col("suffix").isNotNull()), ["suffix"], k, "ss")
     own = F.coalesce("host", F.lit("\x00"))
-    hosts = scored.groupBy(own.alias("h"), "suffix").agg(_sums(k).alias("hs")).join(of_suffix, "suffix", "left")
+    hosts = _sums(scored, [own.alias("h"), "suffix"], k, "hs").join(of_suffix, "suffix", "left")
     total = "aggregate({0}, 0D, (a, b) -> a + b)".format
     smoothed = F.expr(f"zip_with(ss, prior, (s, g) -> (s + {SUFFIX_ROWS}D * g) / ({total('ss')} + {SUFFIX_ROWS}D))")
     hosts = hosts.withColumn("prior", prior).withColumn("sp", F.coalesce(smoothed, F.col("prior")))

@@ -159,6 +159,17 @@ def test_language_id(spark, odd, empty):
     assert (p[1].declared, p[1].host, p[1].suffix) == ("de", "a.example.de", "de") and "var" not in p[1].text and p[2].declared is None and p[3].host is None
 
 
+def test_language_id_knows_all_declared_languages(spark):
+    """Also more than a block of them, and texts of the rarest."""
+    rng = np.random.default_rng(6)
+    letters = [rng.choice(list("abcdefghijklmnopqrstuvwxyz"), 7, replace=False) for _ in range(70)]
+    text = lambda z: " ".join("".join(rng.choice(letters[z], 6)) for _ in range(40))
+    rows = [(z * 100 + i, text(z), f"l{z:02}" if i < 6 + (z < 64) else None, f"host{z}", None) for z in range(70) for i in range(8)]
+    got = language_id.identify(spark.createDataFrame(rows, "id long, text string, declared string, host string, suffix string")).collect()
+    assert len(got) == len(rows) and np.mean([r.language == f"l{r.id // 100:02}" and r.kept for r in got]) > 0.95
+    assert {r.language for r in got if r.kept} >= {f"l{z:02}" for z in range(70)}
+
+
 # --- 4 decontamination
 
 
