@@ -314,6 +314,16 @@ def banner_state(spark, sf_dir):
     return d.select("video_id", "frame_idx", F.when(F.col("p") & F.col("g"), "hit").when(F.col("p"), "false alarm").when(F.col("g"), "miss").otherwise("quiet").alias("state"))
 
 
+@query("banner_state_all", X(G.TRK, G.FS, G.PE, G.GE) + """ SELECT video_id, frame_idx, CASE WHEN p AND g THEN 'hit' WHEN p THEN 'false alarm' WHEN g THEN 'miss' ELSE 'quiet' END AS state FROM (SELECT video_id, frame_idx,
+EXISTS (SELECT 1 FROM pe WHERE grp % 2 = fs.video_id AND frame_idx * 3600 BETWEEN p_start AND p_end) AS p, EXISTS (SELECT 1 FROM ge WHERE grp % 2 = fs.video_id AND frame_idx * 3600 BETWEEN g_start AND g_end) AS g FROM fs)""")
+def banner_state_all(spark, sf_dir):
+    """What each frame of every series shows, as banner_state has it for the first series and group."""
+    f = G.fs(spark, sf_dir).select("video_id", "frame_idx", (F.col("frame_idx") * 3600).alias("t"))
+    inside = lambda e, a, b, name: joins.points_in_intervals(e.select((F.col("grp") % 2).alias("video_id"), a, b), f, a, b, "t", DAY, V).select("video_id", "frame_idx").distinct().withColumn(name, F.lit(True))
+    d = f.join(inside(G.pe(spark, sf_dir), "p_start", "p_end", "p"), ["video_id", "frame_idx"], "left").join(inside(G.ge(spark, sf_dir), "g_start", "g_end", "g"), ["video_id", "frame_idx"], "left")
+    return d.select("video_id", "frame_idx", F.when(F.col("p") & F.col("g"), "hit").when(F.col("p"), "false alarm").when(F.col("g"), "miss").otherwise("quiet").alias("state"))
+
+
 @query("image_features")
 def image_features(spark, sf_dir):
     """The whole dense feature table."""

@@ -21,3 +21,11 @@ def test_runs(spark, name):
 
 def test_flagship(spark):
     assert catalogue.FLAGSHIP in QUERIES
+
+
+def test_banner_state_of_every_series(spark):
+    from tessera.plans import surrogates as G
+
+    sf = f"{DATA}/sf0.001"
+    got = QUERIES["banner_state_all"](spark, sf).collect()
+    assert len(got) == G.fs(spark, sf).count() and len({r.video_id for r in got}) > 1
