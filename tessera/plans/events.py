@@ -220,6 +220,17 @@ def window_cover(spark, sf_dir):
     return greedy.cover_windows(e, ["grp"], 86400.0, 3600.0, 2).where("window = 1")
 
 
+_BEST = """SELECT grp, arg_min(t, {{'a': -covered, 'b': t}}) - 3600 AS s, max(covered) AS covered FROM (SELECT a.grp, a.p_start AS t, count(*) AS covered FROM {0} a JOIN {0} b ON a.grp = b.grp AND b.p_start BETWEEN a.p_start AND a.p_start - 3600 + 86400 - 3600 GROUP BY a.grp, a.pred_id, a.p_start) GROUP BY grp"""
+
+
+@query("window_cover_all", X(G.PE) + f""", w1 AS ({_BEST.format("pe")}), rest AS (SELECT pe.* FROM pe JOIN w1 ON pe.grp = w1.grp WHERE NOT p_start BETWEEN s + 3600 AND s + 86400 - 3600), w2 AS ({_BEST.format("rest")})
+SELECT grp, "window", s AS start_s, s + 86400 AS end_s, covered FROM (SELECT *, 1::BIGINT AS "window" FROM w1 UNION ALL SELECT *, 2::BIGINT FROM w2)""")
+def window_cover_all(spark, sf_dir):
+    """Both windows of the greedy cover; window_cover has the first ones."""
+    e = G.pe(spark, sf_dir).select("grp", F.col("p_start").alias("t_s"))
+    return greedy.cover_windows(e, ["grp"], 86400.0, 3600.0, 2)
+
+
 _UNIT = "(((((({k} + {seed}) * 48271 + 11) % 2147483647) * 69621 + 7) % 2147483647) + 0.5) / 2147483647"
 
 

@@ -29,3 +29,8 @@ def test_banner_state_of_every_series(spark):
     sf = f"{DATA}/sf0.001"
     got = QUERIES["banner_state_all"](spark, sf).collect()
     assert len(got) == G.fs(spark, sf).count() and len({r.video_id for r in got}) > 1
+
+
+def test_window_cover_shows_the_second_window(spark):
+    got = QUERIES["window_cover_all"](spark, f"{DATA}/sf0.001").collect()
+    assert {r.window for r in got} == {1, 2}
