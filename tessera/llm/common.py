@@ -8,6 +8,7 @@ of documents is scanned at once.
 from __future__ import annotations
 
 import atexit
+import contextlib
 import tempfile
 import uuid
 from collections.abc import Iterator
@@ -68,30 +69,58 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir, or in a session without one (tests) a folder of its own."""
+    """The folder that driver and executors share: spark.checkpoint.dir. A session on one machine without it (tests) gets a folder of its own; on a cluster that is an error."""
     where = spark.conf.get("spark.checkpoint.dir", None)
     if where:
         return where.rstrip("/")
     got = spark.sparkContext.getCheckpointDir()
     if not got:
+        if not spark.sparkContext.master.startswith("local"):
+            raise RuntimeError("spark.checkpoint.dir must name a folder that the driver and all executors share")
         spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="tessera-"))
         got = spark.sparkContext.getCheckpointDir()
     return got.rstrip("/")
 
 
-def cut(df: DataFrame) -> DataFrame:
-    """df, computed once and kept in the shared folder: its lineage ends there, and lost executors cost nothing."""
-    shared_dir(df.sparkSession)
-    return df.checkpoint(eager=True)
+_scopes: list[list[str]] = []
 
 
 def scratch_path(spark: SparkSession, tag: str) -> str:
-    """A new path in the shared folder; the files go when the driver's Python ends."""
+    """A new path in the shared folder; the files go when its scope ends, or else the driver's Python."""
     path = f"{shared_dir(spark)}/tessera-{tag}-{uuid.uuid4().hex}"
-    atexit.register(remove_path, spark, path)
+    _own(spark, path)
     return path
 
 
+def _own(spark: SparkSession, path: str) -> None:
+    if _scopes:
+        _scopes[-1].append(path)
+    else:
+        atexit.register(remove_path, spark, path)
+
+
+@contextlib.contextmanager
+def scope(spark: SparkSession) -> Iterator[list[DataFrame]]:
+    """Tables that are written inside are removed at the end, but for those added to the list that it gives."""
+    kept: list[DataFrame] = []
+    _scopes.append([])
+    try:
+        yield kept
+    finally:
+        keep = {df._scratch for df in kept}
+        for path in _scopes.pop():
+            if path in keep:
+                _own(spark, path)
+            else:
+                remove_path(spark, path)
+
+
+def free(*frames: DataFrame) -> None:
+    """Remove the files of stashed tables that nothing reads any more."""
+    for df in frames:
+        remove_path(df.sparkSession, df._scratch)
+
+
 def remove_path(spark: SparkSession, path: str) -> None:
     try:
         jvm = spark.sparkContext._jvm
@@ -106,18 +135,24 @@ def path_exists(spark: SparkSession, path: str) -> bool:
     return bool(where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(where))
 
 
-def stash(df: DataFrame, tag: str) -> DataFrame:
-    """df, written as a Parquet table to the shared folder and read again."""
+def stash(df: DataFrame, tag: str = "cut") -> DataFrame:
+    """df, computed once and written as a Parquet table to the shared folder, and read again: its lineage ends there, lost executors
+    cost nothing, and Spark's estimate of its size is that of the files (a checkpoint keeps the plan's, which joins multiply)."""
     spark = df.sparkSession
     path = scratch_path(spark, tag)
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out._scratch = path
+    return out
+
+
+cut = stash
 
 
 def row_key(*columns: str) -> Column:
     """A 128-bit key of a row's columns; nulls differ from empty strings."""
-    parts = [F.coalesce(F.concat(F.lit("+"), F.col(c).cast("string")), F.lit("-")) for c in columns]
-    return F.md5(F.concat_ws("\x1f", *parts))
+    parts = [F.coalesce(F.concat(F.char_length(F.col(c).cast("string")), F.lit("+"), F.col(c).cast("string")), F.lit("-")) for c in columns]
+    return F.md5(F.concat(*parts))
 
 
 def mix(h: np.ndarray) -> np.ndarray:
@@ -168,13 +203,16 @@ class Block:
 
     def word_hashes(self) -> np.ndarray:
         """A 64-bit hash of each word's bytes, the same wherever the word stands."""
-        n = len(self.low)
-        if not n:
-            return np.empty(0, dtype=np.uint64)
-        sums = np.zeros(n + 1, dtype=np.uint64)
-        np.cumsum((self.low.astype(np.uint64) + np.uint64(1)) * _pow(_BASE, n), out=sums[1:])
-        h = (sums[self.end] - sums[self.start]) * _pow(_INVERSE, n)[self.start]
-        return mix(h + (self.end - self.start).astype(np.uint64) * _M1)
+        out, a = np.empty(len(self.start), dtype=np.uint64), 0
+        while a < len(out):  # a long text is hashed in runs of words, so that sums of eight bytes a byte stay small
+            b = max(a + 1, int(np.searchsorted(self.end, self.start[a] + 2 * BLOCK_BYTES, side="right")))
+            low = self.low[self.start[a] : self.end[b - 1]]
+            start, end = self.start[a:b] - self.start[a], self.end[a:b] - self.start[a]
+            sums = np.zeros(len(low) + 1, dtype=np.uint64)
+            np.cumsum((low.astype(np.uint64) + np.uint64(1)) * _pow(_BASE, len(low)), out=sums[1:])
+            out[a:b] = mix((sums[end] - sums[start]) * _pow(_INVERSE, len(low))[start] + (end - start).astype(np.uint64) * _M1)
+            a = b
+        return out
 
     def words(self, i: int) -> list[bytes]:
         low = self.low.tobytes() if len(self) == 1 else None

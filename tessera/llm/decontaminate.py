@@ -40,12 +40,12 @@ from tessera.llm.common import ALNUM, Block, blocks, cut, gram_hashes, row_key,
 
 WINDOW = 10
 GRAM = 6
-#: Benchmarks of up to so many bytes of text travel to the tasks that read documents.
-MAP_SIDE_BYTES = 64 << 20
+#: Benchmarks of up to so many bytes of text travel to the tasks that read documents (in a worker they take about 75 times as much: 150 MB).
+MAP_SIDE_BYTES = 2 << 20
 
 _WORD = re.compile(rb"[0-9a-z\x80-\xff]+")
 _LOWER = bytes(range(65)) + bytes(range(97, 123)) + bytes(range(91, 256))
-_RESULT = "doc_id long, n_words long, n_hit long, n_items long, items_sha256 string, contaminated boolean"
+_RESULT = "n_words long, n_hit long, n_items long, items_sha256 string, contaminated boolean"
 
 
 def words_of(text: str | None) -> list[bytes]:
@@ -145,6 +145,10 @@ def digest(items: set[str]) -> str:
 _NONE = hashlib.sha256(b"").hexdigest()
 
 
+def _id_type(docs: DataFrame) -> str:
+    return docs.schema["doc_id"].dataType.simpleString()
+
+
 def _map_side(docs: DataFrame, items: list) -> DataFrame:
     bench = docs.sparkSession.sparkContext.broadcast(items)
     kept: list[Benchmark] = []
@@ -162,7 +166,7 @@ def _map_side(docs: DataFrame, items: list) -> DataFrame:
                     n_hit[i], n_items[i], sha[i] = hit.sum(), len(found), digest(found)
                 yield pa.RecordBatch.from_arrays([batch.column(0).slice(a, n), pa.array(block.counts().astype(np.int64)), pa.array(n_hit), pa.array(n_items), pa.array(sha, pa.string()), pa.array(n_hit > 0)], ["doc_id", "n_words", "n_hit", "n_items", "items_sha256", "contaminated"])
 
-    return docs.mapInArrow(scan, _RESULT)
+    return docs.mapInArrow(scan, f"doc_id {_id_type(docs)}, {_RESULT}")
 
 
 def _prints_of(df: DataFrame, lengths: DataFrame | list[int]) -> DataFrame:
@@ -215,14 +219,14 @@ def _shuffled(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
             for a, b, block in blocks(batch.column(1), ALNUM):
                 yield pa.RecordBatch.from_arrays([batch.column(0).slice(a, b - a), batch.column(2).slice(a, b - a), pa.array(block.counts().astype(np.int64))], ["doc_id", "key", "n_words"])
 
-    counted = docs.mapInArrow(count, "doc_id long, key string, n_words long")
+    counted = docs.mapInArrow(count, f"doc_id {_id_type(docs)}, key string, n_words long")
     n_hit = F.coalesce("n_hit", F.lit(0).cast("long"))
     return counted.join(hits, "key", "left").select("doc_id", "n_words", n_hit.alias("n_hit"), F.coalesce(F.size("items"), F.lit(0)).cast("long").alias("n_items"), F.sha2(F.coalesce(F.array_join("items", ","), F.lit("")), 256).alias("items_sha256"), (n_hit > 0).alias("contaminated"))
 
 
 def decontaminate(docs: DataFrame, benchmark: DataFrame, map_side_bytes: int = MAP_SIDE_BYTES) -> DataFrame:
     """Per row of docs (doc_id, text): words, hit words, items that occur, and whether it is contaminated."""
-    docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
+    docs = docs.select("doc_id", "text")
     benchmark = benchmark.select("item_id", "text")
     size = benchmark.agg(F.sum(F.octet_length("text") + 16)).first()[0] or 0
     if size <= map_side_bytes:
@@ -253,7 +257,7 @@ hit AS (SELECT d.rid, d.i, d.m, b.item_id FROM dwin d JOIN bwin b ON d.m = b.m A
 places AS (SELECT rid, count(DISTINCT p) AS n_hit
            FROM (SELECT rid, unnest(generate_series(i, i + m - 1)) AS p FROM (SELECT DISTINCT rid, i, m FROM hit)) GROUP BY rid),
 its AS (SELECT rid, count(*) AS n_items, string_agg(s, ',' ORDER BY s) AS ids
-        FROM (SELECT DISTINCT rid, CAST(item_id AS VARCHAR) AS s FROM hit) GROUP BY rid)
+        FROM (SELECT DISTINCT rid, coalesce(CAST(item_id AS VARCHAR), 'null') AS s FROM hit) GROUP BY rid)
 SELECT dw.doc_id, CAST(len(w) AS BIGINT) AS n_words, CAST(coalesce(n_hit, 0) AS BIGINT) AS n_hit,
        CAST(coalesce(n_items, 0) AS BIGINT) AS n_items, sha256(coalesce(ids, '')) AS items_sha256,
        coalesce(n_hit, 0) > 0 AS contaminated

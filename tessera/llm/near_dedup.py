@@ -20,10 +20,10 @@ into all pairs:
 
 Comparison: similarity is first estimated by maximum likelihood from both
 register vectors and the exact set sizes; pairs within SIGMAS standard errors of
-the threshold or above it are verified on the full sets (40-bit shingle hashes).
+the threshold or above it are verified on the full sets (64-bit shingle hashes).
 
-Components: large-star and small-star steps until nothing changes, each
-checkpointed. All of it is joins and grouped minima; what travels is ids, but for
+Components: large-star and small-star steps until nothing changes, each written
+to a table that is read again and removed after the next. All of it is joins and grouped minima; what travels is ids, but for
 the sets of classes that share a bucket, computed again from their texts.
 
 Defined results: a text without words, or null, has an empty set and is linked with
@@ -41,7 +41,8 @@ import pyarrow.compute
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tessera.llm.common import NONSPACE, Block, blocks, cut, gram_hashes, mix, stash, table
+from tessera.llm import common
+from tessera.llm.common import NONSPACE, Block, blocks, cut, free, gram_hashes, mix, scope, stash, table
 
 SHINGLE = 5
 BANDS, ROWS = 32, 4
@@ -49,7 +50,7 @@ REGISTERS = BANDS * ROWS
 BASE, RATE, LARGEST = 1.001, 20.0, 65_535
 BLOCK = 192
 SIGMAS = 5.0
-#: Up to so many classes' row keys travel to the tasks that read texts (8 bytes each).
+#: Up to so many classes' row keys travel to the tasks that read texts (32 bytes each).
 MAP_SIDE_KEYS = 1_000_000
 
 _RNG = np.random.default_rng(7)
@@ -125,15 +126,12 @@ def estimate(larger: np.ndarray, smaller: np.ndarray, n: np.ndarray, m: np.ndarr
 
 
 def pack(values: np.ndarray) -> bytes:
-    """The low 40 bits of each hash, sorted."""
-    v = np.sort(values & np.uint64((1 << 40) - 1))
-    return v.view(np.uint8).reshape(-1, 8)[:, :5].tobytes()
+    """A set's hashes, sorted."""
+    return np.sort(values).tobytes()
 
 
 def unpack(data: bytes) -> np.ndarray:
-    out = np.zeros((len(data) // 5, 8), dtype=np.uint8)
-    out[:, :5] = np.frombuffer(data, dtype=np.uint8).reshape(-1, 5)
-    return out.view(np.uint64).ravel()
+    return np.frombuffer(data, dtype=np.uint64)
 
 
 def similar(a: np.ndarray, b: np.ndarray) -> bool:
@@ -170,7 +168,7 @@ def _sketched(docs: DataFrame) -> DataFrame:
             bands = pa.ListArray.from_arrays(pa.array(np.cumsum(per, dtype=np.int32)), pa.array(bands_of(registers).ravel().view(np.int64)))
             yield pa.RecordBatch.from_arrays([batch.column(0).slice(a, n), batch.column(1).slice(a, n), pa.array(key[0]), pa.array(key[1]), pa.array(size.astype(np.int64)), bands], ["doc_id", "row_key", "k1", "k2", "n", "bands"])
 
-    return docs.mapInArrow(run, "doc_id long, row_key long, k1 long, k2 long, n long, bands array<long>")
+    return docs.mapInArrow(run, "doc_id long, row_key string, k1 long, k2 long, n long, bands array<long>")
 
 
 def _payload(docs: DataFrame) -> DataFrame:
@@ -194,7 +192,7 @@ def _compare(table_: pa.Table) -> pa.Table:
     out: list[tuple[int, int]] = []
     if left.num_rows and right.num_rows:
         (li, lr, ls), (ri, rr, rs) = ((t["node"].to_numpy(), np.frombuffer(b"".join(t["registers"].to_pylist()), dtype=np.uint16).reshape(-1, REGISTERS), t["elements"].to_pylist()) for t in (left, right))
-        ln, rn = (np.array([len(x) // 5 for x in s]) for s in (ls, rs))
+        ln, rn = (np.array([len(x) // 8 for x in s]) for s in (ls, rs))
         stray, lroot, rroot = right["stray"].to_numpy(), left["root"].to_numpy(), right["root"].to_numpy()
         parent: dict[int, int] = {}
 
@@ -231,30 +229,36 @@ def _compare(table_: pa.Table) -> pa.Table:
 
 def _links(tasks: DataFrame, payload: DataFrame) -> DataFrame:
     """tasks (task, side, stray, node, root): the links (u, v) of each task's block; nodes of one root are connected already."""
-    return cut(tasks.join(payload, "node").groupBy("task").applyInArrow(_compare, "u long, v long"))
+    return stash(tasks.join(payload, "node").groupBy("task").applyInArrow(_compare, "u long, v long"), "links")
 
 
 def components(links: DataFrame) -> DataFrame:
-    """(u, v) -> (node, root) of every linked node: large-star and small-star steps until the links are stars."""
-    e = cut(links.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).where("u > v").distinct())
+    """(u, v) -> (node, root) of every linked node: large-star and small-star steps until the links are stars.
+
+    Each step reads the table that the last one wrote, which then goes: neither plans nor files grow with the rounds."""
+    e = stash(links.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).where("u > v").distinct(), "star")
     mark = None
     while True:
         both = e.unionByName(e.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        least = cut(both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m")))
-        e = cut(both.join(least, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct())
-        least = cut(e.groupBy("u").agg(F.min("v").alias("m")))
-        e = cut(e.join(least, "u").select("u", "v", "m").select(F.explode(F.array(F.struct("u", F.col("m").alias("v")), F.struct(F.col("v").alias("u"), F.col("m").alias("v")))).alias("x")).select("x.*").where("u > v").distinct())
-        now = tuple(e.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first())
+        least = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
+        large = stash(both.where("v > u").join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct(), "star")
+        least = large.groupBy("u").agg(F.min("v").alias("m"))
+        star = large.join(least, "u").select(F.explode(F.array(F.struct("u", F.col("m").alias("v")), F.struct(F.col("v").alias("u"), F.col("m").alias("v")))).alias("x")).select("x.*")
+        small = stash(star.where("u > v").distinct(), "star")
+        free(e, large)
+        e, now = small, tuple(small.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first())
         if now == mark:
             break
         mark = now
-    return e.select(F.col("u").alias("node"), F.col("v").alias("root")).unionByName(e.select(F.col("v").alias("node"), F.col("v").alias("root")).distinct())
+    found = stash(e.select(F.col("u").alias("node"), F.col("v").alias("root")).unionByName(e.select(F.col("v").alias("node"), F.col("v").alias("root")).distinct()), "roots")
+    free(e)
+    return found
 
 
 def find_links(rows: DataFrame, docs: DataFrame) -> tuple[DataFrame, DataFrame]:
     """(classes with their node ids, links between nodes)."""
-    classes = cut(rows.where("n > 0").groupBy("k1", "k2", "n").agg(F.min("doc_id").alias("least_id"), F.min("row_key").alias("row_key"), F.first("bands").alias("bands")))
-    classes = classes.withColumn("node", F.monotonically_increasing_id())  # fixed, as what it numbers is checkpointed
+    classes = rows.where("n > 0").groupBy("k1", "k2", "n").agg(F.min("doc_id").alias("least_id"), F.min("row_key").alias("row_key"), F.first("bands").alias("bands"))
+    classes = stash(classes.withColumn("node", F.monotonically_increasing_id()), "classes")  # the numbers are written with the rows
     banded = classes.select("node", F.posexplode("bands").alias("band", "b"))
     buckets = cut(banded.groupBy("b").agg(F.count("*").alias("size"), F.min("node").alias("leader")).where("size > 1").select("b", "leader"))
     pairs = cut(banded.join(buckets, "b").where(F.col("node") != F.col("leader")).select("leader", "node").distinct())
@@ -274,7 +278,7 @@ def find_links(rows: DataFrame, docs: DataFrame) -> tuple[DataFrame, DataFrame]:
     first = _links(left.unionByName(tasks.select("task", *side(1, False), "node", F.col("node").alias("root"))), payload)
 
     # second: strays against the other members of their leader; what links so far connect needs no comparison
-    roots = cut(components(first))
+    roots = components(first)
     of_leader = roots.select(F.col("node").alias("leader"), F.col("root").alias("leader_root"))
     rest = pairs.join(roots, "node", "left").join(of_leader, "leader", "left").withColumn("root", F.coalesce("root", "node"))
     rest = cut(rest.withColumn("stray", F.col("root") != F.coalesce("leader_root", "leader")).drop("leader_root"))
@@ -289,17 +293,20 @@ def find_links(rows: DataFrame, docs: DataFrame) -> tuple[DataFrame, DataFrame]:
 
 def row_key() -> Column:
     """A key of a row's id and text."""
-    return F.xxhash64(F.col("doc_id").cast("long"), F.col("text").cast("string"))
+    return common.row_key("doc_id", "text")
 
 
 def near_dedup(docs: DataFrame) -> DataFrame:
     """Per row of docs (doc_id, text): doc_id, n_shingles, component_id, kept, row_key (a hash of id and text) and group (null for an empty set)."""
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), row_key().alias("row_key"), F.col("text").cast("string").alias("text"))
-    rows = cut(_sketched(docs))
-    classes, links = find_links(rows, docs)
-    of = cut(classes.select("k1", "k2", "node", "least_id").join(components(links), "node", "left").withColumn("root", F.coalesce("root", "node")))
-    least = cut(of.groupBy("root").agg(F.min("least_id").alias("component_id")))
-    found = cut(of.join(least, "root").select("k1", "k2", "component_id", F.col("root").alias("group")))
+    with scope(docs.sparkSession) as kept:
+        rows = stash(_sketched(docs), "sketches")
+        classes, links = find_links(rows, docs)
+        of = cut(classes.select("k1", "k2", "node", "least_id").join(components(links), "node", "left").withColumn("root", F.coalesce("root", "node")))
+        least = of.groupBy("root").agg(F.min("least_id").alias("component_id"))
+        found = cut(of.join(least, "root").select("k1", "k2", "component_id", F.col("root").alias("group")))
+        rows = cut(rows.drop("bands"))
+        kept += [rows, found]
     own = rows.where("n = 0").select("doc_id", F.col("n").alias("n_shingles"), F.col("doc_id").alias("component_id"), "row_key", F.lit(None).cast("long").alias("group"))
     all_rows = rows.where("n > 0").join(found, ["k1", "k2"]).select("doc_id", F.col("n").alias("n_shingles"), "component_id", "row_key", "group").unionByName(own)
     return all_rows.select("doc_id", "n_shingles", "component_id", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(False)).alias("kept"), "row_key", "group")
@@ -311,11 +318,15 @@ def query(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def survivors(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
     """Row keys of docs that go (distinct), and row keys that stay but stand for several equal rows: one document of each group stays, that of the least id."""
-    found = cut(near_dedup(docs).select("doc_id", "row_key", "group"))
-    first = found.where(F.col("group").isNotNull()).groupBy("group").agg(F.min(F.struct(F.col("doc_id").isNull().alias("x"), "doc_id", "row_key")).alias("first"))
-    first = cut(first.select("group", F.col("first.row_key").alias("first")))
-    rows = found.join(first, "group")
-    return rows.where("row_key <> first").select("row_key").distinct(), rows.where("row_key = first").groupBy("row_key").count().where("count > 1").select("row_key")
+    with scope(docs.sparkSession) as kept:
+        found = cut(near_dedup(docs).select("doc_id", "row_key", "group"))
+        first = found.where(F.col("group").isNotNull()).groupBy("group").agg(F.min(F.struct(F.col("doc_id").isNull().alias("x"), "doc_id", "row_key")).alias("first"))
+        first = cut(first.select("group", F.col("first.row_key").alias("first")))
+        rows = found.join(first, "group")
+        gone = cut(rows.where("row_key <> first").select("row_key").distinct())
+        repeated = cut(rows.where("row_key = first").groupBy("row_key").count().where("count > 1").select("row_key"))
+        kept += [gone, repeated]
+    return gone, repeated
 
 
 SQL = r"""

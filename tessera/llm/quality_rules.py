@@ -63,7 +63,7 @@ def _listed(words: list[str]) -> str:
 
 def measured(docs: DataFrame) -> DataFrame:
     """Per row: doc_id, lang, the contract's counts, and both histograms as arrays of longs."""
-    d = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("lang").cast("string").alias("lang"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("t"))
+    d = docs.select("doc_id", F.col("lang").cast("string").alias("lang"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("t"))
     d = d.select("*", F.expr("filter(split(t, '[\\\\x20\\\\x09-\\\\x0D]+'), w -> w <> '')").alias("w"))
     lines = F.expr("filter(split(t, '\\n', -1), x -> x RLIKE '[^\\\\x20\\\\x09-\\\\x0D]')")
     d = d.select("doc_id", "lang", "t", F.size("w").alias("n"), F.expr("transform(w, x -> xxhash64(x))").alias("h"), F.expr(f"filter(w, x -> x IN ({_listed(WORDS)}))").alias("common"), lines.alias("lines"))
