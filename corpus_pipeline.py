@@ -6,12 +6,13 @@ Each stage takes (spark, docs, sf_dir) and works on all that its predecessor kep
 first four return the rows of docs that stay, with all columns of docs, whatever
 their names; the last returns a row of token counts for each.
 
-A stage decides on rows known by a 64-bit key of their values, so that null or
+A stage decides on rows known by a 128-bit key of their values, so that null or
 repeated ids do no harm. What goes is taken off by an anti-join with the keys of
 the rejected rows: while those are few (their number is counted first) they travel to the
 tasks that read texts, and no text is shuffled; otherwise both sides are.
 Repeated rows share their fate, but near-dedup leaves one of them. Empty tables
-pass through.
+pass through. A stage leaves nothing in the shared folder but its rejected keys;
+run() removes these, and each stage's input, once its output is written.
 """
 
 from __future__ import annotations
@@ -20,53 +21,67 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tessera.llm import decontaminate, language_id, near_dedup, quality_rules, sentencepiece_scan
-from tessera.llm.common import cut, stash, table
+from tessera.llm.common import free, row_key, scope, stash, table
 
-#: Rejected keys up to this number (8 bytes each) travel to the tasks.
+#: Rejected keys up to this number (32 bytes each) travel to the tasks.
 MAP_SIDE_KEYS = 1_000_000
-_KEY = "__row_key"
 
 
-def _keyed(docs: DataFrame, *columns: str) -> DataFrame:
-    return docs.withColumn(_KEY, F.xxhash64(*columns))
+def _keyed(docs: DataFrame, *columns: str) -> tuple[DataFrame, str]:
+    """docs with a key of each row, and the key's name, which no column of docs has."""
+    name = "row_key"
+    while name in docs.columns:
+        name += "_"
+    return docs.withColumn(name, row_key(*columns)), name
 
 
-def _without(docs: DataFrame, keys: DataFrame) -> DataFrame:
-    """Rows of docs (with a key) whose key isn't among keys (one column)."""
-    keys = cut(keys.toDF(_KEY))
-    return docs.join(F.broadcast(keys) if keys.count() <= MAP_SIDE_KEYS else keys, _KEY, "left_anti").drop(_KEY)
+def _few(keys: DataFrame) -> DataFrame:
+    return F.broadcast(keys) if keys.count() <= MAP_SIDE_KEYS else keys
+
+
+def _without(docs: DataFrame, name: str, keys: DataFrame) -> DataFrame:
+    """Rows of docs (with a key of that name) whose key isn't among keys (one column, stashed)."""
+    return docs.join(_few(keys.toDF(name)), name, "left_anti").drop(name)
 
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that pass the base rules and whose histograms fit their language."""
-    keyed = _keyed(docs, "doc_id", "text", "lang")
-    verdict = quality_rules.quality_rules(keyed.select(F.col(_KEY).alias("doc_id"), "text", "lang"))
-    return _without(keyed, verdict.where(~F.col("kept")).select("doc_id").distinct())
+    keyed, name = _keyed(docs, "doc_id", "text", "lang")
+    with scope(spark) as kept:
+        verdict = quality_rules.quality_rules(keyed.select(F.col(name).alias("doc_id"), "text", "lang"))
+        gone = stash(verdict.where(~F.col("kept")).select("doc_id").distinct(), "gone")
+        kept.append(gone)
+    return _without(keyed, name, gone)
 
 
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents in a language that the corpus knows, beyond doubt."""
-    keyed = _keyed(docs, "doc_id", "text", "lang", "source")
-    verdict = language_id.identify(language_id.of_documents(keyed, F.col(_KEY)))
-    return _without(keyed, verdict.where(~F.col("kept")).select("id").distinct())
+    keyed, name = _keyed(docs, "doc_id", "text", "lang", "source")
+    with scope(spark) as kept:
+        verdict = language_id.identify(language_id.of_documents(keyed, F.col(name)))
+        gone = stash(verdict.where(~F.col("kept")).select("id").distinct(), "gone")
+        kept.append(gone)
+    return _without(keyed, name, gone)
 
 
 def dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group of near-duplicates: that of the smallest id."""
     gone, repeated = near_dedup.survivors(docs)
-    keyed = docs.withColumn(_KEY, near_dedup.row_key())
-    repeated = cut(repeated.toDF(_KEY))
+    keyed, name = _keyed(docs, "doc_id", "text")
     if not repeated.isEmpty():  # of equal rows one stays; only they are shuffled
-        few = F.broadcast(repeated) if repeated.count() <= MAP_SIDE_KEYS else repeated
-        keyed = keyed.join(few, _KEY, "left_anti").unionByName(keyed.join(few, _KEY, "left_semi").dropDuplicates([_KEY]))
-    return _without(keyed, gone)
+        few = _few(repeated.toDF(name))
+        keyed = keyed.join(few, name, "left_anti").unionByName(keyed.join(few, name, "left_semi").dropDuplicates([name]))
+    return _without(keyed, name, gone)
 
 
 def clean(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents without any window of a benchmark item."""
-    keyed = _keyed(docs, "doc_id", "text")
-    verdict = decontaminate.decontaminate(keyed.select(F.col(_KEY).alias("doc_id"), "text"), table(spark, sf_dir, "benchmark"))
-    return _without(keyed, verdict.where("contaminated").select("doc_id").distinct())
+    keyed, name = _keyed(docs, "doc_id", "text")
+    with scope(spark) as kept:
+        verdict = decontaminate.decontaminate(keyed.select(F.col(name).alias("doc_id"), "text"), table(spark, sf_dir, "benchmark"))
+        gone = stash(verdict.where("contaminated").select("doc_id").distinct(), "gone")
+        kept.append(gone)
+    return _without(keyed, name, gone)
 
 
 def tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -81,7 +96,12 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = table(spark, sf_dir, "documents")
+    docs, last = table(spark, sf_dir, "documents"), None
     for name, stage in STAGES:
-        docs = stash(stage(spark, docs, sf_dir), name.replace(" ", "-"))
+        with scope(spark) as kept:
+            docs = stash(stage(spark, docs, sf_dir), name.replace(" ", "-"))
+            kept.append(docs)
+        if last is not None:
+            free(last)
+        last = docs
     return docs
