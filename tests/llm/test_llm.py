@@ -235,6 +235,32 @@ def test_token_counts(spark, odd, empty, tmp_path):
         r.commit(5, spark.createDataFrame([("lose", "a", None, "v1", 1, 1)], change))
 
 
+def test_token_counts_in_any_order(spark, tmp_path):
+    """Deletes before their inserts, batches that come late, compactions between them: the totals are the plain sums."""
+    change = "kind string, source string, lang string, tokenizer string, old_tokens long, new_tokens long"
+    rng = np.random.default_rng(1)
+    insert, delete = ("insert", "a", "en", "v1", None, 10), ("delete", "a", "en", "v1", 7, None)
+    r = token_counts.Rollup(spark, str(tmp_path / "one"))
+    for i, x in enumerate([insert, delete, ("insert", "a", "en", "v1", None, 7)], 1):
+        assert r.commit(i, spark.createDataFrame([x], change))
+        if i == 2:
+            r.compact()
+    assert rows_of(r.totals(), "n_docs", "n_tokens") == {(1, 10): 1}
+    late = token_counts.Rollup(spark, str(tmp_path / "late"))
+    sums, order = collections.Counter(), rng.permutation(6).tolist()
+    for k, i in enumerate(order):
+        rows = [("insert", f"s{rng.integers(2)}", "en", "v1", None, int(rng.integers(1, 100))) if rng.random() < 0.6 else ("delete", f"s{rng.integers(2)}", "en", "v1", int(rng.integers(1, 100)), None) for _ in range(5)]
+        for kind, source, _, _, old, new in rows:
+            sums[source, "docs"] += 1 if kind == "insert" else -1
+            sums[source, "tokens"] += new or -old
+        batch = spark.createDataFrame(rows, change)
+        assert late.commit(i, batch) and not late.commit(i, batch)
+        if k % 2:
+            late.compact()
+    assert not late.commit(order[0], batch)
+    assert {(x.source, x.n_docs, x.n_tokens) for x in late.totals().collect()} == {(s, sums[s, "docs"], sums[s, "tokens"]) for s in ("s0", "s1") if sums[s, "docs"]}
+
+
 def test_token_count_query(spark):
     docs, labels = pd.read_parquet(f"{SF}/documents.parquet"), pd.read_parquet(f"{SF}/labels.parquet")
     a, b = (token_counts.encoder(token_counts.vocabulary(f"{n}.tiktoken")) for n in ("byte_bpe_50k", "byte_bpe_multi_50k"))
