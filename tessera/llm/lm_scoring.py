@@ -1,32 +1,40 @@
 """LM scoring by a hidden Markov language model.
 
-A text is its words (white-space bounded, A-Z lower-cased) and one end token. A
-latent state goes from token to token; each state emits symbols: the SYMBOLS
-most frequent training words, the end, and for all other words one of CLASSES classes by their
-last two bytes. Within its class a word has in state j the probability (N_j(w) + p_j) / (N_j + p_j (V + 1)):
-N_j(w) its expected count in the state, N_j that of the class, p_j the state's share of the class, V the class's
-words. Unknown words have N_j(w) = 0; all that is add-one smoothing, told apart by state. So every token has a probability, and a
-text's is the sum over all state paths, exactly, by the scaled forward recursion.
+A text is its words (white-space bounded, A-Z lower-cased) and one end token. A latent
+state goes from token to token and emits the word: in state j word w has probability
+
+    (n_j(w) + BETA p(w)) / (N_j + BETA),    p(w) = (c(w) + 1) / (N + V + 1)
+
+n_j(w) is its expected count in the state, N_j their sum, c its count, N all training
+tokens, V the distinct ones; a word that training hasn't seen has n_j = c = 0. So every state
+is a distribution over the same events as the add-one unigrams, and a text's
+probability is the sum over all state paths, exactly, by the scaled forward recursion.
 
 Training, on the documents that aren't held out (crc32 of the id mod 7 is not 2):
 
-- counts of all words: summed in each task, then by word in a shuffle. The most frequent, SYMBOLS (and HEAD) at most,
-  travel to the tasks.
-- Baum-Welch: in each of ITERATIONS rounds every task runs forward and backward over its
-  texts and gives expected counts. Those of symbols (SYMBOLS x STATES numbers, 32 KB a row, summed in two
-  steps) go to the driver, which takes the new parameters from them. Those of all other words are a table of a row
-  a word, summed by word; it grows with the corpus. From the second round on, and for the scores, it is joined with
-  the words of each block of texts (of BLOCK_TOKENS or one longer text).
-- starting values: the unigram, told apart by state by random factors of symbols that no text decides; then MIXTURE_ROUNDS of a
-  mixture of unigrams (each text in one state) and CLASS_ROUNDS of Baum-Welch in which all words of a class are alike, summed
-  over all training texts like the rounds above.
+1. Texts are written as BUCKETS hashed word classes, two bytes a token. On them, from random factors of
+   classes that no text decides, rounds of a mixture of unigrams (each text in one
+   state) and then Baum-Welch rounds run over all training texts, until the log likelihood a token
+   rises by less than SETTLED or the rounds end. Every task gives expected counts (BUCKETS x STATES numbers, 32 KB a
+   row, summed in two steps), and the driver takes the new parameters from them.
+2. A last Baum-Welch round counts words themselves: a table of a row a word (c, n_j), summed by word.
+   It grows with the corpus; no word is pooled with others.
+3. BETA: states are only trusted as far as they carry over to other texts. The round keeps
+   the counts of two halves of the texts apart; of a grid of values the one that
+   gives each half the most likelihood by the other's counts is taken.
+
+Scores: the HEAD most frequent words travel to the tasks; of the others, each block of
+texts (of BLOCK_TOKENS or one longer text) is joined with the rows that it needs.
+
+Long texts: a text of over CHUNK tokens is cut into chunks, each run from every state at once; their
+transfer matrices give the state vectors at all borders, and then chunks are independent of each
+other. Neither the length of a loop nor what is held of a text at once (GROUP tokens) grows with the text.
 
 Base score: add-one unigrams over training tokens, as the contract has it.
 
-Words are known by 64-bit hashes. Texts are read twice (to count, to encode); the
-rest works on symbols, two bytes a token. Defined results: null texts are empty and
-have the end token alone; a null doc_id is not held out; repeated rows each count and
-each give a row; without training texts every count is 0; other columns are ignored.
+Words are known by 64-bit hashes. Defined results: null texts are empty and have the
+end token alone; a null doc_id is not held out; repeated rows each count and each give a
+row; without training texts every count is 0; other columns are ignored.
 """
 
 from __future__ import annotations
@@ -40,21 +48,24 @@ from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tessera.llm.common import NONSPACE, Block, blocks, remove_path, stash, table
+from tessera.llm.common import NONSPACE, Block, blocks, free, stash, table
 
 STATES = 8
-SYMBOLS = 40_000
-CLASSES = 512
-HEAD = 262_144
-ITERATIONS = 2
-MIXTURE_ROUNDS, CLASS_ROUNDS = 6, 3
+BUCKETS = 1 << 15
+HEAD = 32_768
+MIXTURE_ROUNDS, CLASS_ROUNDS = 8, 5
+#: Rise of the log likelihood a token (natural) below which rounds end.
+SETTLED = 0.005
+#: How many tokens the unigram counts for in a state's emissions while classes are trained.
 PRIOR = 200.0
-#: Tokens that one forward-backward batch holds.
-BATCH_TOKENS = 600_000
-#: Tokens that a task sums before it gives their counts.
-COUNT_TOKENS = 3_000_000
+BETAS = [4.0**k for k in range(16)]
+CHUNK = 4096
+#: Tokens whose state vectors are held at once.
+GROUP = 600_000
 #: Tokens of the texts that meet the table of words together.
 BLOCK_TOKENS = 2_000_000
+#: The end token's hash.
+END = np.uint64(0x0E4D0E4D0E4D0E4D)
 _PART = 1024
 
 
@@ -63,183 +74,180 @@ def held_out() -> Column:
     return F.coalesce(F.pmod(F.crc32(F.encode(F.col("doc_id").cast("string"), "UTF-8")), F.lit(7)) == 2, F.lit(False))
 
 
-def classes_of(block: Block) -> np.ndarray:
-    """The class of each word, by its last two bytes."""
-    last = block.low[block.end - 1].astype(np.int64)
-    before = np.where(block.end - block.start > 1, block.low[np.maximum(block.end - 2, 0)], 0).astype(np.int64)
-    return (before * 31 + last * 57) % CLASSES
-
-
-def count_words(texts: DataFrame) -> DataFrame:
-    """(h, cls, c): training counts of words by hash."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: list[tuple[np.ndarray, np.ndarray]] = []
-        n = 0
-
-        def give() -> pa.RecordBatch:
-            h, at, c = np.unique(np.concatenate([x for x, _ in held]), return_index=True, return_counts=True)
-            cls = np.concatenate([y for _, y in held])[at]
-            return pa.RecordBatch.from_arrays([pa.array(h.view(np.int64)), pa.array(cls.astype(np.int32)), pa.array(c.astype(np.int64))], ["h", "cls", "c"])
-
-        for batch in batches:
-            for _, _, block in blocks(batch.column(0), NONSPACE):
-                held.append((block.word_hashes(), classes_of(block).astype(np.int16)))
-                n += len(block.start)
-                if n >= COUNT_TOKENS:
-                    yield give()
-                    held, n = [], 0
-        if n:
-            yield give()
-
-    return texts.select("text").mapInArrow(run, "h long, cls int, c long").groupBy("h", "cls").agg(F.sum("c").alias("c"))
-
+def tokens_of(block: Block) -> tuple[np.ndarray, np.ndarray]:
+    """(hashes of the tokens, where each text's begin, with the end)."""
+    return np.insert(block.word_hashes(), block.first[1:], END), block.first + np.arange(len(block) + 1)
 
-def head_of(counts: DataFrame, most: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(h, cls, c) of the most frequent words, by count and hash; no table is sorted: bins of the count, of the bin that crosses the limit
-    the counts, and of the count that crosses it ranges of the hash tell where the limit lies."""
 
-    def crossing(rows: DataFrame, by: Column, room: int, down: bool) -> tuple[int | None, int]:
-        """The value at which the words pass the limit (None if they don't), and how many it leaves room for."""
-        for k, n in sorted(((r.k, r.n) for r in rows.groupBy(by.alias("k")).agg(F.count("*").alias("n")).collect()), reverse=down):
-            if n > room:
-                return k, room
-            room -= n
-        return None, room
-
-    level, part = F.floor(F.log2("c") * 16).cast("int"), F.shiftright("h", 52)
-    taken = F.lit(True)
-    k, room = crossing(counts, level, most, True)  # about 1000 bins at most
-    if k is not None:
-        at = counts.where(level == k)
-        least, room = crossing(at, F.col("c"), room, True)
-        last, _ = crossing(at.where(F.col("c") == least), part, room, False)  # 4096 ranges; the last one is cut below
-        taken = (level > k) | ((level == k) & ((F.col("c") > least) | ((F.col("c") == least) & (part <= last))))
-    top = counts.where(taken).select("h", "cls", "c").toArrow()
-    top = top.take(np.lexsort((top["h"].to_numpy(), -top["c"].to_numpy()))[:most])
-    return tuple(top[x].to_numpy().astype(np.int64) for x in ("h", "cls", "c"))
+def classes_of(h: np.ndarray) -> np.ndarray:
+    return np.where(h == END, np.uint64(BUCKETS), h >> np.uint64(64 - int(BUCKETS).bit_length() + 1)).astype(np.uint16)
 
 
 class Model:
-    """Start, transition and emission probabilities."""
+    """Start and transition probabilities, and the emissions of symbols (a row each, by state)."""
 
     def __init__(self, start: np.ndarray, move: np.ndarray, emit: np.ndarray):
         self.start, self.move, self.emit = start, move, emit
 
-    def update(self, start: np.ndarray, move: np.ndarray, emit: np.ndarray, unigram: np.ndarray) -> Model:
+    def update(self, start: np.ndarray, move: np.ndarray, emit: np.ndarray, unigram: np.ndarray, prior: float = PRIOR) -> Model:
         """New parameters from expected counts; emissions shrink towards the unigram."""
-        norm = lambda x: x / x.sum(axis=-1, keepdims=True)
-        return Model(norm(start + 0.1), norm(move + 0.1), norm(emit + PRIOR * unigram))
-
-
-class Batch:
-    """Sequences laid out by time: place t of all texts that are that long, the longest texts first."""
-
-    def __init__(self, texts: list[np.ndarray], refs: list[np.ndarray] | None = None, factors: np.ndarray | None = None):
-        """refs: for each token the row of its word (0: a symbol of its own); factors: what each row's word multiplies the symbol's emissions with."""
-        n = np.array([len(x) for x in texts])
-        self.order = np.argsort(-n, kind="stable")
-        n = n[self.order]
-        steps = int(n[0]) if len(n) else 0
-        self.active = np.searchsorted(-n, -np.arange(steps), side="left")
-        self.at = np.concatenate([[0], np.cumsum(self.active)])
+        norm = lambda x, axis=-1: x / x.sum(axis=axis, keepdims=True)
+        return Model(norm(start + 0.1), norm(move + 0.1), norm(emit + prior * unigram[:, None], 0))
+
+
+class Chunks:
+    """Texts, one behind the other, in chunks of CHUNK symbols at most, and their forward and backward recursions.
+
+    `starts` bounds the texts. Chunk r has the symbols a[r] to a[r] + n[r]; first tells whether a text begins there.
+    """
+
+    def __init__(self, m: Model, symbols: np.ndarray, starts: np.ndarray, chunk: int | None = None):
+        chunk = chunk or CHUNK
+        self.m, self.symbols = m, symbols
+        many = -(-np.diff(starts) // chunk)
+        self.texts, self.owner = len(many), np.repeat(np.arange(len(many)), many)
+        inside = np.arange(len(self.owner)) - np.repeat(np.cumsum(many) - many, many)
+        self.a = starts[:-1][self.owner] + inside * chunk
+        self.n = np.minimum(chunk, starts[1:][self.owner] - self.a)
+        self.first, self.long = inside == 0, many[self.owner] > 1
+        # the state weights before each chunk, and those that what follows it gives its last state
+        self.begin, self.final = np.tile(m.start, (len(self.a), 1)), np.ones((len(self.a), len(m.start)))
+
+    def _groups(self, rows: np.ndarray, most: int) -> Iterator[np.ndarray]:
+        """Runs of chunks with so many symbols at most (or one longer)."""
+        run = np.cumsum(self.n[rows]) // max(most, 1)
+        for g in np.split(rows, np.flatnonzero(np.diff(run)) + 1):
+            if len(g):
+                yield g
+
+    def _forward(self, rows: np.ndarray, begin: np.ndarray, keep: bool = False):
+        """(log probabilities, last state vectors) of chunks from these state weights before them; kept: also what the backward recursion needs.
+
+        Laid out by step, the longest chunks first, so that each step of all of them is one slice."""
+        order = np.argsort(-self.n[rows], kind="stable")
+        n, a = self.n[rows][order], self.a[rows][order]
+        active = np.searchsorted(-n, -np.arange(int(n[0])), side="left")
+        at = np.concatenate([[0], np.cumsum(active)])
         rank = np.repeat(np.arange(len(n)), n)
-        t = np.arange(n.sum()) - np.repeat(np.concatenate([[0], np.cumsum(n)[:-1]]), n)
-        self.symbols = np.empty(n.sum(), dtype=np.int64)
-        if len(n):
-            self.symbols[self.at[t] + rank] = np.concatenate([texts[i] for i in self.order])
-        self.refs, self.factors = None, factors
-        if refs is not None:
-            self.refs = np.zeros(n.sum(), dtype=np.int64)
-            if len(n):
-                self.refs[self.at[t] + rank] = np.concatenate([refs[i] for i in self.order])
-
-    def emissions(self, m: Model) -> np.ndarray:
-        e = m.emit.T[self.symbols]
-        if self.factors is not None:
-            some = np.flatnonzero(self.refs)
-            e[some] *= self.factors[self.refs[some]]
-        return e
-
-    def forward(self, m: Model, keep: bool) -> tuple[np.ndarray, np.ndarray | None, np.ndarray | None]:
-        """(log probability of each text, scaled forward vectors, scales)."""
-        logs = np.zeros(len(self.order))
-        e = self.emissions(m)
+        step = np.arange(len(rank)) - np.repeat(np.cumsum(n) - n, n)
+        place = at[step] + rank
+        flat = np.empty(len(rank), dtype=np.int64)
+        flat[place] = a[rank] + step
+        e = self.m.emit[self.symbols[flat]]
+        x = begin[order].astype(e.dtype)
+        last, scale = np.empty_like(x), np.empty(len(e), dtype=e.dtype)
         alpha = np.empty_like(e) if keep else None
-        scale = np.empty(len(e)) if keep else None
-        a = None
-        for t, k in enumerate(self.active.tolist()):
-            s = slice(self.at[t], self.at[t] + k)
-            a = (m.start if t == 0 else a[:k] @ m.move) * e[s]
-            c = a.sum(axis=1)
-            a /= c[:, None]
-            logs[:k] += np.log(c)
+        move, ones = self.m.move.astype(e.dtype), np.ones(len(self.m.start), dtype=e.dtype)
+        for t, k in enumerate(active.tolist()):
+            if t:
+                if k < len(x):
+                    last[k : len(x)] = x[k:]
+                x = x[:k] @ move
+            s = slice(at[t], at[t] + k)
+            x = x * e[s]
+            c = x @ ones
+            x /= c[:, None]
+            scale[s] = c
             if keep:
-                alpha[s], scale[s] = a, c
-        out = np.empty(len(logs))
-        out[self.order] = logs
-        return out, alpha, scale
-
-    def expect(self, m: Model, words: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray, np.ndarray, float]:
-        """Expected counts: start, moves, emissions; and the log probability of all texts. The counts of each row's word are added to words."""
-        states = len(m.start)
-        logs, alpha, scale = self.forward(m, True)
-        e = self.emissions(m) / scale[:, None]
-        moves, start = np.zeros((states, states)), np.zeros(states)
-        beta = np.empty((0, states))
-        for t in range(len(self.active) - 1, -1, -1):
-            k = int(self.active[t])
-            s = slice(self.at[t], self.at[t] + k)
-            now = np.ones((k, states))
-            if len(beta):
-                n = len(beta)
-                w = beta * e[s.stop : s.stop + n]
-                now[:n] = w @ m.move.T
-                moves += alpha[s][:n].T @ w
-            alpha[s] *= now
-            beta = now
-        start = alpha[: self.active[0]].sum(axis=0) if len(self.active) else start
-        emit = np.stack([np.bincount(self.symbols, weights=alpha[:, j], minlength=m.emit.shape[1]) for j in range(states)])
-        if words is not None:
-            some = np.flatnonzero(self.refs)
-            at = self.refs[some]
-            for j in range(states):
-                words[:, j] += np.bincount(at, weights=alpha[some, j], minlength=len(words))
-        return start, moves * m.move, emit, float(logs.sum())
-
-
-def batches_of(texts: Iterator[np.ndarray], most: int = BATCH_TOKENS) -> Iterator[Batch]:
-    held, n = [], 0
-    for x in texts:
-        held.append(x)
-        n += len(x)
-        if n >= most:
-            yield Batch(held)
-            held, n = [], 0
-    if held:
-        yield Batch(held)
-
-
-def starting_model(shares: np.ndarray | list, unigram: np.ndarray, states: int) -> Model:
-    """States that stay; their shares may be given; each emits the unigram, told apart by random factors if there are shares."""
+                alpha[s] = x
+        last[: len(x)] = x
+        back = np.empty_like(order)
+        back[order] = np.arange(len(order))
+        logs = np.bincount(rank, weights=np.log(scale[place].astype(float)), minlength=len(n))
+        out = logs[back], last[back]
+        return (*out, (order, back, at, active, flat, alpha, scale, e)) if keep else out
+
+    def _borders(self) -> np.ndarray:
+        """Begin and final vectors of the chunks of long texts, and their log probabilities."""
+        states, logs = len(self.m.start), np.zeros(len(self.a))
+        last = np.zeros((len(self.a), states))
+        for g in self._groups(np.flatnonzero(self.first & self.long), GROUP):
+            logs[g], last[g] = self._forward(g, self.begin[g])
+        transfer: dict[int, tuple[float, np.ndarray]] = {}
+        for g in self._groups(np.flatnonzero(~self.first), GROUP // states):
+            ways, ends = self._forward(np.repeat(g, states), np.tile(self.m.move, (len(g), 1)))
+            for r, w, v in zip(g.tolist(), ways.reshape(-1, states), ends.reshape(-1, states, states), strict=True):
+                top = float(w.max())
+                transfer[r] = top, np.exp(w - top)[:, None] * v
+        for r in sorted(transfer):  # from left to right
+            top, t = transfer[r]
+            self.begin[r] = last[r - 1] @ self.m.move
+            v = last[r - 1] @ t
+            last[r] = v / v.sum()
+            logs[r] = math.log(v.sum()) + top
+        for r in sorted(transfer, reverse=True):
+            v = transfer[r][1] @ self.final[r]
+            self.final[r - 1] = v / v.sum()
+        return logs
+
+    def logs(self) -> np.ndarray:
+        """Log probability of each text."""
+        logs = self._borders()
+        for g in self._groups(np.flatnonzero(~self.long), GROUP):
+            logs[g] = self._forward(g, self.begin[g])[0]
+        return np.bincount(self.owner, weights=logs, minlength=self.texts)
+
+    def expect(self) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, float]]:
+        """Expected counts, by groups of chunks: (start, moves, the symbols' positions, their states, log probability)."""
+        states = len(self.m.start)
+        self._borders()
+        carried = None  # the last vector of the chunk before
+        for g in self._groups(np.arange(len(self.a)), GROUP):
+            logs, last, (order, back, at, active, flat, alpha, scale, e) = self._forward(g, self.begin[g], True)
+            final = self.final[g] / (self.final[g] * last).sum(axis=1, keepdims=True)
+            final = final[order].astype(e.dtype)
+            move = self.m.move.astype(e.dtype)
+            moves = np.zeros((states, states))
+            e /= scale[:, None]
+            beta = np.empty((0, states), dtype=e.dtype)
+            for t in range(len(active) - 1, -1, -1):
+                k, n = int(active[t]), len(beta)
+                s = slice(at[t], at[t] + k)
+                if n:
+                    beta *= e[s.stop : s.stop + n]
+                    moves += alpha[s][:n].T @ beta
+                    now = beta @ move.T
+                    beta = now if n == k else np.concatenate([now, final[n:k]])
+                else:
+                    beta = final[:k].copy()
+                alpha[s] *= beta
+            moves *= self.m.move
+            first = alpha[: len(g)][back]
+            for i in np.flatnonzero(~self.first[g]).tolist():  # from the chunk before
+                before = last[i - 1] if i else carried
+                moves += before[:, None] * self.m.move * (first[i] / np.maximum(self.begin[g[i]], 1e-300))
+            carried = last[-1]
+            yield first[self.first[g]].sum(axis=0), moves, flat, alpha, float(logs.sum())
+
+
+def starting_model(unigram: np.ndarray, states: int) -> Model:
+    """States that stay; each emits the unigram, told apart by random factors."""
     move = np.full((states, states), 0.02 / max(states - 1, 1)) + np.eye(states) * (0.98 - 0.02 / max(states - 1, 1))
-    m = Model(np.full(states, 1 / states), move / move.sum(axis=1, keepdims=True), np.tile(unigram, (states, 1)))
-    if len(shares):
-        m.start, m.emit = np.asarray(shares, dtype=float), m.emit * np.exp(np.random.default_rng(11).normal(size=m.emit.shape))
-        m.emit /= m.emit.sum(axis=1, keepdims=True)
-    return m
+    emit = unigram[:, None] * np.exp(np.random.default_rng(11).normal(size=(len(unigram), states)))
+    return Model(np.full(states, 1 / states), move / move.sum(axis=1, keepdims=True), emit / emit.sum(axis=0))
 
 
-def mixture(texts: list[np.ndarray], m: Model) -> tuple[np.ndarray, np.ndarray, np.ndarray, float]:
-    """Expected counts where each text is in one state: texts by state, none, emissions; and 0."""
-    states, n = len(m.start), np.array([len(x) for x in texts])
-    symbols = np.concatenate(texts).astype(np.int64)
-    logs = np.add.reduceat(np.log(np.maximum(m.emit.T, 1e-300)).astype(np.float32)[symbols], np.concatenate([[0], np.cumsum(n)[:-1]]), axis=0, dtype=float) + np.log(m.start + 1e-9)
+def mixture(m: Model, symbols: np.ndarray, starts: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, float]:
+    """Expected counts where each text is in one state: texts by state, no moves, emissions; and the log likelihood."""
+    states, n = len(m.start), np.diff(starts)
+    logs = np.add.reduceat(np.log(np.maximum(m.emit, 1e-30)).astype(np.float32)[symbols], starts[:-1], axis=0, dtype=float) + np.log(m.start + 1e-9)
+    top = logs.max(axis=1, keepdims=True)
     # kept soft, so that no state takes all
-    share = np.exp((logs - logs.max(axis=1, keepdims=True)) / np.maximum(1, n[:, None] / 50))
+    share = np.exp((logs - top) / np.maximum(1, n[:, None] / 50))
     share /= share.sum(axis=1, keepdims=True)
-    emit = np.stack([np.bincount(symbols, weights=np.repeat(share[:, j], n), minlength=m.emit.shape[1]) for j in range(states)])
-    return share.sum(axis=0), np.zeros((states, states)), emit, 0.0
+    emit = np.stack([np.bincount(symbols, weights=np.repeat(share[:, j], n), minlength=len(m.emit)) for j in range(states)], axis=1)
+    return share.sum(axis=0), np.zeros((states, states)), emit, float((top[:, 0] + np.log(np.exp(logs - top).sum(axis=1))).sum())
+
+
+def baum_welch(m: Model, symbols: np.ndarray, starts: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, float]:
+    """Expected counts over all state paths: starts, moves, emissions; and the log likelihood."""
+    c = Chunks(m, symbols, starts)
+    start, moves, emit, log = np.zeros(len(m.start)), np.zeros(m.move.shape), np.zeros(m.emit.shape), 0.0
+    for s, v, span, states, p in c.expect():
+        start, moves, log = start + s, moves + v, log + p
+        for j in range(len(start)):
+            emit[:, j] += np.bincount(symbols[span], weights=states[:, j], minlength=len(emit))
+    return start, moves, emit, log
 
 
 _DENSE = "part int, sub int, v binary"
@@ -247,9 +255,9 @@ _DENSE = "part int, sub int, v binary"
 
 def _dense(total: tuple, sub: int) -> pa.Table:
     """Expected counts as rows of 32 KB."""
-    parts = -(-total[2].shape[1] // _PART)
+    parts = -(-len(total[2]) // _PART)
     small = np.concatenate([total[0], total[1].ravel(), [total[3]]])
-    values = [small.tobytes(), *(total[2][:, i * _PART : (i + 1) * _PART].astype(np.float32).tobytes() for i in range(parts))]
+    values = [small.tobytes(), *(total[2][i * _PART : (i + 1) * _PART].astype(np.float32).tobytes() for i in range(parts))]
     return pa.table({"part": pa.array(np.arange(-1, parts, dtype=np.int32)), "sub": pa.array(np.full(parts + 1, sub % 32, dtype=np.int32)), "v": pa.array(values, pa.binary())})
 
 
@@ -266,22 +274,22 @@ def _sum_dense(rows: DataFrame, states: int, size: int) -> tuple[np.ndarray, np.
     sums = rows.groupBy("part", "sub").applyInArrow(add, "part int, v binary").groupBy("part").applyInArrow(add, "part int, v binary")
     got = {r.part: r.v for r in sums.collect()}  # the size of the dense part
     if not got:
-        return np.zeros(states), np.zeros((states, states)), np.zeros((states, size)), 0.0
+        return np.zeros(states), np.zeros((states, states)), np.zeros((size, states)), 0.0
     small = np.frombuffer(got[-1])
-    emit = np.concatenate([np.frombuffer(got[i], dtype=np.float32).reshape(states, -1) for i in range(parts)], axis=1).astype(float)
+    emit = np.concatenate([np.frombuffer(got[i], dtype=np.float32).reshape(-1, states) for i in range(parts)]).astype(float) if size else np.zeros((0, states))
     return small[:states], small[states:-1].reshape(states, states), emit, float(small[-1])
 
 
-def _alike(encoded: DataFrame, m: Model, mixed: bool) -> tuple[np.ndarray, np.ndarray, np.ndarray, float]:
-    """Expected counts over all rows of (symbols), where words of a class are alike: of the mixture, or of Baum-Welch."""
-    sent = encoded.sparkSession.sparkContext.broadcast(m)
+def _round(encoded: DataFrame, m: Model, step) -> tuple[np.ndarray, np.ndarray, np.ndarray, float]:
+    """Expected counts of a step (mixture or baum_welch) over all rows of (symbols)."""
+    sent = encoded.sparkSession.sparkContext.broadcast(Model(m.start, m.move, m.emit.astype(np.float32)))
 
     def held(rows: Iterator[pa.RecordBatch]) -> Iterator[list[np.ndarray]]:
         texts, n = [], 0
         for x in (np.frombuffer(x.as_py(), dtype=np.uint16) for r in rows for x in r.column(0)):
             texts.append(x)
             n += len(x)
-            if n >= BATCH_TOKENS:
+            if n >= GROUP:
                 yield texts
                 texts, n = [], 0
         if texts:
@@ -290,60 +298,148 @@ def _alike(encoded: DataFrame, m: Model, mixed: bool) -> tuple[np.ndarray, np.nd
     def run(rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         m, total = sent.value, None
         for texts in held(rows):
-            got = mixture(texts, m) if mixed else Batch(texts).expect(m)
+            got = step(m, np.concatenate(texts), np.concatenate([[0], np.cumsum([len(x) for x in texts])]))
             total = got if total is None else tuple(x + y for x, y in zip(total, got, strict=True))
         if total is not None:
             yield from _dense(total, TaskContext.get().partitionId()).to_batches()
 
-    return _sum_dense(encoded.select("symbols").mapInArrow(run, _DENSE), *m.emit.shape)
-
-
-class Within:
-    """Probabilities of words within their classes, by state: from the classes' expected counts (CLASSES, states) and T, the sum of (c + 1) over a class, plus 1."""
-
-    def __init__(self, counts: np.ndarray, t: np.ndarray):
-        states, total = counts.shape[1], counts.sum(axis=1, keepdims=True)
-        self.share = (counts + 1.0 / states) / (total + 1.0)
-        self.total = counts + self.share * np.maximum(t[:, None] - total, 1.0)
-
-    def factors(self, cls: np.ndarray, n: np.ndarray) -> np.ndarray:
-        """Of words of these classes with these expected counts (0 for unknown ones)."""
-        return (n + self.share[cls]) / self.total[cls]
-
-
-class Texts:
-    """Encoded texts and the words in them that have no symbol of their own (as `own` words have): h and cls are sorted by hash."""
-
-    def __init__(self, symbols: list[bytes], rare: list[np.ndarray], own: int):
-        self.texts = [np.frombuffer(x, dtype=np.uint16) for x in symbols]
-        self.h, at = np.unique(np.concatenate([np.empty(0, dtype=np.int64), *rare]), return_inverse=True)
-        flat = np.concatenate([np.empty(0, dtype=np.uint16), *self.texts])
-        some = (flat >= own) & (flat < own + CLASSES)
-        self.cls = np.zeros(len(self.h), dtype=np.int64)
-        self.cls[at] = flat[some].astype(np.int64) - own
-        refs = np.zeros(len(flat), dtype=np.int64)
-        refs[some] = at + 1
-        self.lengths = np.array([len(x) for x in self.texts], dtype=np.int64)
-        self.refs = np.split(refs, np.cumsum(self.lengths)[:-1])
-        self.c = np.bincount(at, minlength=len(self.h))
-
-    def find(self, table: pa.Table, states: int) -> tuple[np.ndarray, np.ndarray]:
-        """(training count, expected counts by state) of each word, from rows (h, c, n0, n1, ...)."""
-        c, n = np.zeros(len(self.h), dtype=np.int64), np.zeros((len(self.h), states))
-        at = np.searchsorted(self.h, table["h"].to_numpy())
-        c[at] = table["c"].to_numpy()
-        for j in range(states):
-            n[at, j] = table[f"n{j}"].to_numpy()
-        return c, n
-
-    def batches(self, factors: np.ndarray | None) -> Iterator[Batch]:
-        factors = None if factors is None else np.concatenate([np.ones((1, factors.shape[1])), factors])
-        a, n = 0, 0
-        for b, k in enumerate(self.lengths.tolist(), 1):
-            n += k
-            if n >= BATCH_TOKENS or b == len(self.texts):
-                yield Batch(self.texts[a:b], self.refs[a:b], factors)
-                a, n = b, 0
+    out = _sum_dense(encoded.select("symbols").mapInArrow(run, _DENSE), len(m.start), len(m.emit))
+    sent.destroy()
+    return out
+
+
+def train_states(encoded: DataFrame, states: int) -> Model:
+    """A model of classes of words, from the texts in (symbols)."""
+    size = BUCKETS + 1
+    count = _round(encoded, Model(np.ones(1), np.ones((1, 1)), np.full((size, 1), 1 / size)), mixture)[2][:, 0]
+    unigram, tokens = (count + 1) / (count.sum() + size), max(count.sum(), 1)
+    m = starting_model(unigram, states)
+    for step, rounds in ((mixture, MIXTURE_ROUNDS), (baum_welch, CLASS_ROUNDS)):
+        last = -math.inf
+        for _ in range(rounds):
+            start, move, emit, log = _round(encoded, m, step)
+            new = m.update(start, move, emit, unigram)
+            m = Model(new.start, m.move if step is mixture else new.move, new.emit)
+            if log / tokens - last < SETTLED:
+                break
+            last = log / tokens
+    return m
+
+
+def _encode(texts: DataFrame) -> DataFrame:
+    """(symbols): the word classes of each text, two bytes a token."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for _, _, block in blocks(batch.column(0), NONSPACE):
+                h, starts = tokens_of(block)
+                symbols = classes_of(h)
+                rows = pa.array([symbols[x:y].tobytes() for x, y in zip(starts[:-1].tolist(), starts[1:].tolist(), strict=True)], pa.binary())
+                yield pa.RecordBatch.from_arrays([rows], ["symbols"])
+
+    return texts.select("text").mapInArrow(run, "symbols binary")
+
+
+def count_words(texts: DataFrame, m: Model) -> tuple[DataFrame, np.ndarray, np.ndarray]:
+    """A Baum-Welch round that counts words: the table (h, c, n0, n1, ..., and c and n of the first half as d, m0, m1, ...), and the model's new start and moves."""
+    states = len(m.start)
+    sent = texts.sparkSession.sparkContext.broadcast(Model(m.start, m.move, m.emit.astype(np.float32)))
+    of = [f"n{j}" for j in range(states)]
+    ddl = ", ".join(["part int, sub int, v binary, h long, half boolean, c long", *(f"{x} float" for x in of)])
+
+    def words(h: np.ndarray, half: bool, gamma: np.ndarray) -> pa.RecordBatch:
+        u, at, c = np.unique(h, return_inverse=True, return_counts=True)
+        k = len(u)
+        n = [pa.array(np.bincount(at, weights=gamma[:, j], minlength=k).astype(np.float32)) for j in range(states)]
+        return pa.RecordBatch.from_arrays([pa.nulls(k, pa.int32()), pa.nulls(k, pa.int32()), pa.nulls(k, pa.binary()), pa.array(u.view(np.int64)), pa.array(np.full(k, half)), pa.array(c.astype(np.int64)), *n], [x.split()[0] for x in ddl.split(", ")])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        m = sent.value
+        held: dict[bool, list] = {True: [], False: []}
+        size = {True: 0, False: 0}
+        total = [np.zeros(states), np.zeros((states, states))]
+
+        def give(half: bool) -> Iterator[pa.RecordBatch]:
+            h = np.concatenate(held[half])
+            starts = np.concatenate([[0], np.cumsum([len(x) for x in held[half]])])
+            held[half], size[half] = [], 0
+            for s, v, span, gamma, _ in Chunks(m, classes_of(h), starts).expect():
+                total[0], total[1] = total[0] + s, total[1] + v
+                yield words(h[span], half, gamma)
+
+        for batch in batches:
+            for a, _, block in blocks(batch.column(0), NONSPACE):
+                h, starts = tokens_of(block)
+                halves = batch.column(1).to_numpy(zero_copy_only=False)[a : a + len(block)]
+                for i, (x, y) in enumerate(zip(starts[:-1].tolist(), starts[1:].tolist(), strict=True)):
+                    half = bool(halves[i])
+                    held[half].append(h[x:y])
+                    size[half] += y - x
+                    if size[half] >= GROUP:
+                        yield from give(half)
+        for half in (True, False):
+            if held[half]:
+                yield from give(half)
+        if total[0].any():
+            t = _dense((*total, np.zeros((0, states)), 0.0), TaskContext.get().partitionId())
+            k = len(t)
+            yield pa.RecordBatch.from_arrays([*(t[c].combine_chunks() for c in ("part", "sub", "v")), pa.nulls(k, pa.int64()), pa.nulls(k, pa.bool_()), pa.nulls(k, pa.int64()), *[pa.nulls(k, pa.float32())] * states], [x.split()[0] for x in ddl.split(", ")])
+
+    half = F.pmod(F.xxhash64("text", "doc_id"), F.lit(2)) == 0
+    rows = texts.select(F.col("text"), half.alias("half")).mapInArrow(run, ddl)
+    first = lambda c: F.sum(F.when(F.col("half"), F.col(c)).otherwise(0))
+    sums = [F.sum("c").alias("c"), *(F.sum(x).cast("float").alias(x) for x in of), first("c").cast("long").alias("d"), *(first(x).cast("float").alias("m" + x[1:]) for x in of)]
+    # expected starts and moves are rows of their own, one a task and step
+    both = stash(rows.groupBy("h", "part", "sub", "v").agg(*sums), "words")
+    start, move, _, _ = _sum_dense(both.where("part IS NOT NULL").select("part", "sub", "v"), states, 0)
+    sent.destroy()
+    return both.where("h IS NOT NULL").drop("part", "sub", "v"), start, move
+
+
+def choose_beta(words: DataFrame, states: int) -> float:
+    """Of BETAS the one under which the halves of the texts tell most of each other."""
+    tot = words.agg(F.sum("c").alias("c"), F.sum("d").alias("d"), F.count("*").alias("v"), *(F.sum(F.col(f"{x}{j}").cast("double")).alias(f"{x}{j}") for x in "nm" for j in range(states))).first()
+    if not tot.v:
+        return BETAS[0]
+    n, m = (np.array([tot[f"{x}{j}"] for j in range(states)]) for x in "nm")
+    sides = [(m, float(tot.d)), (n - m, float(tot.c - tot.d))]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        out = np.zeros(len(BETAS))
+        for b in batches:
+            c, d = b.column("c").to_numpy().astype(float), b.column("d").to_numpy().astype(float)
+            every, one = (np.stack([b.column(f"{x}{j}").to_numpy() for j in range(states)], axis=1).astype(float) for x in "nm")
+            two = np.maximum(every - one, 0)
+            for own, other, count, (sums, size) in ((one, two, d, sides[0]), (two, one, c - d, sides[1])):
+                p = ((count + 1) / (size + tot.v + 1))[:, None]
+                for i, beta in enumerate(BETAS):
+                    out[i] += float((other * np.log((own + beta * p) / (sums + beta))).sum())
+        yield pa.RecordBatch.from_arrays([pa.array(range(len(BETAS)), pa.int32()), pa.array(out)], ["i", "log"])
+
+    got = {r.i: r.log for r in words.mapInArrow(run, "i int, log double").groupBy("i").agg(F.sum("log").alias("log")).collect()}
+    return BETAS[max(got, key=got.get)]
+
+
+def head_of(counts: DataFrame, most: int) -> Column:
+    """Whether a row of (h, c) is among the most frequent words, by count and hash (of equal counts whole ranges of hashes, so that up to 1/4096 of those words may be left out); no
+    table is sorted: bins of the count, of the bin that crosses the limit the counts, and of the count that crosses it ranges of the hash tell where the limit lies."""
+
+    def crossing(rows: DataFrame, by: Column, room: int, down: bool) -> tuple[int | None, int]:
+        """The value at which the words pass the limit (None if they don't), and how many it leaves room for."""
+        for k, n in sorted(((r.k, r.n) for r in rows.groupBy(by.alias("k")).agg(F.count("*").alias("n")).collect()), reverse=down):
+            if n > room:
+                return k, room
+            room -= n
+        return None, room
+
+    level, part = F.floor(F.log2("c") * 16).cast("int"), F.shiftright("h", 52)
+    k, room = crossing(counts, level, most, True)  # about 1000 bins at most
+    if k is None:
+        return F.lit(True)
+    at = counts.where(level == k)
+    least, room = crossing(at, F.col("c"), room, True)
+    last, _ = crossing(at.where(F.col("c") == least), part, room, False)  # 4096 ranges
+    return (level > k) | ((level == k) & ((F.col("c") > least) | ((F.col("c") == least) & (part < last))))
 
 
 def _lists(column: pa.ChunkedArray | pa.Array) -> list[np.ndarray]:
@@ -351,7 +447,7 @@ def _lists(column: pa.ChunkedArray | pa.Array) -> list[np.ndarray]:
     out = []
     for x in column.chunks if isinstance(column, pa.ChunkedArray) else [column]:
         o = x.offsets.to_numpy()
-        out += np.split(x.values.to_numpy(), o[1:-1]) if len(x) and o[0] == 0 and o[-1] == len(x.values) else [x.values.to_numpy()[a:b] for a, b in zip(o[:-1], o[1:], strict=True)]
+        out += [x.values.to_numpy()[a:b] for a, b in zip(o[:-1], o[1:], strict=True)]
     return out
 
 
@@ -372,159 +468,110 @@ def _runs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.Table]:
         yield pa.Table.from_batches(held)
 
 
-def _with_words(encoded: DataFrame, words: DataFrame, names: list[str]):
-    """Encoded texts, cogrouped by block with the rows of the table of words that they need."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for t in _runs(batches):
-            h = np.unique(np.concatenate(_lists(t["rare"])))
-            yield pa.RecordBatch.from_arrays([pa.array(np.full(len(h), t["bid"][0].as_py(), dtype=np.int64)), pa.array(h)], ["bid", "h"])
-
-    need = encoded.select("bid", "rare").mapInArrow(run, "bid long, h long").join(words, "h")
-    return encoded.select("bid", *names).groupBy("bid").cogroup(need.groupBy("bid"))
-
-
-def _expected(encoded: DataFrame, m: Model, words: DataFrame | None = None, within: Within | None = None) -> tuple[np.ndarray, np.ndarray, np.ndarray, float, DataFrame]:
-    """Baum-Welch counts over all rows of (bid, symbols, rare), summed across partitions; and the table of words without a symbol: h, c, n0, n1, ...
+class Fitted:
+    """A trained model: start and moves, and the table of words with all that their probabilities need."""
 
-    Without words, all words of a class are emitted alike in each state."""
-    spark = encoded.sparkSession
-    sent = spark.sparkContext.broadcast((m, within))
-    states, size = m.emit.shape
-    of_word = [f"n{j}" for j in range(states)]
-    ddl = ", ".join([_DENSE, "h long, c long", *(f"{x} float" for x in of_word)])
-
-    def dense(total: tuple, sub: int) -> pa.Table:
-        t = _dense(total, sub)
-        return pa.table({**{c: t[c] for c in t.column_names}, "h": pa.nulls(len(t), pa.int64()), "c": pa.nulls(len(t), pa.int64()), **{x: pa.nulls(len(t), pa.float32()) for x in of_word}})
-
-    def sparse(x: Texts, n: np.ndarray) -> pa.Table:
-        k = len(x.h)
-        return pa.table({"part": pa.nulls(k, pa.int32()), "sub": pa.nulls(k, pa.int32()), "v": pa.nulls(k, pa.binary()), "h": pa.array(x.h), "c": pa.array(x.c.astype(np.int64)), **{c: pa.array(n[1:, j].astype(np.float32)) for j, c in enumerate(of_word)}})
-
-    def expect(t: pa.Table, table: pa.Table | None) -> tuple[tuple, pa.Table]:
-        m, within = sent.value
-        x, total = Texts(t["symbols"].to_pylist(), _lists(t["rare"]), m.emit.shape[1] - CLASSES - 1), None
-        n = np.zeros((len(x.h) + 1, states))
-        for b in x.batches(None if table is None else within.factors(x.cls, x.find(table, states)[1])):
-            got = b.expect(m, n)
-            total = got if total is None else tuple(p + q for p, q in zip(total, got, strict=True))
-        return total, sparse(x, n)
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        total = None
-        for t in _runs(batches):
-            got, rows = expect(t, None)
-            yield from rows.to_batches()
-            total = got if total is None else tuple(p + q for p, q in zip(total, got, strict=True))
-        if total is not None:
-            yield from dense(total, TaskContext.get().partitionId()).to_batches()
-
-    def meet(t: pa.Table, table: pa.Table) -> pa.Table:
-        if not t.num_rows:
-            return dense((np.zeros(states), np.zeros((states, states)), np.zeros((states, size)), 0.0), 0).slice(0, 0)
-        total, rows = expect(t, table)
-        return pa.concat_tables([dense(total, t["bid"][0].as_py()), rows])
-
-    raw = encoded.select("bid", "symbols", "rare").mapInArrow(run, ddl) if words is None else _with_words(encoded, words, ["symbols", "rare"]).applyInArrow(meet, ddl)
-    raw = stash(raw, "expected")
-    got = _sum_dense(raw.where("part IS NOT NULL").select("part", "sub", "v"), states, size)
-    table = stash(raw.where("h IS NOT NULL").groupBy("h").agg(F.sum("c").alias("c"), *(F.sum(x).cast("float").alias(x) for x in of_word)), "words")
-    for path in {x.rsplit("/", 1)[0] for x in raw.inputFiles()}:
-        remove_path(spark, path)
-    return *got, table
-
-
-_ENCODED = "rid long, doc_id long, held_out boolean, n_tokens long, known long, base double, bid long, symbols binary, rare array<long>"
+    def __init__(self, m: Model, words: DataFrame, beta: float):
+        states = len(m.start)
+        self.m, self.words, self.beta = m, words, beta
+        tot = words.agg(F.coalesce(F.sum("c"), F.lit(0)).alias("n"), F.count("*").alias("v"), *(F.coalesce(F.sum(F.col(f"n{j}").cast("double")), F.lit(0.0)).alias(f"n{j}") for j in range(states))).first()
+        self.n, self.v = tot.n, tot.v
+        self.state_n = np.array([tot[f"n{j}"] for j in range(states)])
 
+    def emissions(self, c: np.ndarray, n: np.ndarray) -> np.ndarray:
+        """Of words with these counts and expected counts (0: unknown)."""
+        p = (c + 1.0) / (self.n + self.v + 1)
+        return (n + self.beta * p[:, None]) / (self.state_n + self.beta)
 
-def _encode(docs: DataFrame, head: np.ndarray, counts: np.ndarray, rank: np.ndarray, end_count: int) -> DataFrame:
-    """Texts as symbols, with what the head table tells of their words' counts; words that aren't in it are listed by hash."""
-    sent = docs.sparkSession.sparkContext.broadcast((head, np.log10(counts + 1.0), rank))
-    symbols = SYMBOLS
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        head, logs, rank = sent.value
+def fit(docs: DataFrame, states: int = STATES) -> Fitted:
+    """The model of the texts of docs (doc_id, text, held_out) that aren't held out."""
+    train = docs.where(~F.col("held_out"))
+    encoded = stash(_encode(train), "symbols")
+    m = train_states(encoded, states)
+    free(encoded)
+    words, start, move = count_words(train, m)
+    return Fitted(m.update(start, move, m.emit, np.zeros(len(m.emit))), words, choose_beta(words, states))
+
+
+def score(docs: DataFrame, fitted: Fitted) -> DataFrame:
+    """Per row of docs (doc_id, text, held_out): doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score."""
+    states = len(fitted.m.start)
+    of = [f"n{j}" for j in range(states)]
+    top = fitted.words.where(head_of(fitted.words, HEAD)).select("h", "c", *of).toArrow().sort_by("h")  # HEAD rows
+    spark, start, move = docs.sparkSession, fitted.m.start, fitted.m.move
+    head = top["h"].to_numpy().copy()
+    counts, rates = top["c"].to_numpy(), fitted.emissions(top["c"].to_numpy(), np.stack([top[x].to_numpy() for x in of], axis=1).astype(float))
+    sent = spark.sparkContext.broadcast((head, counts, rates, start, move))
+    emissions, names = fitted.emissions.__func__, ["doc_id", "held_out"]
+    numbers = type("Numbers", (), {})  # what emissions() reads of the model, without its table
+    law = (fitted.n, fitted.v, fitted.beta, fitted.state_n)
+    id_type = docs.schema["doc_id"].dataType.simpleString()
+
+    def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        head = sent.value[0]
         bid, size = TaskContext.get().partitionId() << 32, 0
         for batch in batches:
-            for a, b, block in blocks(batch.column(3), NONSPACE):
-                n = b - a
-                h, cls = block.word_hashes().view(np.int64), classes_of(block)
+            for a, b, block in blocks(batch.column(2), NONSPACE):
+                h, starts = tokens_of(block)
+                h = h.view(np.int64)
                 at = np.minimum(np.searchsorted(head, h), max(len(head) - 1, 0))
                 own = head[at] == h if len(head) else np.zeros(len(h), dtype=bool)
-                symbol = np.where(own, rank[at] if len(head) else 0, symbols + cls)
-                c = np.where(own, logs[at] if len(head) else 0.0, 0.0)
-                owner = np.repeat(np.arange(n), block.counts())
-                sums = [np.bincount(owner, weights=x, minlength=n).astype(float) for x in (own, c)]
-                tokens = np.insert(symbol, block.first[1:], symbols + CLASSES).astype(np.uint16)
-                cuts = block.first + np.arange(n + 1)
-                rare, per = h[~own].copy(), np.concatenate([[0], np.cumsum(np.bincount(owner[~own], minlength=n))])
-                lists = pa.ListArray.from_arrays(pa.array(per.astype(np.int32)), pa.array(rare))
-                texts = pa.array([tokens[x:y].tobytes() for x, y in zip(cuts[:-1].tolist(), cuts[1:].tolist(), strict=True)], pa.binary())
-                if size and size + len(tokens) > BLOCK_TOKENS:
+                codes, rare = [], []
+                for x, y in zip(starts[:-1].tolist(), starts[1:].tolist(), strict=True):
+                    code, other = at[x:y].astype(np.int32), ~own[x:y]
+                    u, inverse = np.unique(h[x:y][other], return_inverse=True)
+                    code[other] = -1 - inverse  # words that aren't in the head: places in the text's own list
+                    codes.append(code.tobytes())
+                    rare.append(u)
+                if size and size + len(h) > BLOCK_TOKENS:
                     bid, size = bid + 1, 0
-                size += len(tokens)
-                yield pa.RecordBatch.from_arrays([*(batch.column(i).slice(a, n) for i in range(3)), pa.array(block.counts().astype(np.int64) + 1), pa.array(sums[0].astype(np.int64) + (end_count > 0)), pa.array(sums[1] + math.log10(end_count + 1)), pa.array(np.full(n, bid, dtype=np.int64)), texts, lists], [x.split()[0] for x in _ENCODED.split(", ")])
-
-    return docs.mapInArrow(run, _ENCODED)
+                size += len(h)
+                per = np.concatenate([[0], np.cumsum([len(u) for u in rare])]).astype(np.int32)
+                lists = pa.ListArray.from_arrays(pa.array(per), pa.array(np.concatenate(rare)))
+                yield pa.RecordBatch.from_arrays([*(batch.column(i).slice(a, b - a) for i in range(2)), pa.array(np.full(b - a, bid, dtype=np.int64)), pa.array(codes, pa.binary()), lists], ["doc_id", "held_out", "bid", "codes", "rare"])
 
+    def need(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for t in _runs(batches):
+            h = np.unique(np.concatenate(_lists(t["rare"])))
+            yield pa.RecordBatch.from_arrays([pa.array(np.full(len(h), t["bid"][0].as_py(), dtype=np.int64)), pa.array(h)], ["bid", "h"])
 
-def _forward(encoded: DataFrame, m: Model, words: DataFrame, within: Within) -> DataFrame:
-    """(rid, doc_id, held_out, n_tokens, known, base, score): score is the log10 probability."""
-    sent = encoded.sparkSession.sparkContext.broadcast((m, within))
-    names = ["rid", "doc_id", "held_out", "n_tokens", "known", "base"]
-    states = len(m.start)
-
-    def run(t: pa.Table, table: pa.Table) -> pa.Table:
+    def meet(t: pa.Table, rows: pa.Table) -> pa.Table:
+        head, counts, rates, start, move = sent.value
+        own = numbers()
+        own.n, own.v, own.beta, own.state_n = law
         if not t.num_rows:
-            return t.select(names).append_column("score", pa.array([], pa.float64()))
-        m, within = sent.value
-        x = Texts(t["symbols"].to_pylist(), _lists(t["rare"]), m.emit.shape[1] - CLASSES - 1)
-        c, n = x.find(table, states)
-        score = np.concatenate([b.forward(m, False)[0] for b in x.batches(within.factors(x.cls, n))]) / math.log(10)
-        owner, refs = np.repeat(np.arange(len(x.texts)), x.lengths), np.concatenate(x.refs)
-        c = np.concatenate([[0], c])[refs]
-        more, logs = (np.bincount(owner, weights=v, minlength=len(x.texts)) for v in (c > 0, np.log10(c + 1.0)))
-        t = t.select(names).set_column(4, "known", pa.array(t["known"].to_numpy() + more.astype(np.int64))).set_column(5, "base", pa.array(t["base"].to_numpy() + logs))
-        return t.append_column("score", pa.array(score))
-
-    return _with_words(encoded, words, [*names, "symbols", "rare"]).applyInArrow(run, "rid long, doc_id long, held_out boolean, n_tokens long, known long, base double, score double")
-
-
-def lm_score(docs: DataFrame, states: int = STATES, iterations: int = ITERATIONS) -> DataFrame:
+            return pa.table({"doc_id": t["doc_id"], "held_out": t["held_out"], **{c: pa.array([], k) for c, k in (("n_tokens", pa.int64()), ("n_known", pa.int64()), ("base_score", pa.float64()), ("score", pa.float64()))}})
+        rare = _lists(t["rare"])
+        h = np.unique(np.concatenate(rare))
+        c, n = np.zeros(len(h), dtype=np.int64), np.zeros((len(h), states))
+        at = np.searchsorted(h, rows["h"].to_numpy())
+        c[at], n[at] = rows["c"].to_numpy(), np.stack([rows[x].to_numpy() for x in of], axis=1)
+        emit = np.concatenate([rates, emissions(own, c, n)])
+        c = np.concatenate([counts, c])
+        tokens = []
+        for x, u in zip(t["codes"].to_pylist(), rare, strict=True):
+            code = np.frombuffer(x, dtype=np.int32).copy()
+            other = code < 0
+            code[other] = len(head) + np.searchsorted(h, u)[-1 - code[other]]
+            tokens.append(code)
+        size = np.array([len(x) for x in tokens])
+        starts, flat = np.concatenate([[0], np.cumsum(size)]), np.concatenate(tokens)
+        logs = Chunks(Model(start, move, emit), flat, starts).logs() / math.log(10)
+        seen = c[flat]
+        known, base = (np.add.reduceat(x, starts[:-1]) for x in ((seen > 0).astype(np.int64), np.log10((seen + 1.0) / (own.n + own.v + 1))))
+        return pa.table({"doc_id": t["doc_id"], "held_out": t["held_out"], "n_tokens": pa.array(size.astype(np.int64)), "n_known": pa.array(known), "base_score": pa.array(base), "score": pa.array(logs)})
+
+    encoded = stash(docs.select(*names, "text").mapInArrow(encode, f"doc_id {id_type}, held_out boolean, bid long, codes binary, rare array<long>"), "codes")
+    rows = encoded.select("bid", "rare").mapInArrow(need, "bid long, h long").join(fitted.words.select("h", "c", *of), "h")
+    out = encoded.select(*names, "bid", "codes", "rare").groupBy("bid").cogroup(rows.groupBy("bid")).applyInArrow(meet, f"doc_id {id_type}, held_out boolean, n_tokens long, n_known long, base_score double, score double")
+    return out.select("doc_id", "held_out", "n_tokens", "n_known", F.lit(fitted.n).cast("long").alias("train_tokens"), "base_score", "score")
+
+
+def lm_score(docs: DataFrame, states: int = STATES) -> DataFrame:
     """Per row of docs (doc_id, text): doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score."""
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).withColumn("held_out", held_out())
-    train = docs.where(~F.col("held_out"))
-    counts = stash(count_words(train), "counts")
-    n_train = train.count()
-    total = counts.agg(F.coalesce(F.sum("c"), F.lit(0)).alias("n"), F.count("*").alias("v")).first()
-    n, v = total.n + n_train, total.v + (n_train > 0)
-    head, cls, c = head_of(counts, HEAD)
-    # T of each class: over all words that have no symbol of their own
-    sums = {r.cls: r.t for r in counts.groupBy("cls").agg(F.sum(F.col("c") + 1).alias("t")).collect()}
-    t = np.array([sums.get(i, 0) for i in range(CLASSES)], dtype=float) - np.bincount(cls[:SYMBOLS], weights=c[:SYMBOLS] + 1.0, minlength=CLASSES) + 1.0
-    head, c = head[:SYMBOLS], c[:SYMBOLS]
-    order = np.argsort(head, kind="stable")
-    with_id = docs.select(F.monotonically_increasing_id().alias("rid"), "doc_id", "held_out", "text")
-    encoded = stash(_encode(with_id, head[order], c[order], order, n_train), "symbols")
-
-    unigram = np.concatenate([c[:SYMBOLS] + 1.0, np.zeros(max(0, SYMBOLS - len(c))), t, [n_train + 1.0]])
-    unigram /= unigram.sum()
-    training = encoded.where(~F.col("held_out"))
-    m = starting_model(np.full(states, 1 / states), unigram, states)
-    for _ in range(MIXTURE_ROUNDS):
-        start, _, emit, _ = _alike(training, m, True)
-        new = m.update(start, np.zeros_like(m.move), emit, unigram)
-        m = Model(new.start, m.move, new.emit)
-    for _ in range(CLASS_ROUNDS):
-        m = m.update(*_alike(training, m, False)[:3], unigram)
-    words = within = None
-    for _ in range(max(iterations, 1)):
-        *got, _, words = _expected(training, m, words, within)
-        m, within = m.update(*got, unigram), Within(got[2][:, SYMBOLS:-1].T, t)
-
-    out = _forward(encoded, m, words, within)
-    return out.select("doc_id", "held_out", "n_tokens", F.col("known").alias("n_known"), F.lit(n).cast("long").alias("train_tokens"), (F.col("base") - F.col("n_tokens") * math.log10(n + v + 1)).alias("base_score"), "score")
+    return score(docs, fit(docs, states))
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:

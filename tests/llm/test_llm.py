@@ -352,66 +352,92 @@ def test_shards_are_even(spark):
 # --- 8 LM scoring
 
 
-def test_forward_and_counts_equal_enumeration():
+@pytest.mark.parametrize(("chunk", "group"), [(100, 1000), (1, 1), (2, 4), (3, 1)])
+def test_forward_and_counts_equal_enumeration(monkeypatch, chunk, group):
+    """Also where texts are cut into chunks, and chunks are handled in groups."""
+    monkeypatch.setattr(lm_scoring, "CHUNK", chunk)
+    monkeypatch.setattr(lm_scoring, "GROUP", group)
     rng = np.random.default_rng(1)
     s, v = 3, 5
-    m = lm_scoring.Model(rng.dirichlet(np.ones(s)), rng.dirichlet(np.ones(s), s), rng.dirichlet(np.ones(v), s))
-    texts = [rng.integers(0, v, n) for n in (1, 4, 2, 5)]
-    batch = lm_scoring.Batch(texts)
-    start, moves, emit, _ = batch.expect(m)
-    expect = [np.zeros(s), np.zeros((s, s)), np.zeros((s, v))]
-    for x, log in zip(texts, batch.forward(m, False)[0], strict=True):
-        total, own = 0.0, [np.zeros(s), np.zeros((s, s)), np.zeros((s, v))]
+    m = lm_scoring.Model(rng.dirichlet(np.ones(s)), rng.dirichlet(np.ones(s), s), rng.dirichlet(np.ones(v), s).T.copy())
+    texts = [rng.integers(0, v, n) for n in (1, 4, 2, 7, 3)]
+    flat, starts = np.concatenate(texts), np.concatenate([[0], np.cumsum([len(x) for x in texts])])
+    expect, logs = [np.zeros(s), np.zeros((s, s)), np.zeros((v, s))], []
+    for x in texts:
+        total, own = 0.0, [np.zeros(s), np.zeros((s, s)), np.zeros((v, s))]
         for z in itertools.product(range(s), repeat=len(x)):
-            p = m.start[z[0]] * np.prod([m.emit[a, b] for a, b in zip(z, x, strict=True)]) * np.prod([m.move[a, b] for a, b in itertools.pairwise(z)])
+            p = m.start[z[0]] * np.prod([m.emit[b, a] for a, b in zip(z, x, strict=True)]) * np.prod([m.move[a, b] for a, b in itertools.pairwise(z)])
             total += p
             own[0][z[0]] += p
             for a, b in itertools.pairwise(z):
                 own[1][a, b] += p
             for a, b in zip(z, x, strict=True):
-                own[2][a, b] += p
-        assert math.log(total) == pytest.approx(log)
+                own[2][b, a] += p
+        logs.append(math.log(total))
         expect = [e + o / total for e, o in zip(expect, own, strict=True)]
-    for a, b in zip(expect, (start, moves, emit), strict=True):
-        assert np.allclose(a, b)
+    assert np.allclose(lm_scoring.Chunks(m, flat, starts).logs(), logs)
+    *got, log = lm_scoring.baum_welch(m, flat, starts)
+    assert log == pytest.approx(sum(logs)) and all(np.allclose(a, b) for a, b in zip(got, expect, strict=True))
 
 
 def test_baum_welch_climbs():
     rng = np.random.default_rng(2)
     texts = [np.repeat(rng.integers(0, 2), 20) * 3 + rng.integers(0, 3, 20) for _ in range(40)]
-    unigram = np.full(6, 1 / 6)
-    m = lm_scoring.starting_model([], unigram, 2)
-    m.emit = rng.dirichlet(np.ones(6), 2)
+    flat, starts = np.concatenate(texts), np.arange(41) * 20
+    m = lm_scoring.starting_model(np.full(6, 1 / 6), 2)
     logs = []
     for _ in range(5):
-        *counts, log = lm_scoring.Batch(texts).expect(m)
+        *counts, log = lm_scoring.baum_welch(m, flat, starts)
         logs.append(log)
-        m = lm_scoring.Model(counts[0] / counts[0].sum(), counts[1] / counts[1].sum(axis=1, keepdims=True), counts[2] / counts[2].sum(axis=1, keepdims=True))
+        m = lm_scoring.Model(counts[0] / counts[0].sum(), counts[1] / counts[1].sum(axis=1, keepdims=True), counts[2] / counts[2].sum(axis=0, keepdims=True))
     assert all(b >= a - 1e-6 for a, b in itertools.pairwise(logs))
 
 
-@pytest.mark.parametrize("head", [262_144, 50])
-def test_lm_score(spark, odd, empty, monkeypatch, head):
+def brute_scores(rows, fitted):
+    """Log10 probability of each text by the plain forward recursion in logarithms, from the table of words."""
+    states = len(fitted.m.start)
+    words_of = {r.h: (r.c, np.array([r[f"n{j}"] for j in range(states)])) for r in fitted.words.collect()}
+    n, v = sum(c for c, _ in words_of.values()), len(words_of)
+    total = sum((x for _, x in words_of.values()), np.zeros(states))
+    out = []
+    for text in rows:
+        block = common.Block(np.frombuffer((text or "").encode(), dtype=np.uint8), np.array([0, len((text or "").encode())]), common.NONSPACE)
+        a, log = None, 0.0
+        for h in lm_scoring.tokens_of(block)[0].view(np.int64).tolist():
+            c, x = words_of.get(h, (0, np.zeros(states)))
+            e = (x + fitted.beta * (c + 1) / (n + v + 1)) / (total + fitted.beta)
+            a = (fitted.m.start if a is None else a @ fitted.m.move) * e
+            log, a = log + math.log10(a.sum()), a / a.sum()
+        out.append(log)
+    return out
+
+
+@pytest.mark.parametrize(("head", "chunk"), [(32_768, 4096), (50, 700), (0, 4096)])
+def test_lm_score(spark, odd, empty, monkeypatch, head, chunk):
     monkeypatch.setattr(lm_scoring, "HEAD", head)
-    got = lm_scoring.lm_score(odd, states=2, iterations=1)
+    monkeypatch.setattr(lm_scoring, "CHUNK", chunk)
+    monkeypatch.setattr(lm_scoring, "BLOCK_TOKENS", 1000 if head == 50 else 2_000_000)
+    made = []
+    fit = lm_scoring.fit
+    monkeypatch.setattr(lm_scoring, "fit", lambda *a: made.append(fit(*a)) or made[-1])
+    got = lm_scoring.lm_score(odd, states=2)
     rows = odd.collect()
     held = [r.doc_id is not None and zlib.crc32(str(r.doc_id).encode()) % 7 == 2 for r in rows]
     tokens = [[*words(r.text), "\n"] for r in rows]
     c = collections.Counter(w for t, h in zip(tokens, held, strict=True) if not h for w in t)
     n, v = sum(c.values()), len(c)
-    expect = collections.Counter((r.doc_id, h, len(t), sum(c[w] > 0 for w in t), n, round(sum(math.log10((c[w] + 1) / (n + v + 1)) for w in t), 3)) for r, t, h in zip(rows, tokens, held, strict=True))
-    assert rows_of(got.withColumn("base_score", F.round("base_score", 3)), "doc_id", "held_out", "n_tokens", "n_known", "train_tokens", "base_score") == expect
-    assert got.where("score IS NULL OR isnan(score) OR score >= 0").count() == 0
-    assert lm_scoring.lm_score(empty, states=2, iterations=1).count() == 0
+    scores = brute_scores([r.text for r in rows], made[0])
+    expect = collections.Counter((r.doc_id, h, len(t), sum(c[w] > 0 for w in t), n, round(sum(math.log10((c[w] + 1) / (n + v + 1)) for w in t), 3), round(x, 2)) for r, t, h, x in zip(rows, tokens, held, scores, strict=True))
+    assert rows_of(got.withColumns({"base_score": F.round("base_score", 3), "score": F.round("score", 2)}), "doc_id", "held_out", "n_tokens", "n_known", "train_tokens", "base_score", "score") == expect
+    assert lm_scoring.lm_score(empty, states=2).count() == 0
 
 
-def test_lm_states_tell_rare_words_apart(spark, monkeypatch):
-    """Words without a symbol of their own, alike in count and last bytes, belong to the states of the texts they were seen in."""
-    monkeypatch.setattr(lm_scoring, "SYMBOLS", 20)
+def test_lm_states_tell_rare_words_apart(spark):
+    """Words outside of the head, alike in count, belong to the states of the texts they were seen in."""
     rng = np.random.default_rng(3)
-    common = [[f"{side}{i}" for i in range(10)] for side in ("left", "right")]
+    common_words = [[f"{side}{i}" for i in range(10)] for side in ("left", "right")]
     rare = [[f"{side}{i:03}zz" for i in range(100)] for side in ("l", "r")]
-    text = lambda a, b: " ".join(itertools.chain.from_iterable(zip(rng.choice(common[a], 30), rng.permutation(rare[b])[:30], strict=True)))
+    text = lambda a, b: " ".join(itertools.chain.from_iterable(zip(rng.choice(common_words[a], 30), rng.permutation(rare[b])[:30], strict=True)))
     held = lambda i: zlib.crc32(str(i).encode()) % 7 == 2
     ids = [i for i in range(300) if not held(i)]
     rows = [(i, text(i % 2, i % 2)) for i in ids]
@@ -429,33 +455,33 @@ def test_lm_states_tell_rare_words_apart(spark, monkeypatch):
 
 @pytest.mark.parametrize("most", [0, 10, 120, 500])
 def test_lm_head_is_filled(spark, most):
-    """Also where very many words have equal counts."""
+    """Also where very many words have equal counts: to a range of hashes (one of 4096) below the limit."""
     rng = np.random.default_rng(5)
-    h = [int(x) for x in rng.integers(-(1 << 63), (1 << 63) - 1, 400)]
-    rows = [(x, 0, 9 if i < 50 else 100 if i < 52 else 1) for i, x in enumerate(h)]
-    got = lm_scoring.head_of(spark.createDataFrame(rows, "h long, cls int, c long"), most)
-    expect = sorted(rows, key=lambda r: (-r[2], r[0]))[:most]
-    assert list(zip(got[0].tolist(), got[2].tolist(), strict=True)) == [(a, c) for a, _, c in expect]
+    rows = [(int(x), 9 if i < 50 else 100 if i < 52 else 1) for i, x in enumerate(rng.integers(-(1 << 63), (1 << 63) - 1, 400))]
+    df = spark.createDataFrame(rows, "h long, c long")
+    got = [tuple(r) for r in df.where(lm_scoring.head_of(df, most)).collect()]
+    expect = sorted(rows, key=lambda r: (-r[1], r[0] >> 52))[: len(got)]
+    assert sorted(got) == sorted(expect) and min(most, 400) - 3 <= len(got) <= most
 
 
-def test_lm_words_of_a_class_sum_to_one():
-    rng = np.random.default_rng(4)
-    c = rng.integers(1, 9, 30)
-    n = rng.dirichlet(np.ones(3), 30) * c[:, None]
-    within = lm_scoring.Within(n.sum(axis=0, keepdims=True), np.array([(c + 1.0).sum() + 1]))
-    f = within.factors(np.zeros(31, dtype=int), np.concatenate([n, np.zeros((1, 3))]))
-    assert np.allclose(f.sum(axis=0), 1)
+def test_lm_emissions_sum_to_one(spark):
+    rows = [(i, f"{'a b c d'[i % 7:]} word{i} tail{i % 5}") for i in range(60)]
+    f = lm_scoring.fit(spark.createDataFrame(rows, "doc_id long, text string").withColumn("held_out", lm_scoring.held_out()), 3)
+    w = f.words.toPandas()
+    e = f.emissions(np.append(w["c"], 0), np.concatenate([w[["n0", "n1", "n2"]].to_numpy(float), np.zeros((1, 3))]))
+    assert np.allclose(e.sum(axis=0), 1)
 
 
-def test_lm_start_sees_texts_that_a_sample_misses(spark, monkeypatch):
-    """Rare kinds of text, all of them longer than 4096 tokens, have a part in the start."""
+def test_lm_training_sees_all_texts(spark, monkeypatch):
+    """Rare kinds of text, all of them longer than a chunk, have a part in each round."""
     seen = []
     update = lm_scoring.Model.update
     monkeypatch.setattr(lm_scoring.Model, "update", lambda self, *a: seen.append(a[2].sum()) or update(self, *a))
     rows = [(i, "one two three") for i in range(20)] + [(i, "seldom " * 5000) for i in range(100, 110)]
     train = [r for r in rows if zlib.crc32(str(r[0]).encode()) % 7 != 2]
-    lm_scoring.lm_score(spark.createDataFrame(rows, "doc_id long, text string"), states=2)
-    assert len(seen) > 2 and all(x == pytest.approx(sum(len(words(t)) + 1 for _, t in train)) for x in seen)
+    fitted = lm_scoring.fit(spark.createDataFrame(rows, "doc_id long, text string").withColumn("held_out", lm_scoring.held_out()), 2)
+    tokens = sum(len(words(t)) + 1 for _, t in train)
+    assert len(seen) > 3 and all(x == pytest.approx(tokens) for x in seen[:-1]) and fitted.state_n.sum() == pytest.approx(tokens, rel=1e-4)
 
 
 def test_lm_beats_unigrams(spark):
