@@ -10,19 +10,26 @@ Base rules (fixed): words are `[^\\x20\\x09-\\x0D]+`; a document fails with fewe
 than 50 words, or if over half of its words lie in 3-word windows that the text
 has twice or more.
 
-Verdict: base passed, character distance at most MAX_CHAR_DISTANCE, and word
-distance at most MAX_WORD_DISTANCE. Common words are pooled by rank (the first
-HEAD of a language, its other common words, all other words), so that a text in
-several languages fits too. Minimum-length guards: the word histogram of a text
-of under MIN_WORDS_FOR_COMMON words is too thin to judge and isn't held against
-it; a language of under MIN_REFERENCE_DOCS good documents has no reference of
-its own, and the one of all documents counts.
+Common words are learned: of the words with a letter that at least MIN_SHARE of a
+language's documents have, the N_COMMON that most have (by all documents; equal
+ones in order). A word histogram has a bin for each and one for all other words.
+Languages of under MIN_REFERENCE_DOCS documents of MIN_WORDS words, and documents
+without one, are held against the characters and common words of all documents (words
+summed over those that have no reference of their own).
+
+Verdict: base passed, character distance at most CHAR_FACTOR times the references' documents'
+median, and squared word distance at most WORD_FACTOR squared times spread + N_COMMON / (8 ln 2 n).
+The second term is what sampling n words from the reference itself gives; the
+spread is the median, over the documents that make the references, of what is beyond it. So
+the limit is as strict for long texts as for short ones. Minimum-length guard: the word
+histogram of a text of under MIN_WORDS_FOR_COMMON words is too thin to judge and isn't held against it.
 
 Defined results: a null or empty text has no words and fails the base; repeated
 rows each give a row; other columns are ignored.
 
-Cost: one pass over the texts. Each text's rows of counts (about 20 numbers)
-are checkpointed and joined with a reference of one row a language; texts are
+Cost: two passes over the texts, one to learn the common words (texts' distinct words are
+counted on the map side), one to measure. Each text's row of counts (about 40 numbers)
+is written and joined with a reference of one row a language; texts are
 never shuffled. Repeats are found by sorting a text's own window hashes, n log n
 in its words.
 """
@@ -30,50 +37,66 @@ in its words.
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from tessera.llm.common import cut, table
 
 MIN_WORDS = 50
-MAX_CHAR_DISTANCE = 0.28
-MAX_WORD_DISTANCE = 0.21
 MIN_WORDS_FOR_COMMON = 60
 MIN_REFERENCE_DOCS = 20
-HEAD = 5
-
-#: Common words of each language, the most common first.
-COMMON_WORDS = {
-    "en": ("the", "of", "and", "to", "in", "a", "is", "that", "for", "it", "was", "on", "with", "be", "as", "by", "at", "are", "this", "from"),
-    "de": ("der", "die", "und", "in", "den", "von", "zu", "das", "mit", "sich", "des", "auf", "für", "ist", "im", "dem", "nicht", "ein", "eine", "als"),
-    "fr": ("de", "la", "le", "et", "les", "des", "en", "un", "du", "une", "que", "est", "pour", "qui", "dans", "par", "sur", "au", "pas", "plus"),
-    "es": ("de", "la", "que", "el", "en", "y", "a", "los", "se", "del", "las", "un", "por", "con", "no", "una", "su", "para", "es", "al"),
-}
-WORDS = sorted({w for ws in COMMON_WORDS.values() for w in ws})
-HEADS = sorted({w for ws in COMMON_WORDS.values() for w in ws[:HEAD]})
+MIN_SHARE = 0.01
+N_COMMON = 20
+WORD_FACTOR = 1.45
+CHAR_FACTOR = 3.0
+#: The limits of a corpus without any reference document.
+CHAR_MEDIAN, SPREAD = 0.1, 0.01
+#: 8 ln 2: a histogram of n draws from k + 1 bins has a squared distance of about k / (8 ln 2 n) bits from what it was drawn from.
+SAMPLING = 5.545177444479562
 
 #: Character classes, taken off a text one after the other; what is left is the last class.
 CLASSES = (("lower", "[a-z]+"), ("space", "[ \\t\\n\\x0B\\f\\r]+"), ("symbol", "[#*$%&|<>]+"), ("mark", "[.,;:!?'\"()-]+"), ("upper", "[A-Z]+"), ("digit", "[0-9]+"), ("letter", "\\p{L}+"))
 N_CLASSES = len(CLASSES) + 1
 
 
-def _listed(words: list[str]) -> str:
-    """A SQL list of the words, as they stand in running text: plain and with a capital."""
-    return ", ".join(f"'{x}'" for w in words for x in (w, w[0].upper() + w[1:]))
+_UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
+_WORDS = "filter(split({}, '[\\\\x20\\\\x09-\\\\x0D]+'), w -> w <> '')"
+
+
+def common_words(docs: DataFrame) -> tuple[DataFrame, list[str]]:
+    """(lang, common) of the languages with references of their own, and the common words of all documents."""
+    low = F.translate(F.coalesce(F.col("text").cast("string"), F.lit("")), _UPPER, _LOWER)
+    d = docs.select(F.col("lang").cast("string").alias("lang"), low.alias("t")).select("lang", F.expr(_WORDS.format("t")).alias("w")).where(F.size("w") >= MIN_WORDS)
+    words = d.select("lang", F.explode(F.array_distinct("w")).alias("word")).where(F.col("word").rlike("[^\\x00-\\x60\\x7B-\\x7F]"))
+    counted = cut(words.groupBy("lang", "word").count().where("count > 1"))
+    sizes = cut(d.groupBy("lang").count().withColumnRenamed("count", "docs"))  # a row a language
+    own = counted.join(sizes.where(F.col("lang").isNotNull() & (F.col("docs") >= MIN_REFERENCE_DOCS)), "lang").where(F.col("count") >= MIN_SHARE * F.col("docs"))
+    # few words of a language reach the share: at most 1 / MIN_SHARE times the words of a text
+    ranked = own.withColumn("rank", F.row_number().over(W.partitionBy("lang").orderBy(F.desc("count"), "word"))).where(F.col("rank") <= N_COMMON)
+    lists = cut(ranked.groupBy("lang").agg(F.sort_array(F.collect_list(F.struct("rank", "word"))).alias("r")).select("lang", F.col("r.word").alias("common")))
+    total = sizes.agg(F.sum("docs")).first()[0] or 0
+    every = counted.groupBy("word").agg(F.sum("count").alias("count")).where(F.col("count") >= MIN_SHARE * total).orderBy(F.desc("count"), "word").limit(N_COMMON)
+    return lists, [r.word for r in every.collect()]
 
 
 def measured(docs: DataFrame) -> DataFrame:
-    """Per row: doc_id, lang, the contract's counts, and both histograms as arrays of longs."""
-    d = docs.select("doc_id", F.col("lang").cast("string").alias("lang"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("t"))
-    d = d.select("*", F.expr("filter(split(t, '[\\\\x20\\\\x09-\\\\x0D]+'), w -> w <> '')").alias("w"))
+    """Per row: doc_id, ref (the language whose reference counts, null: that of all), the contract's counts, and both histograms as arrays of longs."""
+    lists, every = common_words(docs)
+    text = F.coalesce(F.col("text").cast("string"), F.lit(""))
+    d = docs.select("doc_id", F.col("lang").cast("string").alias("lang"), text.alias("t")).join(lists.withColumn("ref", F.col("lang")), "lang", "left")
+    all_words = F.array(*map(F.lit, every)) if every else F.array().cast("array<string>")
+    d = d.select("doc_id", "ref", "t", F.coalesce("common", all_words).alias("common"), F.expr(_WORDS.format("t")).alias("w"))
     lines = F.expr("filter(split(t, '\\n', -1), x -> x RLIKE '[^\\\\x20\\\\x09-\\\\x0D]')")
-    d = d.select("doc_id", "lang", "t", F.size("w").alias("n"), F.expr("transform(w, x -> xxhash64(x))").alias("h"), F.expr(f"filter(w, x -> x IN ({_listed(WORDS)}))").alias("common"), lines.alias("lines"))
+    places = F.expr(f"filter(transform(w, x -> array_position(common, translate(x, '{_UPPER}', '{_LOWER}'))), p -> p > 0)")
+    d = d.select("doc_id", "ref", "t", F.size("w").alias("n"), F.expr("transform(w, x -> xxhash64(x))").alias("h"), places.alias("places"), lines.alias("lines"))
     # hashes of the 3-word windows, sorted, so that equal ones are neighbours; a window that runs over the end gets a place of its own
     d = d.select("*", F.expr("sort_array(transform(slice(h, 1, greatest(n - 2, 0)), (x, i) -> struct(xxhash64(x, h[i + 1], h[i + 2]) AS g, i AS i)))").alias("g"))
     twice = "filter(g, (x, j) -> x.g = get(g, j - 1).g OR x.g = get(g, j + 1).g)"
-    d = d.select("doc_id", "lang", "t", "n", "common", "lines", F.expr(f"sort_array(transform({twice}, x -> x.i))").alias("p"))
+    d = d.select("doc_id", "ref", "t", "n", "places", "lines", F.expr(f"sort_array(transform({twice}, x -> x.i))").alias("p"))
     covered = F.expr("aggregate(transform(p, (x, j) -> least(3, coalesce(get(p, j + 1) - x, 3))), 0, (a, x) -> a + x)").cast("long")
-    d = d.select("doc_id", "lang", "t", F.col("n").cast("long").alias("n_words"), covered.alias("n_repeat_words"), (F.size("lines") - F.size(F.array_distinct("lines"))).cast("long").alias("n_dup_lines"),
-                 F.size("common").cast("long").alias("n_common"), F.expr(f"size(filter(common, x -> x IN ({_listed(HEADS)})))").cast("long").alias("n_head"))
+    words = F.expr(f"transform(sequence(1, {N_COMMON}), i -> CAST(size(places) - size(array_remove(places, CAST(i AS BIGINT))) AS BIGINT))")
+    d = d.select("doc_id", "ref", "t", F.col("n").cast("long").alias("n_words"), covered.alias("n_repeat_words"), (F.size("lines") - F.size(F.array_distinct("lines"))).cast("long").alias("n_dup_lines"),
+                 F.concat(words, F.array((F.col("n") - F.size("places")).cast("long"))).alias("words"))
     left = "t"
     for name, pattern in CLASSES:
         d = d.withColumn(f"t_{name}", F.regexp_replace(left, pattern, ""))
@@ -83,17 +106,17 @@ def measured(docs: DataFrame) -> DataFrame:
     names = [n for n, _ in CLASSES] + ["rest"]
     failed = (F.col("n_words") < MIN_WORDS) | (100 * F.col("n_repeat_words") > 50 * F.col("n_words"))
     word_chars = sum((F.col(n) for n in names if n != "space"), F.lit(0).cast("long"))
-    return d.select("doc_id", "lang", "n_words", word_chars.alias("word_chars"), F.col("symbol").alias("n_symbols"), "n_dup_lines", "n_repeat_words", failed.alias("base_failed"),
-                    F.array(*names).alias("chars"), F.array(F.col("n_head"), F.col("n_common") - F.col("n_head"), F.col("n_words") - F.col("n_common")).alias("words"))
+    return d.select("doc_id", "ref", "n_words", word_chars.alias("word_chars"), F.col("symbol").alias("n_symbols"), "n_dup_lines", "n_repeat_words", failed.alias("base_failed"), F.array(*names).alias("chars"), "words")
 
 
-def references(rows: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """Summed histograms of the documents that pass the base rules: by language, and of all."""
+def references(rows: DataFrame) -> DataFrame:
+    """(ref, ref_chars, ref_words): summed histograms of the documents that pass the base rules, by language; under null the characters of all of them, and the words of those without a reference of their own."""
     good = rows.where(~F.col("base_failed"))
     sums = lambda name, n: F.array(*[F.sum(F.col(name)[i]) for i in range(n)])
-    made = [sums("chars", N_CLASSES).alias("ref_chars"), sums("words", 3).alias("ref_words"), F.count("*").alias("docs")]
-    own = good.where(F.col("lang").isNotNull()).groupBy("lang").agg(*made).where(F.col("docs") >= MIN_REFERENCE_DOCS).drop("docs")
-    return own, good.agg(*made).drop("docs").select(F.col("ref_chars").alias("all_chars"), F.col("ref_words").alias("all_words"))
+    by = good.groupBy("ref").agg(sums("chars", N_CLASSES).alias("ref_chars"), sums("words", N_COMMON + 1).alias("ref_words"))
+    by = cut(by)
+    every = by.agg(sums("ref_chars", N_CLASSES).alias("s")).first().s
+    return by.withColumn("ref_chars", F.when(F.col("ref").isNull(), F.array(*[F.lit(x).cast("long") for x in every])).otherwise(F.col("ref_chars")))
 
 
 def distance(p: str, q: str) -> Column:
@@ -110,14 +133,17 @@ def distance(p: str, q: str) -> Column:
 def quality_rules(docs: DataFrame) -> DataFrame:
     """Per row of docs (doc_id, text, lang): the contract's counts, both distances, base_failed and kept."""
     rows = cut(measured(docs))
-    own, every = references(rows)
-    # one row a language, and one row: their size follows the number of languages, and Spark picks the join by it
-    d = rows.join(own, "lang", "left").crossJoin(every)
-    d = d.withColumns({"ref_chars": F.coalesce("ref_chars", "all_chars"), "ref_words": F.coalesce("ref_words", "all_words")})
-    d = d.withColumns({"char_distance": distance("chars", "ref_chars"), "word_distance": distance("words", "ref_words")})
-    thin = F.col("n_words") < MIN_WORDS_FOR_COMMON
-    fits = (F.coalesce("char_distance", F.lit(0.0)) <= MAX_CHAR_DISTANCE) & (thin | (F.coalesce("word_distance", F.lit(0.0)) <= MAX_WORD_DISTANCE))
-    return d.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", (~F.col("base_failed") & fits).alias("kept"), F.round("char_distance", 4).alias("char_distance"), F.round("word_distance", 4).alias("word_distance"))
+    own = references(rows)  # a row a language
+    d = rows.join(own.withColumnRenamed("ref", "own"), F.col("ref").eqNullSafe(F.col("own")), "left")
+    d = d.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", distance("chars", "ref_chars").alias("cd"), distance("words", "ref_words").alias("wd"))
+    # distances are rounded so that the exact medians hold few values
+    judged, beyond = F.col("n_words") >= MIN_WORDS_FOR_COMMON, F.round(F.col("wd") * F.col("wd") - N_COMMON / (SAMPLING * F.col("n_words")), 4)
+    m = d.where(~F.col("base_failed")).agg(F.expr("percentile(round(cd, 4), 0.5)").alias("cd"), F.percentile(F.when(judged, beyond), F.lit(0.5)).alias("spread")).first()
+    char_limit = CHAR_FACTOR * (m.cd if m.cd is not None else CHAR_MEDIAN)
+    spread = max(m.spread if m.spread is not None else SPREAD, 0.0001)
+    word_limit = WORD_FACTOR * F.sqrt(F.lit(spread) + N_COMMON / (SAMPLING * F.col("n_words")))
+    fits = (F.coalesce("cd", F.lit(0.0)) <= char_limit) & (~judged | (F.coalesce("wd", F.lit(0.0)) <= word_limit))
+    return d.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", (~F.col("base_failed") & fits).alias("kept"), F.round("cd", 4).alias("char_distance"), F.round("wd", 4).alias("word_distance"))
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -140,28 +166,38 @@ def _sql() -> str:
     chars = ", ".join([*names, f"length({left})"])
     return f"""
 WITH raw AS (SELECT row_number() OVER () AS rid, doc_id, lang, coalesce(text, '') AS t FROM documents),
-d AS (SELECT *, regexp_extract_all(t, '[^\\x20\\x09-\\x0D]+') AS w,
+d AS (SELECT *, regexp_extract_all(t, '[^\\x20\\x09-\\x0D]+') AS w, regexp_extract_all(translate(t, '{_UPPER}', '{_LOWER}'), '[^\\x20\\x09-\\x0D]+') AS lw,
              list_filter(string_split(t, chr(10)), lambda x: regexp_matches(x, '[^\\x20\\x09-\\x0D]')) AS lines FROM raw),
+long_ones AS (SELECT lang, lw FROM d WHERE len(w) >= {MIN_WORDS}),
+df AS (SELECT lang, word, count(*) AS n FROM (SELECT lang, unnest(list_distinct(lw)) AS word FROM long_ones) WHERE regexp_matches(word, '[^\\x00-\\x60\\x7B-\\x7F]') GROUP BY 1, 2 HAVING count(*) > 1),
+sizes AS (SELECT lang, count(*) AS docs FROM long_ones GROUP BY 1),
+lists AS (SELECT lang, list(word ORDER BY n DESC, word) AS common FROM (
+            SELECT df.lang, word, n FROM df JOIN sizes ON df.lang = sizes.lang WHERE docs >= {MIN_REFERENCE_DOCS} AND n >= {MIN_SHARE} * docs
+            QUALIFY row_number() OVER (PARTITION BY df.lang ORDER BY n DESC, word) <= {N_COMMON}) GROUP BY lang),
+every AS (SELECT list(word ORDER BY n DESC, word) AS words FROM (
+            SELECT word, sum(n) AS n FROM df GROUP BY word HAVING sum(n) >= {MIN_SHARE} * (SELECT sum(docs) FROM sizes) ORDER BY n DESC, word LIMIT {N_COMMON})),
 grams AS (SELECT rid, i, array_to_string(w[i:i + 2], ' ') AS g FROM (SELECT rid, w, unnest(generate_series(1, len(w) - 2)) AS i FROM d)),
 twice AS (SELECT rid, i FROM grams QUALIFY count(*) OVER (PARTITION BY rid, g) > 1),
 rep AS (SELECT rid, count(DISTINCT p) AS n_repeat_words FROM (SELECT rid, unnest([i, i + 1, i + 2]) AS p FROM twice) GROUP BY rid),
 {", ".join(steps)},
-m AS (SELECT c.rid, doc_id, lang, len(w)::BIGINT AS n_words, symbol::BIGINT AS n_symbols,
+m AS (SELECT c.rid, doc_id, lists.lang AS ref, len(w)::BIGINT AS n_words, symbol::BIGINT AS n_symbols,
              (len(lines) - len(list_distinct(lines)))::BIGINT AS n_dup_lines, coalesce(n_repeat_words, 0)::BIGINT AS n_repeat_words, [{chars}]::BIGINT[] AS chars, space,
-             len(list_filter(w, lambda x: x IN ({_listed(HEADS)}))) AS hd, len(list_filter(w, lambda x: x IN ({_listed(WORDS)}))) AS cm
-      FROM c{len(CLASSES) - 1} c LEFT JOIN rep USING (rid)),
-r AS (SELECT *, (list_sum(chars) - space)::BIGINT AS word_chars, [hd, cm - hd, n_words - cm]::BIGINT[] AS words,
-             n_words < {MIN_WORDS} OR 100 * n_repeat_words > 50 * n_words AS base_failed FROM m),
-good AS (SELECT * FROM r WHERE NOT base_failed),
-own AS (SELECT lang, [{", ".join(f"sum(chars[{i + 1}])" for i in range(N_CLASSES))}]::BIGINT[] AS oc, [{", ".join(f"sum(words[{i + 1}])" for i in range(3))}]::BIGINT[] AS ow
-        FROM good WHERE lang IS NOT NULL GROUP BY lang HAVING count(*) >= {MIN_REFERENCE_DOCS}),
-every AS (SELECT [{", ".join(f"sum(chars[{i + 1}])" for i in range(N_CLASSES))}]::BIGINT[] AS ac, [{", ".join(f"sum(words[{i + 1}])" for i in range(3))}]::BIGINT[] AS aw FROM good),
-j AS (SELECT r.*, coalesce(oc, ac) AS rc, coalesce(ow, aw) AS rw FROM r LEFT JOIN own ON r.lang = own.lang CROSS JOIN every),
-x AS (SELECT *, {_sql_distance("chars", "rc")} AS cd, {_sql_distance("words", "rw")} AS wd FROM j)
+             lw, coalesce(common, (SELECT words FROM every), []) AS common
+      FROM c{len(CLASSES) - 1} c LEFT JOIN rep USING (rid) LEFT JOIN lists ON c.lang = lists.lang),
+h AS (SELECT *, list_transform(range(1, {N_COMMON + 1}), lambda i: CASE WHEN i <= len(common) THEN len(list_filter(lw, lambda x: x = common[i])) ELSE 0 END) AS bins FROM m),
+r AS (SELECT *, (list_sum(chars) - space)::BIGINT AS word_chars, list_append(bins, n_words - list_sum(bins))::BIGINT[] AS words,
+             n_words < {MIN_WORDS} OR 100 * n_repeat_words > 50 * n_words AS base_failed FROM h),
+own AS (SELECT ref, [{", ".join(f"sum(chars[{i + 1}])" for i in range(N_CLASSES))}]::BIGINT[] AS rc, [{", ".join(f"sum(words[{i + 1}])" for i in range(N_COMMON + 1))}]::BIGINT[] AS rw
+        FROM r WHERE NOT base_failed GROUP BY ref),
+every_chars AS (SELECT [{", ".join(f"sum(chars[{i + 1}])" for i in range(N_CLASSES))}]::BIGINT[] AS ac FROM r WHERE NOT base_failed),
+refs AS (SELECT ref, CASE WHEN ref IS NULL THEN ac ELSE rc END AS rc, rw FROM own, every_chars),
+x AS (SELECT r.*, {_sql_distance("chars", "rc")} AS cd, {_sql_distance("words", "rw")} AS wd FROM r LEFT JOIN refs ON r.ref IS NOT DISTINCT FROM refs.ref),
+med AS (SELECT {CHAR_FACTOR} * coalesce(median(round(cd, 4)), {CHAR_MEDIAN}) AS char_limit,
+               greatest(coalesce(median(CASE WHEN n_words >= {MIN_WORDS_FOR_COMMON} THEN round(wd * wd - {N_COMMON} / ({SAMPLING} * n_words), 4) END), {SPREAD}), 0.0001) AS spread FROM x WHERE NOT base_failed)
 SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed,
-       NOT base_failed AND coalesce(cd, 0) <= {MAX_CHAR_DISTANCE} AND (n_words < {MIN_WORDS_FOR_COMMON} OR coalesce(wd, 0) <= {MAX_WORD_DISTANCE}) AS kept,
+       NOT base_failed AND coalesce(cd, 0) <= char_limit AND (n_words < {MIN_WORDS_FOR_COMMON} OR coalesce(wd, 0) <= {WORD_FACTOR} * sqrt(spread + {N_COMMON} / ({SAMPLING} * n_words))) AS kept,
        round(cd, 4) AS char_distance, round(wd, 4) AS word_distance
-FROM x
+FROM x, med
 """
 
 

@@ -594,6 +594,28 @@ def test_quality_rules_agree_with_labels(spark):
     assert r[r["quality"] == 1]["kept"].mean() > 0.98 and r[r["quality"] == 0]["kept"].mean() < 0.5
 
 
+def test_quality_rules_with_few_languages(spark, duck, tmp_path):
+    """Documents without a language, and of a language too rare for a reference; against the SQL."""
+    import duckdb
+
+    rng = np.random.default_rng(5)
+    docs = pd.read_parquet(f"{SF}/documents.parquet")
+    docs["lang"] = [None if i % 5 == 0 else "xx" if i % 50 == 1 else z for i, z in enumerate(docs["lang"])]
+    docs.loc[rng.integers(0, len(docs), 5), "text"] = None
+    docs = docs.astype(object).where(docs.notna(), None)
+    docs["doc_id"] = docs["doc_id"].astype("int64")
+    docs.to_parquet(tmp_path / "documents.parquet")
+    con = duckdb.connect()
+    con.execute(f"CREATE VIEW documents AS SELECT * FROM '{tmp_path}/documents.parquet'")
+    assert same(quality_rules.query(spark, str(tmp_path)), con.sql(quality_rules.SQL))
+
+
+def test_common_words_are_learned(spark):
+    rows = [(i, f"alpha beta{i} 12 " + f"w{i} " * 50, "aa") for i in range(40)] + [(100 + i, "gamma alpha " + f"v{i} " * 50, "bb") for i in range(30)]
+    lists, every = quality_rules.common_words(spark.createDataFrame(rows, "doc_id long, text string, lang string"))
+    assert {r.lang: list(r.common) for r in lists.collect()} == {"aa": ["alpha"], "bb": ["alpha", "gamma"]} and every[:2] == ["alpha", "gamma"]
+
+
 # --- the pipeline
 
 
