@@ -59,11 +59,15 @@ SETTLED = 0.005
 #: How many tokens the unigram counts for in a state's emissions while classes are trained.
 PRIOR = 200.0
 BETAS = [4.0**k for k in range(16)]
-CHUNK = 4096
+CHUNK = 2048
 #: Tokens whose state vectors are held at once.
-GROUP = 600_000
+GROUP = 1_000_000
 #: Tokens of the texts that meet the table of words together.
-BLOCK_TOKENS = 2_000_000
+BLOCK_TOKENS = 4_000_000
+#: Tokens of training for each partition of the table of words; and its partitions at most.
+WORD_TOKENS, WORD_PARTS = 2_000_000, 20_000
+#: Expected counts of a word below this share of its count go to its likeliest state, so that rows pack well.
+LEAST = 1e-3
 #: The end token's hash.
 END = np.uint64(0x0E4D0E4D0E4D0E4D)
 _PART = 1024
@@ -308,8 +312,8 @@ def _round(encoded: DataFrame, m: Model, step) -> tuple[np.ndarray, np.ndarray,
     return out
 
 
-def train_states(encoded: DataFrame, states: int) -> Model:
-    """A model of classes of words, from the texts in (symbols)."""
+def train_states(encoded: DataFrame, states: int) -> tuple[Model, int]:
+    """A model of classes of words, from the texts in (symbols); and how many tokens these have."""
     size = BUCKETS + 1
     count = _round(encoded, Model(np.ones(1), np.ones((1, 1)), np.full((size, 1), 1 / size)), mixture)[2][:, 0]
     unigram, tokens = (count + 1) / (count.sum() + size), max(count.sum(), 1)
@@ -323,7 +327,7 @@ def train_states(encoded: DataFrame, states: int) -> Model:
             if log / tokens - last < SETTLED:
                 break
             last = log / tokens
-    return m
+    return m, round(count.sum())
 
 
 def _encode(texts: DataFrame) -> DataFrame:
@@ -340,18 +344,83 @@ def _encode(texts: DataFrame) -> DataFrame:
     return texts.select("text").mapInArrow(run, "symbols binary")
 
 
-def count_words(texts: DataFrame, m: Model) -> tuple[DataFrame, np.ndarray, np.ndarray]:
-    """A Baum-Welch round that counts words: the table (h, c, n0, n1, ..., and c and n of the first half as d, m0, m1, ...), and the model's new start and moves."""
+def _packed(n: np.ndarray) -> pa.Array:
+    """Rows of numbers as binaries."""
+    n = np.ascontiguousarray(n, dtype=np.float32)
+    width = 4 * n.shape[1]
+    return pa.Array.from_buffers(pa.binary(), len(n), [None, pa.py_buffer((np.arange(len(n) + 1) * width).astype(np.int32)), pa.py_buffer(n)])
+
+
+def unpacked(column: pa.ChunkedArray | pa.Array, states: int) -> np.ndarray:
+    return np.frombuffer(b"".join(column.to_pylist()), dtype=np.float32).reshape(-1, states).astype(float)
+
+
+def _clear(n: np.ndarray, c: np.ndarray) -> np.ndarray:
+    """Expected counts with the very small ones added to the largest."""
+    small = n < LEAST * c[:, None]
+    lost = np.where(small, n, 0).sum(axis=1)
+    n = np.where(small, 0, n)
+    n[np.arange(len(n)), n.argmax(axis=1)] += lost
+    return n
+
+
+def _merged(h: np.ndarray, *columns: np.ndarray) -> list[np.ndarray]:
+    """Distinct h, and the columns summed by it."""
+    order = np.argsort(h, kind="stable")
+    h = h[order]
+    at = np.flatnonzero(np.concatenate([[True], h[1:] != h[:-1]])) if len(h) else np.empty(0, dtype=np.int64)
+    return [h[at], *(np.add.reduceat(c[order], at, axis=0) if len(at) else c for c in columns)]
+
+
+class Fitted:
+    """A trained model: start and moves, and the table of words, (h, c, n; d, m: c and n of one half of the texts), with all that their probabilities need."""
+
+    def __init__(self, start: np.ndarray, move: np.ndarray, words: DataFrame, totals: np.ndarray):
+        """totals: sums of n, of m, of c, of d, and the number of words."""
+        states = len(start)
+        self.start, self.move, self.words = start, move, words
+        self.state_n, self.half_n = totals[:states], totals[states : 2 * states]
+        self.n, self.half, self.v = (round(x) for x in totals[2 * states :].tolist())
+        self.beta = self._choose() if self.v else BETAS[0]
+
+    def emissions(self, c: np.ndarray, n: np.ndarray) -> np.ndarray:
+        """Of words with these counts and expected counts (0: unknown)."""
+        return emissions(c, n, self.law())
+
+    def law(self) -> tuple[int, int, float, np.ndarray]:
+        return self.n, self.v, self.beta, self.state_n
+
+    def _choose(self) -> float:
+        """Of BETAS the one under which the halves of the texts tell most of each other."""
+        states, v = len(self.start), self.v
+        sides = [(self.half_n, self.half), (self.state_n - self.half_n, self.n - self.half)]
+
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            out = np.zeros(len(BETAS))
+            for b in batches:
+                c, d = b.column(0).to_numpy().astype(float), b.column(2).to_numpy().astype(float)
+                every, one = unpacked(b.column(1), states), unpacked(b.column(3), states)
+                two = np.maximum(every - one, 0)
+                for own, other, count, (sums, size) in ((one, two, d, sides[0]), (two, one, c - d, sides[1])):
+                    some = np.flatnonzero(other.any(axis=1))
+                    own, other, p = own[some], other[some], ((count[some] + 1) / (size + v + 1))[:, None]
+                    for i, beta in enumerate(BETAS):
+                        out[i] += float((other * np.log((own + beta * p) / (sums + beta))).sum())
+            yield pa.RecordBatch.from_arrays([pa.array(range(len(BETAS)), pa.int32()), pa.array(out)], ["i", "log"])
+
+        got = {r.i: r.log for r in self.words.select("c", "n", "d", "m").mapInArrow(run, "i int, log double").groupBy("i").agg(F.sum("log").alias("log")).collect()}
+        return BETAS[max(got, key=got.get)]
+
+
+def emissions(c: np.ndarray, n: np.ndarray, law: tuple[int, int, float, np.ndarray]) -> np.ndarray:
+    tokens, words, beta, state_n = law
+    return (n + beta * ((c + 1.0) / (tokens + words + 1))[:, None]) / (state_n + beta)
+
+
+def count_words(texts: DataFrame, m: Model, tokens: int) -> Fitted:
+    """A Baum-Welch round over texts (doc_id, text) that counts words."""
     states = len(m.start)
     sent = texts.sparkSession.sparkContext.broadcast(Model(m.start, m.move, m.emit.astype(np.float32)))
-    of = [f"n{j}" for j in range(states)]
-    ddl = ", ".join(["part int, sub int, v binary, h long, half boolean, c long", *(f"{x} float" for x in of)])
-
-    def words(h: np.ndarray, half: bool, gamma: np.ndarray) -> pa.RecordBatch:
-        u, at, c = np.unique(h, return_inverse=True, return_counts=True)
-        k = len(u)
-        n = [pa.array(np.bincount(at, weights=gamma[:, j], minlength=k).astype(np.float32)) for j in range(states)]
-        return pa.RecordBatch.from_arrays([pa.nulls(k, pa.int32()), pa.nulls(k, pa.int32()), pa.nulls(k, pa.binary()), pa.array(u.view(np.int64)), pa.array(np.full(k, half)), pa.array(c.astype(np.int64)), *n], [x.split()[0] for x in ddl.split(", ")])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         m = sent.value
@@ -365,14 +434,15 @@ def count_words(texts: DataFrame, m: Model) -> tuple[DataFrame, np.ndarray, np.n
             held[half], size[half] = [], 0
             for s, v, span, gamma, _ in Chunks(m, classes_of(h), starts).expect():
                 total[0], total[1] = total[0] + s, total[1] + v
-                yield words(h[span], half, gamma)
+                u, at, c = np.unique(h[span], return_inverse=True, return_counts=True)
+                n = np.stack([np.bincount(at, weights=gamma[:, j], minlength=len(u)) for j in range(states)], axis=1)
+                yield pa.RecordBatch.from_arrays([pa.array(u.view(np.int64)), pa.array((2 * c + half).astype(np.int64)), _packed(_clear(n, c))], ["h", "c2", "v"])
 
         for batch in batches:
             for a, _, block in blocks(batch.column(0), NONSPACE):
                 h, starts = tokens_of(block)
-                halves = batch.column(1).to_numpy(zero_copy_only=False)[a : a + len(block)]
-                for i, (x, y) in enumerate(zip(starts[:-1].tolist(), starts[1:].tolist(), strict=True)):
-                    half = bool(halves[i])
+                halves = batch.column(1).to_numpy(zero_copy_only=False)[a : a + len(block)].tolist()
+                for half, x, y in zip(halves, starts[:-1].tolist(), starts[1:].tolist(), strict=True):
                     held[half].append(h[x:y])
                     size[half] += y - x
                     if size[half] >= GROUP:
@@ -380,44 +450,39 @@ def count_words(texts: DataFrame, m: Model) -> tuple[DataFrame, np.ndarray, np.n
         for half in (True, False):
             if held[half]:
                 yield from give(half)
-        if total[0].any():
-            t = _dense((*total, np.zeros((0, states)), 0.0), TaskContext.get().partitionId())
-            k = len(t)
-            yield pa.RecordBatch.from_arrays([*(t[c].combine_chunks() for c in ("part", "sub", "v")), pa.nulls(k, pa.int64()), pa.nulls(k, pa.bool_()), pa.nulls(k, pa.int64()), *[pa.nulls(k, pa.float32())] * states], [x.split()[0] for x in ddl.split(", ")])
+        yield pa.RecordBatch.from_arrays([pa.array([None], pa.int64()), pa.array([0], pa.int64()), pa.array([np.concatenate([total[0], total[1].ravel()]).tobytes()], pa.binary())], ["h", "c2", "v"])
 
-    half = F.pmod(F.xxhash64("text", "doc_id"), F.lit(2)) == 0
-    rows = texts.select(F.col("text"), half.alias("half")).mapInArrow(run, ddl)
-    first = lambda c: F.sum(F.when(F.col("half"), F.col(c)).otherwise(0))
-    sums = [F.sum("c").alias("c"), *(F.sum(x).cast("float").alias(x) for x in of), first("c").cast("long").alias("d"), *(first(x).cast("float").alias("m" + x[1:]) for x in of)]
-    # expected starts and moves are rows of their own, one a task and step
-    both = stash(rows.groupBy("h", "part", "sub", "v").agg(*sums), "words")
-    start, move, _, _ = _sum_dense(both.where("part IS NOT NULL").select("part", "sub", "v"), states, 0)
-    sent.destroy()
-    return both.where("h IS NOT NULL").drop("part", "sub", "v"), start, move
-
-
-def choose_beta(words: DataFrame, states: int) -> float:
-    """Of BETAS the one under which the halves of the texts tell most of each other."""
-    tot = words.agg(F.sum("c").alias("c"), F.sum("d").alias("d"), F.count("*").alias("v"), *(F.sum(F.col(f"{x}{j}").cast("double")).alias(f"{x}{j}") for x in "nm" for j in range(states))).first()
-    if not tot.v:
-        return BETAS[0]
-    n, m = (np.array([tot[f"{x}{j}"] for j in range(states)]) for x in "nm")
-    sides = [(m, float(tot.d)), (n - m, float(tot.c - tot.d))]
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        out = np.zeros(len(BETAS))
+    def merge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        empty = [np.empty(0, dtype=np.int64), np.empty((0, 2 * states + 2))]
+        held, size, small = [empty], 0, np.zeros(states + states * states)
         for b in batches:
-            c, d = b.column("c").to_numpy().astype(float), b.column("d").to_numpy().astype(float)
-            every, one = (np.stack([b.column(f"{x}{j}").to_numpy() for j in range(states)], axis=1).astype(float) for x in "nm")
-            two = np.maximum(every - one, 0)
-            for own, other, count, (sums, size) in ((one, two, d, sides[0]), (two, one, c - d, sides[1])):
-                p = ((count + 1) / (size + tot.v + 1))[:, None]
-                for i, beta in enumerate(BETAS):
-                    out[i] += float((other * np.log((own + beta * p) / (sums + beta))).sum())
-        yield pa.RecordBatch.from_arrays([pa.array(range(len(BETAS)), pa.int32()), pa.array(out)], ["i", "log"])
+            real = b.column(0).is_valid()
+            for x in b.column(2).filter(b.column(0).is_null()):
+                small += np.frombuffer(x.as_py())
+            h, c2 = b.column(0).filter(real).to_numpy(), b.column(1).filter(real).to_numpy()
+            n, half = unpacked(b.column(2).filter(real), states), (c2 % 2)[:, None]
+            held.append([h, np.concatenate([n, n * half, (c2 // 2)[:, None], (c2 // 2)[:, None] * half], axis=1)])
+            size += len(h)
+            if size > 1 << 20:
+                held = [_merged(np.concatenate([x for x, _ in held]), np.concatenate([x for _, x in held]))]
+                size = 0
+        h, x = _merged(np.concatenate([x for x, _ in held]), np.concatenate([x for _, x in held]))
+        for a in range(0, len(h), 1 << 16):
+            y = x[a : a + (1 << 16)]
+            c, d = y[:, 2 * states].astype(np.int64), y[:, 2 * states + 1].astype(np.int64)
+            yield pa.RecordBatch.from_arrays([pa.array(h[a : a + (1 << 16)]), pa.array(c), _packed(y[:, :states]), pa.array(d), _packed(y[:, states : 2 * states]), pa.nulls(len(y), pa.binary())], ["h", "c", "n", "d", "m", "totals"])
+        totals = np.concatenate([small, x.sum(axis=0), [float(len(h))]]).tobytes()
+        yield pa.RecordBatch.from_arrays([pa.nulls(1, pa.int64()), pa.nulls(1, pa.int64()), pa.nulls(1, pa.binary()), pa.nulls(1, pa.int64()), pa.nulls(1, pa.binary()), pa.array([totals], pa.binary())], ["h", "c", "n", "d", "m", "totals"])
 
-    got = {r.i: r.log for r in words.mapInArrow(run, "i int, log double").groupBy("i").agg(F.sum("log").alias("log")).collect()}
-    return BETAS[max(got, key=got.get)]
+    half = F.pmod(F.xxhash64("text", "doc_id"), F.lit(2)) == 0
+    rows = texts.select("text", half.alias("half")).mapInArrow(run, "h long, c2 long, v binary")
+    parts = min(WORD_PARTS, max(1, -(-tokens // WORD_TOKENS)))
+    both = stash(rows.repartition(parts, "h").mapInArrow(merge, "h long, c long, n binary, d long, m binary, totals binary"), "words")
+    got = [np.frombuffer(r.totals) for r in both.where("totals IS NOT NULL").select("totals").collect()]  # one a partition
+    got = np.sum(got, axis=0) if got else np.zeros(3 * states + states * states + 3)
+    sent.destroy()
+    new = m.update(got[:states], got[states : states + states * states].reshape(states, states), m.emit, np.zeros(len(m.emit)))
+    return Fitted(new.start, new.move, both.where("h IS NOT NULL").drop("totals"), got[states + states * states :])
 
 
 def head_of(counts: DataFrame, most: int) -> Column:
@@ -468,45 +533,22 @@ def _runs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.Table]:
         yield pa.Table.from_batches(held)
 
 
-class Fitted:
-    """A trained model: start and moves, and the table of words with all that their probabilities need."""
-
-    def __init__(self, m: Model, words: DataFrame, beta: float):
-        states = len(m.start)
-        self.m, self.words, self.beta = m, words, beta
-        tot = words.agg(F.coalesce(F.sum("c"), F.lit(0)).alias("n"), F.count("*").alias("v"), *(F.coalesce(F.sum(F.col(f"n{j}").cast("double")), F.lit(0.0)).alias(f"n{j}") for j in range(states))).first()
-        self.n, self.v = tot.n, tot.v
-        self.state_n = np.array([tot[f"n{j}"] for j in range(states)])
-
-    def emissions(self, c: np.ndarray, n: np.ndarray) -> np.ndarray:
-        """Of words with these counts and expected counts (0: unknown)."""
-        p = (c + 1.0) / (self.n + self.v + 1)
-        return (n + self.beta * p[:, None]) / (self.state_n + self.beta)
-
-
 def fit(docs: DataFrame, states: int = STATES) -> Fitted:
     """The model of the texts of docs (doc_id, text, held_out) that aren't held out."""
     train = docs.where(~F.col("held_out"))
     encoded = stash(_encode(train), "symbols")
-    m = train_states(encoded, states)
+    m, tokens = train_states(encoded, states)
     free(encoded)
-    words, start, move = count_words(train, m)
-    return Fitted(m.update(start, move, m.emit, np.zeros(len(m.emit))), words, choose_beta(words, states))
+    return count_words(train, m, tokens)
 
 
 def score(docs: DataFrame, fitted: Fitted) -> DataFrame:
     """Per row of docs (doc_id, text, held_out): doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score."""
-    states = len(fitted.m.start)
-    of = [f"n{j}" for j in range(states)]
-    top = fitted.words.where(head_of(fitted.words, HEAD)).select("h", "c", *of).toArrow().sort_by("h")  # HEAD rows
-    spark, start, move = docs.sparkSession, fitted.m.start, fitted.m.move
-    head = top["h"].to_numpy().copy()
-    counts, rates = top["c"].to_numpy(), fitted.emissions(top["c"].to_numpy(), np.stack([top[x].to_numpy() for x in of], axis=1).astype(float))
-    sent = spark.sparkContext.broadcast((head, counts, rates, start, move))
-    emissions, names = fitted.emissions.__func__, ["doc_id", "held_out"]
-    numbers = type("Numbers", (), {})  # what emissions() reads of the model, without its table
-    law = (fitted.n, fitted.v, fitted.beta, fitted.state_n)
-    id_type = docs.schema["doc_id"].dataType.simpleString()
+    spark, states, law = docs.sparkSession, len(fitted.start), fitted.law()
+    top = fitted.words.where(head_of(fitted.words, HEAD)).select("h", "c", "n").toArrow().sort_by("h")  # HEAD rows
+    counts = top["c"].to_numpy()
+    sent = spark.sparkContext.broadcast((top["h"].to_numpy().copy(), counts, fitted.emissions(counts, unpacked(top["n"], states)), fitted.start, fitted.move))
+    names, id_type = ["doc_id", "held_out"], docs.schema["doc_id"].dataType.simpleString()
 
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         head = sent.value[0]
@@ -517,19 +559,20 @@ def score(docs: DataFrame, fitted: Fitted) -> DataFrame:
                 h = h.view(np.int64)
                 at = np.minimum(np.searchsorted(head, h), max(len(head) - 1, 0))
                 own = head[at] == h if len(head) else np.zeros(len(h), dtype=bool)
-                codes, rare = [], []
+                codes, rare, wide = [], [], []
                 for x, y in zip(starts[:-1].tolist(), starts[1:].tolist(), strict=True):
-                    code, other = at[x:y].astype(np.int32), ~own[x:y]
+                    code, other = at[x:y], ~own[x:y]
                     u, inverse = np.unique(h[x:y][other], return_inverse=True)
                     code[other] = -1 - inverse  # words that aren't in the head: places in the text's own list
-                    codes.append(code.tobytes())
+                    wide.append(max(len(u), len(head)) > 32_768)
+                    codes.append(code.astype(np.int32 if wide[-1] else np.int16).tobytes())
                     rare.append(u)
                 if size and size + len(h) > BLOCK_TOKENS:
                     bid, size = bid + 1, 0
                 size += len(h)
                 per = np.concatenate([[0], np.cumsum([len(u) for u in rare])]).astype(np.int32)
                 lists = pa.ListArray.from_arrays(pa.array(per), pa.array(np.concatenate(rare)))
-                yield pa.RecordBatch.from_arrays([*(batch.column(i).slice(a, b - a) for i in range(2)), pa.array(np.full(b - a, bid, dtype=np.int64)), pa.array(codes, pa.binary()), lists], ["doc_id", "held_out", "bid", "codes", "rare"])
+                yield pa.RecordBatch.from_arrays([*(batch.column(i).slice(a, b - a) for i in range(2)), pa.array(np.full(b - a, bid, dtype=np.int64)), pa.array(wide), pa.array(codes, pa.binary()), lists], ["doc_id", "held_out", "bid", "wide", "codes", "rare"])
 
     def need(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for t in _runs(batches):
@@ -538,20 +581,17 @@ def score(docs: DataFrame, fitted: Fitted) -> DataFrame:
 
     def meet(t: pa.Table, rows: pa.Table) -> pa.Table:
         head, counts, rates, start, move = sent.value
-        own = numbers()
-        own.n, own.v, own.beta, own.state_n = law
         if not t.num_rows:
             return pa.table({"doc_id": t["doc_id"], "held_out": t["held_out"], **{c: pa.array([], k) for c, k in (("n_tokens", pa.int64()), ("n_known", pa.int64()), ("base_score", pa.float64()), ("score", pa.float64()))}})
         rare = _lists(t["rare"])
         h = np.unique(np.concatenate(rare))
         c, n = np.zeros(len(h), dtype=np.int64), np.zeros((len(h), states))
         at = np.searchsorted(h, rows["h"].to_numpy())
-        c[at], n[at] = rows["c"].to_numpy(), np.stack([rows[x].to_numpy() for x in of], axis=1)
-        emit = np.concatenate([rates, emissions(own, c, n)])
-        c = np.concatenate([counts, c])
+        c[at], n[at] = rows["c"].to_numpy(), unpacked(rows["n"], states)
+        emit, c = np.concatenate([rates, emissions(c, n, law)]), np.concatenate([counts, c])
         tokens = []
-        for x, u in zip(t["codes"].to_pylist(), rare, strict=True):
-            code = np.frombuffer(x, dtype=np.int32).copy()
+        for x, wide, u in zip(t["codes"].to_pylist(), t["wide"].to_pylist(), rare, strict=True):
+            code = np.frombuffer(x, dtype=np.int32 if wide else np.int16).astype(np.int32)
             other = code < 0
             code[other] = len(head) + np.searchsorted(h, u)[-1 - code[other]]
             tokens.append(code)
@@ -559,12 +599,12 @@ def score(docs: DataFrame, fitted: Fitted) -> DataFrame:
         starts, flat = np.concatenate([[0], np.cumsum(size)]), np.concatenate(tokens)
         logs = Chunks(Model(start, move, emit), flat, starts).logs() / math.log(10)
         seen = c[flat]
-        known, base = (np.add.reduceat(x, starts[:-1]) for x in ((seen > 0).astype(np.int64), np.log10((seen + 1.0) / (own.n + own.v + 1))))
+        known, base = (np.add.reduceat(x, starts[:-1]) for x in ((seen > 0).astype(np.int64), np.log10((seen + 1.0) / (law[0] + law[1] + 1))))
         return pa.table({"doc_id": t["doc_id"], "held_out": t["held_out"], "n_tokens": pa.array(size.astype(np.int64)), "n_known": pa.array(known), "base_score": pa.array(base), "score": pa.array(logs)})
 
-    encoded = stash(docs.select(*names, "text").mapInArrow(encode, f"doc_id {id_type}, held_out boolean, bid long, codes binary, rare array<long>"), "codes")
-    rows = encoded.select("bid", "rare").mapInArrow(need, "bid long, h long").join(fitted.words.select("h", "c", *of), "h")
-    out = encoded.select(*names, "bid", "codes", "rare").groupBy("bid").cogroup(rows.groupBy("bid")).applyInArrow(meet, f"doc_id {id_type}, held_out boolean, n_tokens long, n_known long, base_score double, score double")
+    encoded = stash(docs.select(*names, "text").mapInArrow(encode, f"doc_id {id_type}, held_out boolean, bid long, wide boolean, codes binary, rare array<long>"), "codes")
+    rows = encoded.select("bid", "rare").mapInArrow(need, "bid long, h long").join(fitted.words.select("h", "c", "n"), "h")
+    out = encoded.groupBy("bid").cogroup(rows.groupBy("bid")).applyInArrow(meet, f"doc_id {id_type}, held_out boolean, n_tokens long, n_known long, base_score double, score double")
     return out.select("doc_id", "held_out", "n_tokens", "n_known", F.lit(fitted.n).cast("long").alias("train_tokens"), "base_score", "score")
 
 

@@ -395,8 +395,8 @@ def test_baum_welch_climbs():
 
 def brute_scores(rows, fitted):
     """Log10 probability of each text by the plain forward recursion in logarithms, from the table of words."""
-    states = len(fitted.m.start)
-    words_of = {r.h: (r.c, np.array([r[f"n{j}"] for j in range(states)])) for r in fitted.words.collect()}
+    states = len(fitted.start)
+    words_of = {r.h: (r.c, np.frombuffer(r.n, dtype=np.float32).astype(float)) for r in fitted.words.collect()}
     n, v = sum(c for c, _ in words_of.values()), len(words_of)
     total = sum((x for _, x in words_of.values()), np.zeros(states))
     out = []
@@ -406,7 +406,7 @@ def brute_scores(rows, fitted):
         for h in lm_scoring.tokens_of(block)[0].view(np.int64).tolist():
             c, x = words_of.get(h, (0, np.zeros(states)))
             e = (x + fitted.beta * (c + 1) / (n + v + 1)) / (total + fitted.beta)
-            a = (fitted.m.start if a is None else a @ fitted.m.move) * e
+            a = (fitted.start if a is None else a @ fitted.move) * e
             log, a = log + math.log10(a.sum()), a / a.sum()
         out.append(log)
     return out
@@ -468,7 +468,7 @@ def test_lm_emissions_sum_to_one(spark):
     rows = [(i, f"{'a b c d'[i % 7:]} word{i} tail{i % 5}") for i in range(60)]
     f = lm_scoring.fit(spark.createDataFrame(rows, "doc_id long, text string").withColumn("held_out", lm_scoring.held_out()), 3)
     w = f.words.toPandas()
-    e = f.emissions(np.append(w["c"], 0), np.concatenate([w[["n0", "n1", "n2"]].to_numpy(float), np.zeros((1, 3))]))
+    e = f.emissions(np.append(w["c"], 0), np.concatenate([np.stack([np.frombuffer(x, dtype=np.float32) for x in w["n"]]), np.zeros((1, 3))]))
     assert np.allclose(e.sum(axis=0), 1)
 
 
