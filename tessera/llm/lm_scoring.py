@@ -61,7 +61,7 @@ PRIOR = 200.0
 BETAS = [4.0**k for k in range(16)]
 CHUNK = 2048
 #: Tokens whose state vectors are held at once.
-GROUP = 1_000_000
+GROUP = 800_000
 #: Tokens of the texts that meet the table of words together.
 BLOCK_TOKENS = 4_000_000
 #: Tokens of training for each partition of the table of words; and its partitions at most.
@@ -547,7 +547,7 @@ def score(docs: DataFrame, fitted: Fitted) -> DataFrame:
     spark, states, law = docs.sparkSession, len(fitted.start), fitted.law()
     top = fitted.words.where(head_of(fitted.words, HEAD)).select("h", "c", "n").toArrow().sort_by("h")  # HEAD rows
     counts = top["c"].to_numpy()
-    sent = spark.sparkContext.broadcast((top["h"].to_numpy().copy(), counts, fitted.emissions(counts, unpacked(top["n"], states)), fitted.start, fitted.move))
+    sent = spark.sparkContext.broadcast((top["h"].to_numpy().copy(), counts, fitted.emissions(counts, unpacked(top["n"], states)).astype(np.float32), fitted.start, fitted.move))
     names, id_type = ["doc_id", "held_out"], docs.schema["doc_id"].dataType.simpleString()
 
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -588,7 +588,7 @@ def score(docs: DataFrame, fitted: Fitted) -> DataFrame:
         c, n = np.zeros(len(h), dtype=np.int64), np.zeros((len(h), states))
         at = np.searchsorted(h, rows["h"].to_numpy())
         c[at], n[at] = rows["c"].to_numpy(), unpacked(rows["n"], states)
-        emit, c = np.concatenate([rates, emissions(c, n, law)]), np.concatenate([counts, c])
+        emit, c = np.concatenate([rates, emissions(c, n, law).astype(np.float32)]), np.concatenate([counts, c])
         tokens = []
         for x, wide, u in zip(t["codes"].to_pylist(), t["wide"].to_pylist(), rare, strict=True):
             code = np.frombuffer(x, dtype=np.int32 if wide else np.int16).astype(np.int32)
