@@ -6,24 +6,23 @@ each pair of neighbours that the merges leave apart, and minus infinity for
 others. (Merges never cross a border that the final pieces keep, so a sequence
 of pieces is the BPE encoding exactly if each pair of neighbours is encoded to
 itself: the one path of weight 0.) Either way the best path is what the
-SentencePiece library returns.
+SentencePiece library returns; the library itself isn't called.
 
 No piece has a space mark after another character, so a space mark that follows
-one is always a border: between such marks lie units, which are encoded on
-their own, and remembered.
-
-Giant texts are split into chunks of about `chunk` characters, at a unit's start
-if there is one among the last REACH characters before the mark, else right at it.
-The states of a border are the pieces that may cross it (one state, if it is a
-unit's start). Each chunk yields a matrix: the best weight from each state of its
-first border to each of its last. The matrices of a text are multiplied
-(max-plus, associative) from both ends; each border takes the state with
-the best sum. Then each chunk is backtraced on its own between its two states.
+one is always between two pieces: between such marks lie units. A unit's best path is found once
+and remembered: of a short unit of a BPE model by its merges, else along the pieces.
+
+Texts of over one chunk are split into chunks of `chunk` characters, wherever that is.
+The states of a border are the pieces that may cross it or end there. Each chunk
+yields a matrix: the best weight from each state of its first border to each of its last, the units
+between with their weights. Matrices are multiplied (max-plus, associative) as a tree: of each block of BLOCK chunks to one,
+then of the blocks of a text; going down again, blocks and then chunks get the states of their borders on the
+best path. Then each chunk is backtraced on its own between its two states.
 Only matrices meet in one task, never texts.
 
 Defined results: null and empty texts have no tokens; a literal U+2581 counts as
 a blank, as SentencePiece itself has it; repeated rows each give a row; other columns are ignored; a model with a piece that has a
-space mark after another character raises ValueError.
+space mark after another character raises ValueError. The model file is read on the driver's machine and sent to the tasks.
 """
 
 from __future__ import annotations
@@ -39,12 +38,14 @@ from pyspark.sql import functions as F
 
 from tessera.llm.common import stash, table
 
-#: Characters of a chunk; a text of over twice as many bytes is giant.
+#: Characters of a chunk; a text of over twice as many bytes is cut.
 CHUNK = 16384
-#: How far back from a chunk's end a unit's start is looked for; more than any piece is long.
-REACH = 256
-#: Units that a worker remembers.
-MEMO = 100_000
+#: Chunks whose matrices one task multiplies.
+BLOCK = 64
+#: Units that a worker remembers, and the longest that it does.
+MEMO, MEMO_LENGTH = 200_000, 64
+#: Characters of a unit up to which a BPE model's merges are followed (their time grows with the square of the length).
+MERGED = 64
 
 MARK = "▁"
 _UNIT = re.compile(f"{MARK}*[^{MARK}]+|{MARK}+")
@@ -59,7 +60,6 @@ class Model:
     """A SentencePiece model of type BPE or unigram, and the paths through its pieces."""
 
     def __init__(self, proto: bytes):
-        from sentencepiece import SentencePieceProcessor
         from sentencepiece import sentencepiece_model_pb2 as pb
 
         m = pb.ModelProto()
@@ -68,10 +68,12 @@ class Model:
             raise ValueError("a piece has a space mark after another character")
         self.unigram = m.trainer_spec.model_type == 1
         self.prefix = m.normalizer_spec.add_dummy_prefix
-        m.normalizer_spec.add_dummy_prefix = False
-        self.library = SentencePieceProcessor(model_proto=m.SerializeToString())
         self.score = [p.score for p in m.pieces]
         self.ids = {p.piece: i for i, p in enumerate(m.pieces) if p.type in (1, 4)}
+        self.rank = {p.piece: p.score for p in m.pieces if p.type == 1}
+        self.byte = {int(p.piece[3:-1], 16): i for i, p in enumerate(m.pieces) if p.type == 6}
+        self.other = next((i for i, p in enumerate(m.pieces) if p.type == 2), 0)
+        self.pieces = [p.piece for p in m.pieces]
         self.longest = max(map(len, self.ids))
         self.unknown = min((p.score for p in m.pieces if p.type == 1), default=0.0) - 10.0
         self.bytes = [bytes([int(p.piece[3:-1], 16)]) if p.type == 6 else b"" if p.type == 3 else p.piece.replace(MARK, " ").encode() if p.type != 2 else " ⁇ ".encode() for p in m.pieces]
@@ -81,15 +83,69 @@ class Model:
     def normal(self, text: str) -> str:
         return (MARK if self.prefix and text else "") + text.replace(" ", MARK)
 
-    def encode_many(self, texts: Sequence[str]) -> list[list[int]]:
-        """Ids of normalised texts that begin at a unit's start."""
-        split = [_UNIT.findall(t) for t in texts]
-        if len(self.memo) > MEMO:
-            self.memo.clear()
-        memo = self.memo
-        new = list({u for units in split for u in units if u not in memo})
-        memo.update(zip(new, self.library.encode(new, num_threads=1), strict=True))
-        return [list(chain.from_iterable(map(memo.__getitem__, units))) for units in split]
+    def merges(self, text: str) -> list[int]:
+        """The pieces (ids, or minus the code point) that a BPE model's merges leave: always the best-ranked pair, the first of equals."""
+        parts, rank = list(text), self.rank
+        ranks = [rank.get(a + b) for a, b in zip(parts, parts[1:], strict=False)]
+        while True:
+            best, at = None, -1
+            for i, r in enumerate(ranks):
+                if r is not None and (best is None or r > best):
+                    best, at = r, i
+            if at < 0:
+                return [self.ids[p] if p in self.ids else -ord(p) for p in parts]
+            parts[at : at + 2] = [parts[at] + parts[at + 1]]
+            del ranks[at]
+            if at < len(ranks):
+                ranks[at] = rank.get(parts[at] + parts[at + 1])
+            if at:
+                ranks[at - 1] = rank.get(parts[at - 1] + parts[at])
+
+    def path(self, unit: str) -> list[int]:
+        """The pieces of the best path of a text that begins and ends between pieces."""
+        if not self.unigram and len(unit) <= MERGED:
+            return self.merges(unit)
+        way, out = self.paths(unit, 0, CLEAN, len(unit), CLEAN)[1][0][0], []
+        while way is not None:
+            way, t = way
+            out.append(t)
+        return out[::-1]
+
+    def _flat(self, path: list[int]) -> list[int]:
+        """Ids, with characters that have no piece as their bytes; without byte pieces a run of them is one unknown."""
+        if all(t >= 0 for t in path):
+            return path
+        out: list[int] = []
+        for i, t in enumerate(path):
+            if t >= 0 or not self.byte:
+                if t >= 0 or not (i and path[i - 1] < 0):
+                    out.append(t if t >= 0 else self.other)
+            else:
+                out += [self.byte[b] for b in chr(-t).encode("utf-8", "surrogatepass")]
+        return out
+
+    def units(self, text: str) -> list[list[int]]:
+        """Ids of the units of a normalised text that begins and ends between pieces."""
+        memo, out = self.memo, []
+        for u in _UNIT.findall(text):
+            if (ids := memo.get(u)) is None:
+                ids = self._flat(self.path(u))
+                if len(u) <= MEMO_LENGTH:
+                    if len(memo) >= MEMO:
+                        memo.clear()
+                    memo[u] = ids
+            out.append(ids)
+        return out
+
+    def encode(self, text: str) -> list[int]:
+        """Ids of a normalised text that begins and ends between pieces."""
+        return list(chain.from_iterable(self.units(text)))
+
+    def total(self, text: str) -> float:
+        """The weight of the best path of a text that begins and ends between pieces."""
+        if not self.unigram:
+            return 0.0
+        return float(sum(self.paths(u, 0, CLEAN, len(u), CLEAN)[0][0, 0] for u in _UNIT.findall(text)))
 
     def decode(self, ids: Sequence[int], first: bool = True) -> str:
         out = b"".join(map(self.bytes.__getitem__, ids))
@@ -98,10 +154,7 @@ class Model:
     # A piece is known by its id, a character without a piece by minus its code point.
 
     def _name(self, t: int) -> str:
-        return self.library.id_to_piece(t) if t >= 0 else chr(-t)
-
-    def _ids(self, t: int) -> list[int]:
-        return [t] if t >= 0 else self.library.encode(chr(-t))
+        return self.pieces[t] if t >= 0 else chr(-t)
 
     def starting(self, text: str, p: int, end: int) -> Iterator[tuple[int, int]]:
         """(end, piece) of the pieces at p that end at `end` at most."""
@@ -118,8 +171,7 @@ class Model:
         if (a, b) not in self.pairs:
             if len(self.pairs) > MEMO:
                 self.pairs.clear()
-            x = self._name(b) if a == -1 else self._name(a) + self._name(b)
-            self.pairs[a, b] = self.library.encode(x) == (self._ids(b) if a == -1 else self._ids(a) + self._ids(b))
+            self.pairs[a, b] = self.merges(self._name(b)) == [b] if a == -1 else self.merges(self._name(a) + self._name(b)) == [a, b]
         return 0.0 if self.pairs[a, b] else _NO
 
     def crossing(self, text: str, b: int) -> list[State]:
@@ -177,53 +229,54 @@ class Model:
         while way is not None:
             way, t = way
             out.append(t)
-        return list(chain.from_iterable(map(self._ids, reversed(out))))
+        return self._flat(out[::-1])
 
 
 _models: dict[str, Model] = {}
 
 
-def load(path: str) -> Model:
+def load(path: str, proto: bytes | None = None) -> Model:
+    """The model of a file (or of its bytes, known by its path); a worker makes it once."""
     if path not in _models:
-        with open(path, "rb") as f:
-            _models[path] = Model(f.read())
+        if proto is None:
+            with open(path, "rb") as f:
+                proto = f.read()
+        _models[path] = Model(proto)
     return _models[path]
 
 
+def sent(spark: SparkSession, path: str):
+    """What gives tasks the model of a file on the driver's machine."""
+    with open(path, "rb") as f:
+        proto = spark.sparkContext.broadcast(f.read())  # about 1 MB
+    return lambda: load(path, proto.value)
+
+
 def multiply(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     """The max-plus product."""
     return (a[:, :, None] + b[None, :, :]).max(axis=1)
 
 
-def border(text: str, mark: int) -> tuple[int, bool]:
-    """Where a chunk that nominally ends at mark ends, and whether a unit starts there."""
-    low = max(0, mark - REACH)
-    starts = [m.start() for m in _START.finditer(text, low + 1 if low else 1, mark + 1)]
-    return (starts[-1], True) if starts else (mark, False)
-
-
 class Chunk:
-    """A piece of a normalised text with what lies around it: text[0] is `back` characters before the nominal start."""
+    """A piece of a normalised text with what lies around it: text[0] is `back` characters before the chunk's start."""
 
     def __init__(self, model: Model, text: str, back: int, length: int, first: bool, last: bool):
         self.model, self.text = model, text
-        self.a, clean_a = (0, True) if first else border(text, back)
-        self.b, clean_b = (len(text), True) if last else border(text, back + length)
-        self.entry = CLEAN if clean_a else model.crossing(text, self.a)
-        self.exits = CLEAN if clean_b else model.crossing(text, self.b)
-        starts = [m.start() for m in _START.finditer(text, self.a + (0 if clean_a else self.model.longest), self.b)] if not (clean_a and clean_b) else []
+        self.a, self.b = (0 if first else back), (len(text) if last else back + length)
+        self.entry = CLEAN if first else model.crossing(text, self.a)
+        self.exits = CLEAN if last else model.crossing(text, self.b)
         # between the first and the last unit's start inside, units are encoded on their own
-        self.head = self.a if clean_a else starts[0] if starts else None
-        self.tail = self.b if clean_b else starts[-1] if starts else self.a if clean_a else None
+        starts = [m.start() for m in _START.finditer(text, self.a + (0 if first else model.longest), self.b)]
+        self.head = self.a if first else starts[0] if starts else None
+        self.tail = self.b if last else starts[-1] if starts else self.a if first else None
 
     def matrix(self) -> np.ndarray:
-        if self.entry == CLEAN and self.exits == CLEAN:
-            return np.zeros((1, 1))
         if self.head is None or self.tail is None:
             return self.model.paths(self.text, self.a, self.entry, self.b, self.exits)[0]
-        left = np.zeros((1, 1)) if self.head == self.a else self.model.paths(self.text, self.a, self.entry, self.head, CLEAN)[0]
-        right = np.zeros((1, 1)) if self.tail == self.b else self.model.paths(self.text, self.tail, CLEAN, self.b, self.exits)[0]
-        return multiply(left, right)  # the units between add the same to all
+        out = np.full((1, 1), self.model.total(self.text[self.head : self.tail]))
+        if self.head != self.a:
+            out = multiply(self.model.paths(self.text, self.a, self.entry, self.head, CLEAN)[0], out)
+        return out if self.tail == self.b else multiply(out, self.model.paths(self.text, self.tail, CLEAN, self.b, self.exits)[0])
 
     def ids(self, i: int, j: int) -> tuple[list[int], str]:
         """Ids of the pieces that begin in the chunk, given the states of its borders; and their text."""
@@ -233,20 +286,27 @@ class Chunk:
             return m.trace(m.paths(self.text, self.a, [self.entry[i]], self.b, [self.exits[j]])[1][0][0]), text
         left = [] if self.head == self.a else m.trace(m.paths(self.text, self.a, [self.entry[i]], self.head, CLEAN)[1][0][0])
         right = [] if self.tail == self.b else m.trace(m.paths(self.text, self.tail, CLEAN, self.b, [self.exits[j]])[1][0][0])
-        return left + m.encode_many([self.text[self.head : self.tail]])[0] + right, text
+        return left + m.encode(self.text[self.head : self.tail]) + right, text
+
 
+def product(matrices: list[np.ndarray]) -> np.ndarray:
+    """The max-plus product, as a tree."""
+    while len(matrices) > 1:
+        matrices = [multiply(*matrices[i : i + 2]) if i + 1 < len(matrices) else matrices[i] for i in range(0, len(matrices), 2)]
+    return matrices[0]
 
-def scan(matrices: list[np.ndarray]) -> list[tuple[int, int]]:
-    """The states (entry, exit) of each chunk on the best path, from the products of what lies left and right of each border."""
-    right = [np.zeros((matrices[-1].shape[1], 1))]
+
+def scan(matrices: list[np.ndarray], entry: int = 0, exit: int = 0) -> list[tuple[int, int]]:
+    """The states (entry, exit) of each matrix on the best path between these states of the first and the last border."""
+    right = [np.full(matrices[-1].shape[1], _NO)]
+    right[0][exit] = 0.0
     for m in reversed(matrices[1:]):
-        right.append(multiply(m, right[-1]))
-    right.reverse()
-    out, left, state = [], np.zeros((1, 1)), 0
-    for m, r in zip(matrices, right, strict=True):
-        nxt = int(np.argmax(m[state] + r[:, 0]))
+        right.append((m + right[-1]).max(axis=1))
+    out, state = [], entry
+    for m, r in zip(matrices, reversed(right), strict=True):
+        nxt = int(np.argmax(m[state] + r))
         out.append((state, nxt))
-        left, state = multiply(left, m), nxt
+        state = nxt
     return out
 
 
@@ -265,15 +325,17 @@ def _batch(rows: list[tuple], ddl: str) -> pa.RecordBatch:
 def _split(docs: DataFrame, model_path: str, chunk: int) -> DataFrame:
     """Giant texts, normalised and in overlapping chunks."""
 
+    model_of = sent(docs.sparkSession, model_path)
+
     def split(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        model = load(model_path)
+        model = model_of()
         for batch in batches:
             for rid, doc, text in zip(*(c.to_pylist() for c in batch.columns), strict=True):
                 t = model.normal(text)
                 n = max(1, len(t) // chunk)
                 for i in range(n):
                     a, b = i * chunk, len(t) if i == n - 1 else (i + 1) * chunk
-                    back = min(a, REACH + model.longest + 1)
+                    back = min(a, model.longest)
                     yield _batch([(rid, doc, i, n, back, b - a, t[a - back : b + 2 * model.longest])], _CHUNKS)
 
     return docs.mapInArrow(split, _CHUNKS)
@@ -281,23 +343,39 @@ def _split(docs: DataFrame, model_path: str, chunk: int) -> DataFrame:
 
 def _states(chunks: DataFrame, model_path: str) -> DataFrame:
     """(rid, chunk, entry, exit): the states of each chunk's borders on the best path of its text."""
+    model_of = sent(chunks.sparkSession, model_path)
+    _row = "rid long, block long, chunk int, height int, weights array<double>"
 
     def transfer(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        model = load(model_path)
+        model = model_of()
         for batch in batches:
             rows = []
             for r in batch.to_pylist():
                 m = Chunk(model, r["text"], r["back"], r["length"], r["chunk"] == 0, r["chunk"] == r["n_chunks"] - 1).matrix()
-                rows.append((r["rid"], r["chunk"], m.shape[0], m.ravel().tolist()))
-            yield _batch(rows, "rid long, chunk int, height int, weights array<double>")
+                rows.append((r["rid"], r["chunk"] // BLOCK, r["chunk"], m.shape[0], m.ravel().tolist()))
+            yield _batch(rows, _row)
 
-    def combine(rows: pa.Table) -> pa.Table:
+    def read(rows: pa.Table) -> list[np.ndarray]:
+        return [np.asarray(w, dtype=float).reshape(h, -1) for h, w in zip(rows["height"].to_pylist(), rows["weights"].to_pylist(), strict=True)]
+
+    def up(rows: pa.Table) -> pa.Table:
+        m = product(read(rows.sort_by("chunk")))
+        return pa.table({"rid": rows["rid"][:1], "block": rows["block"][:1], "height": pa.array([m.shape[0]], pa.int32()), "weights": pa.array([m.ravel().tolist()], pa.list_(pa.float64()))})
+
+    def across(rows: pa.Table) -> pa.Table:
+        rows = rows.sort_by("block")
+        found = scan(read(rows))
+        return pa.table({"rid": rows["rid"], "block": rows["block"], "entry": pa.array([x for x, _ in found], pa.int32()), "exit": pa.array([y for _, y in found], pa.int32())})
+
+    def down(rows: pa.Table, ends: pa.Table) -> pa.Table:
         rows = rows.sort_by("chunk")
-        found = scan([np.asarray(w, dtype=float).reshape(h, -1) for h, w in zip(rows["height"].to_pylist(), rows["weights"].to_pylist(), strict=True)])
+        found = scan(read(rows), ends["entry"][0].as_py(), ends["exit"][0].as_py()) if rows.num_rows else []
         return pa.table({"rid": rows["rid"], "chunk": rows["chunk"], "entry": pa.array([x for x, _ in found], pa.int32()), "exit": pa.array([y for _, y in found], pa.int32())})
 
-    matrices = chunks.mapInArrow(transfer, "rid long, chunk int, height int, weights array<double>")
-    return matrices.groupBy("rid").applyInArrow(combine, "rid long, chunk int, entry int, exit int")
+    matrices = stash(chunks.mapInArrow(transfer, _row), "matrices")
+    blocks = matrices.groupBy("rid", "block").applyInArrow(up, "rid long, block long, height int, weights array<double>")
+    ends = blocks.groupBy("rid").applyInArrow(across, "rid long, block long, entry int, exit int")
+    return matrices.groupBy("rid", "block").cogroup(ends.groupBy("rid", "block")).applyInArrow(down, "rid long, chunk int, entry int, exit int")
 
 
 def _encoded(docs: DataFrame, model_path: str, chunk: int, finish, ddl: str) -> tuple[DataFrame, DataFrame]:
@@ -305,16 +383,18 @@ def _encoded(docs: DataFrame, model_path: str, chunk: int, finish, ddl: str) ->
     d = docs.select(F.monotonically_increasing_id().alias("rid"), F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     giant = F.coalesce(F.octet_length("text") > 2 * chunk, F.lit(False))
 
+    model_of = sent(docs.sparkSession, model_path)
+
     def whole(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        model = load(model_path)
+        model = model_of()
         for batch in batches:
             for a in range(0, batch.num_rows, 256):
                 rids, ids, texts = (c.slice(a, 256).to_pylist() for c in batch.columns)
                 texts = [model.normal(t or "") for t in texts]
-                yield _batch([finish(model, rid, doc, 0, 1, x, t) for rid, doc, x, t in zip(rids, ids, model.encode_many(texts), texts, strict=True)], ddl)
+                yield _batch([finish(model, rid, doc, 0, 1, x, t) for rid, doc, x, t in zip(rids, ids, map(model.encode, texts), texts, strict=True)], ddl)
 
     def backtrace(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        model = load(model_path)
+        model = model_of()
         for batch in batches:
             rows = []
             for r in batch.to_pylist():
@@ -335,9 +415,10 @@ def encode(docs: DataFrame, model_path: str, chunk: int = CHUNK) -> DataFrame:
 def decode(encoded: DataFrame, model_path: str) -> DataFrame:
     """(rid, doc_id, chunk, n_chunks, ids) -> (rid, doc_id, chunk, n_chunks, decoded). Pieces of bytes that lie in two chunks belong to a character that cannot be cut, so each chunk is whole."""
     ddl = "rid long, doc_id long, chunk int, n_chunks int, decoded string"
+    model_of = sent(encoded.sparkSession, model_path)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        model = load(model_path)
+        model = model_of()
         for batch in batches:
             yield _batch([(r["rid"], r["doc_id"], r["chunk"], r["n_chunks"], model.decode(r["ids"], r["chunk"] == 0)) for r in batch.to_pylist()], ddl)
 

@@ -98,24 +98,39 @@ def models(tmp_path_factory):
 
 
 @pytest.mark.parametrize("kind", ["bpe", "unigram"])
-def test_chunks_equal_the_library(models, kind, monkeypatch):
+def test_chunks_equal_the_library(models, kind):
+    """Matrices of chunks that are cut anywhere, multiplied as a tree and scanned down again."""
     from sentencepiece import SentencePieceProcessor
 
     library, model = SentencePieceProcessor(model_file=models[kind]), sentencepiece_scan.load(models[kind])
-    rng, unclean = np.random.default_rng(2), 0
+    rng, wide = np.random.default_rng(2), 0
     for k in range(30):
-        monkeypatch.setattr(sentencepiece_scan, "REACH", int(rng.choice([0, 5, 40])))
         text = "".join(rng.choice(list("the and of in tion er aé日本\n  x1234567890zq☃"), 600))
         text, chunk = text.replace(" ", "") if k % 2 else text, int(rng.choice([33, 64, 200]))
         t = model.normal(text)
+        assert k % 2 and kind == "bpe" or model.encode(t) == library.encode(text)
         n = max(1, len(t) // chunk)
         cuts = [(i * chunk, len(t) if i == n - 1 else (i + 1) * chunk) for i in range(n)]
-        backs = [min(a, sentencepiece_scan.REACH + model.longest + 1) for a, _ in cuts]
+        backs = [min(a, model.longest) for a, _ in cuts]
         chunks = [sentencepiece_scan.Chunk(model, t[a - back : b + 2 * model.longest], back, b - a, i == 0, i == n - 1) for i, ((a, b), back) in enumerate(zip(cuts, backs, strict=True))]
-        unclean += sum(c.entry != sentencepiece_scan.CLEAN for c in chunks)
-        states = sentencepiece_scan.scan([c.matrix() for c in chunks])
+        matrices = [c.matrix() for c in chunks]
+        wide += sum(m.size > 1 for m in matrices)
+        groups = [matrices[i : i + 3] for i in range(0, n, 3)]
+        ends = sentencepiece_scan.scan([sentencepiece_scan.product(g) for g in groups])
+        states = list(itertools.chain.from_iterable(sentencepiece_scan.scan(g, *e) for g, e in zip(groups, ends, strict=True)))
         assert list(itertools.chain.from_iterable(c.ids(i, j)[0] for c, (i, j) in zip(chunks, states, strict=True))) == library.encode(text)
-    assert unclean > 50
+    assert wide > 150
+
+
+def test_units_equal_the_library(models, spark):
+    """Every unit of the documents, the long ones along the pieces as well."""
+    from sentencepiece import SentencePieceProcessor
+
+    docs = pd.read_parquet(f"{SF}/documents.parquet")["text"].dropna().tolist()
+    for kind in ("bpe", "unigram"):
+        library, model = SentencePieceProcessor(model_file=models[kind]), sentencepiece_scan.load(models[kind])
+        for t in docs[: 200 if kind == "bpe" else 10]:
+            assert model.encode(model.normal(t)) == library.encode(t)
 
 
 def test_max_plus_is_associative():
