@@ -13,7 +13,7 @@ has twice or more.
 Common words are learned: of the words with a letter that at least MIN_SHARE of a
 language's documents have, the N_COMMON that most have (by all documents; equal
 ones in order). A word histogram has a bin for each and one for all other words.
-Languages of under MIN_REFERENCE_DOCS documents of MIN_WORDS words, and documents
+Languages of under MIN_REFERENCE_DOCS documents, and documents
 without one, are held against the characters and common words of all documents (words
 summed over those that have no reference of their own).
 
@@ -66,14 +66,14 @@ _WORDS = "filter(split({}, '[\\\\x20\\\\x09-\\\\x0D]+'), w -> w <> '')"
 def common_words(docs: DataFrame) -> tuple[DataFrame, list[str]]:
     """(lang, common) of the languages with references of their own, and the common words of all documents."""
     low = F.translate(F.coalesce(F.col("text").cast("string"), F.lit("")), _UPPER, _LOWER)
-    d = docs.select(F.col("lang").cast("string").alias("lang"), low.alias("t")).select("lang", F.expr(_WORDS.format("t")).alias("w")).where(F.size("w") >= MIN_WORDS)
-    words = d.select("lang", F.explode(F.array_distinct("w")).alias("word")).where(F.col("word").rlike("[^\\x00-\\x60\\x7B-\\x7F]"))
+    d = docs.select(F.col("lang").cast("string").alias("lang"), low.alias("t"))
+    words = d.select("lang", F.explode(F.expr(f"array_distinct({_WORDS.format('t')})")).alias("word")).where(F.col("word").rlike("[^\\x00-\\x60\\x7B-\\x7F]"))
     counted = cut(words.groupBy("lang", "word").count().where("count > 1"))
-    sizes = cut(d.groupBy("lang").count().withColumnRenamed("count", "docs"))  # a row a language
+    sizes = cut(d.groupBy("lang").agg(F.count("*").alias("docs")))  # a row a language
     own = counted.join(sizes.where(F.col("lang").isNotNull() & (F.col("docs") >= MIN_REFERENCE_DOCS)), "lang").where(F.col("count") >= MIN_SHARE * F.col("docs"))
     # few words of a language reach the share: at most 1 / MIN_SHARE times the words of a text
     ranked = own.withColumn("rank", F.row_number().over(W.partitionBy("lang").orderBy(F.desc("count"), "word"))).where(F.col("rank") <= N_COMMON)
-    lists = cut(ranked.groupBy("lang").agg(F.sort_array(F.collect_list(F.struct("rank", "word"))).alias("r")).select("lang", F.col("r.word").alias("common")))
+    lists = cut(ranked.groupBy("lang").agg(F.sort_array(F.collect_list(F.struct("rank", "word"))).alias("r")).select("lang", F.col("r.word").alias("common"), F.expr("array_max(transform(r, x -> octet_length(x.word)))").alias("longest")))
     total = sizes.agg(F.sum("docs")).first()[0] or 0
     every = counted.groupBy("word").agg(F.sum("count").alias("count")).where(F.col("count") >= MIN_SHARE * total).orderBy(F.desc("count"), "word").limit(N_COMMON)
     return lists, [r.word for r in every.collect()]
@@ -85,9 +85,11 @@ def measured(docs: DataFrame) -> DataFrame:
     text = F.coalesce(F.col("text").cast("string"), F.lit(""))
     d = docs.select("doc_id", F.col("lang").cast("string").alias("lang"), text.alias("t")).join(lists.withColumn("ref", F.col("lang")), "lang", "left")
     all_words = F.array(*map(F.lit, every)) if every else F.array().cast("array<string>")
-    d = d.select("doc_id", "ref", "t", F.coalesce("common", all_words).alias("common"), F.expr(_WORDS.format("t")).alias("w"))
+    longest = F.coalesce("longest", F.lit(max((len(w.encode()) for w in every), default=0)))
+    d = d.select("doc_id", "ref", "t", F.coalesce("common", all_words).alias("common"), longest.alias("longest"), F.expr(_WORDS.format("t")).alias("w"))
     lines = F.expr("filter(split(t, '\\n', -1), x -> x RLIKE '[^\\\\x20\\\\x09-\\\\x0D]')")
-    places = F.expr(f"filter(transform(w, x -> array_position(common, translate(x, '{_UPPER}', '{_LOWER}'))), p -> p > 0)")
+    short = "filter(w, x -> octet_length(x) <= longest)"  # only words that can be common are compared
+    places = F.expr(f"filter(transform({short}, x -> array_position(common, translate(x, '{_UPPER}', '{_LOWER}'))), p -> p > 0)")
     d = d.select("doc_id", "ref", "t", F.size("w").alias("n"), F.expr("transform(w, x -> xxhash64(x))").alias("h"), places.alias("places"), lines.alias("lines"))
     # hashes of the 3-word windows, sorted, so that equal ones are neighbours; a window that runs over the end gets a place of its own
     d = d.select("*", F.expr("sort_array(transform(slice(h, 1, greatest(n - 2, 0)), (x, i) -> struct(xxhash64(x, h[i + 1], h[i + 2]) AS g, i AS i)))").alias("g"))
@@ -119,23 +121,25 @@ def references(rows: DataFrame) -> DataFrame:
     return by.withColumn("ref_chars", F.when(F.col("ref").isNull(), F.array(*[F.lit(x).cast("long") for x in every])).otherwise(F.col("ref_chars")))
 
 
+def shares(counts: str) -> Column:
+    """Counts as shares of their sum, null without any."""
+    total = F.expr(f"aggregate({counts}, 0L, (a, v) -> a + v)")
+    return F.when(total > 0, F.transform(F.col(counts), lambda v: v / total))
+
+
 def distance(p: str, q: str) -> Column:
-    """Jensen-Shannon distance of two arrays of counts, null if either is empty."""
-    total = lambda x: f"aggregate({x}, 0L, (a, v) -> a + v)"
-    term = "CASE WHEN x > 0 THEN x * log2(x / ((x + y) / 2)) ELSE 0D END"
-    half = f"transform(zip_with({p}, {q}, (a, b) -> struct(CAST(a AS DOUBLE) / {total(p)} AS x, CAST(b AS DOUBLE) / {total(q)} AS y)), s -> {{}})"
-    one = half.format(term.replace("x", "s.x").replace("y", "s.y").replace("s.s.", "s."))
-    two = half.format(term.replace("x", "s.@").replace("y", "s.x").replace("@", "y"))
-    add = lambda x: f"aggregate({x}, 0D, (a, v) -> a + v)"
-    return F.expr(f"CASE WHEN {total(p)} > 0 AND {total(q)} > 0 THEN sqrt(greatest(0D, 0.5D * ({add(one)} + {add(two)}))) END")
+    """Jensen-Shannon distance of two arrays of shares: from the entropies of both and of their mean."""
+    term = "CASE WHEN {0} > 0 THEN {0} * log2({0}) ELSE 0D END".format
+    each = f"zip_with({p}, {q}, (x, y) -> {term('x')} + {term('y')} - 2 * {term('((x + y) / 2)')})"
+    return F.expr(f"CASE WHEN {p} IS NOT NULL AND {q} IS NOT NULL THEN sqrt(greatest(0D, 0.5D * aggregate({each}, 0D, (a, v) -> a + v))) END")
 
 
 def quality_rules(docs: DataFrame) -> DataFrame:
     """Per row of docs (doc_id, text, lang): the contract's counts, both distances, base_failed and kept."""
     rows = cut(measured(docs))
-    own = references(rows)  # a row a language
-    d = rows.join(own.withColumnRenamed("ref", "own"), F.col("ref").eqNullSafe(F.col("own")), "left")
-    d = d.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", distance("chars", "ref_chars").alias("cd"), distance("words", "ref_words").alias("wd"))
+    own = references(rows).select(F.col("ref").alias("own"), shares("ref_chars").alias("rc"), shares("ref_words").alias("rw"))  # a row a language
+    d = rows.withColumns({"c": shares("chars"), "w": shares("words")}).join(cut(own), F.col("ref").eqNullSafe(F.col("own")), "left")
+    d = cut(d.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", distance("c", "rc").alias("cd"), distance("w", "rw").alias("wd")))
     # distances are rounded so that the exact medians hold few values
     judged, beyond = F.col("n_words") >= MIN_WORDS_FOR_COMMON, F.round(F.col("wd") * F.col("wd") - N_COMMON / (SAMPLING * F.col("n_words")), 4)
     m = d.where(~F.col("base_failed")).agg(F.expr("percentile(round(cd, 4), 0.5)").alias("cd"), F.percentile(F.when(judged, beyond), F.lit(0.5)).alias("spread")).first()
@@ -168,9 +172,8 @@ def _sql() -> str:
 WITH raw AS (SELECT row_number() OVER () AS rid, doc_id, lang, coalesce(text, '') AS t FROM documents),
 d AS (SELECT *, regexp_extract_all(t, '[^\\x20\\x09-\\x0D]+') AS w, regexp_extract_all(translate(t, '{_UPPER}', '{_LOWER}'), '[^\\x20\\x09-\\x0D]+') AS lw,
              list_filter(string_split(t, chr(10)), lambda x: regexp_matches(x, '[^\\x20\\x09-\\x0D]')) AS lines FROM raw),
-long_ones AS (SELECT lang, lw FROM d WHERE len(w) >= {MIN_WORDS}),
-df AS (SELECT lang, word, count(*) AS n FROM (SELECT lang, unnest(list_distinct(lw)) AS word FROM long_ones) WHERE regexp_matches(word, '[^\\x00-\\x60\\x7B-\\x7F]') GROUP BY 1, 2 HAVING count(*) > 1),
-sizes AS (SELECT lang, count(*) AS docs FROM long_ones GROUP BY 1),
+df AS (SELECT lang, word, count(*) AS n FROM (SELECT lang, unnest(list_distinct(lw)) AS word FROM d) WHERE regexp_matches(word, '[^\\x00-\\x60\\x7B-\\x7F]') GROUP BY 1, 2 HAVING count(*) > 1),
+sizes AS (SELECT lang, count(*) AS docs FROM d GROUP BY 1),
 lists AS (SELECT lang, list(word ORDER BY n DESC, word) AS common FROM (
             SELECT df.lang, word, n FROM df JOIN sizes ON df.lang = sizes.lang WHERE docs >= {MIN_REFERENCE_DOCS} AND n >= {MIN_SHARE} * docs
             QUALIFY row_number() OVER (PARTITION BY df.lang ORDER BY n DESC, word) <= {N_COMMON}) GROUP BY lang),
