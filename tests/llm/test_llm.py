@@ -66,7 +66,10 @@ def test_quality_classifier(spark, odd, empty):
     assert quality_classifier.classify(odd, none).count() == odd.count()
     assert quality_classifier.classify(empty, labels).count() == 0
     odd_labels = spark.createDataFrame([(1, 1), (1, 0), (7, 1), (None, 1), (99, 0), (3, None)], "doc_id long, quality int")
-    assert quality_classifier.classify(odd, odd_labels).count() == odd.count()
+    got = rows_of(quality_classifier.classify(odd, odd_labels), "doc_id")
+    assert got == rows_of(odd, "doc_id")
+    # without labels there is no evidence, and the prior is one half everywhere
+    assert rows_of(quality_classifier.classify(odd, none), "evidence", "prior", "kept") == {(0.0, 0.5, True): odd.count()}
 
 
 def test_sites_shrink(spark):
@@ -79,6 +82,23 @@ def test_sites_shrink(spark):
     assert prior[0] < 0.1 < prior[1000] < 0.9 < prior[2000]
 
 
+def test_strengths_are_recovered(spark):
+    """Sites of 1, 2, 5 and 500 rows, drawn with known variances."""
+    rng = np.random.default_rng(4)
+    rows = []
+    for host in range(1500):
+        centre = 0.5 + 0.10 * rng.normal()
+        for path in range(4):
+            own = centre + 0.05 * rng.normal()
+            n = int(rng.choice([1, 2, 5, 500]))
+            p = own + 0.2 * rng.normal(size=n)
+            rows.append((f"h{host}", f"p{path}", float(p.sum()), n, float((p * p).sum())))
+    mean, k_host, k_path = quality_classifier.strengths(spark.createDataFrame(rows, "host string, path string, ps double, pn long, pq double"))
+    assert mean == pytest.approx(0.5, abs=0.02) and k_host == pytest.approx(4, rel=0.2) and k_path == pytest.approx(16, rel=0.2)
+    single = spark.createDataFrame([(f"h{i}", "p", float(i % 2), 1, float(i % 2)) for i in range(50)], "host string, path string, ps double, pn long, pq double")
+    assert quality_classifier.strengths(single)[1] > 10  # sites of one row say nothing of how sites differ
+
+
 # --- 2 SentencePiece
 
 
