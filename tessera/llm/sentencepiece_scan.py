@@ -29,7 +29,7 @@ from __future__ import annotations
 
 import re
 from collections.abc import Iterator, Sequence
-from itertools import chain
+from itertools import chain, pairwise
 
 import numpy as np
 import pyarrow as pa
@@ -43,7 +43,7 @@ CHUNK = 16384
 #: Chunks whose matrices one task multiplies.
 BLOCK = 64
 #: Units that a worker remembers, and the longest that it does.
-MEMO, MEMO_LENGTH = 200_000, 64
+MEMO, MEMO_LENGTH = 300_000, 64
 #: Characters of a unit up to which a BPE model's merges are followed (their time grows with the square of the length).
 MERGED = 64
 
@@ -85,21 +85,18 @@ class Model:
 
     def merges(self, text: str) -> list[int]:
         """The pieces (ids, or minus the code point) that a BPE model's merges leave: always the best-ranked pair, the first of equals."""
-        parts, rank = list(text), self.rank
-        ranks = [rank.get(a + b) for a, b in zip(parts, parts[1:], strict=False)]
-        while True:
-            best, at = None, -1
-            for i, r in enumerate(ranks):
-                if r is not None and (best is None or r > best):
-                    best, at = r, i
-            if at < 0:
-                return [self.ids[p] if p in self.ids else -ord(p) for p in parts]
+        parts, rank = list(text), self.rank.get
+        ranks = [rank(a + b, _NO) for a, b in pairwise(parts)]
+        while ranks and (best := max(ranks)) != _NO:
+            at = ranks.index(best)
             parts[at : at + 2] = [parts[at] + parts[at + 1]]
             del ranks[at]
             if at < len(ranks):
-                ranks[at] = rank.get(parts[at] + parts[at + 1])
+                ranks[at] = rank(parts[at] + parts[at + 1], _NO)
             if at:
-                ranks[at - 1] = rank.get(parts[at - 1] + parts[at])
+                ranks[at - 1] = rank(parts[at - 1] + parts[at], _NO)
+        ids = self.ids
+        return [ids[p] if p in ids else -ord(p) for p in parts]
 
     def path(self, unit: str) -> list[int]:
         """The pieces of the best path of a text that begins and ends between pieces."""
@@ -113,7 +110,7 @@ class Model:
 
     def _flat(self, path: list[int]) -> list[int]:
         """Ids, with characters that have no piece as their bytes; without byte pieces a run of them is one unknown."""
-        if all(t >= 0 for t in path):
+        if not path or min(path) >= 0:
             return path
         out: list[int] = []
         for i, t in enumerate(path):
