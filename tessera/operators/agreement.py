@@ -129,8 +129,8 @@ def bootstrap_f1(matches: DataFrame, resamples: int = 10_000, seed: int = 1729,
 
 
 def ceiling_ratio(value: Column, ceiling: Column) -> Column:
-    """value / ceiling; null where the ceiling is 0 or no number."""
-    return F.when((ceiling != 0) & ~F.isnan(ceiling), value / ceiling)
+    """value / ceiling; null where the ceiling is 0, infinite or no number."""
+    return F.when((ceiling != 0) & (F.abs(ceiling) < float("inf")) & ~F.isnan(ceiling), value / ceiling)
 
 
 def offsets(matches: DataFrame, pred: str, gt: str) -> DataFrame:

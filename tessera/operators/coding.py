@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 from tessera.functions.boxes import distance
 from tessera.functions.pitch import line_x
+from tessera.operators.lineage import settled
 
 #: Bands of defender counts: label, least, greatest.
 BANDS = (("0-4", 0, 4), ("5-7", 5, 7), ("8-10", 8, 10), ("11+", 11, None))
@@ -75,8 +76,10 @@ def code_events(events: DataFrame, positions: DataFrame, key: list[str], setup_s
     given = "kicking_team" in events.columns
     ev = events.select(*key, "t_start_s", "t_peak_s", *([F.col("kicking_team").alias("given_team")] if given else []))
     p = positions.where(F.col("pitch_x").isNotNull()).join(ev.select(*key, F.col("t_start_s").alias("__s"), F.col("t_peak_s").alias("__p")), key)
-    setup = p.where(F.col("timestamp_s").between(F.col("__s") - setup_s, F.col("__s"))).drop("__s", "__p")
-    peak = p.where(F.col("timestamp_s").between(F.col("__p") - peak_s, F.col("__p") + peak_s)).drop("__s", "__p")
+    in_setup, in_peak = F.col("timestamp_s").between(F.col("__s") - setup_s, F.col("__s")), F.col("timestamp_s").between(F.col("__p") - peak_s, F.col("__p") + peak_s)
+    # the rows of both windows are read by seven later steps, so they are made once
+    rows = settled(p.withColumns({"__setup": in_setup, "__peak": in_peak}).where("__setup OR __peak").select(*key, "frame_idx", "track_id", "team", "pitch_x", "pitch_y", "sign", "__setup", "__peak"))
+    setup, peak = rows.where("__setup").drop("__setup", "__peak"), rows.where("__peak").drop("__setup", "__peak")
     teams = setup.groupBy(*key).agg(F.count_distinct("track_id").alias("n_registered_setup"), F.array_sort(F.collect_set(F.when(F.col("team") != UNASSIGNED, F.col("team")))).alias("known"))
     d = ev.join(teams, key, "left").join(keeper_gap(setup, key), key, "left")
     own = F.when(F.array_contains("known", F.col("given_team")), F.col("given_team")) if given else F.lit(None).cast("string")

@@ -8,6 +8,8 @@ events are folded in Python, in one pass per group with a set of what is taken.
 
 from __future__ import annotations
 
+from bisect import bisect_left, bisect_right
+
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
@@ -87,23 +89,21 @@ def nms_time(windows: DataFrame, by: list[str], min_gap: float, floor: float = 0
 
 
 def cover_windows(times: DataFrame, by: list[str], length: float, pad: float, most: int, at: str = "t_s") -> DataFrame:
-    """(by, window, start_s, end_s, covered): up to `most` windows, each starting pad before an event and covering the most that remain; the earliest of equals.
+    """(by, window, start_s, end_s, covered): up to `most` windows, each starting pad before an event (not before 0) and covering the most that remain; the earliest of equals.
 
-    An event is covered from start + pad to end - pad, ends included.
+    An event is covered from start + pad to end - pad, ends included. It ends where no window covers any.
     """
 
     def fold(group: pd.DataFrame) -> pd.DataFrame:
         left, out = sorted(group[at].tolist()), []
         for n in range(most):
-            best: tuple[int, float] | None = None
-            hi = 0
-            for lo, t in enumerate(left):
-                hi = max(hi, lo)
-                while hi < len(left) and left[hi] <= t - pad + length - pad:
-                    hi += 1
-                if best is None or hi - lo > best[0]:
-                    best = (hi - lo, t - pad)
-            if best is None:
+            best = (0, 0.0)
+            for t in left:
+                start = max(t - pad, 0.0)
+                n_in = bisect_right(left, start + length - pad) - bisect_left(left, start + pad)
+                if n_in > best[0]:
+                    best = (n_in, start)
+            if not best[0]:
                 break
             start = best[1]
             out.append([*group.iloc[0][by].tolist(), n + 1, start, start + length, best[0]])

@@ -100,7 +100,7 @@ def precision_recall_curve(spark, sf_dir):
 _IOU = """bx AS (SELECT video_id, frame_idx, pred_id, gt_id, CASE WHEN a + b - i > 0 THEN i / (a + b - i) ELSE 0 END AS iou FROM (
   SELECT t.video_id, t.frame_idx, t.track_id AS pred_id, gt_id, greatest(0, least(x2, g_x2) - greatest(x1, g_x1)) * greatest(0, least(y2, g_y2) - greatest(y1, g_y1)) AS i, (x2 - x1) * (y2 - y1) AS a, (g_x2 - g_x1) * (g_y2 - g_y1) AS b
   FROM trk t JOIN gtb g ON t.video_id = g.video_id AND t.frame_idx = g.frame_idx)),
-bo AS (SELECT *, row_number() OVER (PARTITION BY t, video_id, frame_idx ORDER BY top DESC, pred_id) AS i FROM (SELECT t, video_id, frame_idx, pred_id, max(iou) AS top, list({'n': -iou, 'g': gt_id} ORDER BY -iou, gt_id) AS cands FROM bx, (VALUES (0.3), (0.5), (0.7)) v(t) WHERE iou >= t GROUP BY 1, 2, 3, 4)),
+bo AS (SELECT *, row_number() OVER (PARTITION BY t, video_id, frame_idx ORDER BY top DESC, pred_id) AS i FROM (SELECT t, video_id, frame_idx, pred_id, max(iou) AS top, list({'n': -iou, 'g': gt_id} ORDER BY -iou, gt_id) AS cands FROM bx, (VALUES (0.3), (0.4), (0.5), (0.6), (0.7)) v(t) WHERE iou >= t GROUP BY 1, 2, 3, 4)),
 bf(t, video_id, frame_idx, i, taken, pred_id, hit) AS (SELECT DISTINCT t, video_id, frame_idx, 0::BIGINT, []::BIGINT[], NULL::BIGINT, NULL::STRUCT(n DOUBLE, g BIGINT) FROM bo
   UNION ALL SELECT f.t, f.video_id, f.frame_idx, f.oi, CASE WHEN len(x) > 0 THEN list_append(f.taken, x[1].g) ELSE f.taken END, f.op, x[1]
   FROM (SELECT f.*, o.i AS oi, o.pred_id AS op, list_filter(o.cands, lambda c: NOT list_contains(f.taken, c.g)) AS x FROM bf f JOIN bo o ON o.t = f.t AND o.video_id = f.video_id AND o.frame_idx = f.frame_idx AND o.i = f.i + 1) f)"""
@@ -124,7 +124,7 @@ def match_boxes_greedy(spark, sf_dir):
 @query("iou_sweep", X(G.TRK, G.GTB, _IOU) + " SELECT t::DOUBLE AS threshold, count(*) AS tp, round(count(*) / (SELECT count(*) FROM gtb)::DOUBLE, 6) AS recall FROM bf WHERE hit IS NOT NULL GROUP BY t")
 def iou_sweep(spark, sf_dir):
     n = G.gtb(spark, sf_dir).agg(F.count("*").alias("n"))
-    d = _boxes(spark, sf_dir, (0.3, 0.5, 0.7)).groupBy("threshold").agg(F.count("*").alias("tp"))
+    d = _boxes(spark, sf_dir, (0.3, 0.4, 0.5, 0.6, 0.7)).groupBy("threshold").agg(F.count("*").alias("tp"))
     return rounded(d.crossJoin(F.broadcast(n)).select("threshold", "tp", (F.col("tp") / F.col("n")).alias("recall")))  # one row
 
 
@@ -213,20 +213,13 @@ def replay_gaps(spark, sf_dir):
     return G.pe(spark, sf_dir).select("grp", "pred_id", gap.alias("gap_s"), F.coalesce(gap < 1500, F.lit(False)).alias("probable_replay"))
 
 
-@query("window_cover", X(G.PE) + """, one AS (SELECT a.grp, a.p_start AS t, count(*) AS covered FROM pe a JOIN pe b ON a.grp = b.grp AND b.p_start BETWEEN a.p_start AND a.p_start - 3600 + 86400 - 3600 GROUP BY a.grp, a.pred_id, a.p_start)
-SELECT grp, 1::BIGINT AS "window", arg_min(t, {'a': -covered, 'b': t}) - 3600 AS start_s, arg_min(t, {'a': -covered, 'b': t}) - 3600 + 86400 AS end_s, max(covered) AS covered FROM one GROUP BY grp""")
-def window_cover(spark, sf_dir):
-    e = G.pe(spark, sf_dir).select("grp", F.col("p_start").alias("t_s"))
-    return greedy.cover_windows(e, ["grp"], 86400.0, 3600.0, 2).where("window = 1")
-
-
-_BEST = """SELECT grp, arg_min(t, {{'a': -covered, 'b': t}}) - 3600 AS s, max(covered) AS covered FROM (SELECT a.grp, a.p_start AS t, count(*) AS covered FROM {0} a JOIN {0} b ON a.grp = b.grp AND b.p_start BETWEEN a.p_start AND a.p_start - 3600 + 86400 - 3600 GROUP BY a.grp, a.pred_id, a.p_start) GROUP BY grp"""
+_BEST = """SELECT grp, arg_min(s, {{'a': -covered, 'b': s}}) AS s, max(covered) AS covered FROM (SELECT a.grp, a.s, count(*) AS covered FROM (SELECT *, greatest(p_start - 3600, 0) AS s FROM {0}) a JOIN {0} b ON a.grp = b.grp AND b.p_start BETWEEN a.s + 3600 AND a.s + 86400 - 3600 GROUP BY a.grp, a.pred_id, a.s) GROUP BY grp"""
 
 
 @query("window_cover_all", X(G.PE) + f""", w1 AS ({_BEST.format("pe")}), rest AS (SELECT pe.* FROM pe JOIN w1 ON pe.grp = w1.grp WHERE NOT p_start BETWEEN s + 3600 AND s + 86400 - 3600), w2 AS ({_BEST.format("rest")})
 SELECT grp, "window", s AS start_s, s + 86400 AS end_s, covered FROM (SELECT *, 1::BIGINT AS "window" FROM w1 UNION ALL SELECT *, 2::BIGINT FROM w2)""")
 def window_cover_all(spark, sf_dir):
-    """Both windows of the greedy cover; window_cover has the first ones."""
+    """Both windows of the greedy cover of each group."""
     e = G.pe(spark, sf_dir).select("grp", F.col("p_start").alias("t_s"))
     return greedy.cover_windows(e, ["grp"], 86400.0, 3600.0, 2)
 
@@ -315,20 +308,10 @@ def contest_rates(spark, sf_dir):
     return rounded(d.groupBy("video_id").agg(F.count_if(c).alias("n_contest"), F.count_if(~c).alias("n_elsewhere"), rate(c).alias("contest_rate"), rate(~c).alias("elsewhere_rate")))
 
 
-@query("banner_state", X(G.TRK, G.FS, G.PE, G.GE) + """ SELECT video_id, frame_idx, CASE WHEN p AND g THEN 'hit' WHEN p THEN 'false alarm' WHEN g THEN 'miss' ELSE 'quiet' END AS state FROM (SELECT video_id, frame_idx,
-EXISTS (SELECT 1 FROM pe WHERE grp = 0 AND frame_idx * 3600 BETWEEN p_start AND p_end) AS p, EXISTS (SELECT 1 FROM ge WHERE grp = 0 AND frame_idx * 3600 BETWEEN g_start AND g_end) AS g FROM fs WHERE video_id = 0)""")
-def banner_state(spark, sf_dir):
-    """What each frame of the first series shows: in a predicted event, in a true one, in both, in none."""
-    f = G.fs(spark, sf_dir).where("video_id = 0").select("video_id", "frame_idx", (F.col("frame_idx") * 3600).alias("t"))
-    inside = lambda e, a, b, name: joins.points_in_intervals(e.where("grp = 0"), f, a, b, "t", DAY).select("frame_idx").distinct().withColumn(name, F.lit(True))
-    d = f.join(inside(G.pe(spark, sf_dir), "p_start", "p_end", "p"), "frame_idx", "left").join(inside(G.ge(spark, sf_dir), "g_start", "g_end", "g"), "frame_idx", "left")
-    return d.select("video_id", "frame_idx", F.when(F.col("p") & F.col("g"), "hit").when(F.col("p"), "false alarm").when(F.col("g"), "miss").otherwise("quiet").alias("state"))
-
-
 @query("banner_state_all", X(G.TRK, G.FS, G.PE, G.GE) + """ SELECT video_id, frame_idx, CASE WHEN p AND g THEN 'hit' WHEN p THEN 'false alarm' WHEN g THEN 'miss' ELSE 'quiet' END AS state FROM (SELECT video_id, frame_idx,
 EXISTS (SELECT 1 FROM pe WHERE grp % 2 = fs.video_id AND frame_idx * 3600 BETWEEN p_start AND p_end) AS p, EXISTS (SELECT 1 FROM ge WHERE grp % 2 = fs.video_id AND frame_idx * 3600 BETWEEN g_start AND g_end) AS g FROM fs)""")
 def banner_state_all(spark, sf_dir):
-    """What each frame of every series shows, as banner_state has it for the first series and group."""
+    """What each frame of every series shows: in a predicted event, in a true one, in both, in none."""
     f = G.fs(spark, sf_dir).select("video_id", "frame_idx", (F.col("frame_idx") * 3600).alias("t"))
     inside = lambda e, a, b, name: joins.points_in_intervals(e.select((F.col("grp") % 2).alias("video_id"), a, b), f, a, b, "t", DAY, V).select("video_id", "frame_idx").distinct().withColumn(name, F.lit(True))
     d = f.join(inside(G.pe(spark, sf_dir), "p_start", "p_end", "p"), ["video_id", "frame_idx"], "left").join(inside(G.ge(spark, sf_dir), "g_start", "g_end", "g"), ["video_id", "frame_idx"], "left")

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from tessera.functions import boxes as B
@@ -98,8 +99,9 @@ def knn_embedding(spark, sf_dir):
     q = e.where("vec_id % 50 = 0").select(F.col("vec_id").alias("query_id"), F.col("v").alias("q"))
     d = F.round(F.sqrt(F.aggregate(F.zip_with("q", "v", lambda a, b: (a - b) * (a - b)), F.lit(0.0), lambda a, x: a + x)), 6)
     pairs = e.join(q, F.col("vec_id") != F.col("query_id")).select("query_id", "vec_id", d.alias("distance"))
-    best = pairs.groupBy("query_id").agg(F.slice(F.array_sort(F.collect_list(F.struct("distance", "vec_id"))), 1, 5).alias("b"))
-    return best.select("query_id", F.explode("b").alias("b")).select("query_id", "b.vec_id", "b.distance")
+    # a rank with a limit keeps five rows of each query in every task, before anything is shuffled
+    rank = F.row_number().over(W.partitionBy("query_id").orderBy("distance", "vec_id"))
+    return pairs.withColumn("r", rank).where("r <= 5").drop("r")
 
 
 @query("velocity_true_elapsed", X(G.TRK) + " SELECT video_id, track_id, frame_idx, round(-(cy - lag(cy, 8) OVER w) * 25 / (frame_idx - lag(frame_idx, 8) OVER w), 6) + 0.0 AS velocity FROM trk WINDOW w AS (PARTITION BY video_id, track_id ORDER BY frame_idx)")

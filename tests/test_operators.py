@@ -259,3 +259,36 @@ def test_bootstrap(spark):
     d = spark.createDataFrame([("TP",)] * 30 + [("FP",)] * 10 + [("FN",)] * 10, "kind string")
     r = agreement.bootstrap_f1(d).first()
     assert r.f1 == pytest.approx(0.75) and r.ci_low < 0.75 < r.ci_high
+
+
+def test_cover_windows_start_at_zero_and_stop(spark):
+    from tessera.operators import greedy
+
+    t = spark.createDataFrame([(0, 5.0), (0, 25.0), (0, 30.0), (0, 200.0)], "g int, t_s double")
+    got = greedy.cover_windows(t, ["g"], 60.0, 20.0, 3).collect()
+    assert [(r.start_s, r.covered) for r in sorted(got, key=lambda r: r.window)] == [(0.0, 2), (180.0, 1)]  # a window from 0 covers from 20 s on; 5 s lies before that
+    assert greedy.cover_windows(t, ["g"], 30.0, 20.0, 3).count() == 0
+
+
+def test_f1_of_no_hits_is_zero(spark):
+    from tessera.functions import stats
+
+    r = spark.createDataFrame([(0, 3, 4)], "tp int, fp int, fn int").select(*[v.alias(k) for k, v in stats.precision_recall("tp", "fp", "fn").items()]).first()
+    assert r.precision_value == 0.0 and r.recall_value == 0.0 and r.f1_value == 0.0
+
+
+def test_track_ids_and_effort(spark):
+    from tessera.operators import review
+
+    b = spark.createDataFrame([(0, -1), (0, 3), (0, 5), (0, 5), (1, -1)], "g int, id int")
+    got = {r.g: tuple(r)[1:] for r in review.track_ids(b, ["g"], "id").collect()}
+    assert got == {0: (4, 1, 2, 3, 5, 1), 1: (1, 1, 0, None, None, 0)}
+    hours = spark.range(1).select(review.effort(F.lit(3600.0)).alias("e")).first().e
+    assert [(x.seconds_per_box, x.hours) for x in hours] == [(1.5, 1.5), (2.5, 2.5), (4.0, 4.0)]
+
+
+def test_kinds_in_order(spark):
+    from tessera.operators import review
+
+    d = spark.createDataFrame([("FN", 1), ("TP", 2), ("FP", 3), ("TP", 1)], "kind string, k int")
+    assert [(r.kind, r.k) for r in review.in_kind_order(d, within=("k",)).orderBy("place").collect()] == [("TP", 1), ("TP", 2), ("FP", 3), ("FN", 1)]
