@@ -324,10 +324,29 @@ def image_features(spark, sf_dir):
     return rounded(features.canonical(features.image_features(G.trk(spark, sf_dir), G.lengths(spark, sf_dir), V), V))
 
 
-@query("predicted_events")
+_DENSE = """, feat AS (SELECT video_id, i AS frame_idx, i / 25.0::DOUBLE AS timestamp_s, 6 + (i // 25 * 31 + video_id * 17) % 15 AS n_tracks, (30 + (i * 48271 + video_id) % 211)::DOUBLE AS mean_bbox_height,
+  (40 + (i // 50 * 7919 + video_id * 104729) % 160)::DOUBLE AS centroid_spread, (i * 69621 % 10 <> 0)::INT AS valid_frame, (i % 977 = 0)::INT AS scene_change_flag FROM (SELECT DISTINCT video_id FROM trk), range(18000) r(i))""" + _FEAT[_FEAT.index(",\nws AS") :]
+
+
+def _dense_scores(spark, sf_dir):
+    """Scores of windows over 18,000 frames of each series, twelve minutes at 25 a second, as a real recording has them: no frame is without tracks."""
+    i, v = F.col("frame_idx"), F.col("video_id")
+    f = G.lengths(spark, sf_dir).select("video_id", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(17_999).cast("long"))).alias("frame_idx"))
+    f = f.select("video_id", "frame_idx", (i / 25.0).alias("timestamp_s"), (6 + (F.floor(i / 25) * 31 + v * 17) % 15).alias("n_tracks"), (30 + (i * 48271 + v) % 211).cast("double").alias("mean_bbox_height"),
+                 (40 + (F.floor(i / 50) * 7919 + v * 104729) % 160).cast("double").alias("centroid_spread"), (i * 69621 % 10 != 0).cast("int").alias("valid_frame"), (i % 977 == 0).cast("int").alias("scene_change_flag"), F.lit(0.0).alias("mean_vertical_velocity"))
+    w = windows.window_stats(f, V, 75, windows.half_even(0.5 * 25), ("n_tracks", "mean_bbox_height", "centroid_spread", "mean_vertical_velocity"), ("mean_bbox_height", True))
+    return windows.rule_score(w, V, min_tracks=20.0).withColumn("score", F.round("score", 9))
+
+
+@query("predicted_events", X(G.TRK) + _DENSE + """, no AS (SELECT *, round(score, 9) AS sc, row_number() OVER (PARTITION BY video_id ORDER BY round(score, 9) DESC, t_peak_s, w_frame) AS i FROM scored WHERE round(score, 9) >= 0.05),
+nf(video_id, i, taken, w_frame, keep) AS (SELECT DISTINCT video_id, 0::BIGINT, []::DOUBLE[], NULL::BIGINT, false FROM no
+  UNION ALL SELECT f.video_id, f.oi, CASE WHEN ok THEN list_append(taken, t) ELSE taken END, ow, ok FROM (SELECT f.*, o.i AS oi, o.w_frame AS ow, o.t_peak_s AS t, len(list_filter(f.taken, lambda u: abs(u - o.t_peak_s) < 2.0)) = 0 AS ok FROM nf f JOIN no o ON o.video_id = f.video_id AND o.i = f.i + 1) f),
+k AS (SELECT no.* FROM nf JOIN no ON nf.video_id = no.video_id AND nf.i = no.i WHERE keep)
+SELECT video_id, printf('pred_%03d', row_number() OVER (PARTITION BY video_id ORDER BY t_peak_s, w_frame)) AS event_id, round(w_start_s, 6) AS t_start_s, round(w_end_s, 6) AS t_end_s, round(t_peak_s, 6) AS t_peak_s, round(w_end_s - w_start_s, 6) AS duration_s,
+       round(sc, 6) AS confidence, n_max::BIGINT AS n_players_in_contest, 'rule' AS detector_mode FROM k""")
 def predicted_events(spark, sf_dir):
-    """Windows, scores and suppression, as a table of events with ids."""
-    d = greedy.nms_time(_scores(spark, sf_dir), V, 2.0)
+    """Windows, scores and suppression over dense series, as a table of events with ids."""
+    d = greedy.nms_time(_dense_scores(spark, sf_dir), V, 2.0)
     return rounded(d.select("video_id", series.numbered("pred", ["t_peak_s", "w_frame"], V).alias("event_id"), F.col("w_start_s").alias("t_start_s"), F.col("w_end_s").alias("t_end_s"), "t_peak_s", (F.col("w_end_s") - F.col("w_start_s")).alias("duration_s"), F.col("score").alias("confidence"), "n_players_in_contest", F.lit("rule").alias("detector_mode")))
 
 
