@@ -13,7 +13,7 @@ children of the next level, until one is left. Each child keeps where each of it
 (`place`); following the places down from the root gives every group its shard.
 
 Law `bytes`: shard sizes are near equal. Slots are gapless from 0 in a shard:
-rows are counted by (shard, sub-bucket of doc_id), and a row's slot is the
+rows are counted by (shard, sub-bucket of the row, so that equal rows are dealt out too), and a row's slot is the
 number of rows in the sub-buckets before its own plus its place there, so no
 task sorts a whole shard.
 
@@ -116,12 +116,12 @@ def shard(docs: DataFrame, k: int = SHARDS, fan_in: int = FAN_IN, slot_rows: int
     """Per row of docs (doc_id, text): size, text_crc32, law, shard, slot, grown_shard."""
     text = F.coalesce(F.col("text"), F.lit(""))
     key = F.when(F.col("text").isNull(), F.lit(b"")).otherwise(F.unhex(F.sha2("text", 256)))
-    rows = cut(docs.select(F.col("doc_id").cast("long").alias("doc_id"), (F.octet_length(text) + 1).cast("long").alias("size"), F.crc32(F.encode(text, "UTF-8")).alias("text_crc32"), key.alias("key")))
+    rows = cut(docs.select(F.col("doc_id").cast("long").alias("doc_id"), (F.octet_length(text) + 1).cast("long").alias("size"), F.crc32(F.encode(text, "UTF-8")).alias("text_crc32"), key.alias("key"), F.monotonically_increasing_id().alias("rid")))
     groups = cut(rows.groupBy("key").agg(F.sum("size").alias("bytes")))
     # both sides are read from the shared folder, so a key that many rows share is a skewed join that AQE splits
     placed = rows.join(cut(partition(groups, k, fan_in)), "key")
     subs = max(1, -(-rows.count() // (k * slot_rows)))
-    placed = cut(placed.select("doc_id", "size", "text_crc32", "shard", F.pmod(F.xxhash64("doc_id", "text_crc32"), F.lit(subs)).alias("sub")))
+    placed = cut(placed.select("doc_id", "size", "text_crc32", "shard", F.pmod(F.xxhash64("rid"), F.lit(subs)).alias("sub")))
     before = W.partitionBy("shard").orderBy("sub").rowsBetween(W.unboundedPreceding, -1)
     offsets = placed.groupBy("shard", "sub").count().select("shard", "sub", F.coalesce(F.sum("count").over(before), F.lit(0)).alias("offset"))
     own = W.partitionBy("shard", "sub").orderBy("doc_id", "text_crc32")
