@@ -14,7 +14,7 @@ resource records.
 
 Payloads of at least `min_revisit` bytes that several records share are written once: the
 record of the largest page id is the response, the others are revisit records
-that name it and hold the HTTP header alone. Smaller ones are all responses. Only
+that name it by record id, address and page, and hold the HTTP header alone. Smaller ones are all responses. Only
 ids and hashes are shuffled to find them; the decisions travel to the records
 when they are few (their number is counted first), and are joined otherwise.
 
@@ -44,13 +44,15 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tessera.llm.common import cut, scratch_path, table
+from tessera.llm.common import cut, scratch_path, stash, table
 
 MIN_REVISIT = 1000
 #: Bytes of one archive that pages are packed into, about.
 ARC_BYTES = 4 << 20
 #: Revisit decisions up to this number travel to the tasks that write.
-MAP_SIDE_REVISITS = 500_000
+MAP_SIDE_REVISITS = 200_000
+#: Records of one WARC file at most.
+FILE_RECORDS = 5_000
 
 _FIELDS = {
     1: b"URL IP-address Archive-date Content-type Archive-length",
@@ -114,13 +116,13 @@ def record_id(name: str, offset: int) -> str:
     return str(uuid.uuid5(uuid.NAMESPACE_URL, f"{name}#{offset}"))
 
 
-def warc_record(kind: str, rid: str, url: bytes, date: bytes, mime: bytes, head: bytes, payload: bytes, refers: tuple[str, int] | None = None) -> bytes:
+def warc_record(kind: str, rid: str, url: bytes, date: bytes, mime: bytes, head: bytes, payload: bytes, refers: tuple[str, int, bytes] | None = None) -> bytes:
     """A WARC record without the two line ends that close it."""
     d = date.decode().ljust(14, "0")
     block = head if kind == "revisit" else head + payload
     lines = [b"WARC/1.1", b"WARC-Type: " + kind.encode(), b"WARC-Record-ID: <urn:uuid:" + rid.encode() + b">", f"WARC-Date: {d[:4]}-{d[4:6]}-{d[6:8]}T{d[8:10]}:{d[10:12]}:{d[12:14]}Z".encode(), b"WARC-Target-URI: " + url]
     if refers:
-        lines += [b"WARC-Profile: http://netpreserve.org/warc/1.1/revisit/identical-payload-digest", b"WARC-Refers-To-Page: %d" % refers[1]]
+        lines += [b"WARC-Profile: http://netpreserve.org/warc/1.1/revisit/identical-payload-digest", b"WARC-Refers-To: <urn:uuid:" + refers[0].encode() + b">", b"WARC-Refers-To-Target-URI: " + refers[2], b"WARC-Refers-To-Page: %d" % refers[1]]
     lines += [b"WARC-Payload-Digest: " + sha1_32(payload), b"WARC-Payload-Length: %d" % len(payload), b"WARC-Block-Digest: " + sha1_32(block)]
     lines += [b"Content-Type: " + (b"application/http; msgtype=response" if head else mime), b"Content-Length: %d" % len(block)]
     return b"\r\n".join(lines) + b"\r\n\r\n" + block
@@ -202,17 +204,18 @@ def read_arc(archives: DataFrame) -> DataFrame:
 
 
 def revisits(records: DataFrame, min_revisit: int = MIN_REVISIT) -> DataFrame:
-    """(rid, refers_to) of the records that revisit another, from ids and hashes alone."""
-    large = cut(records.where(F.col("bytes") >= min_revisit).select("rid", "page_id", "key"))
-    shared = cut(large.groupBy("key").agg(F.max("page_id").alias("refers_to"), F.count("*").alias("n")).where((F.col("n") > 1) & F.col("refers_to").isNotNull()).drop("n"))
-    return large.join(shared, "key").where(F.coalesce(F.col("page_id") < F.col("refers_to"), F.lit(True))).select("rid", "refers_to")
+    """(rid, refers_to, refers_rid, refers_url) of the records that revisit another, from ids, addresses and hashes alone."""
+    large = cut(records.where(F.col("bytes") >= min_revisit).select("rid", "page_id", "url", "key"))
+    shared = large.groupBy("key").agg(F.max(F.struct("page_id", "rid", "url")).alias("top"), F.count("*").alias("n")).where((F.col("n") > 1) & F.col("top.page_id").isNotNull())
+    shared = cut(shared.select("key", F.col("top.page_id").alias("refers_to"), F.col("top.rid").alias("refers_rid"), F.col("top.url").alias("refers_url")))
+    return large.select("rid", "page_id", "key").join(shared, "key").where(F.coalesce(F.col("page_id") < F.col("refers_to"), F.lit(True))).select("rid", "refers_to", "refers_rid", "refers_url")
 
 
 def arc_to_warc(archives: DataFrame, path: str, min_revisit: int = MIN_REVISIT, map_side: int = MAP_SIDE_REVISITS) -> None:
     """Convert archives (name, content) to gzipped WARC files below path."""
     records = read_arc(archives)
     again = cut(revisits(records, min_revisit))
-    few = again.count() <= map_side  # 60 bytes each
+    few = again.count() <= map_side  # about 200 bytes each
     records = records.drop("bytes", "key").join(F.broadcast(again) if few else again, "rid", "left")
 
     def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -222,13 +225,13 @@ def arc_to_warc(archives: DataFrame, path: str, min_revisit: int = MIN_REVISIT,
         for batch in batches:
             out = []
             for r in batch.to_pylist():
-                refers = None if r["refers_to"] is None else ("", r["refers_to"])
+                refers = None if r["refers_to"] is None else (r["refers_rid"], r["refers_to"], r["refers_url"])
                 kind = "revisit" if refers else "response" if r["head"] else "resource"
                 out.append(warc_record(kind, r["rid"], r["url"], r["date"], r["mime"], r["head"], r["payload"], refers))
             yield pa.RecordBatch.from_arrays([pa.array(out, pa.binary())], ["record"])
 
     lines = records.mapInArrow(write, "record binary").select(F.col("record").cast("string").alias("value"))
-    lines.write.option("lineSep", "\r\n\r\n").option("compression", "gzip").text(path)
+    lines.write.option("maxRecordsPerFile", FILE_RECORDS).option("lineSep", "\r\n\r\n").option("compression", "gzip").text(path)
 
 
 def read_warc(spark: SparkSession, path: str) -> DataFrame:
@@ -264,7 +267,7 @@ def read_warc(spark: SparkSession, path: str) -> DataFrame:
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = scratch_path(spark, "warc")
-    arc_to_warc(pages_to_arc(table(spark, sf_dir, "pages")), path)
+    arc_to_warc(stash(pages_to_arc(table(spark, sf_dir, "pages")), "arc"), path)  # the archives are there before the conversion begins
     return read_warc(spark, path)
 
 

@@ -1,7 +1,9 @@
 """The training-data operators against brute force, their round trips, and the defined corner cases."""
 
 import collections
+import gzip
 import hashlib
+import io
 import itertools
 import math
 import re
@@ -341,6 +343,11 @@ def test_warc(spark, tmp_path, most):
         again = top is not None and page != top
         expect[page, len(p), hashlib.sha1(p).hexdigest(), "revisit" if again else "response", top if again else None] += 1
     assert rows_of(warc.read_warc(spark, path), "page_id", "payload_bytes", "payload_digest", "record_type", "refers_to") == expect
+    found = {}
+    for f in sorted((tmp_path / "out").glob("part-*")):
+        found |= {h["warc-record-id"]: h for h, _ in warc.parse_warc(io.BufferedReader(gzip.open(f)))}
+    again = [h for h in found.values() if h["warc-type"] == "revisit"]
+    assert len(again) == 3 and all(found[h["warc-refers-to"]]["warc-type"] == "response" and found[h["warc-refers-to"]]["warc-target-uri"] == h["warc-refers-to-target-uri"] for h in again)
     nothing = str(tmp_path / "nothing")
     warc.arc_to_warc(warc.pages_to_arc(pages.limit(0)), nothing)
     assert warc.read_warc(spark, nothing).count() == 0
@@ -379,6 +386,33 @@ def test_shard(spark, odd, empty, fan_in):
     assert sharding.shard(empty).count() == 0
 
 
+def test_slots_of_equal_rows(spark):
+    """Very many equal rows: still gapless, and in more than one sub-bucket."""
+    docs = spark.createDataFrame([(7, "same")] * 300 + [(i, f"t{i}") for i in range(50)], "doc_id long, text string")
+    got = sharding.shard(docs, 4, slot_rows=20).toPandas()
+    for _, g in got.groupby("shard"):
+        assert sorted(g["slot"]) == list(range(len(g)))
+    assert got[got["doc_id"] == 7][["size", "text_crc32", "shard"]].drop_duplicates().shape[0] <= 2
+
+
+def test_differencing_equals_a_plain_version():
+    """The same combinations, written out on lists of items."""
+    rng = np.random.default_rng(12)
+    for n, k in ((1, 3), (5, 2), (40, 4), (120, 8)):
+        sizes = rng.integers(1, 1000, n).tolist()
+        parts = [(i, [[i]] + [[] for _ in range(k - 1)]) for i in range(n)]
+        load = lambda bins: sorted((sum(sizes[x] for x in b) for b in bins), reverse=True)
+        made = n
+        while len(parts) > 1:
+            parts.sort(key=lambda p: (load(p[1])[-1] - load(p[1])[0], p[0]))
+            (_, a), (_, b), parts = parts[0], parts[1], parts[2:]
+            by = lambda bins: sorted(bins, key=lambda x: -sum(sizes[i] for i in x))
+            parts.append((made, [x + y for x, y in zip(by(a), reversed(by(b)), strict=True)]))
+            made += 1
+        _, total = sharding.difference([[s] + [0] * (k - 1) for s in sizes], k)
+        assert sorted(total, reverse=True) == load(parts[0][1])
+
+
 def test_shards_are_even(spark):
     got = sharding.query(spark, SF).groupBy("shard").agg(F.sum("size").alias("s")).toPandas()["s"]
     assert len(got) == 8 and got.max() - got.min() <= 0.001 * got.mean()
