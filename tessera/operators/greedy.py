@@ -9,6 +9,8 @@ events are folded in Python, in one pass per group with a set of what is taken.
 from __future__ import annotations
 
 from bisect import bisect_left, bisect_right
+from functools import reduce
+from operator import and_
 
 import pandas as pd
 from pyspark.sql import DataFrame
@@ -17,6 +19,7 @@ from pyspark.sql import functions as F
 
 from tessera.functions.boxes import box_iou, interval_iou
 from tessera.operators.joins import overlapping
+from tessera.operators.lineage import settled
 
 
 def candidate_pairs(pred: DataFrame, gt: DataFrame, by: list[str], width: float) -> DataFrame:
@@ -130,17 +133,39 @@ def choose_blocks(candidates: DataFrame, by: list[str], most: int) -> DataFrame:
 
 
 def sequence_matches(rows: DataFrame, by: list[str]) -> DataFrame:
-    """Cumulative recall, precision and the monotone precision envelope of matches (confidence, hit, key) against n_gt; exact over each group."""
-    w = W.partitionBy(*by).orderBy(F.desc("confidence"), "key").rowsBetween(W.unboundedPreceding, 0)
-    d = rows.withColumns({"tp": F.sum("hit").over(w), "n": F.count("*").over(w)})
+    """Cumulative recall, precision and the monotone precision envelope of matches (confidence, hit, key) against n_gt; exact over each group.
+
+    Rows are dealt out by ranges of (by, confidence, key), so that a group of any size spreads over tasks: each range
+    makes its own running sums, and takes what lies before and after it in its group from a row a range and group.
+    Equal rows of (confidence, key) stay in one range.
+    """
+    order = [F.desc("confidence"), F.asc("key")]
+    # ranges rest on a sample, so they are fixed once; rows before, so that they aren't computed for the sample again
+    d = settled(settled(rows).repartitionByRange(*by, *order).withColumn("__part", F.spark_partition_id()))
+    w = W.partitionBy(*by, "__part").orderBy(*order)
+    upto = w.rowsBetween(W.unboundedPreceding, 0)
+    d = d.withColumns({"tp": F.sum("hit").over(upto), "n": F.count("*").over(upto)})
+    group, ranges = W.partitionBy(*by).orderBy("__part"), [*by, "__part"]
+    sums = d.groupBy(*ranges).agg(F.max("tp").alias("__tp"), F.max("n").alias("__n"))
+    before = group.rowsBetween(W.unboundedPreceding, -1)
+    d = _beside(d, sums.select(*ranges, *[F.coalesce(F.sum(c).over(before), F.lit(0)).alias(c) for c in ("__tp", "__n")]), ranges)
+    d = d.withColumns({"tp": F.col("tp") + F.col("__tp"), "n": F.col("n") + F.col("__n")}).drop("__tp", "__n")
     d = d.withColumns({"recall": F.try_divide(F.col("tp"), F.col("n_gt")), "precision": F.col("tp") / F.greatest(F.col("n"), F.lit(1))})
-    return d.withColumn("envelope", F.max("precision").over(W.partitionBy(*by).orderBy(F.desc("confidence"), "key").rowsBetween(0, W.unboundedFollowing)))
+    tops = d.groupBy(*ranges).agg(F.max("precision").alias("__top"))
+    d = _beside(d, tops.select(*ranges, F.max("__top").over(group.rowsBetween(1, W.unboundedFollowing)).alias("__top")), ranges)
+    own = F.max("precision").over(w.rowsBetween(0, W.unboundedFollowing))
+    return d.withColumn("envelope", F.greatest(own, "__top")).drop("__top", "__part")
+
+
+def _beside(d: DataFrame, small: DataFrame, keys: list[str]) -> DataFrame:
+    """d with the columns of small, which has one row for each combination of keys (nulls included)."""
+    here = small.select(*[F.col(c).alias(f"__of_{c}") for c in keys], *[c for c in small.columns if c not in keys])
+    same = [F.col(c).eqNullSafe(F.col(f"__of_{c}")) for c in keys]
+    return d.join(here, reduce(and_, same)).drop(*[f"__of_{c}" for c in keys])
 
 
 def average_precision(rows: DataFrame, by: list[str]) -> DataFrame:
     """(by, ap): the envelope summed over the steps of recall."""
     d = sequence_matches(rows, by)
-    before = F.coalesce(F.lag("recall").over(W.partitionBy(*by).orderBy(F.desc("confidence"), "key")), F.lit(0.0))
+    before = F.try_divide(F.col("tp") - F.col("hit"), F.col("n_gt"))
     return d.withColumn("__p", (F.col("recall") - before) * F.col("envelope")).groupBy(*by).agg(F.sum("__p").alias("ap"))
-
-

@@ -7,7 +7,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from tessera.functions import boxes, pitch, stats, timebase
-from tessera.operators import agreement, coding, features, greedy, joins, mot, sampling, series, windows
+from tessera.operators import agreement, coding, features, greedy, joins, lineage, mot, sampling, series, windows
 from tessera.sources import contracts, files
 
 
@@ -73,6 +73,32 @@ def test_average_precision(spark):
     assert greedy.average_precision(d, ["s"]).first().ap == pytest.approx(1.0)
 
 
+def test_precision_recall_over_ranges(spark):
+    """Groups that spread over several ranges, ties of confidence, a null group and one without truths, against a plain loop."""
+    rng = np.random.default_rng(11)
+    rows = [(g, float(rng.integers(0, 8)) / 8, int(rng.random() < 0.4), i, n) for g, n in ((0, 300), (1, 5), (None, 40), (2, 0)) for i in range(400 if g == 0 else 30)]
+    d = spark.createDataFrame(rows, "s int, confidence double, hit long, key long, n_gt long")
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")  # else so few rows are one range
+    try:
+        parts = len(lineage.settled(d.repartitionByRange("s", F.desc("confidence"), "key")).select("s", F.spark_partition_id()).distinct().collect())
+        got = {(r.s, r.key): r for r in greedy.sequence_matches(d, ["s"]).collect()}
+        ap = {r.s: r.ap for r in greedy.average_precision(d, ["s"]).collect()}
+    finally:
+        spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+    assert len(got) == len(rows) and parts > 4
+    for s in (0, 1, None, 2):
+        mine = sorted((r for r in rows if r[0] == s), key=lambda r: (-r[1], r[3]))
+        hits = np.cumsum([r[2] for r in mine])
+        precision = hits / np.arange(1, len(mine) + 1)
+        envelope = np.maximum.accumulate(precision[::-1])[::-1]
+        n = mine[0][4]
+        for i, r in enumerate(mine):
+            g = got[s, r[3]]
+            assert (g.tp, g.n) == (hits[i], i + 1) and g.envelope == pytest.approx(envelope[i]) and g.precision == pytest.approx(precision[i])
+            assert g.recall == (pytest.approx(hits[i] / n) if n else None)
+        assert ap[s] == (pytest.approx(sum(r[2] / n * e for r, e in zip(mine, envelope, strict=True))) if n else None)
+
+
 def test_icc(spark):
     rng = np.random.default_rng(3)
     x = rng.normal(10, 3, 40)
