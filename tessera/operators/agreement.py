@@ -128,6 +128,68 @@ def bootstrap_f1(matches: DataFrame, resamples: int = 10_000, seed: int = 1729,
     return counts.select(*[F.coalesce(c, F.lit(0)).alias(c) for c in ("TP", "FP", "FN")]).mapInPandas(draw, "n long, f1 double, ci_low double, ci_high double")
 
 
+def bootstrap(df: DataFrame, terms: dict[str, Column], statistic: Column, resamples: int = 10_000, seed: int = 1729, level: float = 0.95) -> DataFrame:
+    """(n, value, ci_low, ci_high) of any statistic that is an expression of sums of `terms` over the rows, with a percentile interval.
+
+    Rows of equal terms are one cell, and each resample takes a Poisson number of it around its
+    count, drawn from the cell's own hash: cells are spread over tasks, a task that runs again draws
+    the same, and what meets at the end are `resamples` rows of sums. Null terms add nothing;
+    resamples without a finite statistic are left out, as is the interval of no rows.
+    """
+    names = list(terms)
+    cells = df.select(*[c.cast("double").alias(n) for n, c in terms.items()]).groupBy(*names).agg(F.count("*").alias("__n")).withColumn("__key", F.xxhash64(*names))
+
+    def draw(batches):
+        total = np.zeros((resamples, len(names) + 1))
+        for t in batches:
+            values = np.column_stack([np.nan_to_num(t[names].to_numpy(dtype=float)), np.ones(len(t))])
+            for row, count, key in zip(values, t["__n"], t["__key"], strict=True):
+                total += np.random.default_rng([seed, int(key) % 2**63]).poisson(count, resamples)[:, None] * row
+        yield pd.DataFrame({"resample": np.arange(resamples)} | {n: total[:, i] for i, n in enumerate([*names, "__n"])})
+
+    kinds = "resample long, " + ", ".join(f"`{n}` double" for n in [*names, "__n"])
+    sums = cells.mapInPandas(draw, kinds).groupBy("resample").agg(*[F.sum(n).alias(n) for n in [*names, "__n"]]).where(F.col("__n") > 0).select(statistic.cast("double").alias("s"))
+    ends = sums.where(F.abs("s") < float("inf")).agg(F.percentile("s", F.array(F.lit((1 - level) / 2), F.lit((1 + level) / 2))).alias("q"))
+    whole = cells.agg(F.coalesce(F.sum("__n"), F.lit(0)).alias("n"), *[F.sum(F.col(n) * F.col("__n")).alias(n) for n in names])
+    return whole.crossJoin(ends).select("n", statistic.cast("double").alias("value"), F.col("q")[0].alias("ci_low"), F.col("q")[1].alias("ci_high"))  # one row and one row
+
+
+def weighted_kappa_interval(df: DataFrame, a: str, b: str, order: list[str], power: int = 1, resamples: int = 2000, seed: int = 1729, level: float = 0.95) -> DataFrame:
+    """weighted_kappa() with a percentile interval: every cell of the square is a term."""
+    k, places = max(len(order) - 1, 1), range(len(order))
+    at = {(i, j): f"c{i}_{j}" for i in places for j in places}
+    terms = {name: ((F.col(a) == order[i]) & (F.col(b) == order[j])).cast("int") for (i, j), name in at.items()}
+    total = lambda cells: sum((F.col(c) for c in cells), F.lit(0.0))
+    n, far = total(at.values()), {x: (abs(x[0] - x[1]) / k) ** power for x in at}
+    rows, cols = [total(at[i, j] for j in places) for i in places], [total(at[i, j] for i in places) for j in places]
+    seen = sum((far[x] * F.col(c) for x, c in at.items() if far[x]), F.lit(0.0))
+    chance = sum((far[i, j] * rows[i] * cols[j] for i, j in at if far[i, j]), F.lit(0.0))
+    d = bootstrap(df.where(F.col(a).isin(order) & F.col(b).isin(order)), terms, 1 - seen * n / F.nullif(chance, F.lit(0.0)), resamples, seed, level)
+    return d.withColumnRenamed("value", "kappa")
+
+
+def class_recall(df: DataFrame, truth: str, other: str) -> DataFrame:
+    """Per label of either column: how many rows have it as truth, and the share of these that the other column agrees on (null for none). Rows with a null are left out."""
+    m = confusion(df, truth, other).groupBy(F.col("label_a").alias("label")).agg(F.sum("n").alias("n"), F.sum(F.when(F.col("label_a") == F.col("label_b"), F.col("n")).otherwise(0)).alias("same"))
+    return m.select("label", "n", (F.col("same") / F.nullif(F.col("n"), F.lit(0))).alias("recall"))
+
+
+def count_agreement(df: DataFrame, pred: str, truth: str, uncertainty: str, level: float = 0.95) -> DataFrame:
+    """Counts compared: shares that are equal and that are at most one apart, both with Wilson intervals, the mean distance, and the median of the counts' uncertainty."""
+    far = F.abs(F.col(pred) - F.col(truth))
+    d = df.where(far.isNotNull()).agg(F.count("*").alias("n"), F.count_if(far == 0).alias("k0"), F.count_if(far <= 1).alias("k1"), F.avg(far).alias("mae"), F.median(uncertainty).alias("median_uncertainty"))
+    shares = {f"{name}_{part}": c for name, k in (("exact", "k0"), ("within_one", "k1")) for part, c in S.wilson(k, "n", level).items()}
+    return d.select("n", *[c.alias(x) for x, c in shares.items()], "mae", "median_uncertainty")
+
+
+def binary_agreement(df: DataFrame, pred: str, truth: str, positive: str, level: float = 0.95) -> DataFrame:
+    """Kappa, precision, recall and F1 of "is `positive`"; a null is not."""
+    p, t = F.col(pred).eqNullSafe(F.lit(positive)), F.col(truth).eqNullSafe(F.lit(positive))
+    d = df.agg(F.count_if(p & t).alias("tp"), F.count_if(p & ~t).alias("fp"), F.count_if(~p & t).alias("fn"), F.count_if(~p & ~t).alias("tn"))
+    kappa = {("kappa" if k == "kappa" else f"kappa_{k}"): c for k, c in S.kappa("tp", "fp", "fn", "tn", level).items()}
+    return d.select("tp", "fp", "fn", "tn", *[c.alias(k) for k, c in (kappa | S.precision_recall("tp", "fp", "fn", level)).items()])
+
+
 def ceiling_ratio(value: Column, ceiling: Column) -> Column:
     """value / ceiling; null where the ceiling is 0, infinite or no number."""
     return F.when((ceiling != 0) & (F.abs(ceiling) < float("inf")) & ~F.isnan(ceiling), value / ceiling)

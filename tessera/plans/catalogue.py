@@ -2,10 +2,10 @@
 
 from __future__ import annotations
 
-from tessera.plans import agreement, events, review, sql_surface, streams, tracks
+from tessera.plans import agreement, detail, events, review, sql_surface, streams, tracks
 from tessera.plans.registry import ORACLES, QUERIES
 
-MODULES = (tracks, events, agreement, review, sql_surface, streams)
+MODULES = (tracks, events, agreement, review, detail, sql_surface, streams)
 FLAGSHIP = "preset_contest_windows"
 
 

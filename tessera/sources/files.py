@@ -119,6 +119,28 @@ def metrics_json(df: DataFrame) -> list[dict[str, Any]]:
     return [json.loads(r[0]) for r in df.select(F.to_json(F.struct("*"), {"ignoreNullFields": "false"})).collect()]
 
 
+def write_text(spark: SparkSession, path: str, text: str) -> None:
+    """One small file, in whatever store the path names."""
+    p = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    out = p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).create(p, True)
+    try:
+        out.write(bytearray(text.encode()))
+    finally:
+        out.close()
+
+
+def write_json(df: DataFrame, path: str) -> None:
+    """A small result as one JSON file: a list of records."""
+    write_text(df.sparkSession, path, json.dumps(metrics_json(df), indent=1))
+
+
+def write_provenance(spark: SparkSession, output: str, stage: str, config: dict[str, Any], **extra: Any) -> str:
+    """Put provenance() beside an output: its path with .provenance.json behind; returns that."""
+    path = output.rstrip("/") + ".provenance.json"
+    write_text(spark, path, provenance(stage, config, **extra))
+    return path
+
+
 def merge_json(texts: dict[str, str | None]) -> dict[str, Any]:
     """Named JSON documents as one; a missing one is {}."""
     return {k: json.loads(v) if v else {} for k, v in texts.items()}

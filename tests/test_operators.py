@@ -318,3 +318,83 @@ def test_kinds_in_order(spark):
 
     d = spark.createDataFrame([("FN", 1), ("TP", 2), ("FP", 3), ("TP", 1)], "kind string, k int")
     assert [(r.kind, r.k) for r in review.in_kind_order(d, within=("k",)).orderBy("place").collect()] == [("TP", 1), ("TP", 2), ("FP", 3), ("FN", 1)]
+
+
+def test_bootstrap_of_any_statistic(spark):
+    rng = np.random.default_rng(3)
+    x, y = rng.integers(1, 9, 300).astype(float), rng.integers(1, 5, 300).astype(float)
+    d = spark.createDataFrame(list(zip(x.tolist(), y.tolist())), "x double, y double")
+    ratio = F.col("x") / F.nullif(F.col("y"), F.lit(0.0))
+    r = agreement.bootstrap(d, {"x": F.col("x"), "y": F.col("y")}, ratio, 4000).first()
+    draws = rng.integers(0, 300, (4000, 300))
+    low, high = np.quantile(x[draws].sum(axis=1) / y[draws].sum(axis=1), [0.025, 0.975])
+    assert r.n == 300 and r.value == pytest.approx(x.sum() / y.sum())
+    assert r.ci_low == pytest.approx(low, abs=0.03) and r.ci_high == pytest.approx(high, abs=0.03)
+    again = agreement.bootstrap(d.repartition(7), {"x": F.col("x"), "y": F.col("y")}, ratio, 4000).first()
+    assert (again.ci_low, again.ci_high) == pytest.approx((r.ci_low, r.ci_high))  # the same draws, however rows are dealt
+    none = agreement.bootstrap(d.limit(0), {"x": F.col("x"), "y": F.col("y")}, ratio, 50).first()
+    assert tuple(none) == (0, None, None, None)
+
+
+def test_weighted_kappa_interval(spark):
+    rng = np.random.default_rng(5)
+    a = rng.integers(0, 4, 200)
+    b = np.clip(a + rng.integers(-1, 2, 200), 0, 3)
+    d = spark.createDataFrame([(str(i), str(j)) for i, j in zip(a, b, strict=True)] + [("9", "1"), (None, "1")], "a string, b string")
+    r = agreement.weighted_kappa_interval(d, "a", "b", ["0", "1", "2", "3"], 2).first()
+    assert r.n == 200 and r.kappa == pytest.approx(agreement.weighted_kappa(d, "a", "b", ["0", "1", "2", "3"], 2).first().kappa)
+    w = (np.subtract.outer(np.arange(4), np.arange(4)) / 3) ** 2
+
+    def kappa(i, j):
+        o = np.histogram2d(i, j, bins=[np.arange(5)] * 2)[0] / len(i)
+        return 1 - (w * o).sum() / (w * np.outer(o.sum(axis=1), o.sum(axis=0))).sum()
+
+    low, high = np.quantile([kappa(a[s], b[s]) for s in rng.integers(0, 200, (2000, 200))], [0.025, 0.975])
+    assert r.ci_low == pytest.approx(low, abs=0.02) and r.ci_high == pytest.approx(high, abs=0.02)
+
+
+def test_agreement_of_labels_and_counts(spark):
+    d = spark.createDataFrame([("x", "x"), ("x", "y"), ("y", "y"), (None, "y"), ("x", None)], "p string, t string")
+    assert {r.label: (r.n, r.recall) for r in agreement.class_recall(d, "t", "p").collect()} == {"x": (1, 1.0), "y": (2, 0.5)}
+    b = agreement.binary_agreement(d, "p", "t", "x").first()
+    assert (b.tp, b.fp, b.fn, b.tn) == (1, 2, 0, 2) and b.recall_value == 1.0
+    c = spark.createDataFrame([(5, 5, 0), (5, 6, 2), (5, 9, 4), (None, 1, 9)], "p int, t int, u int")
+    r = agreement.count_agreement(c, "p", "t", "u").first()
+    assert (r.n, r.mae, r.median_uncertainty) == (3, pytest.approx(5 / 3), 2.0) and r.exact_value == pytest.approx(1 / 3) and r.within_one_value == pytest.approx(2 / 3)
+
+
+def test_choices_for_annotation(spark):
+    from tessera.operators import review
+
+    s = spark.createDataFrame([(0, 100.0), (1, 5.0), (2, 0.0)], "v int, duration double")
+    got = review.recode_blocks(s, ["v"], "duration", 10.0).collect()
+    assert sum(r.v == 0 for r in got) == 2 and [(r.block, r.end_s) for r in got if r.v == 1] == [(0, 5.0)] and not any(r.v == 2 for r in got)
+    blocks = spark.createDataFrame([(0, 0.0, 10.0), (0, 5.0, 15.0), (0, 20.0, 30.0), (0, 40.0, 50.0)], "v int, t_start_s double, t_end_s double")
+    events = spark.createDataFrame([(0, 6.0), (0, 7.0), (0, 12.0), (0, 25.0)], "v int, t double")
+    barred = spark.createDataFrame([(0, 29.0, 33.0)], "v int, a double, b double")
+    assert [(r.t_start_s, r.n_events) for r in review.annotation_blocks(blocks, events, barred, ["v"], "t", ("a", "b"), 10.0, 3).collect()] == [(5.0, 3)]
+    m = spark.createDataFrame([(0, "TP", 0.9, 3.0, 1), (0, "TP", 0.8, 50.0, 2), (0, "TP", 0.7, 60.0, 3), (0, "FN", None, 20.0, 4), (0, "FP", 0.1, 98.0, 5)], "v int, kind string, confidence double, t double, k int")
+    assert [(r.start_s, r.end_s, r.kind) for r in review.pick_segments(m, ["v"], "t", ["k"], 100.0).orderBy("place").collect()] == [(0.0, 9.0, "TP"), (14.0, 26.0, "FN"), (44.0, 56.0, "TP"), (92.0, 100.0, "FP")]
+
+
+def test_sinks_write(spark, tmp_path):
+    import json
+
+    files.write_json(spark.createDataFrame([(1, None), (2, "é")], "a int, b string"), str(tmp_path / "m.json"))
+    assert json.loads((tmp_path / "m.json").read_text()) == [{"a": 1, "b": None}, {"a": 2, "b": "é"}]
+    where = files.write_provenance(spark, str(tmp_path / "out.parquet") + "/", "s05", {"video": {"fps": 25}}, rows=3)
+    told = json.loads((tmp_path / "out.parquet.provenance.json").read_text())
+    assert where.endswith("out.parquet.provenance.json") and (told["stage"], told["rows"], told["run_id"]) == ("s05", 3, files.run_id({"video": {"fps": 25}}))
+
+
+def test_callables(spark):
+    from tessera.functions import callables
+
+    callables.register(spark)
+    callables.register(spark)  # again is no error
+    r = spark.sql("SELECT interval_iou(0, 2, 1, 3) AS a, interval_iou(0, 1, 5, 6) AS b, interval_iou(1, 1, 1, 1) AS c, wilson_low(0, 10) AS d").first()
+    assert r.a == pytest.approx(1 / 3) and r.b == 0.0 and r.c is None and r.d == pytest.approx(0.0, abs=1e-12)
+    w = spark.sql("SELECT g, weighted_median(v, w) AS m FROM VALUES (0, 1D, 1D), (0, 5D, 3D), (1, 2D, 0D), (2, NULL, 1D) AS t(g, v, w) GROUP BY g").collect()
+    assert {r.g: r.m for r in w} == {0: 5.0, 1: None, 2: None}
+    s = spark.sql("SELECT t.w_start FROM VALUES (5L), (30L), (CAST(NULL AS BIGINT)) AS s(n), LATERAL window_starts(s.n, 10, 8) t").collect()
+    assert sorted(x.w_start for x in s) == [0, 0, 8, 16]
