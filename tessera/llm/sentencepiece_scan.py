@@ -42,8 +42,8 @@ from tessera.llm.common import stash, table
 CHUNK = 16384
 #: Chunks whose matrices one task multiplies.
 BLOCK = 64
-#: Units that a worker remembers, and the longest that it does.
-MEMO, MEMO_LENGTH = 300_000, 64
+#: Units that a worker remembers at least (twice as many at most: those met again since outlive the others), and the longest that it does.
+MEMO, MEMO_LENGTH = 500_000, 64
 #: Characters of a unit up to which a BPE model's merges are followed (their time grows with the square of the length).
 MERGED = 64
 
@@ -77,7 +77,8 @@ class Model:
         self.longest = max(map(len, self.ids))
         self.unknown = min((p.score for p in m.pieces if p.type == 1), default=0.0) - 10.0
         self.bytes = [bytes([int(p.piece[3:-1], 16)]) if p.type == 6 else b"" if p.type == 3 else p.piece.replace(MARK, " ").encode() if p.type != 2 else " ⁇ ".encode() for p in m.pieces]
-        self.memo: dict[str, list[int]] = {}
+        self.memo: dict[str, tuple[int, ...]] = {}
+        self.older: dict[str, tuple[int, ...]] = {}
         self.pairs: dict[tuple[int, int], bool] = {}
 
     def normal(self, text: str) -> str:
@@ -89,12 +90,12 @@ class Model:
         ranks = [rank(a + b, _NO) for a, b in pairwise(parts)]
         while ranks and (best := max(ranks)) != _NO:
             at = ranks.index(best)
-            parts[at : at + 2] = [parts[at] + parts[at + 1]]
+            one = parts[at] = parts[at] + parts.pop(at + 1)
             del ranks[at]
             if at < len(ranks):
-                ranks[at] = rank(parts[at] + parts[at + 1], _NO)
+                ranks[at] = rank(one + parts[at + 1], _NO)
             if at:
-                ranks[at - 1] = rank(parts[at - 1] + parts[at], _NO)
+                ranks[at - 1] = rank(parts[at - 1] + one, _NO)
         ids = self.ids
         return [ids[p] if p in ids else -ord(p) for p in parts]
 
@@ -121,17 +122,23 @@ class Model:
                 out += [self.byte[b] for b in chr(-t).encode("utf-8", "surrogatepass")]
         return out
 
-    def units(self, text: str) -> list[list[int]]:
+    def unit(self, unit: str) -> tuple[int, ...]:
+        """Ids of a unit, remembered."""
+        if (ids := self.memo.get(unit)) is None:
+            if (ids := self.older.get(unit)) is None:
+                ids = tuple(self._flat(self.path(unit)))
+            if len(unit) <= MEMO_LENGTH:
+                if len(self.memo) >= MEMO:
+                    self.memo, self.older = {}, self.memo
+                self.memo[unit] = ids
+        return ids
+
+    def units(self, text: str) -> list[tuple[int, ...]]:
         """Ids of the units of a normalised text that begins and ends between pieces."""
-        memo, out = self.memo, []
-        for u in _UNIT.findall(text):
-            if (ids := memo.get(u)) is None:
-                ids = self._flat(self.path(u))
-                if len(u) <= MEMO_LENGTH:
-                    if len(memo) >= MEMO:
-                        memo.clear()
-                    memo[u] = ids
-            out.append(ids)
+        units = _UNIT.findall(text)
+        out = list(map(self.memo.get, units))
+        for i in [i for i, ids in enumerate(out) if ids is None]:
+            out[i] = self.unit(units[i])
         return out
 
     def encode(self, text: str) -> list[int]:
