@@ -119,69 +119,85 @@ class Chunks:
 
     def _groups(self, rows: np.ndarray, most: int) -> Iterator[np.ndarray]:
         """Runs of chunks with so many symbols at most (or one longer)."""
-        run = np.cumsum(self.n[rows]) // max(most, 1)
+        run = (np.cumsum(self.n[rows]) - 1) // max(most, 1)
         for g in np.split(rows, np.flatnonzero(np.diff(run)) + 1):
             if len(g):
                 yield g
 
-    def _forward(self, rows: np.ndarray, begin: np.ndarray, keep: bool = False):
-        """(log probabilities, last state vectors) of chunks from these state weights before them; kept: also what the backward recursion needs.
+    def _steps(self, rows: np.ndarray):
+        """How chunks are laid out: by step, the longest chunks first, so that each step of all of them is one slice.
 
-        Laid out by step, the longest chunks first, so that each step of all of them is one slice."""
+        (the order of chunks, its inverse, where each step begins, its chunks, the chunk and the symbol of each place, the emissions: states by places)"""
         order = np.argsort(-self.n[rows], kind="stable")
         n, a = self.n[rows][order], self.a[rows][order]
         active = np.searchsorted(-n, -np.arange(int(n[0])), side="left")
         at = np.concatenate([[0], np.cumsum(active)])
-        rank = np.repeat(np.arange(len(n)), n)
-        step = np.arange(len(rank)) - np.repeat(np.cumsum(n) - n, n)
-        place = at[step] + rank
-        flat = np.empty(len(rank), dtype=np.int64)
-        flat[place] = a[rank] + step
-        e = self.m.emit[self.symbols[flat]]
-        x = begin[order].astype(e.dtype)
-        last, scale = np.empty_like(x), np.empty(len(e), dtype=e.dtype)
-        alpha = np.empty_like(e) if keep else None
-        move, ones = self.m.move.astype(e.dtype), np.ones(len(self.m.start), dtype=e.dtype)
-        for t, k in enumerate(active.tolist()):
-            if t:
-                if k < len(x):
-                    last[k : len(x)] = x[k:]
-                x = x[:k] @ move
-            s = slice(at[t], at[t] + k)
-            x = x * e[s]
-            c = x @ ones
-            x /= c[:, None]
-            scale[s] = c
-            if keep:
-                alpha[s] = x
-        last[: len(x)] = x
+        rank = np.arange(at[-1]) - np.repeat(at[:-1], active)
+        flat = a[rank] + np.repeat(np.arange(len(active)), active)
         back = np.empty_like(order)
         back[order] = np.arange(len(order))
-        logs = np.bincount(rank, weights=np.log(scale[place].astype(float)), minlength=len(n))
+        # by state, so that sums and quotients over states run along the chunks
+        e = np.ascontiguousarray(np.take(self.m.emit, self.symbols[flat], axis=0).T)
+        return order, back, at, active, rank, flat, e
+
+    def _forward(self, rows: np.ndarray, begin: np.ndarray, keep: bool = False):
+        """(log probabilities, last state vectors) of chunks from these state weights before them; kept: also what the backward recursion needs."""
+        order, back, at, active, rank, flat, e = self._steps(rows)
+        scale, move = np.empty(e.shape[1], dtype=e.dtype), self.m.move.T.astype(e.dtype)
+        alpha = np.empty_like(e) if keep else e
+        for t, (a, k) in enumerate(zip(at.tolist(), active.tolist(), strict=False)):
+            s = slice(a, a + k)
+            x, c = alpha[:, s], scale[s]
+            np.multiply(move @ before[:, :k] if t else begin[order].T, e[:, s], out=x, casting="same_kind")
+            np.add.reduce(x, axis=0, out=c)
+            x /= c
+            before = x
+        last = alpha[:, at[self.n[rows][order] - 1] + np.arange(len(order))].T
+        logs = np.bincount(rank, weights=np.log(scale, dtype=float), minlength=len(order))
         out = logs[back], last[back]
         return (*out, (order, back, at, active, flat, alpha, scale, e)) if keep else out
 
+    def _transfers(self, rows: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Chunks' transfer matrices, from the state before a chunk (where a text begins, any) to its last, and the logarithms that were taken out of them."""
+        order, back, at, active, rank, _, e = self._steps(rows)
+        states, firsts = len(self.m.start), self.first[rows][order]
+        scale, move = np.empty(e.shape[1], dtype=e.dtype), self.m.move.T.astype(e.dtype)
+        # by last state, state before and chunk: an emission serves all states before, and one scale a chunk all of its matrix
+        x = np.where(firsts, self.m.start[:, None, None], self.m.move.T[:, :, None]).astype(e.dtype)
+        ends = np.empty_like(x)
+        for t, (a, k) in enumerate(zip(at.tolist(), active.tolist(), strict=False)):
+            s = slice(a, a + k)
+            if k < x.shape[2]:
+                ends[:, :, k : x.shape[2]] = x[:, :, k:]
+                x = x[:, :, :k].copy()
+            if t:
+                x = (move @ x.reshape(states, -1)).reshape(x.shape)
+            x *= e[:, None, s]
+            np.add.reduce(x.reshape(-1, k), axis=0, out=scale[s])
+            x /= scale[s]
+        ends[:, :, : x.shape[2]] = x
+        logs = np.bincount(rank, weights=np.log(scale, dtype=float), minlength=len(order))
+        return logs[back], ends.transpose(2, 1, 0)[back].astype(float)
+
     def _borders(self) -> np.ndarray:
         """Begin and final vectors of the chunks of long texts, and their log probabilities."""
-        states, logs = len(self.m.start), np.zeros(len(self.a))
-        last = np.zeros((len(self.a), states))
-        for g in self._groups(np.flatnonzero(self.first & self.long), GROUP):
-            logs[g], last[g] = self._forward(g, self.begin[g])
-        transfer: dict[int, tuple[float, np.ndarray]] = {}
-        for g in self._groups(np.flatnonzero(~self.first), GROUP // states):
-            ways, ends = self._forward(np.repeat(g, states), np.tile(self.m.move, (len(g), 1)))
-            for r, w, v in zip(g.tolist(), ways.reshape(-1, states), ends.reshape(-1, states, states), strict=True):
-                top = float(w.max())
-                transfer[r] = top, np.exp(w - top)[:, None] * v
-        for r in sorted(transfer):  # from left to right
-            top, t = transfer[r]
-            self.begin[r] = last[r - 1] @ self.m.move
-            v = last[r - 1] @ t
-            last[r] = v / v.sum()
-            logs[r] = math.log(v.sum()) + top
-        for r in sorted(transfer, reverse=True):
-            v = transfer[r][1] @ self.final[r]
-            self.final[r - 1] = v / v.sum()
+        logs, transfer = np.zeros(len(self.a)), {}
+        for g in self._groups(np.flatnonzero(self.long), GROUP):
+            logs[g], ways = self._transfers(g)
+            transfer |= zip(g.tolist(), ways, strict=True)
+        last = None
+        for r, t in transfer.items():  # from left to right
+            if self.first[r]:
+                v = t[0]
+            else:
+                self.begin[r] = last @ self.m.move
+                v = last @ t
+            logs[r] += math.log(v.sum())
+            last = v / v.sum()
+        for r in reversed(transfer):
+            if not self.first[r]:
+                v = transfer[r] @ self.final[r]
+                self.final[r - 1] = v / v.sum()
         return logs
 
     def logs(self) -> np.ndarray:
@@ -192,31 +208,27 @@ class Chunks:
         return np.bincount(self.owner, weights=logs, minlength=self.texts)
 
     def expect(self) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, float]]:
-        """Expected counts, by groups of chunks: (start, moves, the symbols' positions, their states, log probability)."""
+        """Expected counts, by groups of chunks: (start, moves, the symbols' positions, their states (a row a state), log probability)."""
         states = len(self.m.start)
         self._borders()
         carried = None  # the last vector of the chunk before
         for g in self._groups(np.arange(len(self.a)), GROUP):
             logs, last, (order, back, at, active, flat, alpha, scale, e) = self._forward(g, self.begin[g], True)
             final = self.final[g] / (self.final[g] * last).sum(axis=1, keepdims=True)
-            final = final[order].astype(e.dtype)
+            beta = np.ascontiguousarray(final[order].T.astype(e.dtype))  # of chunks that end before a step, still their final
             move = self.m.move.astype(e.dtype)
             moves = np.zeros((states, states))
-            e /= scale[:, None]
-            beta = np.empty((0, states), dtype=e.dtype)
-            for t in range(len(active) - 1, -1, -1):
-                k, n = int(active[t]), len(beta)
-                s = slice(at[t], at[t] + k)
+            e /= scale
+            n = 0
+            for a, k in zip(at[-2::-1].tolist(), active[::-1].tolist(), strict=True):
                 if n:
-                    beta *= e[s.stop : s.stop + n]
-                    moves += alpha[s][:n].T @ beta
-                    now = beta @ move.T
-                    beta = now if n == k else np.concatenate([now, final[n:k]])
-                else:
-                    beta = final[:k].copy()
-                alpha[s] *= beta
+                    now = beta[:, :n] * e[:, a + k : a + k + n]
+                    moves += alpha[:, a : a + n] @ now.T
+                    np.matmul(move, now, out=beta[:, :n])
+                alpha[:, a : a + k] *= beta[:, :k]
+                n = k
             moves *= self.m.move
-            first = alpha[: len(g)][back]
+            first = alpha[:, : len(g)].T[back]
             for i in np.flatnonzero(~self.first[g]).tolist():  # from the chunk before
                 before = last[i - 1] if i else carried
                 moves += before[:, None] * self.m.move * (first[i] / np.maximum(self.begin[g[i]], 1e-300))
@@ -233,8 +245,8 @@ def starting_model(unigram: np.ndarray, states: int) -> Model:
 
 def mixture(m: Model, symbols: np.ndarray, starts: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, float]:
     """Expected counts where each text is in one state: texts by state, no moves, emissions; and the log likelihood."""
-    states, n = len(m.start), np.diff(starts)
-    logs = np.add.reduceat(np.log(np.maximum(m.emit, 1e-30)).astype(np.float32)[symbols], starts[:-1], axis=0, dtype=float) + np.log(m.start + 1e-9)
+    states, n, symbols = len(m.start), np.diff(starts), symbols.astype(np.int64)
+    logs = np.add.reduceat(np.take(np.log(np.maximum(m.emit, 1e-30)).astype(np.float32), symbols, axis=0), starts[:-1], axis=0, dtype=float) + np.log(m.start + 1e-9)
     top = logs.max(axis=1, keepdims=True)
     # kept soft, so that no state takes all
     share = np.exp((logs - top) / np.maximum(1, n[:, None] / 50))
@@ -248,9 +260,9 @@ def baum_welch(m: Model, symbols: np.ndarray, starts: np.ndarray) -> tuple[np.nd
     c = Chunks(m, symbols, starts)
     start, moves, emit, log = np.zeros(len(m.start)), np.zeros(m.move.shape), np.zeros(m.emit.shape), 0.0
     for s, v, span, states, p in c.expect():
-        start, moves, log = start + s, moves + v, log + p
+        start, moves, log, seen = start + s, moves + v, log + p, symbols[span].astype(np.int64)
         for j in range(len(start)):
-            emit[:, j] += np.bincount(symbols[span], weights=states[:, j], minlength=len(emit))
+            emit[:, j] += np.bincount(seen, weights=states[j], minlength=len(emit))
     return start, moves, emit, log
 
 
@@ -291,11 +303,11 @@ def _round(encoded: DataFrame, m: Model, step) -> tuple[np.ndarray, np.ndarray,
     def held(rows: Iterator[pa.RecordBatch]) -> Iterator[list[np.ndarray]]:
         texts, n = [], 0
         for x in (np.frombuffer(x.as_py(), dtype=np.uint16) for r in rows for x in r.column(0)):
-            texts.append(x)
-            n += len(x)
-            if n >= GROUP:
+            if texts and n + len(x) > GROUP:
                 yield texts
                 texts, n = [], 0
+            texts.append(x)
+            n += len(x)
         if texts:
             yield texts
 
@@ -434,19 +446,21 @@ def count_words(texts: DataFrame, m: Model, tokens: int) -> Fitted:
             held[half], size[half] = [], 0
             for s, v, span, gamma, _ in Chunks(m, classes_of(h), starts).expect():
                 total[0], total[1] = total[0] + s, total[1] + v
-                u, at, c = np.unique(h[span], return_inverse=True, return_counts=True)
-                n = np.stack([np.bincount(at, weights=gamma[:, j], minlength=len(u)) for j in range(states)], axis=1)
-                yield pa.RecordBatch.from_arrays([pa.array(u.view(np.int64)), pa.array((2 * c + half).astype(np.int64)), _packed(_clear(n, c))], ["h", "c2", "v"])
+                words = pa.array(h[span].view(np.int64)).dictionary_encode()  # no sort of all tokens
+                u, at = words.dictionary, words.indices.to_numpy().astype(np.int64)
+                c = np.bincount(at, minlength=len(u))
+                n = np.stack([np.bincount(at, weights=gamma[j], minlength=len(u)) for j in range(states)], axis=1)
+                yield pa.RecordBatch.from_arrays([u, pa.array((2 * c + half).astype(np.int64)), _packed(_clear(n, c))], ["h", "c2", "v"])
 
         for batch in batches:
             for a, _, block in blocks(batch.column(0), NONSPACE):
                 h, starts = tokens_of(block)
                 halves = batch.column(1).to_numpy(zero_copy_only=False)[a : a + len(block)].tolist()
                 for half, x, y in zip(halves, starts[:-1].tolist(), starts[1:].tolist(), strict=True):
+                    if held[half] and size[half] + y - x > GROUP:
+                        yield from give(half)
                     held[half].append(h[x:y])
                     size[half] += y - x
-                    if size[half] >= GROUP:
-                        yield from give(half)
         for half in (True, False):
             if held[half]:
                 yield from give(half)

@@ -449,6 +449,22 @@ def test_forward_and_counts_equal_enumeration(monkeypatch, chunk, group):
     assert log == pytest.approx(sum(logs)) and all(np.allclose(a, b) for a, b in zip(got, expect, strict=True))
 
 
+def test_lm_forward_runs_once_a_symbol(monkeypatch):
+    """Also over texts that are cut into chunks, and over texts that fill a group to the last symbol."""
+    monkeypatch.setattr(lm_scoring, "CHUNK", 10)
+    monkeypatch.setattr(lm_scoring, "GROUP", 200)
+    ran, forward = [], lm_scoring.Chunks._forward
+    monkeypatch.setattr(lm_scoring.Chunks, "_forward", lambda self, rows, *a: ran.append(int(self.n[rows].sum())) or forward(self, rows, *a))
+    rng = np.random.default_rng(4)
+    m = lm_scoring.starting_model(np.full(6, 1 / 6), 3)
+    starts = np.concatenate([[0], np.cumsum([5, 35, 10, 100, 50])])
+    flat = rng.integers(0, 6, starts[-1])
+    *_, log = lm_scoring.baum_welch(m, flat, starts)
+    assert ran == [200]
+    ran.clear()
+    assert lm_scoring.Chunks(m, flat, starts).logs().sum() == pytest.approx(log) and ran == [15]
+
+
 def test_baum_welch_climbs():
     rng = np.random.default_rng(2)
     texts = [np.repeat(rng.integers(0, 2), 20) * 3 + rng.integers(0, 3, 20) for _ in range(40)]
