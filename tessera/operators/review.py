@@ -87,7 +87,7 @@ def tightness(truth: DataFrame, found: DataFrame, by: list[str], aspect: Column,
 def pick_segments(matches: DataFrame, by: list[str], at: str, key: list[str], total: float, pad: float = 6.0, most: int = 4) -> DataFrame:
     """Per group the stretches around the two surest hits, the surest false alarm and the first miss, in order of time, `most` of them at most."""
     rank = F.row_number().over(W.partitionBy(*by, "kind").orderBy(F.desc("confidence"), *key))
-    d = matches.withColumn("__r", rank).where(F.col("__r") <= F.when(F.col("kind") == "TP", 2).otherwise(1))
+    d = matches.withColumn("__r", rank).where("__r <= 2").where(F.col("__r") <= F.when(F.col("kind") == "TP", 2).otherwise(1))
     d = d.select(*by, "kind", F.greatest(F.col(at) - pad, F.lit(0.0)).alias("start_s"), F.least(F.col(at) + pad, F.lit(float(total))).alias("end_s"))
     place = F.row_number().over(W.partitionBy(*by).orderBy("start_s", "end_s", "kind"))
     return d.withColumn("place", place.cast("long")).where(F.col("place") <= most)
