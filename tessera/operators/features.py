@@ -2,22 +2,55 @@
 
 from __future__ import annotations
 
+from functools import reduce
+from operator import and_
+
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_schema
+from pyspark.sql.types import DoubleType, StructField, StructType
 
-from tessera.functions.boxes import distance
 from tessera.functions.pitch import WIDTH, line_x
+from tessera.operators.matching import nearest_others
 from tessera.operators.series import churn, dense, interpolate, moving_average, speed, velocity
 
 
 def knn_mean(df: DataFrame, x: str, y: str, k: int, by: list[str], key: str) -> DataFrame:
-    """Per group: the mean over members of the mean distance to their k nearest others (k at most members - 1); groups of one have none."""
-    a = df.select(*by, F.col(key).alias("__a"), F.col(x).alias("__ax"), F.col(y).alias("__ay"))
-    b = df.select(*by, F.col(key).alias("__b"), F.col(x).alias("__bx"), F.col(y).alias("__by"))
-    d = a.join(b, by).where("__a <> __b").withColumn("__d", distance("__ax", "__ay", "__bx", "__by"))
-    near = d.withColumn("__r", F.row_number().over(W.partitionBy(*by, "__a").orderBy("__d", "__b"))).where(F.col("__r") <= k)
-    return near.groupBy(*by, "__a").agg(F.avg("__d").alias("__m")).groupBy(*by).agg(F.avg("__m").alias("knn_distance"))
+    """Per group: the mean over members of the mean distance to their k nearest others (k at most members - 1); groups of one have none.
+
+    A group's members meet in one task and are searched there in tiles: pairs are never rows.
+    """
+    d = df.select(*by, F.col(key).alias("__a"), F.col(x).cast("double").alias("__x"), F.col(y).cast("double").alias("__y")).where(reduce(and_, [F.col(c).isNotNull() for c in [*by, "__a"]]))
+    schema = StructType([*[StructField(c, df.schema[c].dataType) for c in by], StructField("knn_distance", DoubleType())])
+    arrow = to_arrow_schema(schema)
+
+    def mean(t: pa.Table) -> pa.Table:
+        ids = np.unique(pc.dictionary_encode(t["__a"].combine_chunks()).indices.to_numpy(), return_inverse=True)[1]
+        if ids.max() == 0:
+            return arrow.empty_table()
+        px, py = t["__x"].to_numpy(), t["__y"].to_numpy()
+        real = np.isfinite(px) & np.isfinite(py)
+        ids, px, py = ids[real], px[real], py[real]
+        each = nearest_others(px, py, k) if len(np.unique(ids)) == len(ids) else _of_repeated(ids, px, py, k)
+        each = each[~np.isnan(each)]
+        value = pa.array([float(each.mean()) if len(each) else None], pa.float64())
+        return pa.table([*[t[c].slice(0, 1) for c in by], value], names=arrow.names).cast(arrow)
+
+    return d.groupBy(*by).applyInArrow(mean, schema)
+
+
+def _of_repeated(ids: np.ndarray, x: np.ndarray, y: np.ndarray, k: int) -> np.ndarray:
+    """The mean distance of each id to the k nearest rows of other ids, where an id has several rows."""
+    out = []
+    for i in np.unique(ids):
+        a, b = ids == i, ids != i
+        d = np.sort(np.concatenate([np.sqrt((u - x[b]) ** 2 + (v - y[b]) ** 2) for u, v in zip(x[a], y[a], strict=True)]))[:k]
+        out.append(d.mean() if len(d) else np.nan)
+    return np.array(out)
 
 
 def frame_stats(tracks: DataFrame, by: list[str]) -> DataFrame:

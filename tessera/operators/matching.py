@@ -174,3 +174,64 @@ def _by_range(s, e, order, real, g_s, g_e, rank, threshold: float, hit: np.ndarr
             m, left, j = choice
             left[j] = False
             hit[p], tiou[p] = m[j], best
+
+
+def nearest(qx: np.ndarray, qy: np.ndarray, px: np.ndarray, py: np.ndarray, k: int, tile: int = 64) -> tuple[np.ndarray, np.ndarray]:
+    """Distances (ascending) and places of the k points nearest to each query; infinite and -1 where there are fewer.
+
+    Both sets are cut into tiles of equal counts, and a tile of queries meets the tiles of points that can hold one of its
+    nearest, the closest first: exact, and never all pairs. Coordinates are finite.
+    """
+    far, place = np.full((len(qx), k), np.inf), np.full((len(qx), k), -1)
+    if not len(qx) or not len(px) or not k:
+        return far, place
+    tiles = _tiles(px, py, tile)
+    boxes = np.array([(px[t].min(), px[t].max(), py[t].min(), py[t].max()) for t in tiles])
+    for q in _tiles(qx, qy, tile):
+        x, y = qx[q], qy[q]
+        dx = np.maximum(0.0, np.maximum(boxes[:, 0] - x.max(), x.min() - boxes[:, 1]))
+        dy = np.maximum(0.0, np.maximum(boxes[:, 2] - y.max(), y.min() - boxes[:, 3]))
+        away = np.sqrt(dx * dx + dy * dy)
+        order = np.argsort(away, kind="stable")
+        n = min(len(order), max(4, -(-2 * k // tile)))
+        while True:
+            c = np.concatenate([tiles[i] for i in order[:n]])
+            ddx, ddy = x[:, None] - px[c][None], y[:, None] - py[c][None]
+            d = np.sqrt(ddx * ddx + ddy * ddy)
+            m = min(k, len(c))
+            near = np.argpartition(d, m - 1, axis=1)[:, :m]
+            dn = np.take_along_axis(d, near, 1)
+            reach = dn.max() if m == k else np.inf
+            more = int(np.searchsorted(away[order], reach * (1 + 1e-9), "right"))
+            if more <= n:
+                break
+            n = more
+        by = np.argsort(dn, axis=1, kind="stable")
+        far[q, :m], place[q, :m] = np.take_along_axis(dn, by, 1), c[np.take_along_axis(near, by, 1)]
+    return far, place
+
+
+def _tiles(x: np.ndarray, y: np.ndarray, size: int) -> list[np.ndarray]:
+    """Places in tiles of up to `size`: strips by x, each cut by y."""
+    strip = size * int(np.ceil(np.sqrt(-(-len(x) // size))))
+    order = np.argsort(x, kind="stable")
+    out = []
+    for i in range(0, len(order), strip):
+        s = order[i : i + strip]
+        s = s[np.argsort(y[s], kind="stable")]
+        out += [s[j : j + size] for j in range(0, len(s), size)]
+    return out
+
+
+def nearest_others(x: np.ndarray, y: np.ndarray, k: int) -> np.ndarray:
+    """Mean distance of each point to its k nearest others (fewer if there aren't so many; NaN for a lone point). Equal points are searched once."""
+    n = len(x)
+    if n < 2:
+        return np.full(n, np.nan)
+    both, of, count = np.unique(np.column_stack([x, y]), axis=0, return_inverse=True, return_counts=True)
+    k, of = min(k, n - 1), of.reshape(-1)
+    far, place = nearest(both[:, 0], both[:, 1], both[:, 0], both[:, 1], min(k + 1, len(both)))
+    near = np.where(place >= 0, count[place], 0)
+    near[place == np.arange(len(both))[:, None]] -= 1  # not itself, but others like it
+    used = np.diff(np.minimum(np.cumsum(near, axis=1), k), axis=1, prepend=0)
+    return ((np.where(used > 0, far, 0.0) * used).sum(axis=1) / used.sum(axis=1))[of]
