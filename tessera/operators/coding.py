@@ -5,13 +5,22 @@ What cannot be determined is said, with its first reason, and never filtered.
 
 from __future__ import annotations
 
+from functools import reduce
+from operator import and_
+
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_schema
+from pyspark.sql.types import DoubleType, StructField, StructType
 
-from tessera.functions.boxes import distance
 from tessera.functions.pitch import line_x
+from tessera.operators.joins import points_in_intervals
 from tessera.operators.lineage import settled
+from tessera.operators.matching import nearest, nearest_others
 
 #: Bands of defender counts: label, least, greatest.
 BANDS = (("0-4", 0, 4), ("5-7", 5, 7), ("8-10", 8, 10), ("11+", 11, None))
@@ -54,18 +63,51 @@ def nearest_opponent(setup: DataFrame, key: list[str], attackers: DataFrame, dis
     d = setup.where(F.col("team") != UNASSIGNED).join(attackers, key)
     side = [*key, "frame_idx"]
     inside = F.col("sign") * F.col("pitch_x") >= line_x(distance_m)
-    a = d.where(F.col("team") == F.col("kicking_team")).select(*side, F.col("pitch_x").alias("ax"), F.col("pitch_y").alias("ay"))
-    b = d.where((F.col("team") != F.col("kicking_team")) & inside).select(*side, "track_id", "pitch_x", "pitch_y")
-    enough = a.groupBy(*side).count().where(F.col("count") >= least).select(*side).join(b.groupBy(*side).count().where(F.col("count") >= least).select(*side), side)
-    near = b.join(enough, side, "left_semi").join(a, side).groupBy(*side, "track_id").agg(F.min(distance("pitch_x", "pitch_y", "ax", "ay")).alias("d"))
-    return near.groupBy(*side).agg(F.median("d").alias("d")).groupBy(*key).agg(F.median("d").alias("nn_opponent_m"))
+    place = [F.col("pitch_x").cast("double").alias("__x"), F.col("pitch_y").cast("double").alias("__y")]
+    d = d.where(reduce(and_, [F.col(c).isNotNull() for c in side]))
+    a = d.where(F.col("team") == F.col("kicking_team")).select(*[F.col(c).alias(f"__of_{c}") for c in side], *place)
+    b = d.where((F.col("team") != F.col("kicking_team")) & inside).select(*side, "track_id", *place)
+    schema = StructType([*[StructField(c, d.schema[c].dataType) for c in side], StructField("d", DoubleType())])
+    arrow = to_arrow_schema(schema)
+
+    def middle(b: pa.Table, a: pa.Table) -> pa.Table:
+        if len(a) < least or len(b) < least:
+            return arrow.empty_table()
+        ids = pc.dictionary_encode(b["track_id"].combine_chunks(), null_encoding="encode").indices.to_numpy()
+        best = np.full(ids.max() + 1, np.inf)
+        np.minimum.at(best, ids, _nearest_of(b, a))
+        best = best[np.isfinite(best)]
+        return pa.table([*[b[c].slice(0, 1) for c in side], pa.array([float(np.median(best)) if len(best) else None], pa.float64())], names=arrow.names).cast(arrow)
+
+    # players of a frame meet in one task; pairs of them are never rows
+    near = b.groupBy(*side).cogroup(a.groupBy(*[f"__of_{c}" for c in side])).applyInArrow(middle, schema)
+    return near.groupBy(*key).agg(F.median("d").alias("nn_opponent_m"))
+
+
+def _nearest_of(b: pa.Table, a: pa.Table) -> np.ndarray:
+    """Of each row of b the distance to the nearest of a; infinite where there is none."""
+    (x, y), (ax, ay) = [(t["__x"].to_numpy(), t["__y"].to_numpy()) for t in (b, a)]
+    here, there, out = np.isfinite(x) & np.isfinite(y), np.isfinite(ax) & np.isfinite(ay), np.full(len(x), np.inf)
+    out[here] = nearest(x[here], y[here], ax[there], ay[there], 1)[0][:, 0]
+    return out
 
 
 def reception(peak: DataFrame, key: list[str], k: int = 3, contested_m: float = 2.0, line: float = 45.0) -> DataFrame:
     """Per event with two tracks or more at its peak: mean x of the k tightest tracks, short or long, and whether any two are within contested_m."""
     m = peak.groupBy(*key, "track_id").agg(F.median("pitch_x").alias("x"), F.median("pitch_y").alias("y"), F.first("sign").alias("sign"))
-    o = m.select(*key, F.col("track_id").alias("other"), F.col("x").alias("ox"), F.col("y").alias("oy"))
-    near = m.join(o, key).where("track_id <> other").groupBy(*key, "track_id").agg(F.min(distance("x", "y", "ox", "oy")).alias("d"), F.first("x").alias("x"), F.first("sign").alias("sign"))
+    m = m.where(reduce(and_, [F.col(c).isNotNull() for c in [*key, "track_id"]])).withColumns({"x": F.col("x").cast("double"), "y": F.col("y").cast("double")})
+    schema = StructType([StructField(f.name, f.dataType) for f in m.drop("y").schema] + [StructField("d", DoubleType())])
+    arrow = to_arrow_schema(schema)
+
+    def others(t: pa.Table) -> pa.Table:
+        if len(t) < 2:
+            return arrow.empty_table()
+        x, y = t["x"].to_numpy(), t["y"].to_numpy()
+        real, d = np.isfinite(x) & np.isfinite(y), np.full(len(t), np.nan)
+        d[real] = nearest_others(x[real], y[real], 1)
+        return t.drop_columns(["y"]).append_column("d", pa.array(d, from_pandas=True)).cast(arrow)
+
+    near = m.groupBy(*key).applyInArrow(others, schema)
     tight = near.withColumn("r", F.row_number().over(W.partitionBy(*key).orderBy("d", "track_id")))
     g = tight.groupBy(*key).agg(F.avg(F.when(F.col("r") <= k, F.col("x"))).alias("receive_x_m"), F.min("d").alias("least"), F.first("sign").alias("sign"))
     return g.select(*key, "receive_x_m", F.when(F.col("sign") * F.col("receive_x_m") < line_x(line), "short").otherwise("long").alias("distance_class"), F.when(F.col("least") <= contested_m, "contested").otherwise("uncontested").alias("contested_proxy"))
@@ -107,6 +149,22 @@ def code_events(events: DataFrame, positions: DataFrame, key: list[str], setup_s
         only(F.coalesce("distance_class", F.lit("unclear"))).alias("distance_class"), only(F.coalesce("contested_proxy", F.lit("unclear"))).alias("contested_proxy"), only("n_registered_setup").alias("n_registered_setup"), F.lit(source).alias("detector_source"))
 
 
+def code_series(events: DataFrame, positions: DataFrame, by: list[str], width: float, setup_s: float = 1.5, peak_s: float = 0.5, **limits: float) -> DataFrame:
+    """code_events for events (by, t_start_s, t_peak_s[, kicking_team], any id) over whole series of positions (by, frame_idx, timestamp_s, ...), with all columns of events.
+
+    Everything that is coded follows from the windows, so events of a series that share their times are coded once: work grows with
+    the positions and the different windows, not with events times positions. width: of the time buckets that windows and positions meet in.
+    """
+    same = [*by, *[c for c in ("t_start_s", "t_peak_s", "kicking_team") if c in events.columns]]
+    spans = events.select(*same).distinct()
+    key = {c: f"__of_{c}" for c in same}
+    spans = spans.withColumns({name: F.col(c) for c, name in key.items()}).withColumns({"__a": F.least(F.col("t_start_s") - setup_s, F.col("t_peak_s") - peak_s), "__b": F.greatest("t_start_s", F.col("t_peak_s") + peak_s)})
+    p = positions.select(*by, "frame_idx", "timestamp_s", "track_id", "team", "pitch_x", "pitch_y", "sign").where(F.col("pitch_x").isNotNull())
+    near = points_in_intervals(spans.select(*by, *key.values(), "__a", "__b"), p, "__a", "__b", "timestamp_s", width, by).drop(*by, "__a", "__b")
+    coded = code_events(spans.drop("__a", "__b", *by), near, list(key.values()), setup_s=setup_s, peak_s=peak_s, **limits).drop("t_start_s", "t_peak_s", *(["kicking_team"] if "kicking_team" in events.columns else []))
+    return events.join(coded, reduce(and_, [F.col(c).eqNullSafe(F.col(name)) for c, name in key.items()]), "left").drop(*key.values())
+
+
 def team_labels(crops: DataFrame, key: list[str], margin: float = 0.12, least: int = 5) -> DataFrame:
     """Team of each track from its crops' distances d0, d1 to two colour centres: the nearer, unless the margin is thin or crops are few."""
     m = F.abs(F.col("d0") - F.col("d1")) / (F.col("d0") + F.col("d1") + 1e-9)

@@ -250,12 +250,10 @@ def keyframe_grid(spark, sf_dir):
     return sampling.keyframes(G.shots_dim(spark, sf_dir), ["video_id", "shot_id"], 5)
 
 
-def _coding_inputs(spark, sf_dir):
-    """Events of one in three predictions' hours, and the positions in their windows."""
+def _coded(spark, sf_dir):
+    """Predictions coded from the positions of their hours."""
     e = G.pe(spark, sf_dir).select("pred_id", (F.col("grp") % 2).alias("video_id"), F.floor(F.col("p_start") / 3600).cast("double").alias("t_start_s"), (F.floor(F.col("p_start") / 3600) + 1).cast("double").alias("t_peak_s"))
-    p = G.positions(spark, sf_dir).where("pitch_x IS NOT NULL").select("video_id", "frame_idx", "timestamp_s", "track_id", "team", "pitch_x", "pitch_y", "sign")
-    near = joins.points_in_intervals(e.withColumns({"a": F.col("t_start_s") - 1.5, "b": F.col("t_peak_s") + 0.5}), p, "a", "b", "timestamp_s", 4, V)
-    return e, near.select("pred_id", "frame_idx", "timestamp_s", "track_id", "team", "pitch_x", "pitch_y", "sign")
+    return coding.code_series(e, G.positions(spark, sf_dir), V, 4, gap_m=0.5)
 
 
 _CODE = """, ev AS (SELECT pred_id, grp % 2 AS video_id, floor(p_start / 3600) AS t0, floor(p_start / 3600) + 1 AS t1 FROM pe),
@@ -284,15 +282,13 @@ FROM rs LEFT JOIN ci c ON c.pred_id = rs.pred_id AND c.team = rs.def LEFT JOIN r
 
 @query("event_coding", X(G.TRK, G.SHOTS, G.PE) + _CODE + _CODED)
 def event_coding(spark, sf_dir):
-    e, p = _coding_inputs(spark, sf_dir)
-    d = coding.code_events(e.drop("video_id"), p, ["pred_id"], gap_m=0.5)
+    d = _coded(spark, sf_dir)
     return rounded(d.select("pred_id", "codeable", "reason_not_codeable", "defending_team", "keeper_gap_m", "n_defenders_in_65", "n_defenders_band", "nn_opponent_m", "defensive_strategy", "receive_x_m", "distance_class", "contested_proxy", "n_registered_setup"))
 
 
 @query("coverage_rate", X(G.TRK, G.SHOTS, G.PE) + _CODE + " SELECT count(*) AS n, count(*) FILTER (reason IS NOT NULL) AS excluded, round(count(*) FILTER (reason IS NULL) / count(*)::DOUBLE, 6) AS coverage, round(908 / 3081::DOUBLE, 6) AS published_exclusion FROM rs")
 def coverage_rate(spark, sf_dir):
-    e, p = _coding_inputs(spark, sf_dir)
-    d = coding.code_events(e.drop("video_id"), p, ["pred_id"], gap_m=0.5)
+    d = _coded(spark, sf_dir)
     ok = F.count_if(F.col("codeable") == 1)
     return rounded(d.agg(F.count("*").alias("n"), F.count_if(F.col("codeable") == 0).alias("excluded"), (ok / F.count("*")).alias("coverage"), F.lit(908 / 3081).alias("published_exclusion")))
 

@@ -56,3 +56,54 @@ def test_null_groups_never_match(spark):
     t = spark.createDataFrame([(None, 7, 0.0, 4.0), (0, 8, 0.0, 4.0)], "g int, gt_id long, g_start double, g_end double")
     got = sorted((r.kind, r.pred_id, r.gt_id, r.confidence) for r in greedy.match_events(p, t, ["g"], 0.5, 5.0).collect() if r.kind != "FN")
     assert got == [("FP", 1, None, 0.5), ("FP", 3, None, 0.1), ("TP", 2, 8, None)]
+
+
+@pytest.mark.parametrize("kind", ["spread", "grid", "line"])
+def test_nearest_others(kind):
+    rng = np.random.default_rng(3)
+    for n in (2, 3, 50, 700):
+        x, y = rng.random(n) * 100, rng.random(n) * 50
+        if kind == "grid":
+            x, y = np.floor(x / 5), np.floor(y / 5)
+        if kind == "line":
+            x[:] = 3.0
+        d = np.sqrt((x[:, None] - x) ** 2 + (y[:, None] - y) ** 2)
+        np.fill_diagonal(d, np.inf)
+        for k in (1, 6):
+            assert matching.nearest_others(x, y, k) == pytest.approx(np.sort(d, axis=1)[:, : min(k, n - 1)].mean(axis=1), abs=1e-9)
+    assert np.isnan(matching.nearest_others(np.zeros(1), np.zeros(1), 6)).all() and (matching.nearest(np.zeros(2), np.zeros(2), np.ones(1), np.zeros(1), 2)[0] == [[1, np.inf]] * 2).all()
+
+
+def test_knn_mean_makes_no_pairs(spark):
+    from tessera.operators import features
+
+    d = spark.range(20_000).selectExpr("0 AS v", "id AS k", "CAST(id * 7919 % 20011 AS double) AS x", "CAST(id * 104729 % 20021 AS double) AS y")
+    m = features.knn_mean(d, "x", "y", 6, ["v"], "k")
+    assert "Join" not in m._jdf.queryExecution().optimizedPlan().toString() and m.count() == 1
+
+
+def test_knn_mean_of_repeated_and_missing(spark):
+    from tessera.operators import features
+
+    rows = [(0, 1, 0.0, 0.0), (0, 1, 0.0, 9.0), (0, 2, 3.0, 0.0), (1, 1, 0.0, 0.0), (2, 1, 0.0, 0.0), (2, 2, 5.0, 0.0), (2, 3, None, 1.0), (None, 1, 0.0, 0.0), (None, 2, 0.0, 0.0)]
+    d = spark.createDataFrame(rows, "v int, k long, x double, y double")
+    assert {r.v: r.knn_distance for r in features.knn_mean(d, "x", "y", 1, ["v"], "k").collect()} == {0: 3.0, 2: 5.0}
+
+
+def test_equal_windows_are_coded_once(spark, monkeypatch):
+    """A thousand events of two windows: two windows are coded, and each event gets its window's row; one without times is not coded, with its reason."""
+    from tessera.operators import coding
+
+    e = spark.range(1000).selectExpr("id AS event_id", "1 AS v", "CAST(id % 2 * 10 + 5 AS double) AS t_start_s", "CAST(id % 2 * 10 + 6 AS double) AS t_peak_s").unionAll(spark.sql("SELECT -1L, 1, CAST(NULL AS double), CAST(NULL AS double)"))
+    p = spark.createDataFrame([(1, f, float(f), t, "team_a" if t % 2 else "team_b", float(20 + t * 3 + f), float(t), 1.0) for f in range(20) for t in range(12)], "v int, frame_idx long, timestamp_s double, track_id long, team string, pitch_x double, pitch_y double, sign double")
+    seen, plain = [], coding.code_events
+    monkeypatch.setattr(coding, "code_events", lambda events, *a, **k: (seen.append(events.count()), plain(events, *a, **k))[1])
+    got = coding.code_series(e, p, ["v"], 4, gap_m=0.1).drop("v")
+    assert seen == [3] and got.count() == 1001
+    few = e.where("event_id < 2").drop("v")
+    want = {r.event_id: r for r in plain(few, p.drop("v").crossJoin(few.select("event_id")), ["event_id"], gap_m=0.1).collect()}
+    for r in got.where("event_id IN (0, 1, 2, 999, -1)").collect():
+        if r.event_id < 0:
+            assert (r.codeable, r.reason_not_codeable) == (0, "no registered tracks in setup window")
+        else:
+            assert r.codeable == 1 and r.asDict() == want[r.event_id % 2].asDict() | {"event_id": r.event_id}
