@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Iterator
 from typing import Any
 
@@ -9,6 +10,8 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tessera.operators.lineage import shared_dir
+
 LATE = "1 day"
 
 
@@ -57,8 +60,29 @@ def streaks(events: DataFrame, step_s: int = 6 * 3600) -> DataFrame:
 
 
 def drain(stream: DataFrame, name: str, mode: str) -> DataFrame:
-    """Run a stream over what there is now; its rows as a table."""
+    """Run a stream over what there is now; its rows as a table of files in the shared folder. Rows never meet in the driver.
+
+    In complete mode each batch replaces the one before; otherwise batches add up. State that a join, a session or a window keeps is on
+    the executors' disks (RocksDB), unless the session names a provider.
+    """
     spark = stream.sparkSession
-    q = stream.writeStream.outputMode(mode).format("memory").queryName(name).trigger(availableNow=True).start()
-    q.awaitTermination()
-    return spark.table(name)
+    where = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
+    last = [-1]
+
+    def write(batch: DataFrame, number: int) -> None:
+        batch.write.mode("overwrite").parquet(f"{where}/batch={number}")
+        last[0] = number
+
+    provider = "spark.sql.streaming.stateStore.providerClass"
+    own = provider in spark.conf.getAll
+    if not own:
+        spark.conf.set(provider, "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
+    try:
+        q = stream.writeStream.outputMode(mode).queryName(name).foreachBatch(write).trigger(availableNow=True).start()
+        q.awaitTermination()
+    finally:
+        if not own:
+            spark.conf.unset(provider)
+    if last[0] < 0:
+        return spark.createDataFrame([], stream.schema)
+    return spark.read.schema(stream.schema).parquet(f"{where}/batch={last[0]}" if mode == "complete" else f"{where}/batch=*")

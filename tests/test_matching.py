@@ -107,3 +107,14 @@ def test_equal_windows_are_coded_once(spark, monkeypatch):
             assert (r.codeable, r.reason_not_codeable) == (0, "no registered tracks in setup window")
         else:
             assert r.codeable == 1 and r.asDict() == want[r.event_id % 2].asDict() | {"event_id": r.event_id}
+
+
+def test_a_drained_stream_stays_out_of_the_driver(spark):
+    """Its rows come from files, twice in a session too, and not from a table in memory."""
+    from tessera.plans import streams
+    from tests.conftest import DATA
+
+    first, second = (streams.stream_session(spark, f"{DATA}/sf0.001") for _ in range(2))
+    plan = first._jdf.queryExecution().optimizedPlan().toString()
+    assert "parquet" in plan and "MemoryPlan" not in plan and "LocalRelation" not in plan
+    assert first.count() == second.count() > 0 and first.exceptAll(second).count() == 0
