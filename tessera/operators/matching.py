@@ -235,3 +235,57 @@ def nearest_others(x: np.ndarray, y: np.ndarray, k: int) -> np.ndarray:
     near[place == np.arange(len(both))[:, None]] -= 1  # not itself, but others like it
     used = np.diff(np.minimum(np.cumsum(near, axis=1), k), axis=1, prepend=0)
     return ((np.where(used > 0, far, 0.0) * used).sum(axis=1) / used.sum(axis=1))[of]
+
+
+def box_pairs(p: np.ndarray, g: np.ndarray, least: float, chunk: int = 2_000_000) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(row of p, row of g, IoU) of pairs of boxes (rows x1, y1, x2, y2) whose IoU reaches `least`; boxes with a missing corner have none.
+
+    Boxes are swept along x: only those near enough to reach `least` are compared, so many pairs at a time.
+    """
+    pi, gi = np.flatnonzero(np.isfinite(p).all(axis=1)), np.flatnonzero(np.isfinite(g).all(axis=1))
+    empty = np.zeros(0, dtype=np.int64)
+    if not len(pi) or not len(gi):
+        return empty, empty, np.zeros(0)
+    gi = gi[np.argsort(g[gi, 0], kind="stable")]
+    a, b = p[pi], g[gi]
+    if least > 0:  # boxes share at least `least` of either's width
+        slack = (1 - least) * (1 + 1e-9) + 1e-9
+        low = np.searchsorted(b[:, 0], a[:, 0] - slack * max(0.0, float((b[:, 2] - b[:, 0]).max())), "left")
+        high = np.searchsorted(b[:, 0], a[:, 0] + slack * np.maximum(0.0, a[:, 2] - a[:, 0]), "right")
+    else:
+        low, high = np.zeros(len(a), dtype=np.int64), np.full(len(a), len(b))
+    count = np.maximum(high - low, 0)
+    upto = np.concatenate([[0], np.cumsum(count)])
+    out, i = [], 0
+    while i < len(a):
+        j = max(i + 1, int(np.searchsorted(upto, upto[i] + chunk, "right")) - 1)
+        left = np.repeat(np.arange(i, j), count[i:j])
+        right = np.arange(len(left)) - np.repeat(upto[i:j] - upto[i], count[i:j]) + np.repeat(low[i:j], count[i:j])
+        x, y = a[left], b[right]
+        inter = np.maximum(0.0, np.minimum(x[:, 2], y[:, 2]) - np.maximum(x[:, 0], y[:, 0])) * np.maximum(0.0, np.minimum(x[:, 3], y[:, 3]) - np.maximum(x[:, 1], y[:, 1]))
+        union = (x[:, 2] - x[:, 0]) * (x[:, 3] - x[:, 1]) + (y[:, 2] - y[:, 0]) * (y[:, 3] - y[:, 1]) - inter
+        iou = np.divide(inter, union, out=np.zeros(len(inter)), where=union > 0)
+        ok = iou >= least
+        out.append((pi[left[ok]], gi[right[ok]], iou[ok]))
+        i = j
+    return tuple(np.concatenate(c) for c in zip(*out, strict=True))
+
+
+def in_turn(left: np.ndarray, right: np.ndarray, iou: np.ndarray, left_rank: np.ndarray, right_rank: np.ndarray) -> np.ndarray:
+    """Places of pairs in the order of choice: members of the left by their own best IoU (then rank), each with its best of the right (then rank) first."""
+    if not len(iou):
+        return np.zeros(0, dtype=np.int64)
+    top = np.full(int(left.max()) + 1, -1.0)
+    np.maximum.at(top, left, iou)
+    return np.lexsort((right_rank[right], -iou, left_rank[left], -top[left]))
+
+
+def match_pairs(left: np.ndarray, right: np.ndarray) -> np.ndarray:
+    """Places of the chosen pairs: in their order each member of the left takes the first of the right that isn't taken."""
+    taken, done, keep = set(), -1, []
+    for i, (a, b) in enumerate(zip(left.tolist(), right.tolist(), strict=True)):
+        if a != done and b not in taken:
+            taken.add(b)
+            done = a
+            keep.append(i)
+    return np.array(keep, dtype=np.int64)

@@ -118,3 +118,54 @@ def test_a_drained_stream_stays_out_of_the_driver(spark):
     plan = first._jdf.queryExecution().optimizedPlan().toString()
     assert "parquet" in plan and "MemoryPlan" not in plan and "LocalRelation" not in plan
     assert first.count() == second.count() > 0 and first.exceptAll(second).count() == 0
+
+
+def test_box_pairs_and_their_matches():
+    rng = np.random.default_rng(5)
+    box = lambda n: np.column_stack([(lo := rng.integers(0, 40, (n, 2)).astype(float)), lo + rng.integers(-1, 25, (n, 2))])
+    p, g = box(150), box(120)
+    p[3, 1] = np.nan
+    inter = np.clip(np.minimum(p[:, None, 2:], g[None, :, 2:]) - np.maximum(p[:, None, :2], g[None, :, :2]), 0, None).prod(axis=2)
+    area = lambda b: (b[:, 2] - b[:, 0]) * (b[:, 3] - b[:, 1])
+    union = area(p)[:, None] + area(g)[None] - inter
+    iou = np.where(union > 0, inter / np.where(union > 0, union, 1), 0.0)
+    for least in (0.0, 0.2, 0.5):
+        want = {(i, j): iou[i, j] for i in range(150) for j in range(120) if i != 3 and iou[i, j] >= least}
+        for chunk in (7, 2_000_000):
+            rows, cols, got = matching.box_pairs(p, g, least, chunk)
+            assert {(i, j): x for i, j, x in zip(rows.tolist(), cols.tolist(), got.tolist(), strict=True)} == want
+    own, other, taken, plain = rng.permutation(150), rng.permutation(120), set(), set()
+    for i in sorted({i for i, _ in want}, key=lambda i: (-max(iou[i]), own[i])):
+        free = [j for j in range(120) if (i, j) in want and j not in taken]
+        if free:
+            j = min(free, key=lambda j: (-iou[i, j], other[j]))
+            taken.add(j)
+            plain.add((i, j))
+    m = matching.in_turn(rows, cols, got, own, other)
+    m = m[matching.match_pairs(rows[m], cols[m])]
+    assert set(zip(rows[m].tolist(), cols[m].tolist(), strict=True)) == plain
+
+
+def test_boxes_of_a_frame_match_without_a_join(spark):
+    from tessera.operators import greedy
+
+    d = spark.range(4000).selectExpr("0 AS v", "id", "CAST(id * 7919 % 4001 AS double) AS x1", "CAST(id * 31 % 4001 AS double) AS y1")
+    side = lambda p, key: d.selectExpr("v", f"id AS {key}", f"x1 AS {p}x1", f"y1 AS {p}y1", f"x1 + 20 AS {p}x2", f"y1 + 20 AS {p}y2")
+    m = greedy.match_boxes(side("p_", "pred_id"), side("g_", "gt_id"), ["v"], (0.5, 0.9))
+    assert "Join" not in m._jdf.queryExecution().optimizedPlan().toString()
+    assert m.where("pred_id = gt_id AND iou = 1").groupBy("threshold").count().collect() and m.count() == 8000
+
+
+def test_nearest_vectors(spark, monkeypatch):
+    """Blocks of few rows, ties and equal vectors, against all pairs; vectors of another length or with a gap have no distance."""
+    from tessera.operators import vectors
+
+    monkeypatch.setattr(vectors, "QUERIES", 7)
+    monkeypatch.setattr(vectors, "OTHERS", 11)
+    rng = np.random.default_rng(2)
+    v = rng.integers(0, 4, (90, 3)).astype(float) + 1000
+    rows = [(i, x.tolist()) for i, x in enumerate(v)] + [(200, [1.0]), (201, [None, 1.0, 2.0]), (202, None)]
+    d = spark.createDataFrame(rows, "id long, v array<double>").repartition(3)
+    m = vectors.nearest(d.where("id % 3 = 0"), d, "id", "v", 5)
+    want = {(q, i, round(float(np.sqrt(((v[q] - v[i]) ** 2).sum())), 6)) for q in range(0, 90, 3) for i in sorted((i for i in range(90) if i != q), key=lambda i: (round(float(np.sqrt(((v[q] - v[i]) ** 2).sum())), 6), i))[:5]}
+    assert {tuple(r) for r in m.collect()} == want
