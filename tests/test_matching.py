@@ -169,3 +169,31 @@ def test_nearest_vectors(spark, monkeypatch):
     m = vectors.nearest(d.where("id % 3 = 0"), d, "id", "v", 5)
     want = {(q, i, round(float(np.sqrt(((v[q] - v[i]) ** 2).sum())), 6)) for q in range(0, 90, 3) for i in sorted((i for i in range(90) if i != q), key=lambda i: (round(float(np.sqrt(((v[q] - v[i]) ** 2).sum())), 6), i))[:5]}
     assert {tuple(r) for r in m.collect()} == want
+
+
+def test_sparse_assignments():
+    from tessera.operators import mot
+
+    rng = np.random.default_rng(9)
+    for n, m, share in ((1, 1, 1.0), (12, 9, 0.15), (30, 40, 0.1), (25, 25, 0.5)):
+        pairs = [(i, j) for i in range(n) for j in range(m) if rng.random() < share] or [(0, 0)]
+        cost = rng.random(len(pairs))
+        whole = np.full((n, m), 1e6)
+        for (i, j), c in zip(pairs, cost, strict=True):
+            whole[i, j] = c
+        want = [(i, j) for i, j in mot.assignment(whole) if whole[i, j] < 1e6]
+        assert mot.sparse_assignment([i for i, _ in pairs], [j for _, j in pairs], cost.tolist()) == want
+        for most in (1, 2, 7):
+            gain = dict(zip(pairs, rng.integers(1, most + 1, len(pairs)).tolist(), strict=True))
+            square = np.array([[gain.get((i, j), 0) for j in range(m)] for i in range(n)], dtype=float)
+            assert mot.most_gain(gain) == int(sum(square[i, j] for i, j in mot.assignment(-square)))
+
+
+def test_scores_of_a_crowded_block():
+    """Three thousand boxes a frame, which one matrix a frame would take hours for."""
+    from tessera.operators import mot
+
+    n = 3000
+    pairs = lambda f: [(float(i), float((i + d) % n), 0.9 - d / 4) for i in range(0, n, 2) for d in (0, 1)]
+    got = mot.score_frames(([*map(float, range(n))], [*map(float, range(n))], pairs(f)) for f in range(4))
+    assert (got["matches"], got["switches"], got["id_tp"], got["misses"]) == (4 * n // 2, 0, 4 * n // 2, 4 * n // 2)
