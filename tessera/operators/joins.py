@@ -54,6 +54,23 @@ def overlapping(a: DataFrame, b: DataFrame, a_ends: tuple[str, str], b_ends: tup
     return left.join(right, [*by, _B]).where(meet & (F.col(_B) == first)).drop(_B)
 
 
+def boxes_meeting(a: DataFrame, b: DataFrame, a_prefix: str, b_prefix: str, cell: tuple[float, float], by: list[str]) -> DataFrame:
+    """Pairs of boxes (<prefix>x1 .. y2) of the same `by` that share an area: both sides go to the cells they touch, and a pair counts in the first cell it shares."""
+    axes = (("x", cell[0]), ("y", cell[1]))
+
+    def placed(d: DataFrame, p: str) -> DataFrame:
+        d = d.where((F.col(f"{p}x1") < F.col(f"{p}x2")) & (F.col(f"{p}y1") < F.col(f"{p}y2")))
+        for axis, width in axes:
+            d = d.withColumn(f"{_B}_{axis}", _buckets(F.col(f"{p}{axis}1"), F.col(f"{p}{axis}2"), width))
+        return d
+
+    d = placed(a, a_prefix).join(placed(b, b_prefix), [*by, *[f"{_B}_{axis}" for axis, _ in axes]])
+    for axis, width in axes:
+        low, high = F.greatest(f"{a_prefix}{axis}1", f"{b_prefix}{axis}1"), F.least(f"{a_prefix}{axis}2", f"{b_prefix}{axis}2")
+        d = d.where((low < high) & (F.col(f"{_B}_{axis}") == F.floor(low / width)))
+    return d.drop(*[f"{_B}_{axis}" for axis, _ in axes])
+
+
 def range_lookup(rows: DataFrame, ranges: DataFrame, at: str, start: str, end: str, value: str, width: int, by: list[str] | None = None, default: int = -1) -> DataFrame:
     """The value of the range that a row's position lies in, the range that starts last if several; default if none."""
     by = by or []

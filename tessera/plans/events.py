@@ -108,7 +108,7 @@ bf(t, video_id, frame_idx, i, taken, pred_id, hit) AS (SELECT DISTINCT t, video_
 
 @query("box_iou_pairs", X(G.TRK, G.GTB, _IOU.split("bo AS")[0].rstrip().rstrip(",")) + " SELECT video_id, frame_idx, pred_id, gt_id, round(iou, 6) AS iou FROM bx WHERE iou > 0")
 def box_iou_pairs(spark, sf_dir):
-    d = G.boxes(spark, sf_dir).join(G.gtb(spark, sf_dir), ["video_id", "frame_idx"]).withColumn("iou", B.box_iou("p_", "g_"))
+    d = joins.boxes_meeting(G.boxes(spark, sf_dir).drop("conf"), G.gtb(spark, sf_dir), "p_", "g_", (64.0, 128.0), ["video_id", "frame_idx"]).withColumn("iou", B.box_iou("p_", "g_"))
     return rounded(d.where("iou > 0").select("video_id", "frame_idx", "pred_id", "gt_id", "iou"))
 
 

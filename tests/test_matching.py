@@ -197,3 +197,16 @@ def test_scores_of_a_crowded_block():
     pairs = lambda f: [(float(i), float((i + d) % n), 0.9 - d / 4) for i in range(0, n, 2) for d in (0, 1)]
     got = mot.score_frames(([*map(float, range(n))], [*map(float, range(n))], pairs(f)) for f in range(4))
     assert (got["matches"], got["switches"], got["id_tp"], got["misses"]) == (4 * n // 2, 0, 4 * n // 2, 4 * n // 2)
+
+
+def test_boxes_meet_in_cells(spark):
+    """Each pair once, whatever cells it shares, and none through a join of whole frames."""
+    from tessera.operators import joins
+
+    rng = np.random.default_rng(4)
+    side = lambda p, n: spark.createDataFrame([(i % 2, i, float(x), float(y), float(x + w), float(y + h)) for i, (x, y, w, h) in enumerate(rng.integers(-20, 40, (n, 4)).tolist())], f"v int, {p}id long, {p}x1 double, {p}y1 double, {p}x2 double, {p}y2 double")
+    a, b = side("p_", 80), side("g_", 70)
+    want = a.join(b, "v").where("least(p_x2, g_x2) > greatest(p_x1, g_x1) AND least(p_y2, g_y2) > greatest(p_y1, g_y1)").select("p_id", "g_id").collect()
+    got = joins.boxes_meeting(a, b, "p_", "g_", (7.0, 11.0), ["v"])
+    assert sorted(got.select("p_id", "g_id").collect()) == sorted(want) and want
+    assert "__bucket_x" in got._jdf.queryExecution().optimizedPlan().toString()
