@@ -210,3 +210,74 @@ def test_boxes_meet_in_cells(spark):
     got = joins.boxes_meeting(a, b, "p_", "g_", (7.0, 11.0), ["v"])
     assert sorted(got.select("p_id", "g_id").collect()) == sorted(want) and want
     assert "__bucket_x" in got._jdf.queryExecution().optimizedPlan().toString()
+
+
+@pytest.fixture
+def dense(spark, monkeypatch):
+    """Events of few different times, more of a time than a piece holds, one without an id or a start, some without a group."""
+    from tessera.operators import joins
+
+    monkeypatch.setattr(joins, "PIECE", 7)
+    rng = np.random.default_rng(19)
+
+    def some(n, *names):
+        rows = [(int(i) % 3 or None, int(i), float(a), float(a + d)) for i, (a, d) in enumerate(zip(rng.integers(0, 6, n), rng.integers(-1, 7, n), strict=True))] + [(1, None, 0.0, 5.0), (1, -1, None, 5.0)]
+        return spark.createDataFrame(rows, f"g int, {names[0]} long, {names[1]} double, {names[2]} double")
+
+    return some(300, "pred_id", "p_start", "p_end"), some(280, "gt_id", "g_start", "g_end")
+
+
+def _unfolds_last(df):
+    """Whether pairs become rows above the join alone."""
+    plan = df._jdf.queryExecution().optimizedPlan().toString()
+    return plan.index("Generate") < plan.index("Join")
+
+
+def test_overlapping_events_of_equal_times_meet_once(dense):
+    from tessera.operators import greedy
+
+    p, g = dense
+    got = greedy.candidate_pairs(p, g, ["g"], 2.5)
+    assert set(got.columns) == {*p.columns, *g.columns, "tiou"} and _unfolds_last(got)
+    ours = [(x, y) for x in p.collect() for y in g.collect() if x.g is not None and x.g == y.g and None not in (x.p_start, y.g_start)]
+    share = {}
+    for x, y in ours:
+        inter = min(x.p_end, y.g_end) - max(x.p_start, y.g_start)
+        if inter > 0:
+            share.setdefault((x.g, x.pred_id, x.p_start, y.gt_id, y.g_end), []).append(inter / (x.p_end - x.p_start + y.g_end - y.g_start - inter))
+    rows = {}
+    for r in got.collect():
+        rows.setdefault((r.g, r.pred_id, r.p_start, r.gt_id, r.g_end), []).append(r.tiou)
+    assert rows.keys() == share.keys() and all(rows[k] == pytest.approx(share[k]) for k in rows)
+
+
+def test_points_of_equal_times_meet_once(dense):
+    from pyspark.sql import functions as F
+
+    from tessera.operators import joins
+
+    e, p = dense[0], dense[1].select("g", "gt_id", F.col("g_start").alias("t"))
+    got = joins.every_point_in_intervals(e, p, "p_start", "p_end", "t", 2.0, ["g"], twice=F.col("t") * 2)
+    assert _unfolds_last(got)
+    want = e.join(p, "g").where("t BETWEEN p_start AND p_end").selectExpr("g", "pred_id", "gt_id", "t", "p_end", "t * 2 AS twice")
+    assert sorted(map(repr, got.select(*want.columns).collect())) == sorted(map(repr, want.collect())) and got.count() > 5_000
+
+
+@pytest.mark.parametrize("name", ["temporal_iou_pairs"])
+def test_pair_queries_unfold_last(spark, name):
+    from tessera.plans import catalogue
+    from tests.conftest import DATA
+
+    assert _unfolds_last(catalogue.queries()[name](spark, f"{DATA}/sf0.001"))
+
+
+def test_to_digits_rounds_like_sql(spark):
+    import duckdb
+    from pyspark.sql import functions as F
+
+    from tessera.functions.stats import to_digits
+
+    x = [i / d for d in (128, 640, 3600, 7200, 18000, 36000) for i in range(1, d, 1 + d // 900)] + [-1.5e-6, 2.5e-6, -0.123, 1e300, 0.0, None]
+    got = [r.y for r in spark.createDataFrame([(i, v) for i, v in enumerate(x)], "i int, x double").coalesce(1).orderBy("i").select(to_digits(F.col("x"), 6).alias("y")).collect()]
+    assert got == [r[0] for r in duckdb.execute("SELECT round(unnest(?::DOUBLE[]), 6)", [x]).fetchall()]
+    assert np.isnan(spark.sql("SELECT double('NaN') AS x").select(to_digits(F.col("x"), 6).alias("y")).first().y)
