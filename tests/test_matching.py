@@ -263,7 +263,7 @@ def test_points_of_equal_times_meet_once(dense):
     assert sorted(map(repr, got.select(*want.columns).collect())) == sorted(map(repr, want.collect())) and got.count() > 5_000
 
 
-@pytest.mark.parametrize("name", ["temporal_iou_pairs"])
+@pytest.mark.parametrize("name", ["temporal_iou_pairs", "interval_join"])
 def test_pair_queries_unfold_last(spark, name):
     from tessera.plans import catalogue
     from tests.conftest import DATA
