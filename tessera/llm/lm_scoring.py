@@ -44,6 +44,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -108,6 +109,8 @@ class Chunks:
     def __init__(self, m: Model, symbols: np.ndarray, starts: np.ndarray, chunk: int | None = None):
         chunk = chunk or CHUNK
         self.m, self.symbols = m, symbols
+        # a small table is gathered state by state, in the caches
+        self.by_state = np.ascontiguousarray(m.emit.T) if len(m.emit) <= 2 * BUCKETS else None
         many = -(-np.diff(starts) // chunk)
         self.texts, self.owner = len(many), np.repeat(np.arange(len(many)), many)
         inside = np.arange(len(self.owner)) - np.repeat(np.cumsum(many) - many, many)
@@ -137,7 +140,7 @@ class Chunks:
         back = np.empty_like(order)
         back[order] = np.arange(len(order))
         # by state, so that sums and quotients over states run along the chunks
-        e = np.ascontiguousarray(np.take(self.m.emit, self.symbols[flat], axis=0).T)
+        e = np.take(self.by_state, self.symbols[flat], axis=1) if self.by_state is not None else np.ascontiguousarray(np.take(self.m.emit, self.symbols[flat], axis=0).T)
         return order, back, at, active, rank, flat, e
 
     def _forward(self, rows: np.ndarray, begin: np.ndarray, keep: bool = False):
@@ -364,7 +367,14 @@ def _packed(n: np.ndarray) -> pa.Array:
 
 
 def unpacked(column: pa.ChunkedArray | pa.Array, states: int) -> np.ndarray:
-    return np.frombuffer(b"".join(column.to_pylist()), dtype=np.float32).reshape(-1, states).astype(float)
+    """The numbers of such rows, from the buffers (a Python object a row costs more than all that is done with it); a null is an error."""
+    parts = [np.empty(0, dtype=np.uint8)]
+    for x in column.chunks if isinstance(column, pa.ChunkedArray) else [column]:
+        if len(x):
+            wide = np.int64 if pa.types.is_large_binary(x.type) else np.int32
+            at = np.frombuffer(x.buffers()[1], dtype=wide)[x.offset : x.offset + len(x) + 1]
+            parts.append(np.frombuffer(x.buffers()[2] or b"", dtype=np.uint8)[at[0] : at[-1]])
+    return np.concatenate(parts).view(np.float32).reshape(len(column), states).astype(float)
 
 
 def _clear(n: np.ndarray, c: np.ndarray) -> np.ndarray:
@@ -415,7 +425,9 @@ class Fitted:
                 two = np.maximum(every - one, 0)
                 for own, other, count, (sums, size) in ((one, two, d, sides[0]), (two, one, c - d, sides[1])):
                     some = np.flatnonzero(other.any(axis=1))
-                    own, other, p = own[some], other[some], ((count[some] + 1) / (size + v + 1))[:, None]
+                    own, other, p = own[some], other[some], (count[some] + 1) / (size + v + 1)
+                    at, state = np.nonzero(other)  # few states of a word
+                    own, other, p, sums = own[at, state], other[at, state], p[at], sums[state]
                     for i, beta in enumerate(BETAS):
                         out[i] += float((other * np.log((own + beta * p) / (sums + beta))).sum())
             yield pa.RecordBatch.from_arrays([pa.array(range(len(BETAS)), pa.int32()), pa.array(out)], ["i", "log"])
@@ -571,8 +583,8 @@ def score(docs: DataFrame, fitted: Fitted) -> DataFrame:
             for a, b, block in blocks(batch.column(2), NONSPACE):
                 h, starts = tokens_of(block)
                 h = h.view(np.int64)
-                at = np.minimum(np.searchsorted(head, h), max(len(head) - 1, 0))
-                own = head[at] == h if len(head) else np.zeros(len(h), dtype=bool)
+                found = pc.index_in(pa.array(h), value_set=pa.array(head))
+                own, at = found.is_valid().to_numpy(zero_copy_only=False), found.fill_null(0).to_numpy(zero_copy_only=False).astype(np.int64)
                 codes, rare, wide = [], [], []
                 for x, y in zip(starts[:-1].tolist(), starts[1:].tolist(), strict=True):
                     code, other = at[x:y], ~own[x:y]
@@ -612,8 +624,8 @@ def score(docs: DataFrame, fitted: Fitted) -> DataFrame:
         size = np.array([len(x) for x in tokens])
         starts, flat = np.concatenate([[0], np.cumsum(size)]), np.concatenate(tokens)
         logs = Chunks(Model(start, move, emit), flat, starts).logs() / math.log(10)
-        seen = c[flat]
-        known, base = (np.add.reduceat(x, starts[:-1]) for x in ((seen > 0).astype(np.int64), np.log10((seen + 1.0) / (law[0] + law[1] + 1))))
+        # worked out by word, of which there are fewer than tokens
+        known, base = (np.add.reduceat(x[flat], starts[:-1]) for x in ((c > 0).astype(np.int64), np.log10((c + 1.0) / (law[0] + law[1] + 1))))
         return pa.table({"doc_id": t["doc_id"], "held_out": t["held_out"], "n_tokens": pa.array(size.astype(np.int64)), "n_known": pa.array(known), "base_score": pa.array(base), "score": pa.array(logs)})
 
     encoded = stash(docs.select(*names, "text").mapInArrow(encode, f"doc_id {id_type}, held_out boolean, bid long, wide boolean, codes binary, rare array<long>"), "codes")

@@ -737,3 +737,26 @@ def test_pipeline_equals_brute_force(spark):
     expect = {d for d in kept if not brute_hits(texts[d], items)[4]}
     got = corpus_pipeline.run(spark, SF).collect()
     assert {r.doc_id for r in got} == expect and len(got) == len(expect) and all(r.round_trip for r in got)
+
+
+def test_rows_of_numbers_unpack_without_objects():
+    """Rows of the table of words, whole, sliced and in chunks, as numbers; memory is that of the numbers, not of a Python object a row."""
+    import tracemalloc
+
+    import pyarrow as pa
+
+    from tessera.llm import lm_scoring
+
+    n = np.arange(8 * 50_000, dtype=np.float32).reshape(-1, 8)
+    column = lm_scoring._packed(n)
+    tracemalloc.start()
+    got = lm_scoring.unpacked(column, 8)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert (got == n).all() and got.dtype == float and peak < 2 * got.nbytes
+    assert (lm_scoring.unpacked(column.slice(3, 5), 8) == n[3:8]).all()
+    assert (lm_scoring.unpacked(pa.chunked_array([column.slice(7, 2), column.slice(0, 0), column.cast(pa.large_binary()).cast(pa.binary()).slice(9)]), 8) == n[7:]).all()
+    assert (lm_scoring.unpacked(column.cast(pa.large_binary()).slice(2, 4), 8) == n[2:6]).all()
+    assert lm_scoring.unpacked(pa.array([], pa.binary()), 8).shape == (0, 8)
+    with pytest.raises(ValueError):
+        lm_scoring.unpacked(pa.array([None], pa.binary()), 8)
