@@ -24,7 +24,8 @@ Training, on the documents that aren't held out (crc32 of the id mod 7 is not 2)
    gives each half the most likelihood by the other's counts is taken.
 
 Scores: the HEAD most frequent words travel to the tasks; of the others, each block of
-texts (of BLOCK_TOKENS or one longer text) is joined with the rows that it needs.
+texts (of BLOCK_TOKENS or one longer text) is joined with the rows that it needs. Words travel
+packed, a row for all of a part of the table, since a row a word costs more than its arithmetic.
 
 Long texts: a text of over CHUNK tokens is cut into chunks, each run from every state at once; their
 transfer matrices give the state vectors at all borders, and then chunks are independent of each
@@ -63,6 +64,8 @@ BETAS = [4.0**k for k in range(16)]
 CHUNK = 2048
 #: Tokens whose state vectors are held at once.
 GROUP = 800_000
+#: Tokens of the texts from which such groups are made: so many that texts of a group are alike in length.
+HELD = 4_000_000
 #: Tokens of the texts that meet the table of words together.
 BLOCK_TOKENS = 4_000_000
 #: Tokens of training for each partition of the table of words; and its partitions at most.
@@ -119,9 +122,12 @@ class Chunks:
         self.first, self.long = inside == 0, many[self.owner] > 1
         # the state weights before each chunk, and those that what follows it gives its last state
         self.begin, self.final = np.tile(m.start, (len(self.a), 1)), np.ones((len(self.a), len(m.start)))
+        # the last state vector of the chunk before
+        self.before = np.zeros_like(self.final)
 
     def _groups(self, rows: np.ndarray, most: int) -> Iterator[np.ndarray]:
-        """Runs of chunks with so many symbols at most (or one longer)."""
+        """Runs of chunks with so many symbols at most (or one longer), of chunks alike in length: what a group costs beside its symbols is a loop over the longest."""
+        rows = rows[np.argsort(-self.n[rows], kind="stable")]
         run = (np.cumsum(self.n[rows]) - 1) // max(most, 1)
         for g in np.split(rows, np.flatnonzero(np.diff(run)) + 1):
             if len(g):
@@ -189,15 +195,16 @@ class Chunks:
             logs[g], ways = self._transfers(g)
             transfer |= zip(g.tolist(), ways, strict=True)
         last = None
-        for r, t in transfer.items():  # from left to right
+        for r in sorted(transfer):  # from left to right
+            t = transfer[r]
             if self.first[r]:
                 v = t[0]
             else:
-                self.begin[r] = last @ self.m.move
+                self.before[r], self.begin[r] = last, last @ self.m.move
                 v = last @ t
             logs[r] += math.log(v.sum())
             last = v / v.sum()
-        for r in reversed(transfer):
+        for r in sorted(transfer, reverse=True):
             if not self.first[r]:
                 v = transfer[r] @ self.final[r]
                 self.final[r - 1] = v / v.sum()
@@ -214,7 +221,6 @@ class Chunks:
         """Expected counts, by groups of chunks: (start, moves, the symbols' positions, their states (a row a state), log probability)."""
         states = len(self.m.start)
         self._borders()
-        carried = None  # the last vector of the chunk before
         for g in self._groups(np.arange(len(self.a)), GROUP):
             logs, last, (order, back, at, active, flat, alpha, scale, e) = self._forward(g, self.begin[g], True)
             final = self.final[g] / (self.final[g] * last).sum(axis=1, keepdims=True)
@@ -232,10 +238,8 @@ class Chunks:
                 n = k
             moves *= self.m.move
             first = alpha[:, : len(g)].T[back]
-            for i in np.flatnonzero(~self.first[g]).tolist():  # from the chunk before
-                before = last[i - 1] if i else carried
-                moves += before[:, None] * self.m.move * (first[i] / np.maximum(self.begin[g[i]], 1e-300))
-            carried = last[-1]
+            later = np.flatnonzero(~self.first[g])  # from the chunk before
+            moves += self.m.move * (self.before[g[later]].T @ (first[later] / np.maximum(self.begin[g[later]], 1e-300)))
             yield first[self.first[g]].sum(axis=0), moves, flat, alpha, float(logs.sum())
 
 
@@ -299,14 +303,14 @@ def _sum_dense(rows: DataFrame, states: int, size: int) -> tuple[np.ndarray, np.
     return small[:states], small[states:-1].reshape(states, states), emit, float(small[-1])
 
 
-def _round(encoded: DataFrame, m: Model, step) -> tuple[np.ndarray, np.ndarray, np.ndarray, float]:
-    """Expected counts of a step (mixture or baum_welch) over all rows of (symbols)."""
+def _round(encoded: DataFrame, m: Model, step, most: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, float]:
+    """Expected counts of a step (mixture or baum_welch) over all rows of (symbols), of texts of so many tokens (or one longer) at once."""
     sent = encoded.sparkSession.sparkContext.broadcast(Model(m.start, m.move, m.emit.astype(np.float32)))
 
     def held(rows: Iterator[pa.RecordBatch]) -> Iterator[list[np.ndarray]]:
         texts, n = [], 0
         for x in (np.frombuffer(x.as_py(), dtype=np.uint16) for r in rows for x in r.column(0)):
-            if texts and n + len(x) > GROUP:
+            if texts and n + len(x) > most:
                 yield texts
                 texts, n = [], 0
             texts.append(x)
@@ -330,13 +334,13 @@ def _round(encoded: DataFrame, m: Model, step) -> tuple[np.ndarray, np.ndarray,
 def train_states(encoded: DataFrame, states: int) -> tuple[Model, int]:
     """A model of classes of words, from the texts in (symbols); and how many tokens these have."""
     size = BUCKETS + 1
-    count = _round(encoded, Model(np.ones(1), np.ones((1, 1)), np.full((size, 1), 1 / size)), mixture)[2][:, 0]
+    count = _round(encoded, Model(np.ones(1), np.ones((1, 1)), np.full((size, 1), 1 / size)), mixture, GROUP)[2][:, 0]
     unigram, tokens = (count + 1) / (count.sum() + size), max(count.sum(), 1)
     m = starting_model(unigram, states)
-    for step, rounds in ((mixture, MIXTURE_ROUNDS), (baum_welch, CLASS_ROUNDS)):
+    for step, rounds, most in ((mixture, MIXTURE_ROUNDS, GROUP), (baum_welch, CLASS_ROUNDS, HELD)):
         last = -math.inf
         for _ in range(rounds):
-            start, move, emit, log = _round(encoded, m, step)
+            start, move, emit, log = _round(encoded, m, step, most)
             new = m.update(start, move, emit, unigram)
             m = Model(new.start, m.move if step is mixture else new.move, new.emit)
             if log / tokens - last < SETTLED:
@@ -353,17 +357,20 @@ def _encode(texts: DataFrame) -> DataFrame:
             for _, _, block in blocks(batch.column(0), NONSPACE):
                 h, starts = tokens_of(block)
                 symbols = classes_of(h)
-                rows = pa.array([symbols[x:y].tobytes() for x, y in zip(starts[:-1].tolist(), starts[1:].tolist(), strict=True)], pa.binary())
-                yield pa.RecordBatch.from_arrays([rows], ["symbols"])
+                yield pa.RecordBatch.from_arrays([_cut(symbols, starts)], ["symbols"])
 
     return texts.select("text").mapInArrow(run, "symbols binary")
 
 
+def _cut(rows: np.ndarray, at: np.ndarray) -> pa.Array:
+    """Runs of rows, bounded by `at`, as binaries, without a Python object for each."""
+    rows = np.ascontiguousarray(rows)
+    return pa.Array.from_buffers(pa.binary(), len(at) - 1, [None, pa.py_buffer((at * (rows.nbytes // max(len(rows), 1))).astype(np.int32)), pa.py_buffer(rows)])
+
+
 def _packed(n: np.ndarray) -> pa.Array:
     """Rows of numbers as binaries."""
-    n = np.ascontiguousarray(n, dtype=np.float32)
-    width = 4 * n.shape[1]
-    return pa.Array.from_buffers(pa.binary(), len(n), [None, pa.py_buffer((np.arange(len(n) + 1) * width).astype(np.int32)), pa.py_buffer(n)])
+    return _cut(np.asarray(n, dtype=np.float32), np.arange(len(n) + 1))
 
 
 def unpacked(column: pa.ChunkedArray | pa.Array, states: int) -> np.ndarray:
@@ -377,6 +384,24 @@ def unpacked(column: pa.ChunkedArray | pa.Array, states: int) -> np.ndarray:
     return np.concatenate(parts).view(np.float32).reshape(len(column), states).astype(float)
 
 
+def parts_of(tokens: int) -> int:
+    """Parts of the table of words."""
+    return min(WORD_PARTS, max(1, -(-tokens // WORD_TOKENS)))
+
+
+def _dealt(h: np.ndarray, parts: int) -> tuple[np.ndarray, pa.Array, np.ndarray]:
+    """How words are dealt to the parts of a table: their order by part, the parts that have any, and the bounds of each."""
+    part = (h.view(np.uint64) >> np.uint64(24)) % np.uint64(parts)
+    order = np.argsort(part, kind="stable")
+    ids, first = np.unique(part[order], return_index=True)
+    return order, pa.array(ids.astype(np.int32)), np.append(first, len(h))
+
+
+def _joined(column: pa.ChunkedArray, kind: type) -> np.ndarray:
+    """The numbers of a column of binaries, one row behind the other."""
+    return np.frombuffer(b"".join(column.to_pylist()), dtype=kind)
+
+
 def _clear(n: np.ndarray, c: np.ndarray) -> np.ndarray:
     """Expected counts with the very small ones added to the largest."""
     small = n < LEAST * c[:, None]
@@ -445,6 +470,8 @@ def count_words(texts: DataFrame, m: Model, tokens: int) -> Fitted:
     """A Baum-Welch round over texts (doc_id, text) that counts words."""
     states = len(m.start)
     sent = texts.sparkSession.sparkContext.broadcast(Model(m.start, m.move, m.emit.astype(np.float32)))
+    parts = parts_of(tokens)
+    names = ["part", "h", "c2", "v", "small"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         m = sent.value
@@ -452,46 +479,72 @@ def count_words(texts: DataFrame, m: Model, tokens: int) -> Fitted:
         size = {True: 0, False: 0}
         total = [np.zeros(states), np.zeros((states, states))]
 
+        def words_of(h: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+            """Distinct words, and which of them each is; no sort of all tokens."""
+            got = pa.array(h.view(np.int64)).dictionary_encode()
+            return got.dictionary.to_numpy(), got.indices.to_numpy()
+
+        def add(n: np.ndarray, at: np.ndarray, gamma: np.ndarray) -> None:
+            at = at.astype(np.int64)
+            for j in range(states):
+                n[j] += np.bincount(at, weights=gamma[j], minlength=n.shape[1])
+
+        def rows(u: np.ndarray, c: np.ndarray, n: np.ndarray, half: bool) -> pa.RecordBatch:
+            """A row a part of the table, not one a word."""
+            order, ids, cuts = _dealt(u, parts)
+            v = _clear(n.T[order], c[order]).astype(np.float32)
+            return pa.RecordBatch.from_arrays([ids, *(_cut(x, cuts) for x in (u[order], 2 * c[order] + half, v)), pa.nulls(len(ids), pa.binary())], names)
+
         def give(half: bool) -> Iterator[pa.RecordBatch]:
             h = np.concatenate(held[half])
             starts = np.concatenate([[0], np.cumsum([len(x) for x in held[half]])])
             held[half], size[half] = [], 0
+            whole = len(h) <= HELD  # of a longer text, each group's words are counted alone
+            if whole:
+                u, at = words_of(h)
+                n = np.zeros((states, len(u)))
             for s, v, span, gamma, _ in Chunks(m, classes_of(h), starts).expect():
                 total[0], total[1] = total[0] + s, total[1] + v
-                words = pa.array(h[span].view(np.int64)).dictionary_encode()  # no sort of all tokens
-                u, at = words.dictionary, words.indices.to_numpy().astype(np.int64)
-                c = np.bincount(at, minlength=len(u))
-                n = np.stack([np.bincount(at, weights=gamma[j], minlength=len(u)) for j in range(states)], axis=1)
-                yield pa.RecordBatch.from_arrays([u, pa.array((2 * c + half).astype(np.int64)), _packed(_clear(n, c))], ["h", "c2", "v"])
+                if whole:
+                    add(n, at[span], gamma)
+                else:
+                    u, at = words_of(h[span])
+                    n = np.zeros((states, len(u)))
+                    add(n, at, gamma)
+                    yield rows(u, np.bincount(at), n, half)
+            if whole:
+                yield rows(u, np.bincount(at), n, half)
 
         for batch in batches:
             for a, _, block in blocks(batch.column(0), NONSPACE):
                 h, starts = tokens_of(block)
                 halves = batch.column(1).to_numpy(zero_copy_only=False)[a : a + len(block)].tolist()
                 for half, x, y in zip(halves, starts[:-1].tolist(), starts[1:].tolist(), strict=True):
-                    if held[half] and size[half] + y - x > GROUP:
+                    if held[half] and size[half] + y - x > HELD:
                         yield from give(half)
                     held[half].append(h[x:y])
                     size[half] += y - x
         for half in (True, False):
             if held[half]:
                 yield from give(half)
-        yield pa.RecordBatch.from_arrays([pa.array([None], pa.int64()), pa.array([0], pa.int64()), pa.array([np.concatenate([total[0], total[1].ravel()]).tobytes()], pa.binary())], ["h", "c2", "v"])
+        small = np.concatenate([total[0], total[1].ravel()]).tobytes()
+        yield pa.RecordBatch.from_arrays([pa.array([TaskContext.get().partitionId() % parts], pa.int32()), *(pa.nulls(1, pa.binary()) for _ in range(3)), pa.array([small], pa.binary())], names)
 
     def merge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         empty = [np.empty(0, dtype=np.int64), np.empty((0, 2 * states + 2))]
         held, size, small = [empty], 0, np.zeros(states + states * states)
         for b in batches:
-            real = b.column(0).is_valid()
-            for x in b.column(2).filter(b.column(0).is_null()):
-                small += np.frombuffer(x.as_py())
-            h, c2 = b.column(0).filter(real).to_numpy(), b.column(1).filter(real).to_numpy()
-            n, half = unpacked(b.column(2).filter(real), states), (c2 % 2)[:, None]
-            held.append([h, np.concatenate([n, n * half, (c2 // 2)[:, None], (c2 // 2)[:, None] * half], axis=1)])
-            size += len(h)
-            if size > 1 << 20:
-                held = [_merged(np.concatenate([x for x, _ in held]), np.concatenate([x for _, x in held]))]
-                size = 0
+            for h, c2, v, own in zip(*(b.column(i) for i in range(1, 5)), strict=True):
+                if own.is_valid:
+                    small += np.frombuffer(own.as_buffer())
+                    continue
+                h, c2, n = (np.frombuffer(x.as_buffer(), dtype=kind) for x, kind in ((h, np.int64), (c2, np.int64), (v, np.float32)))
+                n, half, c = n.reshape(-1, states), c2[:1] % 2, (c2 // 2)[:, None]
+                held.append([h, np.concatenate([n, n * half, c, c * half], axis=1)])
+                size += len(h)
+                if size > 1 << 20:
+                    held = [_merged(np.concatenate([x for x, _ in held]), np.concatenate([x for _, x in held]))]
+                    size = 0
         h, x = _merged(np.concatenate([x for x, _ in held]), np.concatenate([x for _, x in held]))
         for a in range(0, len(h), 1 << 16):
             y = x[a : a + (1 << 16)]
@@ -501,9 +554,8 @@ def count_words(texts: DataFrame, m: Model, tokens: int) -> Fitted:
         yield pa.RecordBatch.from_arrays([pa.nulls(1, pa.int64()), pa.nulls(1, pa.int64()), pa.nulls(1, pa.binary()), pa.nulls(1, pa.int64()), pa.nulls(1, pa.binary()), pa.array([totals], pa.binary())], ["h", "c", "n", "d", "m", "totals"])
 
     half = F.pmod(F.xxhash64("text", "doc_id"), F.lit(2)) == 0
-    rows = texts.select("text", half.alias("half")).mapInArrow(run, "h long, c2 long, v binary")
-    parts = min(WORD_PARTS, max(1, -(-tokens // WORD_TOKENS)))
-    both = stash(rows.repartition(parts, "h").mapInArrow(merge, "h long, c long, n binary, d long, m binary, totals binary"), "words")
+    rows = texts.select("text", half.alias("half")).mapInArrow(run, "part int, h binary, c2 binary, v binary, small binary")
+    both = stash(rows.repartitionById(parts, "part").mapInArrow(merge, "h long, c long, n binary, d long, m binary, totals binary"), "words")
     got = [np.frombuffer(r.totals) for r in both.where("totals IS NOT NULL").select("totals").collect()]  # one a partition
     got = np.sum(got, axis=0) if got else np.zeros(3 * states + states * states + 3)
     sent.destroy()
@@ -600,10 +652,32 @@ def score(docs: DataFrame, fitted: Fitted) -> DataFrame:
                 lists = pa.ListArray.from_arrays(pa.array(per), pa.array(np.concatenate(rare)))
                 yield pa.RecordBatch.from_arrays([*(batch.column(i).slice(a, b - a) for i in range(2)), pa.array(np.full(b - a, bid, dtype=np.int64)), pa.array(wide), pa.array(codes, pa.binary()), lists], ["doc_id", "held_out", "bid", "wide", "codes", "rare"])
 
+    parts = 4 * parts_of(fitted.n)  # words and blocks meet by part, and a row has all words of a part
+
     def need(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for t in _runs(batches):
             h = np.unique(np.concatenate(_lists(t["rare"])))
-            yield pa.RecordBatch.from_arrays([pa.array(np.full(len(h), t["bid"][0].as_py(), dtype=np.int64)), pa.array(h)], ["bid", "h"])
+            order, ids, cuts = _dealt(h, parts)
+            yield pa.RecordBatch.from_arrays([ids, pa.array(np.full(len(ids), t["bid"][0].as_py(), dtype=np.int64)), _cut(h[order], cuts)], ["part", "bid", "h"])
+
+    def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            h = b.column(0).to_numpy()
+            order, ids, cuts = _dealt(h, parts)
+            n = unpacked(b.column(2), states).astype(np.float32)
+            yield pa.RecordBatch.from_arrays([ids, *(_cut(x[order], cuts) for x in (h, b.column(1).to_numpy(), n))], ["part", "h", "c", "n"])
+
+    def look(asked: pa.Table, words: pa.Table) -> pa.Table:
+        """The rows of the words that blocks ask for, of one part."""
+        own, c, n = _joined(words["h"], np.int64), _joined(words["c"], np.int64), _joined(words["n"], np.float32).reshape(-1, states)
+        h = _joined(asked["h"], np.int64)
+        found = pc.index_in(pa.array(h), value_set=pa.array(own))
+        has = found.is_valid().to_numpy(zero_copy_only=False)
+        at = found.drop_null().to_numpy()
+        # how many of each block's are known
+        ends = np.cumsum(pc.binary_length(asked["h"]).to_numpy() // 8)
+        cuts = np.concatenate([[0], np.cumsum(has)])[np.concatenate([[0], ends])]
+        return pa.table({"bid": asked["bid"], "h": _cut(h[has], cuts), "c": _cut(c[at], cuts), "n": _cut(n[at], cuts)})
 
     def meet(t: pa.Table, rows: pa.Table) -> pa.Table:
         head, counts, rates, start, move = sent.value
@@ -612,8 +686,8 @@ def score(docs: DataFrame, fitted: Fitted) -> DataFrame:
         rare = _lists(t["rare"])
         h = np.unique(np.concatenate(rare))
         c, n = np.zeros(len(h), dtype=np.int64), np.zeros((len(h), states))
-        at = np.searchsorted(h, rows["h"].to_numpy())
-        c[at], n[at] = rows["c"].to_numpy(), unpacked(rows["n"], states)
+        at = np.searchsorted(h, _joined(rows["h"], np.int64))
+        c[at], n[at] = _joined(rows["c"], np.int64), _joined(rows["n"], np.float32).reshape(-1, states)
         emit, c = np.concatenate([rates, emissions(c, n, law).astype(np.float32)]), np.concatenate([counts, c])
         tokens = []
         for x, wide, u in zip(t["codes"].to_pylist(), t["wide"].to_pylist(), rare, strict=True):
@@ -629,7 +703,9 @@ def score(docs: DataFrame, fitted: Fitted) -> DataFrame:
         return pa.table({"doc_id": t["doc_id"], "held_out": t["held_out"], "n_tokens": pa.array(size.astype(np.int64)), "n_known": pa.array(known), "base_score": pa.array(base), "score": pa.array(logs)})
 
     encoded = stash(docs.select(*names, "text").mapInArrow(encode, f"doc_id {id_type}, held_out boolean, bid long, wide boolean, codes binary, rare array<long>"), "codes")
-    rows = encoded.select("bid", "rare").mapInArrow(need, "bid long, h long").join(fitted.words.select("h", "c", "n"), "h")
+    asked = encoded.select("bid", "rare").mapInArrow(need, "part int, bid long, h binary")
+    words = fitted.words.select("h", "c", "n").mapInArrow(pack, "part int, h binary, c binary, n binary")
+    rows = asked.groupBy("part").cogroup(words.groupBy("part")).applyInArrow(look, "bid long, h binary, c binary, n binary")
     out = encoded.groupBy("bid").cogroup(rows.groupBy("bid")).applyInArrow(meet, f"doc_id {id_type}, held_out boolean, n_tokens long, n_known long, base_score double, score double")
     return out.select("doc_id", "held_out", "n_tokens", "n_known", F.lit(fitted.n).cast("long").alias("train_tokens"), "base_score", "score")
 

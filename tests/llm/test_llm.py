@@ -465,6 +465,25 @@ def test_lm_forward_runs_once_a_symbol(monkeypatch):
     assert lm_scoring.Chunks(m, flat, starts).logs().sum() == pytest.approx(log) and ran == [15]
 
 
+def test_lm_groups_are_alike_in_length(monkeypatch):
+    """A loop over a group's longest chunk isn't paid for by every group; counts don't depend on the groups."""
+    rng = np.random.default_rng(6)
+    n = rng.permutation(np.repeat([2, 5, 40, 90], 50))
+    m, starts = lm_scoring.starting_model(np.full(6, 1 / 6), 3), np.concatenate([[0], np.cumsum(n)])
+    flat = rng.integers(0, 6, starts[-1])
+    ran, steps = [], lm_scoring.Chunks._steps
+    monkeypatch.setattr(lm_scoring.Chunks, "_steps", lambda self, rows: ran.append(int(self.n[rows].max())) or steps(self, rows))
+    monkeypatch.setattr(lm_scoring, "CHUNK", 60)
+    expect = lm_scoring.baum_welch(m, flat, starts)
+    logs = lm_scoring.Chunks(m, flat, starts).logs()
+    ran.clear()
+    monkeypatch.setattr(lm_scoring, "GROUP", 500)
+    got = lm_scoring.baum_welch(m, flat, starts)
+    assert all(np.allclose(a, b) for a, b in zip(got, expect, strict=True))
+    assert ran.count(60) <= 15 and min(ran) <= 5
+    assert np.allclose(lm_scoring.Chunks(m, flat, starts).logs(), logs)
+
+
 def test_baum_welch_climbs():
     rng = np.random.default_rng(2)
     texts = [np.repeat(rng.integers(0, 2), 20) * 3 + rng.integers(0, 3, 20) for _ in range(40)]
@@ -569,6 +588,23 @@ def test_lm_training_sees_all_texts(spark, monkeypatch):
     assert len(seen) > 3 and all(x == pytest.approx(tokens) for x in seen[:-1]) and fitted.state_n.sum() == pytest.approx(tokens, rel=1e-4)
 
 
+@pytest.mark.parametrize("held", [4_000_000, 60])
+def test_lm_words_travel_packed(spark, monkeypatch, held):
+    """A row holds all words of a part of the table, also of texts that are longer than what is held."""
+    made, deal = [], type(spark.range(0)).repartitionById
+    monkeypatch.setattr(type(spark.range(0)), "repartitionById", lambda self, *a: made.append(self.where("h IS NOT NULL").count()) or deal(self, *a))
+    monkeypatch.setattr(lm_scoring, "HELD", held)
+    monkeypatch.setattr(lm_scoring, "GROUP", held)
+    monkeypatch.setattr(lm_scoring, "WORD_TOKENS", 1000)
+    texts = [(i, " ".join(f"w{i}x{k % 70}" for k in range(100))) for i in range(40)]
+    train = [t for i, t in texts if zlib.crc32(str(i).encode()) % 7 != 2]
+    fitted = lm_scoring.fit(spark.createDataFrame(texts, "doc_id long, text string").coalesce(1).withColumn("held_out", lm_scoring.held_out()), 2)
+    c = collections.Counter(w for t in train for w in [*t.split(), "\n"])
+    rows = fitted.words.collect()
+    assert sorted(r.c for r in rows) == sorted(c.values()) and made[0] < len(c) / 2
+    assert all(np.frombuffer(r.n, dtype=np.float32).sum() == pytest.approx(r.c, rel=1e-4) and r.d <= r.c for r in rows)
+
+
 def test_lm_beats_unigrams(spark):
     r = lm_scoring.query(spark, SF).where("held_out").agg(F.sum("score").alias("s"), F.sum("base_score").alias("b")).first()
     assert r.s > r.b
